@@ -65,15 +65,11 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Add the counts that the rules need to every row; see the module's docstring for nulls.
 
     ``n_repeat_words`` is the number of words inside any window of eight words that occurs twice or more in the text.
-    Windows are compared by a 64-bit hash. Each step is a projection of its own, so that an array is built once.
+    Windows are compared by a 64-bit hash, built by doubling. Each step is a projection of its own, so that an array is built once.
     """
     own = [F.col(f"`{c}`") for c in df.columns]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     step = df.select(*own, t.alias("_text"), words_of(F.col(f"`{text}`")).alias("_words"))
-    windows = F.when(
-        F.size("_words") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
     drop = lambda pattern: F.regexp_replace(F.col("_text"), pattern, "")
     step = step.select(
         *own,
@@ -84,9 +80,14 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         F.length(drop(r"[^\p{Lu}]+")).cast("long").alias("n_upper"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "").alias("_lines"),
-        windows.alias("_windows"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_windows"),
     )
     counts = ["n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_stop_words"]
+    for reach in (1, 2, 4):  # the hashes of 2, 4 and then 8 words from each word on
+        joined = F.transform("_windows", lambda h, i: F.xxhash64(h, F.get(F.col("_windows"), i + reach)))  # noqa: B023
+        if 2 * reach == WINDOW:
+            joined = F.slice(joined, F.lit(1), F.greatest(F.size("_windows") - (WINDOW - 1), F.lit(0)))
+        step = step.select(*own, *counts, "_lines", joined.alias("_windows"))
     repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
     keyed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     step = step.select(

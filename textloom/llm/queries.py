@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import OP2_SQL, op2_licenses
-from .mixing import op6_mixing
+from .mixing import OP6_SQL, op6_mixing
 from .quality import OP3_SQL, op3_quality_rules
 from .sharding import OP1_SQL, op1_sharding
 
@@ -18,4 +18,5 @@ ORACLE_SQL = {
     "op1_sharding": OP1_SQL,
     "op2_licenses": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
+    "op6_mixing": OP6_SQL,
 }
