@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .ann import op4_ann
 from .licenses import OP2_SQL, op2_licenses
 from .mixing import OP6_SQL, op6_mixing
 from .quality import OP3_SQL, op3_quality_rules
 from .sharding import OP1_SQL, op1_sharding
+from .simhash import op8_simhash
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_licenses": op2_licenses,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ann": op4_ann,
     "op6_mixing": op6_mixing,
+    "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
