@@ -8,6 +8,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .quality import OP3_SQL, op3_quality_rules
 from .sharding import OP1_SQL, op1_sharding
 from .simhash import op8_simhash
+from .tokens import op7_tokens
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_ann": op4_ann,
     "op6_mixing": op6_mixing,
+    "op7_tokens": op7_tokens,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
 }
