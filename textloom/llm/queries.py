@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op4_ann
 from .licenses import OP2_SQL, op2_licenses
+from .lm import op10_lm
 from .mixing import OP6_SQL, op6_mixing
 from .quality import OP3_SQL, op3_quality_rules
 from .sharding import OP1_SQL, op1_sharding
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_tokens": op7_tokens,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_lm": op10_lm,
 }
 
 ORACLE_SQL = {
