@@ -6,6 +6,7 @@ from .ann import op4_ann
 from .licenses import OP2_SQL, op2_licenses
 from .lm import op10_lm
 from .mixing import OP6_SQL, op6_mixing
+from .pieces import op5_sentencepiece
 from .quality import OP3_SQL, op3_quality_rules
 from .sharding import OP1_SQL, op1_sharding
 from .simhash import op8_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_quality_rules": op3_quality_rules,
     "op4_ann": op4_ann,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_mixing": op6_mixing,
     "op7_tokens": op7_tokens,
     "op8_simhash": op8_simhash,
