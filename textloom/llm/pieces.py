@@ -1,16 +1,19 @@
 """Operator 5, SentencePiece encoding and decoding, by a relational lattice over distinct words.
 
-Text is normalised as the model says (a space before it, spaces written as U+2581) and cut into words: a run of U+2581 and
-what follows it. No piece spans two words, so each distinct word of the corpus is encoded once:
+Text is normalised as the model says (a space before it, spaces written as U+2581) and cut into words: before runs of
+U+2581, at line ends, and between a letter and a sign that no piece has behind one. No piece spans two words, so each
+distinct word of the corpus is encoded once:
 
 1. its substrings of bounded length are exploded and equi-joined to the piece table (a broadcast: the vocabulary is fixed);
 2. the edges are grouped by word again, without a shuffle, as the words are still parted by word;
 3. one ``aggregate`` folds the edges to the word's ids. In a unigram model that is Viterbi over the end positions. The one
    public SentencePiece file here is a BPE model, for which Viterbi over its scores (ranks) does not give the library's
-   ids; there the fold takes away the boundary of the best-ranked edge that joins two neighbouring segments, until none
-   is left, which is SentencePiece's BPE. Boundaries are bits of one long.
+   ids; there the fold goes over the edges by rank, and takes away the boundary between two neighbouring segments that an
+   edge joins, which is SentencePiece's BPE. An edge can only come too late for its turn if its piece has a part of worse
+   rank; words with such an edge left over are folded again, taking the best of all edges in each step. Boundaries are
+   bits of one long.
 
-Words over 62 characters don't fit a long; they take the same two algorithms in Python. Characters without a piece become
+Words over 62 characters don't fit a long, and pieces of blanks alone share a rank; such words take the same two algorithms in Python. Characters without a piece become
 byte pieces, or the unknown id. Then every text is encoded from the word table: by a broadcast of word hashes while the
 table has at most ``BROADCAST_WORDS`` words, else by a join of each text's distinct words.
 
@@ -31,7 +34,6 @@ from .common import table, written
 SPACE = "▁"
 LONGEST = 62
 BROADCAST_WORDS = 8_000_000
-WORD = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 
 
 class Model(NamedTuple):
@@ -42,6 +44,26 @@ class Model(NamedTuple):
     def known(self) -> dict[str, tuple[int, float]]:
         return {p: (i, s) for i, (p, s, kind) in enumerate(self.pieces) if kind == 1}
 
+    def openers(self) -> str:
+        """Signs that no piece has behind a letter: a word can be cut between a letter and one of these."""
+        behind = {b for p in self.known() for a, b in zip(p, p[1:]) if a.isalpha()}
+        return "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if c not in behind)
+
+    def word_pattern(self) -> str:
+        signs = "".join(f"\\{c}" for c in self.openers())
+        first = f"{SPACE}*[^{SPACE}\n\\p{{L}}]*\\p{{L}}++(?=[{signs}])|" if signs else ""
+        return f"{first}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+
+    def late(self) -> set[str]:
+        """Pieces with a part (of two or more characters) of worse score: their turn by rank can come before their parts'."""
+        known = self.known()
+        score = lambda part: known[part][1] if len(part) > 1 else float("inf")
+        return {
+            p
+            for p, (_, s) in known.items()
+            if any(a in known and b in known and min(score(a), score(b)) <= s for a, b in ((p[:i], p[i:]) for i in range(1, len(p))))
+        }
+
     @property
     def byte_base(self) -> int | None:
         ids = [i for i, x in enumerate(self.pieces) if x[2] == 6]
@@ -98,6 +120,8 @@ def load(path: str | None = None) -> Model:
         raise ValueError("only unigram and BPE models without a character map, blank removal and user-defined pieces")
     if any("\n" in p and len(p) > 1 or SPACE in p.lstrip(SPACE) for p, _, kind in pieces if kind == 1):
         raise ValueError("a piece spans words")
+    if len(pieces) >= 1 << 18:
+        raise ValueError("at most 262143 pieces fit an edge's code")
     return Model(pieces, trainer.get(3, 1) == 1, bool(normal.get(3, 1)))
 
 
@@ -156,14 +180,19 @@ def words_in(text: Column, model: Model) -> Column:
     t = F.coalesce(text, F.lit(""))
     spaced = F.replace(t, F.lit(" "), F.lit(SPACE))
     spaced = F.concat(F.lit(SPACE), spaced) if model.prefix else spaced
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(spaced, F.lit(WORD), F.lit(0)))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(spaced, F.lit(model.word_pattern()), F.lit(0)))
 
 
-#: Boundaries are bits 0..n of ``mask``; ``outer`` has an edge's two ends, ``inner`` what lies between. Each step finds the
-#: first edge (best rank, leftmost) that joins two segments, and takes their boundary away.
-_BPE = """
-aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1L, (mask, i) -> mask & ~aggregate(merges, 0L,
-  (hit, e) -> CASE WHEN hit <> 0 THEN hit WHEN (mask & e.outer) = e.outer AND bit_count(mask & e.inner) = 1 THEN mask & e.inner ELSE 0L END))
+#: An edge is a long: rank, lateness, start, end, id + 1 (0: no piece). Boundaries are bits 0..n of ``mask``; ``outer`` has
+#: an edge's two ends, ``inner`` what lies between. The sign bit is set if a late edge was passed over with its ends in place.
+_ONCE = """
+aggregate(merges, shiftleft(1L, n + 1) - 1L, (mask, x) -> CASE WHEN (mask & x.outer) <> x.outer THEN mask
+  WHEN bit_count(mask & x.inner) = 1 THEN mask & ~x.inner WHEN x.late THEN mask | -9223372036854775808L ELSE mask END)
+"""
+#: Each step finds the first edge (best rank, leftmost) that joins two segments, and takes their boundary away.
+_AGAIN = """
+aggregate(sequence(1, n - 1), shiftleft(1L, n + 1) - 1L, (mask, i) -> mask & ~aggregate(merges, 0L,
+  (hit, x) -> CASE WHEN hit <> 0 THEN hit WHEN (mask & x.outer) = x.outer AND bit_count(mask & x.inner) = 1 THEN mask & x.inner ELSE 0L END))
 """
 #: Viterbi over end positions: the state has, for each end so far, the best sum of scores and the last edge's start; then
 #: the ends on the best path are collected backwards, as bits.
@@ -183,32 +212,39 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     spark, known = words.sparkSession, model.known()
     rank = {s: i for i, s in enumerate(sorted({s for _, s in known.values()}, reverse=True))}
     lost = min((s for _, s in known.values()), default=0.0) - 10
-    longest = max(map(len, known), default=1)
-    rows = [(p, i, rank[s], s) for p, (i, s) in known.items()]
-    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, id int, rank int, score double"))
-    short = words.filter(F.length("word") <= LONGEST).withColumn("n", F.length("word"))
+    longest, late = max(map(len, known), default=1), set() if model.unigram else model.late()
+    rows = [(p, (rank[s] << 35 | (p in late) << 34 | i + 1), s) for p, (i, s) in known.items()]
+    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, code long, score double"))
+    fits = (F.length("word") <= LONGEST) & ~F.contains(F.col("word"), F.lit(SPACE * 2))  # pieces of blanks alone have one rank
     spans = (
-        short.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))))
+        words.filter(fits)
+        .withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+        .withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))))
         .withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("k")))
     )
-    edges = spans.join(pieces, "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == 1))
-    edge = F.struct(
-        F.coalesce("rank", F.lit(len(rank))).alias("rank"), F.col("s").cast("int").alias("s"), (F.col("s") + F.col("k")).cast("int").alias("e"),
-        F.coalesce("id", F.lit(-1)).alias("id"), *([F.coalesce("score", F.lit(lost)).alias("score")] if model.unigram else []),
-    )
-    outer, inner = "shiftleft(1L, x.s) | shiftleft(1L, x.e)", "shiftleft(1L, x.e) - shiftleft(1L, x.s + 1)"
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("word"))
+    edges = spans.join(pieces, "piece", "left").filter(F.col("code").isNotNull() | (F.col("k") == 1))
+    place = F.shiftleft(F.col("s").cast("long"), 27) + F.shiftleft((F.col("s") + F.col("k")).cast("long"), 20)
+    code = F.coalesce("code", F.lit(len(rank) << 35).cast("long")) + place
+    start, end, inner = "CAST(shiftright(x, 27) & 127 AS INT)", "CAST(shiftright(x, 20) & 127 AS INT)", "shiftleft(1L, {e}) - shiftleft(1L, {s} + 1)"
+    n = F.length("word").alias("n")
     if model.unigram:
+        edge = F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + F.col("k")).cast("int").alias("e"), F.coalesce("score", F.lit(lost)).alias("score"))
+        lattice = edges.groupBy("word").agg(F.collect_list(code).alias("codes"), F.sort_array(F.collect_list(edge)).alias("edges")).select("*", n)
         cut = lattice.withColumn("paths", F.expr(_VITERBI)).withColumn("mask", F.expr(_BACK))
     else:
-        merges = f"transform(filter(edges, x -> x.e - x.s > 1), x -> named_struct('outer', {outer}, 'inner', {inner}))"
-        cut = lattice.withColumn("merges", F.expr(merges)).withColumn("mask", F.expr(_BPE))
-    taken = cut.withColumn("taken", F.expr(f"array_sort(filter(edges, x -> (mask & ({outer})) = ({outer}) AND (mask & ({inner})) = 0), (a, b) -> a.s - b.s)"))
+        lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(code)).alias("codes")).select("*", n)
+        ends = f"named_struct('s', {start}, 'e', {end}, 'late', (shiftright(x, 34) & 1) = 1)"
+        merge = f"named_struct('outer', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'inner', {inner.format(s='x.s', e='x.e')}, 'late', x.late)"
+        lattice = lattice.withColumn("merges", F.expr(f"transform(filter(transform(codes, x -> {ends}), x -> x.e - x.s > 1), x -> {merge})"))
+        cut = lattice.withColumn("mask", F.expr(_ONCE)).withColumn("mask", F.expr(f"CASE WHEN mask < 0 THEN {_AGAIN} ELSE mask END"))
+    inside = inner.format(s=start, e=end)
+    joined = f"(mask & shiftleft(1L, {start})) <> 0 AND (mask & shiftleft(1L, {end})) <> 0 AND (mask & ({inside})) = 0"
+    taken = cut.select("word", F.expr(f"sort_array(transform(filter(codes, x -> {joined}), x -> (x & 17179869183L)))").alias("taken"))
     base = model.byte_base
-    char = "hex(encode(substring(word, x.s + 1, 1), 'utf-8'))"
+    char = f"hex(encode(substring(word, {start} + 1, 1), 'utf-8'))"
     octets = f"array({model.unknown})" if base is None else f"transform(sequence(1, length({char}), 2), i -> {base} + CAST(conv(substring({char}, i, 2), 16, 10) AS INT))"
-    ids = F.expr(f"flatten(transform(taken, x -> CASE WHEN x.id >= 0 THEN array(x.id) ELSE {octets} END))")
+    plain = "transform(taken, x -> CAST(x & 1048575 AS INT) - 1)"
+    ids = F.expr(f"CASE WHEN forall(taken, x -> (x & 1048575) > 0) THEN {plain} ELSE flatten(transform(taken, x -> CASE WHEN (x & 1048575) > 0 THEN array(CAST(x & 1048575 AS INT) - 1) ELSE {octets} END)) END")
 
     @F.pandas_udf("array<int>")
     def by_hand(word):
@@ -218,7 +254,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         one = unigram_word if model.unigram else bpe_word
         return pd.Series([one(model, known, w) for w in word])
 
-    long = words.filter(F.length("word") > LONGEST).select("word", by_hand("word").alias("ids"))
+    long = words.filter(~fits).select("word", by_hand("word").alias("ids"))
     return taken.select("word", ids.alias("ids")).unionAll(long)
 
 
@@ -233,7 +269,7 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     model = model or load()
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("_key"), words_in(F.col(f"`{text}`"), model).alias("words"))
-    distinct = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word")
+    distinct = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word")
     known = written(encode_words(distinct, model), "words")
     if known.count() <= broadcast_words:
         return _encode_by_hash(spark, rows, known, key, kind)

@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -207,8 +207,13 @@ def fit(labels: DataFrame, docs: DataFrame, max_terms: int = MAX_TERMS, k: int =
     return index._replace(knots=(np.array(x), np.clip(np.array(y), 0.001, 0.999)))
 
 
-def score(df: DataFrame, index: Index, key: str = "doc_id", text: str = "text", k: int = NEIGHBOURS) -> DataFrame:
-    """``key, score, evidence``: one row an input row; evidence is an array of (example id, cosine, toxic), nearest first."""
+def score(df: DataFrame, index: Index, columns: Sequence[str] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS) -> DataFrame:
+    """``columns, score, evidence``: one row an input row; evidence is an array of (example id, cosine, toxic), nearest first.
+
+    The named columns pass through the batches as they are; a ``score`` or ``evidence`` among them would clash and is an error.
+    """
+    if {"score", "evidence"} & set(columns):
+        raise ValueError("the columns can't be named score or evidence")
     sent = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator) -> Iterator:
@@ -219,7 +224,7 @@ def score(df: DataFrame, index: Index, key: str = "doc_id", text: str = "text",
         evidence = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
         for batch in batches:
             scores, proofs = [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(len(columns)).to_pylist():
                 tf = _vector(words_in(t), index.terms, known) if len(index.ids) else {}
                 if not tf:
                     scores.append(index.base)
@@ -236,11 +241,11 @@ def score(df: DataFrame, index: Index, key: str = "doc_id", text: str = "text",
                     )
                 scores.append(cached[sign][0])
                 proofs.append(cached[sign][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(proofs, evidence)], names=[key, "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), pa.array(proofs, evidence)], names=[*columns, "score", "evidence"])
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, score double, evidence array<struct<example: bigint, cosine: double, toxic: boolean>>")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+    rows = df.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias("_text"))
+    return rows.mapInArrow(run, f"{kinds}score double, evidence array<struct<example: bigint, cosine: double, toxic: boolean>>")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
