@@ -121,10 +121,13 @@ def verdict(rules: Sequence[Rule] = RULES) -> Column:
 
 def quality_rules(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add the measures, ``base_failed`` (too short, or mostly repetition) and ``kept`` to every row."""
-    clash = {"n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
-    measured = measures(df.drop(*(c for c in df.columns if c in clash and c != text)), text)
+    counts = ["n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words"]
+    measured = measures(df.drop(*(c for c in df.columns if c in {*counts, "base_failed", "kept"} and c != text)), text)
+    own = [F.col(f"`{c}`") for c in measured.columns if c not in counts]
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measured.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    # a one-row generator: a later filter on its columns isn't pushed into the projections, whose arrays it would copy
+    judged = F.inline(F.array(F.struct(*counts, base.alias("base_failed"), (~base & verdict(rules)).alias("kept"))))
+    return measured.select(*own, judged)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
