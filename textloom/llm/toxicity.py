@@ -32,7 +32,7 @@ from .common import table, written
 
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 4_000, 8_000
 MAX_TERMS = 1_024
-LEAST_RATIO = 15.0
+LEAST_RATIO = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
 CUT = 0.7
@@ -53,7 +53,7 @@ class Index(NamedTuple):
     idf: object  # (terms,)
     ids: object  # (examples,) ascending
     toxic: object  # (examples,) bool
-    vectors: object  # (blocks, BLOCK, terms), zero rows behind the last example
+    vectors: object  # (blocks, terms, BLOCK), zeros behind the last example
     block_max: object  # (blocks, terms)
     class_weight: tuple[float, float]
     base: float
@@ -88,14 +88,19 @@ def nearest(index: Index, at, weights, k: int, without: int = -1) -> list[tuple[
     import numpy as np
 
     bounds = index.block_max[:, at] @ weights
-    best: list[tuple[float, int]] = []
+    ids, cosines, edge = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
     for b in np.argsort(-bounds, kind="stable"):
-        if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
+        if bounds[b] <= 0 or bounds[b] < edge - 1e-9:
             break
-        cosines = index.vectors[b][:, at] @ weights
-        found = [(round(float(cosines[j]), 12), int(b) * BLOCK + int(j)) for j in np.flatnonzero(cosines > 0)]
-        best = sorted([*best, *(x for x in found if x[1] != without)], key=lambda x: (-x[0], x[1]))[:k]
-    return best
+        found = np.round(weights @ index.vectors[b][at], 12)
+        near = np.flatnonzero((found > 0) & (found >= edge))
+        near = near[b * BLOCK + near != without]
+        if len(near):
+            ids, cosines = np.concatenate([ids, b * BLOCK + near]), np.concatenate([cosines, found[near]])
+            order = np.lexsort((ids, -cosines))[:k]
+            ids, cosines = ids[order], cosines[order]
+            edge = cosines[-1] if len(ids) == k else 0.0
+    return list(zip(cosines.tolist(), ids.tolist()))
 
 
 def _vote(index: Index, near: list[tuple[float, int]]) -> float:
@@ -193,7 +198,7 @@ def fit(labels: DataFrame, docs: DataFrame, max_terms: int = MAX_TERMS, k: int =
         dense[i, at] = w
     dense = dense.reshape(blocks, BLOCK, len(terms))
     index = Index(
-        terms, idf, np.array([r["doc_id"] for r in with_terms], dtype=np.int64), np.array([r["toxic"] == 1 for r in with_terms], dtype=bool), dense,
+        terms, idf, np.array([r["doc_id"] for r in with_terms], dtype=np.int64), np.array([r["toxic"] == 1 for r in with_terms], dtype=bool), np.ascontiguousarray(dense.transpose(0, 2, 1)),
         dense.max(axis=1) if blocks else np.zeros((0, len(terms))), weight, base, ((0.0, 1.0), (0.0, 1.0)),
     )
     if not with_terms:
