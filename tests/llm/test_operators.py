@@ -249,7 +249,7 @@ def test_block_max_is_exact():
 
     rng = np.random.default_rng(6)
     v = rng.random((4, toxicity.BLOCK, 20)) * (rng.random((4, toxicity.BLOCK, 20)) < 0.2)
-    index = toxicity.Index({}, None, np.arange(256), np.zeros(256, bool), np.ascontiguousarray(v.transpose(0, 2, 1)), v.max(axis=1), (1.0, 1.0), 0.0, ((0, 1), (0, 1)))
+    index = toxicity.Index({}, None, np.arange(256), np.zeros(256, bool), np.ascontiguousarray(v.transpose(0, 2, 1)), *toxicity.index_of(v), (1.0, 1.0), 0.0, ((0, 1), (0, 1)))
     for _ in range(50):
         at = np.sort(rng.choice(20, 5, replace=False))
         q = rng.random(5)

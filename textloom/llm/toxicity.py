@@ -6,8 +6,9 @@ those that toxic examples have significantly more often (log-likelihood ratio),
 space. Weights are (1 + ln tf) * idf, vectors have length one.
 
 Search. Examples lie in blocks of 64; for each block the index holds every term's largest weight. A text's vector times
-those maxima bounds the cosine with any example of a block; blocks are visited by falling bound until the bound is under
-the k-th best cosine, so the k nearest are exact. Ties go to the smaller example id.
+those maxima bounds the cosine with any example of a block. The four best-bounded blocks give a k-th best cosine; of the
+postings of the text's terms only blocks whose bound reaches it count, so the k nearest are exact. Ties go to the smaller
+example id.
 
 Score. Cosine-weighted votes of the k nearest, each class weighted by its share of all training labels, are calibrated by
 isotonic regression on leave-one-out votes of the examples. Texts without any term, empty and null ones included, get
@@ -54,7 +55,10 @@ class Index(NamedTuple):
     ids: object  # (examples,) ascending
     toxic: object  # (examples,) bool
     vectors: object  # (blocks, terms, BLOCK), zeros behind the last example
-    block_max: object  # (blocks, terms)
+    block_max: object  # (terms, blocks)
+    posting_starts: object  # (terms + 1,)
+    postings: object  # examples of each term, ascending
+    posting_weights: object
     class_weight: tuple[float, float]
     base: float
     knots: tuple[object, object]  # raw vote -> calibrated score
@@ -87,20 +91,30 @@ def nearest(index: Index, at, weights, k: int, without: int = -1) -> list[tuple[
     """The k nearest examples with a cosine over zero: (cosine, place in the index), nearest first, exact."""
     import numpy as np
 
-    bounds = index.block_max[:, at] @ weights
-    ids, cosines, edge = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-    for b in np.argsort(-bounds, kind="stable"):
-        if bounds[b] <= 0 or bounds[b] < edge - 1e-9:
-            break
-        found = np.round(weights @ index.vectors[b][at], 12)
-        near = np.flatnonzero((found > 0) & (found >= edge))
-        near = near[b * BLOCK + near != without]
-        if len(near):
-            ids, cosines = np.concatenate([ids, b * BLOCK + near]), np.concatenate([cosines, found[near]])
-            order = np.lexsort((ids, -cosines))[:k]
-            ids, cosines = ids[order], cosines[order]
-            edge = cosines[-1] if len(ids) == k else 0.0
-    return list(zip(cosines.tolist(), ids.tolist()))
+    bounds = weights @ index.block_max[at]
+    first = np.argpartition(-bounds, min(3, len(bounds) - 1))[:4] if len(bounds) else np.zeros(0, dtype=np.int64)
+    skim = np.concatenate([weights @ index.vectors[b][at] for b in first]) if len(first) else np.zeros(0)
+    edge = np.partition(skim, len(skim) - k - 1)[len(skim) - k - 1] if len(skim) > k else 0.0  # one spare for ``without``
+    live = (bounds > 0) & (bounds >= edge - 1e-9)
+    spans = [slice(index.posting_starts[t], index.posting_starts[t + 1]) for t in at]
+    ids = np.concatenate([index.postings[x] for x in spans])
+    cosines = np.bincount(ids, weights=np.concatenate([w * index.posting_weights[x] for w, x in zip(weights, spans)]), minlength=1)
+    ids = np.flatnonzero(cosines >= max(edge - 1e-9, 1e-12))
+    ids = ids[live[ids // BLOCK] & (ids != without)]
+    cosines = np.round(cosines[ids], 12)
+    order = np.lexsort((ids, -cosines))[:k]
+    return list(zip(cosines[order].tolist(), ids[order].tolist()))
+
+
+def index_of(dense):
+    """(block maxima, posting starts, postings, posting weights) of the vectors in (blocks, BLOCK, terms)."""
+    import numpy as np
+
+    flat = dense.transpose(2, 0, 1).reshape(dense.shape[2], dense.shape[0] * dense.shape[1])
+    term, example = np.nonzero(flat)
+    starts = np.searchsorted(term, np.arange(len(flat) + 1))
+    maxima = dense.max(axis=1).T if len(dense) else np.zeros((len(flat), 0))
+    return np.ascontiguousarray(maxima), starts, example, flat[term, example]
 
 
 def _vote(index: Index, near: list[tuple[float, int]]) -> float:
@@ -199,7 +213,7 @@ def fit(labels: DataFrame, docs: DataFrame, max_terms: int = MAX_TERMS, k: int =
     dense = dense.reshape(blocks, BLOCK, len(terms))
     index = Index(
         terms, idf, np.array([r["doc_id"] for r in with_terms], dtype=np.int64), np.array([r["toxic"] == 1 for r in with_terms], dtype=bool), np.ascontiguousarray(dense.transpose(0, 2, 1)),
-        dense.max(axis=1) if blocks else np.zeros((0, len(terms))), weight, base, ((0.0, 1.0), (0.0, 1.0)),
+        *index_of(dense), weight, base, ((0.0, 1.0), (0.0, 1.0)),
     )
     if not with_terms:
         return index
