@@ -216,17 +216,18 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     rows = [(p, (rank[s] << 35 | (p in late) << 34 | i + 1), s) for p, (i, s) in known.items()]
     pieces = F.broadcast(spark.createDataFrame(rows, "piece string, code long, score double"))
     fits = (F.length("word") <= LONGEST) & ~F.contains(F.col("word"), F.lit(SPACE * 2))  # pieces of blanks alone have one rank
+    last, widest = F.when(fits, F.length("word") - 1).otherwise(0), F.least(F.lit(longest), F.length("word") - F.col("s"))
+    # a word that doesn't fit has one empty span, so that all words go through one grouping
     spans = (
-        words.filter(fits)
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
-        .withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))))
+        words.withColumn("s", F.explode(F.sequence(F.lit(0), last)))
+        .withColumn("k", F.explode(F.when(fits, F.sequence(F.lit(1), widest)).otherwise(F.array(F.lit(0)))))
         .withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("k")))
     )
-    edges = spans.join(pieces, "piece", "left").filter(F.col("code").isNotNull() | (F.col("k") == 1))
+    edges = spans.join(pieces, "piece", "left").filter(F.col("code").isNotNull() | (F.col("k") <= 1))
     place = F.shiftleft(F.col("s").cast("long"), 27) + F.shiftleft((F.col("s") + F.col("k")).cast("long"), 20)
     code = F.coalesce("code", F.lit(len(rank) << 35).cast("long")) + place
     start, end, inner = "CAST(shiftright(x, 27) & 127 AS INT)", "CAST(shiftright(x, 20) & 127 AS INT)", "shiftleft(1L, {e}) - shiftleft(1L, {s} + 1)"
-    n = F.length("word").alias("n")
+    n = F.when(fits, F.length("word")).otherwise(2).alias("n")
     if model.unigram:
         edge = F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + F.col("k")).cast("int").alias("e"), F.coalesce("score", F.lit(lost)).alias("score"))
         lattice = edges.groupBy("word").agg(F.collect_list(code).alias("codes"), F.sort_array(F.collect_list(edge)).alias("edges")).select("*", n)
@@ -248,14 +249,11 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def by_hand(word):
-        import pandas as pd
-
-        known = model.known()
+        known = model.known() if word.notna().any() else {}
         one = unigram_word if model.unigram else bpe_word
-        return pd.Series([one(model, known, w) for w in word])
+        return word.map(lambda w: one(model, known, w), na_action="ignore")
 
-    long = words.filter(~fits).select("word", by_hand("word").alias("ids"))
-    return taken.select("word", ids.alias("ids")).unionAll(long)
+    return taken.select("word", F.when(fits, ids).otherwise(by_hand(F.when(~fits, F.col("word")))).alias("ids"))
 
 
 def _numbers(column, kind):
@@ -264,6 +262,19 @@ def _numbers(column, kind):
     return np.asarray(column.to_numpy(zero_copy_only=False), dtype=kind)
 
 
+def _slices(batch, column: str | int, most: int = 1 << 19) -> Iterator:
+    """Row ranges of a batch whose lists in ``column`` hold about ``most`` elements or, if one list is longer, that one."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = _numbers(pc.fill_null(pc.list_value_length(batch.column(column)), 0), np.int64)
+    group = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a), sizes[a:b]
+
+
 def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """``key, ids``: every text's ids, one row an input row."""
     model = model or load()
@@ -307,9 +318,8 @@ def _encode_by_hash(spark: SparkSession, rows: DataFrame, known: DataFrame, key:
         import pyarrow as pa
 
         hashes, starts, lengths, flat = sent.value
-        for batch in batches:
-            words = batch.column(1)
-            sizes, asked = np.diff(_numbers(words.offsets, np.int64)), _numbers(words.flatten(), np.int64)
+        for batch, sizes in (part for whole in batches for part in _slices(whole, 1)):
+            asked = _numbers(batch.column(1).flatten(), np.int64)
             distinct, same = np.unique(asked, return_inverse=True)
             at = np.searchsorted(hashes, distinct)[same]
             n = lengths[at].astype(np.int64)
@@ -330,13 +340,19 @@ def decode(df: DataFrame, model: Model | None = None, ids: str = "ids") -> DataF
     df = df.drop("decoded")
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            texts = []
-            for x in batch.column(ids).to_pylist():
-                t = None if x is None else b"".join(map(sent.value.__getitem__, x)).decode("utf-8", "replace")
-                texts.append(t[1:] if prefix and t and t[0] == " " else t)
+        pieces = pa.array(sent.value, pa.large_binary())
+        for batch, sizes in (part for whole in batches for part in _slices(whole, ids)):
+            found = batch.column(ids)
+            data = pieces.take(found.flatten())  # the pieces' bytes one after another; a row's text is one range of them
+            _, starts, octets = data.buffers()
+            starts = np.frombuffer(starts, dtype=np.int64)[data.offset :]
+            ends = starts[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+            octets = memoryview(octets) if octets else memoryview(b"")
+            texts = [str(octets[a:b], "utf-8", "replace") if known else None for a, b, known in zip(ends, ends[1:], found.is_valid().to_pylist())]
+            texts = [t[1:] if prefix and t and t[0] == " " else t for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
