@@ -7,10 +7,12 @@ The count tables are parted by n-gram hash and joined with the documents' n-gram
 row for each (document, n-gram) would be five times the corpus. A chunk is about ``CHUNK_WORDS`` words of whole documents.
 
 1. Chunks: word hashes of the documents, as an index into the chunk's distinct words; written once to the shared folder.
-2. Each chunk sends its distinct n-grams of every order and their counts to the buckets of their hashes (a row for each
-   chunk and bucket). An n-gram comes once from a chunk, however frequent, so no bucket is hot.
+2. Each chunk sends its distinct n-grams and their counts to the buckets of their hashes (a row for each chunk and bucket
+   that it has n-grams of). An n-gram comes once from a chunk, however frequent, so no bucket is hot.
 3. A bucket sums the counts over all chunks and answers each chunk in the order of its question.
-4. A chunk joins the answers with its n-grams and sums over each document.
+4. Words and pairs are asked for at once, then order by order. An n-gram (n >= 3) that holds an (n-1)-gram seen once in the
+   corpus has been seen once itself, so it isn't asked for; that spares most of the shuffle.
+5. A chunk joins the answers with its n-grams and sums over each document.
 
 N-grams are known by a 60-bit hash of lower-cased words. Null and blank texts have 0 words and score 0.
 """
@@ -28,7 +30,7 @@ from .common import table, written
 ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
-CHUNK_WORDS = 1 << 22
+CHUNK_WORDS = 1 << 21
 BUCKET_WORDS = 1 << 20
 BITS = 60
 
@@ -139,11 +141,66 @@ def _open(row: dict):
     return words, _unpack(row["sizes"]).astype(np.int64)
 
 
-def _edges(buckets: int):
-    """First hash of each bucket."""
+def _first_hash(bucket: int, buckets: int) -> int:
+    return -(-(bucket << BITS // 2) // buckets) << BITS // 2
+
+
+def _bucket_of(hashes, buckets: int):
+    """Buckets are ranges of hashes, numbered in their order."""
+    import numpy as np
+
+    return (hashes >> np.uint64(BITS // 2)) * np.uint64(buckets) >> np.uint64(BITS // 2)
+
+
+def looked_up(words, sizes, told: dict, order: int):
+    """For n = 1 .. order: (places, the distinct n-grams to ask for, their counts here, corpus counts by place in ``told``).
+
+    ``told[n]`` has the corpus counts of the n-grams asked for, in their order; the others' count is one.
+    """
+    import numpy as np
+
+    seen = None
+    for n, (hashes, at) in enumerate(ngrams(words, sizes, order), 1):
+        asked = np.ones(len(at), dtype=bool) if n < 3 else (seen[at] > 1) & (seen[at - 1] > 1)
+        distinct, same, own = np.unique(hashes[asked], return_inverse=True, return_counts=True)
+        counts = seen = None
+        if n in told:
+            counts, seen = np.ones(len(at), dtype=np.uint64), np.ones(len(words), dtype=np.uint64)
+            counts[asked] = told[n][same]
+            seen[at] = counts
+        yield at, distinct, own, counts
+
+
+def _told(answers, done: int) -> dict:
+    """Answers to one chunk, joined over the buckets, for n = 1 .. done."""
     import numpy as np
 
-    return np.array([-(-(b << BITS) // buckets) for b in range(buckets)], dtype=np.uint64)
+    parts: dict[int, list] = {n: [] for n in range(1, done + 1)}
+    for r in sorted(answers.to_pylist(), key=lambda r: (r["n"], r["bucket"])):
+        parts[r["n"]].append(_unpack(r["totals"]))
+    return {n: np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for n, x in parts.items()}
+
+
+def _questions(row: dict, told: dict, last: int, buckets: int):
+    """Record batches of a chunk's n-grams and counts, for each n up to ``last`` that isn't in ``told``."""
+    import numpy as np
+    import pyarrow as pa
+
+    words, sizes = _open(row)
+    for n, (_, distinct, own, counts) in enumerate(looked_up(words, sizes, told, last), 1):
+        if counts is not None:
+            continue
+        bucket = _bucket_of(distinct, buckets)
+        starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+        used, parts = bucket[starts].tolist(), [slice(a, b) for a, b in zip(starts, [*starts[1:], len(distinct)])]
+        columns = [
+            pa.array([row["chunk"]] * len(used), pa.string()),
+            pa.array([n] * len(used), pa.int32()),
+            pa.array(used, pa.int32()),
+            pa.array([_pack(np.diff(distinct[p], prepend=np.uint64(_first_hash(b, buckets)))) for b, p in zip(used, parts)], pa.binary()),
+            pa.array([_pack(own[p]) for p in parts], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "n", "bucket", "hashes", "counts"])
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
@@ -152,35 +209,28 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     total = chunks.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_words))
 
-    def ask(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    question = "chunk string, n int, bucket int, hashes binary, counts binary"
 
-        edges = _edges(buckets)
+    def ask(batches: Iterator) -> Iterator:
         for batch in batches:
-            for row in batch.to_pylist():
-                words, sizes = _open(row)
-                for n, (hashes, _) in enumerate(ngrams(words, sizes, order), 1):
-                    distinct, counts = np.unique(hashes, return_counts=True)
-                    cuts = [*np.searchsorted(distinct, edges), len(distinct)]
-                    used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                    parts = [slice(cuts[b], cuts[b + 1]) for b in used]
-                    columns = [
-                        pa.array([row["chunk"]] * len(used), pa.string()),
-                        pa.array([n] * len(used), pa.int32()),
-                        pa.array(used, pa.int32()),
-                        pa.array([_pack(np.diff(distinct[p], prepend=edges[b])) for b, p in zip(used, parts)], pa.binary()),
-                        pa.array([_pack(counts[p]) for p in parts], pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "n", "bucket", "hashes", "counts"])
+            for i in range(batch.num_rows):
+                yield from _questions(batch.slice(i, 1).to_pylist()[0], {}, min(order, 2), buckets)
+
+    def ask_next(n: int):
+        def run(chunk, answers):
+            import pyarrow as pa
+
+            told = _told(answers, n - 1)
+            return pa.Table.from_batches([x for row in chunk.to_pylist() for x in _questions(row, told, n, buckets)])
+
+        return run
 
     def answer(asked):
         import numpy as np
         import pyarrow as pa
 
-        edges = _edges(buckets)
         rows = asked.to_pylist()
-        hashes = [np.cumsum(_unpack(r["hashes"]), dtype=np.uint64) + edges[r["bucket"]] for r in rows]
+        hashes = [np.cumsum(_unpack(r["hashes"]), dtype=np.uint64) + np.uint64(_first_hash(r["bucket"], buckets)) for r in rows]
         distinct, same = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(same, weights=np.concatenate([_unpack(r["counts"]) for r in rows]), minlength=len(distinct)).astype(np.uint64)
         ends = np.cumsum([len(h) for h in hashes])
@@ -193,21 +243,21 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
             }
         )
 
+    def answered(asked: DataFrame) -> DataFrame:
+        return written(asked.groupBy("n", "bucket").applyInArrow(answer, "chunk string, n int, bucket int, totals binary"), "lm-counts")
+
     def join(chunk, answers):
         import numpy as np
         import pyarrow as pa
 
         keys: list = []
         out: list = [[], []]
-        told: dict[int, list] = {n: [] for n in range(1, order + 1)}
-        for r in sorted(answers.to_pylist(), key=lambda r: (r["n"], r["bucket"])):
-            told[r["n"]].append(_unpack(r["totals"]))
-        for row in chunk.select(["keys", "sizes", "words", "index"]).to_pylist():
+        told = _told(answers, order)
+        for row in chunk.to_pylist():
             words, sizes = _open(row)
             s = context = None
-            for n, (hashes, at) in enumerate(ngrams(words, sizes, order), 1):
-                same = np.unique(hashes, return_inverse=True)[1]
-                counts = (np.concatenate(told[n]) if told[n] else np.zeros(0))[same].astype(np.float64)
+            for n, (at, _, _, counts) in enumerate(looked_up(words, sizes, told, order), 1):
+                counts = counts.astype(np.float64)
                 if n == 1:
                     s = np.log(counts / total)
                 else:  # c(context) is the count of the shorter n-gram that ends a word before
@@ -221,9 +271,12 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
         sums = np.concatenate(out[1]) if out[1] else np.zeros(0)
         return pa.table({"key": pa.array(keys, pa.int64()), "n_words": pa.array(np.concatenate(out[0]) if out[0] else [], pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
-    asked = chunks.select("chunk", "sizes", "words", "index").mapInArrow(ask, "chunk string, n int, bucket int, hashes binary, counts binary")
-    answers = asked.groupBy("n", "bucket").applyInArrow(answer, "chunk string, n int, bucket int, totals binary")
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, "key long, n_words long, log_score double")
+    plain = chunks.select("chunk", "sizes", "words", "index")
+    answers = answered(plain.mapInArrow(ask, question))
+    for n in range(3, order + 1):
+        asked = plain.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_next(n), question)
+        answers = answers.unionAll(answered(asked))
+    scored = chunks.select("chunk", "sizes", "words", "index", "keys").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, "key long, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(F.col("key").alias(key), "n_words", "log_score", mean.alias("mean_log_score"))
 
