@@ -192,6 +192,7 @@ def test_piece_ids_match_the_library(spark, docs, none):
 
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     for limit in (10**6, 0):
+        assert sorted(pieces.encode(docs, broadcast_words=limit, decoded=True).collect()) == sorted(pieces.decode(pieces.encode(docs, broadcast_words=limit)).collect())
         for r in pieces.decode(pieces.encode(docs, broadcast_words=limit)).collect():
             text = TEXTS[r["doc_id"]] or ""
             assert r["ids"] == library.encode(text) and r["decoded"] == text

@@ -275,15 +275,15 @@ def _slices(batch, column: str | int, most: int = 1 << 19) -> Iterator:
             yield batch.slice(a, b - a), sizes[a:b]
 
 
-def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """``key, ids``: every text's ids, one row an input row."""
+def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", broadcast_words: int = BROADCAST_WORDS, decoded: bool = False) -> DataFrame:
+    """``key, ids``: every text's ids, one row an input row; with ``decoded`` the text of the ids as well, in the same pass."""
     model = model or load()
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("_key"), words_in(F.col(f"`{text}`"), model).alias("words"))
     distinct = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word")
     known = written(encode_words(distinct, model), "words")
     if known.count() <= broadcast_words:
-        return _encode_by_hash(spark, rows, known, key, kind)
+        return _encode_by_hash(spark, rows, known, key, kind, model if decoded else None)
     # each text's distinct words meet the word table by a join (a hot word is split by adaptive execution), then the text
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
     pairs = rows.select("_row", F.explode(F.array_distinct("words")).alias("word")).join(known, "word")
@@ -296,23 +296,48 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
             out = [[i for w in words for i in found[w]] for words, found in zip(batch.column(1).to_pylist(), (dict(m or []) for m in batch.column(2).to_pylist()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return rows.join(maps, "_row", "left").select("_key", "words", "map").mapInArrow(look_up, f"`{key}` {kind}, ids array<int>")
+    coded = rows.join(maps, "_row", "left").select("_key", "words", "map").mapInArrow(look_up, f"`{key}` {kind}, ids array<int>")
+    return decode(coded, model) if decoded else coded
 
 
-def _encode_by_hash(spark: SparkSession, rows: DataFrame, known: DataFrame, key: str, kind: str) -> DataFrame:
+def _packed(batches: Iterator) -> Iterator:
+    """One row of binary columns: the hash, number of ids and ids of each word of a partition."""
     import numpy as np
+    import pyarrow as pa
 
-    table = known.select(F.xxhash64("word").alias("h"), "ids").toArrow()  # at most broadcast_words short rows
-    hashes = _numbers(table.column("h"), np.int64)
-    ids = table.column("ids").combine_chunks()
-    ids = ids.combine_chunks() if hasattr(ids, "combine_chunks") else ids
-    lengths, flat = np.diff(_numbers(ids.offsets, np.int64)), _numbers(ids.flatten(), np.int32)
-    order = np.argsort(hashes, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    flat = flat.astype(np.uint16) if len(flat) == 0 or flat.max() < 1 << 16 else flat
-    sent = spark.sparkContext.broadcast((hashes[order], starts.astype(np.int64), lengths[order].astype(np.int32), flat))
-    if len(np.unique(hashes)) != len(hashes):
+    parts: list[list] = [[], [], []]
+    for batch in batches:
+        ids = batch.column(1)
+        parts[0].append(_numbers(batch.column(0), np.int64))
+        parts[1].append(np.diff(_numbers(ids.offsets, np.int64)).astype(np.uint32))
+        parts[2].append(_numbers(ids.flatten(), np.uint32))
+    if parts[0]:
+        columns = [pa.array([np.concatenate(p).tobytes()], pa.binary()) for p in parts]
+        yield pa.RecordBatch.from_arrays(columns, names=["hashes", "lengths", "ids"])
+
+
+def _narrow(values):
+    import numpy as np
+
+    return values.astype(np.uint16) if len(values) == 0 or values.max() < 1 << 16 else values
+
+
+def _encode_by_hash(spark: SparkSession, rows: DataFrame, known: DataFrame, key: str, kind: str, decoded: Model | None) -> DataFrame:
+    import numpy as np
+
+    # at most broadcast_words short rows
+    packed = known.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(_packed, "hashes binary, lengths binary, ids binary").collect()
+    hashes, lengths, flat = (np.frombuffer(b"".join(r[i] for r in packed), dtype=d) for i, d in enumerate((np.int64, np.uint32, np.uint32)))
+    del packed
+    flat, order = _narrow(flat), np.argsort(hashes, kind="stable").astype(np.uint32)
+    starts = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
+    starts = starts.astype(np.uint32) if len(flat) < 1 << 32 else starts
+    hashes, lengths = hashes[order], _narrow(lengths[order])
+    if (hashes[1:] == hashes[:-1]).any():
         raise RuntimeError("two words have the same hash; lower broadcast_words to join by the words themselves")
+    sent = spark.sparkContext.broadcast((hashes, starts, lengths, flat))
+    del hashes, lengths, starts, flat, order
+    texts = _decoder(spark, decoded, "ids") if decoded else None
 
     def look_up(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -324,20 +349,20 @@ def _encode_by_hash(spark: SparkSession, rows: DataFrame, known: DataFrame, key:
             at = np.searchsorted(hashes, distinct)[same]
             n = lengths[at].astype(np.int64)
             ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+            ids = flat[np.repeat(starts[at].astype(np.int64) - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
             offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=[key, "ids"])
 
     hashed = rows.select("_key", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    if texts:
+        return hashed.mapInArrow(lambda batches: texts(look_up(batches)), f"`{key}` {kind}, ids array<int>, decoded string")
     return hashed.mapInArrow(look_up, f"`{key}` {kind}, ids array<int>")
 
 
-def decode(df: DataFrame, model: Model | None = None, ids: str = "ids") -> DataFrame:
-    """Add ``decoded`` to every row: the text of its ids. Broken byte sequences become U+FFFD; null ids give a null."""
-    model = model or load()
+def _decoder(spark: SparkSession, model: Model, ids: str):
+    """A function that adds the text of the ids to record batches."""
     octets = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else p.replace(SPACE, " ").encode() for p, _, kind in model.pieces]
-    sent, prefix = df.sparkSession.sparkContext.broadcast(octets), model.prefix
-    df = df.drop("decoded")
+    sent, prefix = spark.sparkContext.broadcast(octets), model.prefix
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -355,11 +380,18 @@ def decode(df: DataFrame, model: Model | None = None, ids: str = "ids") -> DataF
             texts = [t[1:] if prefix and t and t[0] == " " else t for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
+    return run
+
+
+def decode(df: DataFrame, model: Model | None = None, ids: str = "ids") -> DataFrame:
+    """Add ``decoded`` to every row: the text of its ids. Broken byte sequences become U+FFFD; null ids give a null."""
+    df = df.drop("decoded")
+    run = _decoder(df.sparkSession, model or load(), ids)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{schema}, decoded string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_pieces, ids``, and a hash of the text that the ids decode to."""
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.xxhash64("decoded").alias("decoded_hash"))
