@@ -135,6 +135,31 @@ def test_near_duplicates(spark):
     assert all(found[80 + i] == 80 + i for i in range(10))
 
 
+def test_meeting_pairs_are_whole(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(448) for _ in range(60)]  # codes of 6 bits are shared by many unrelated leaves
+    prints = [b ^ sum(1 << i for i in rng.sample(range(448), k)) for b in base for k in (0, 20, 60, 90)]
+    rows = [(i, *((f >> 64 * j) % 2**64 - (2**64 if (f >> 64 * j) % 2**64 >> 63 else 0) for j in range(7))) for i, f in enumerate(prints)]
+    leaves = spark.createDataFrame(rows, "leaf long, " + ", ".join(f"f{j} long" for j in range(7)))
+    for bits, budget in ((6, 1), (20, 1), (20, 2), (20, 0)):
+        segments = 448 // bits
+        found = [tuple(r) for r in simhash.meeting_pairs(leaves, segments, bits, budget, 130).collect()]
+        want = {
+            (i, j) for j in range(len(prints)) for i in range(j)
+            if (x := prints[i] ^ prints[j]).bit_count() <= 130 and any((x >> s * bits & (1 << bits) - 1).bit_count() <= budget for s in range(segments))
+        }
+        assert len(want) > 50 and len(found) == len(set(found)) and set(found) == want
+
+
+def test_near_duplicates_in_crowded_codes(spark):
+    rng = random.Random(12)
+    base = [" ".join(str(rng.randrange(5000)) for _ in range(300)) for _ in range(150)]
+    texts = base + [" ".join(["new", *t.split()[1:-1], "new"]) for t in base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = dict(simhash.near_duplicates(df, segment_bits=4).collect())  # as in a corpus with many more texts than codes
+    assert all(found[150 + i] == i for i in range(150))
+
+
 def test_inner_products(spark):
     import numpy as np
 
