@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts with a similarity of about 0.8 or more on five-word shingles: the smallest id.
+    """One document of each class of texts with a Jaccard similarity of 0.8 or more on five-word shingles: the smallest id.
 
     Rows that repeat an id are the same document and stay or go together.
     """

@@ -160,6 +160,24 @@ def test_near_duplicates_in_crowded_codes(spark):
     assert all(found[150 + i] == i for i in range(150))
 
 
+def test_near_duplicates_around_the_limit(spark):
+    rng = random.Random(21)
+    new = (f"n{i}" for i in range(10**6))
+    base = [[next(new) for _ in range(204)] for _ in range(120)]
+    # a tail of k other words gives (200 - k) / (200 + k): 0.835, 0.802, 0.794, 0.762
+    texts = [" ".join(b) for b in base] + [" ".join([*b[: 204 - k], *(next(new) for _ in range(k))]) for i, b in enumerate(base) for k in [(18, 22, 23, 27)[i % 4]]]
+    texts += [" ".join([*base[0], *(base[0][:5] * 400)]), " ".join(base[1][:5] * 400), "x y z " * 300, "x y z " * 200, None, " ", "a b", "a  b\n"]
+    texts += ["word " * 900 + " ".join(next(new) for _ in range(20)) for _ in range(2)]  # one bit pattern, different sets
+    sets = [frozenset(simhash.shingle_hashes(t, 5)) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = brute_components(dict(enumerate(sets)), near)
+    found = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert found.keys() == want.keys()
+    assert not [i for i in want if want[i] == i and found[i] != i]  # nothing clean is taken
+    assert sum(found[i] != want[i] for i in want) <= 4  # 60 pairs over the limit, of which 2 % needn't meet
+    assert all(found[i] == want[i] for i in range(240, len(texts)))
+
+
 def test_inner_products(spark):
     import numpy as np
 
