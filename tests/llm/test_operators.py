@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and odd rows."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -76,6 +77,35 @@ def test_mixing_meets_targets(spark, docs, none):
     assert spark.range(1).select(start, done).first() == (0.0, 1.0)
 
 
+def test_each_use_has_its_own_position(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" * rng.randint(1, 30)), "en", "abc"[min(2, i % 7)], 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    made = mixing.mix(docs, rows_per_range=20).collect()
+    want = []
+    for k, source in enumerate("abc"):
+        own, start, place = sorted((r for r in made if r["source"] == source), key=lambda r: mixing_hash(r["doc_id"])), (1.5, 1.0, 0.5)[k], 0
+        for use in range(2):
+            for r in own:
+                if place < int(r["target"]):
+                    f = place / r["target"]
+                    u = f if start == 1 else (math.sqrt(start * start + 4 * (1 - start) * f) - start) / (2 * (1 - start))
+                    want.append((u, use, r["doc_id"]))
+                    assert abs(r["positions"][use] - u) < 1e-12
+                place += r["size"]
+    assert len(want) == sum(len(r["positions"]) for r in made) and any(use and u > 0.9 for u, use, _ in want)
+    got = [r["doc_id"] for r in mixing.training_order(docs, mixing.mix(docs, rows_per_range=20)).collect()]
+    assert Counter(got) == Counter(i for _, _, i in want)
+    at = {(r["doc_id"], use): u for r in made for use, u in enumerate(r["positions"])}
+    seen = Counter()
+    places = [at[i, (seen.update([i]), seen[i] - 1)[1]] for i in got]
+    assert places == sorted(places)
+
+
+def mixing_hash(key):
+    return int(hashlib.md5(f"mix:{key}".encode()).hexdigest()[:15], 16)
+
+
 def brute_components(marks, near):
     parent = {i: i for i in marks}
 

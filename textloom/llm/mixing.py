@@ -66,7 +66,8 @@ def training_time(fraction: Column, start: Column) -> Column:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", rows_per_range: int = ROWS_PER_RANGE, **shares: object) -> DataFrame:
     """One row a document: ``key``, ``source``, ``size`` (words), ``source_size``, ``target``, ``taken`` (words used,
-    repeats counted) and ``position`` (training time of its first use in 0..1, null if it isn't used).
+    repeats counted), ``position`` (training time of its first use in 0..1, null if it isn't used) and ``positions`` (the
+    training time of each use; a further use comes a whole round of its source's words later).
 
     A source is read in an order given by a hash of the key, round and round until its target is met: ``taken`` is the
     document's part of the first ``target`` words of that endless sequence, so a source's sum is its target, rounded
@@ -97,7 +98,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rounds = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), wanted - rounds * F.col("source_size") - F.col("_from")))
     taken = (rounds * F.col("size") + rest).cast("long")
-    fraction = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("_from") / F.col("target"))).otherwise(F.lit(0.0))
+
+    def time_of(use: Column) -> Column:
+        place = use * F.col("source_size") + F.col("_from")
+        return training_time(F.when(F.col("target") > 0, F.least(F.lit(1.0), place / F.col("target"))).otherwise(F.lit(0.0)), F.col("start"))
+
+    last = F.ceil(taken / F.col("size")).cast("int") - 1
     return placed.select(
         F.col("_key").alias(key),
         "source",
@@ -105,22 +111,24 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.col("source_size").cast("long").alias("source_size"),
         F.col("target").cast("double").alias("target"),
         taken.alias("taken"),
-        F.when(taken > 0, training_time(fraction, F.col("start"))).alias("position"),
+        F.when(taken > 0, time_of(F.lit(0))).alias("position"),
+        F.when(taken > 0, F.transform(F.sequence(F.lit(0), last), time_of)).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
 
 
 def training_order(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The columns of ``docs``, a row for each use of a document, range-sorted by the training position of its first use.
+    """The columns of ``docs``, a row for each use of a document, range-sorted by the training position of that use.
 
     A document is used ``ceil(taken / size)`` times: the last use may be the one that the target cuts. Rows that repeat a
-    key are used as often as the one with most uses.
+    key are used as often, and at the same positions, as the one with most uses.
     """
     own = docs.columns
-    uses = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    used = mixed.filter(F.col("taken") > 0).select(F.col(key).alias("_mixed_key"), uses.alias("_uses"), F.col("position").alias("_position"))
-    used = used.groupBy("_mixed_key").agg(F.max("_uses").alias("_uses"), F.min("_position").alias("_position"))
-    joined = docs.join(used, F.col(f"`{key}`").eqNullSafe(F.col("_mixed_key"))).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
-    return joined.repartitionByRange("_position", key).sortWithinPartitions("_position", key).select(*(F.col(f"`{c}`") for c in own))
+    most = F.max(F.struct(F.size("positions"), -F.col("position"), "positions"))["positions"]
+    used = mixed.filter(F.col("taken") > 0).groupBy(F.col(key).alias("_mixed_key")).agg(most.alias("_positions"))
+    joined = docs.join(used, F.col(f"`{key}`").eqNullSafe(F.col("_mixed_key")))
+    joined = joined.select(*(F.col(f"`{c}`") for c in own), F.posexplode("_positions").alias("_use", "_position"))
+    order = ("_position", "_use", F.col(f"`{key}`"))
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in own))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
