@@ -318,6 +318,14 @@ def test_toxicity_learns_held_out(spark, none):
     assert toxicity.score(none, toxicity.fit(marks.limit(0), none)).count() == 0
 
 
+def test_toxicity_learns_from_few_examples(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:60]
+    rows = [(i, f"some plain words {i}" + (" vermin" if n < 6 else "")) for n, i in enumerate(ids)]  # ten toxic ones, six of them with the word
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(spark.createDataFrame([(i, int(n < 10)) for n, i in enumerate(ids)], "doc_id long, toxic int"), docs)
+    assert "=vermin" in index.terms
+
+
 def test_block_max_is_exact():
     import numpy as np
 

@@ -33,7 +33,7 @@ from .common import table, written
 
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 4_000, 8_000
 MAX_TERMS = 1_024
-LEAST_RATIO = 30.0
+LEAST_RATIO = 15.0
 NEIGHBOURS = 15
 BLOCK = 64
 CUT = 0.7
