@@ -264,14 +264,26 @@ def test_piece_ids_match_the_library(spark, docs, none):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    for limit in (10**6, 0):
-        assert sorted(pieces.encode(docs, broadcast_words=limit, decoded=True).collect()) == sorted(pieces.decode(pieces.encode(docs, broadcast_words=limit)).collect())
-        for r in pieces.decode(pieces.encode(docs, broadcast_words=limit)).collect():
+    twice = docs.unionAll(docs.limit(8)).withColumn("key", F.lit(1)).withColumn("mark", F.lit(2)).withColumn("word", F.lit("x"))  # repeated rows, clashing names
+    for limit in (10**6, 5, 0):
+        assert sorted(pieces.encode(docs, head_words=limit, decoded=True).collect()) == sorted(pieces.decode(pieces.encode(docs, head_words=limit)).collect())
+        got = pieces.decode(pieces.encode(twice, head_words=limit)).collect()
+        assert len(got) == len(TEXTS) + 8
+        for r in got:
             text = TEXTS[r["doc_id"]] or ""
             assert r["ids"] == library.encode(text) and r["decoded"] == text
+    keyless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(map(str, pieces.encode(keyless, head_words=3).select("ids").collect())) == sorted(map(str, pieces.encode(docs, head_words=3).select("ids").collect()))
     assert pieces.encode(none).count() == 0
 
 
+def test_head_is_bounded(spark):
+    known = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(3000)], "word string, n long")
+    for most in (0, 1, 10, 500, 2999, 3000):
+        assert known.filter(pieces.head_of(known, most)).count() <= most
+    assert known.filter(pieces.head_of(known, 3000)).count() == 3000
+
+
 def test_viterbi_fold(spark):
     model = pieces.Model([("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.5, 1), ("b", -2.7, 1), ("ab", -3.1, 1), ("▁a", -4.0, 1), ("ba", -3.3, 1), ("▁abab", -7.9, 1)], True, True)
     rng = random.Random(4)

@@ -13,17 +13,23 @@ distinct word of the corpus is encoded once:
    rank; words with such an edge left over are folded again, taking the best of all edges in each step. Boundaries are
    bits of one long.
 
-Words over 62 characters don't fit a long, and pieces of blanks alone share a rank; such words take the same two algorithms in Python. Characters without a piece become
-byte pieces, or the unknown id. Then every text is encoded from the word table: by a broadcast of word hashes while the
-table has at most ``BROADCAST_WORDS`` words, else by a join of each text's distinct words.
+Words over 62 characters don't fit a long, and pieces of blanks alone share a rank; such words take the same two algorithms
+in Python. Characters without a piece become byte pieces, or the unknown id.
 
-Null and empty texts have no ids and decode to the empty text.
+Texts are then encoded from the word table, by one plan for all sizes. The commonest words, ``HEAD_WORDS`` of them at most
+(words are cut by a step of their count, so the bound holds whatever the corpus), are broadcast and looked up in place. A
+text's other words are rare by definition; they go to the word table by a join, and back to their text by another one. A
+word may be as hot as it likes: it is either in the broadcast or has few rows.
+
+Null and empty texts have no ids and decode to the empty text. Rows that repeat an id, a text or both have a result each;
+other columns of the input are left out, whatever they are called. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +39,11 @@ from .common import table, written
 
 SPACE = "▁"
 LONGEST = 62
-BROADCAST_WORDS = 8_000_000
+#: Bound of the broadcast word table: about 10 MB sent, 50 MB in a Python worker.
+HEAD_WORDS = 1 << 19
+#: Steps of the count, per doubling, by which the head is cut off.
+STEPS = 8
+LETTER = r"[^\W\d_]"
 
 
 class Model(NamedTuple):
@@ -46,13 +56,15 @@ class Model(NamedTuple):
 
     def openers(self) -> str:
         """Signs that no piece has behind a letter: a word can be cut between a letter and one of these."""
-        behind = {b for p in self.known() for a, b in zip(p, p[1:]) if a.isalpha()}
+        behind = {b for p in self.known() for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
         return "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if c not in behind)
 
-    def word_pattern(self) -> str:
+    def cutter(self) -> Callable[[str], list[str]]:
+        """A function that cuts a text into its words, with spaces for U+2581."""
         signs = "".join(f"\\{c}" for c in self.openers())
-        first = f"{SPACE}*[^{SPACE}\n\\p{{L}}]*\\p{{L}}++(?=[{signs}])|" if signs else ""
-        return f"{first}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+        first = f" *(?:(?!{LETTER})[^ \n])*{LETTER}++(?=[{signs}])|" if signs else ""
+        find, start = re.compile(f"{first} *[^ \n]+| +|\n").findall, " " if self.prefix else ""
+        return lambda text: find(start + text.replace(SPACE, " "))
 
     def late(self) -> set[str]:
         """Pieces with a part (of two or more characters) of worse score: their turn by rank can come before their parts'."""
@@ -176,13 +188,6 @@ def unigram_word(model: Model, known: dict[str, tuple[int, float]], word: str) -
     return [i for x in reversed(out) for i in x]
 
 
-def words_in(text: Column, model: Model) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    spaced = F.replace(t, F.lit(" "), F.lit(SPACE))
-    spaced = F.concat(F.lit(SPACE), spaced) if model.prefix else spaced
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(spaced, F.lit(model.word_pattern()), F.lit(0)))
-
-
 #: An edge is a long: rank, lateness, start, end, id + 1 (0: no piece). Boundaries are bits 0..n of ``mask``; ``outer`` has
 #: an edge's two ends, ``inner`` what lies between. The sign bit is set if a late edge was passed over with its ends in place.
 _ONCE = """
@@ -208,8 +213,11 @@ aggregate(sequence(1, n), named_struct('mask', shiftleft(1L, n), 'e', n), (b, i)
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """``word, ids`` for the distinct words in ``word``; the lattice of the module's docstring."""
+    """``word, ids`` and the other columns of ``words``, which has one row for each distinct ``word``; the lattice of the module's docstring."""
     spark, known = words.sparkSession, model.known()
+    rest = [c for c in words.columns if c != "word"]
+    words = words.select("word", F.struct(*rest).alias("own")) if rest else words
+    own = ["own"] if rest else []
     rank = {s: i for i, s in enumerate(sorted({s for _, s in known.values()}, reverse=True))}
     lost = min((s for _, s in known.values()), default=0.0) - 10
     longest, late = max(map(len, known), default=1), set() if model.unigram else model.late()
@@ -230,17 +238,17 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     n = F.when(fits, F.length("word")).otherwise(2).alias("n")
     if model.unigram:
         edge = F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + F.col("k")).cast("int").alias("e"), F.coalesce("score", F.lit(lost)).alias("score"))
-        lattice = edges.groupBy("word").agg(F.collect_list(code).alias("codes"), F.sort_array(F.collect_list(edge)).alias("edges")).select("*", n)
+        lattice = edges.groupBy("word", *own).agg(F.collect_list(code).alias("codes"), F.sort_array(F.collect_list(edge)).alias("edges")).select("*", n)
         cut = lattice.withColumn("paths", F.expr(_VITERBI)).withColumn("mask", F.expr(_BACK))
     else:
-        lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(code)).alias("codes")).select("*", n)
+        lattice = edges.groupBy("word", *own).agg(F.sort_array(F.collect_list(code)).alias("codes")).select("*", n)
         ends = f"named_struct('s', {start}, 'e', {end}, 'late', (shiftright(x, 34) & 1) = 1)"
         merge = f"named_struct('outer', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'inner', {inner.format(s='x.s', e='x.e')}, 'late', x.late)"
         lattice = lattice.withColumn("merges", F.expr(f"transform(filter(transform(codes, x -> {ends}), x -> x.e - x.s > 1), x -> {merge})"))
         cut = lattice.withColumn("mask", F.expr(_ONCE)).withColumn("mask", F.expr(f"CASE WHEN mask < 0 THEN {_AGAIN} ELSE mask END"))
     inside = inner.format(s=start, e=end)
     joined = f"(mask & shiftleft(1L, {start})) <> 0 AND (mask & shiftleft(1L, {end})) <> 0 AND (mask & ({inside})) = 0"
-    taken = cut.select("word", F.expr(f"sort_array(transform(filter(codes, x -> {joined}), x -> (x & 17179869183L)))").alias("taken"))
+    taken = cut.select("word", *own, F.expr(f"sort_array(transform(filter(codes, x -> {joined}), x -> (x & 17179869183L)))").alias("taken"))
     base = model.byte_base
     char = f"hex(encode(substring(word, {start} + 1, 1), 'utf-8'))"
     octets = f"array({model.unknown})" if base is None else f"transform(sequence(1, length({char}), 2), i -> {base} + CAST(conv(substring({char}, i, 2), 16, 10) AS INT))"
@@ -253,7 +261,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         one = unigram_word if model.unigram else bpe_word
         return word.map(lambda w: one(model, known, w), na_action="ignore")
 
-    return taken.select("word", F.when(fits, ids).otherwise(by_hand(F.when(~fits, F.col("word")))).alias("ids"))
+    return taken.select("word", *(f"own.`{c}`" for c in rest), F.when(fits, ids).otherwise(by_hand(F.when(~fits, F.col("word")))).alias("ids"))
 
 
 def _numbers(column, kind):
@@ -275,88 +283,172 @@ def _slices(batch, column: str | int, most: int = 1 << 19) -> Iterator:
             yield batch.slice(a, b - a), sizes[a:b]
 
 
-def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", broadcast_words: int = BROADCAST_WORDS, decoded: bool = False) -> DataFrame:
+def _count_words(model: Model, most: int = 1 << 20):
+    """A function over batches of texts: ``word, n`` of a partition, in parts of about ``most`` distinct words."""
+
+    def run(batches: Iterator) -> Iterator:
+        from collections import Counter
+
+        import pyarrow as pa
+
+        cut, seen = model.cutter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return made
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(cut(text))
+                if len(seen) >= most:
+                    yield out()
+        yield out()
+
+    return run
+
+
+def head_of(known: DataFrame, most: int) -> Column:
+    """A condition on ``n`` that at most ``most`` rows of ``known`` meet: the words of the largest counts, cut at a step."""
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    left, least = most, 1 << 30
+    for at, n in sorted(((r[0], r[1]) for r in known.groupBy(step).count().collect()), reverse=True):  # at most 64 * STEPS rows
+        left -= n
+        if left < 0:
+            break
+        least = at
+    return step >= least
+
+
+class Head:
+    """The commonest words with their ids as an Arrow stream; a Python worker opens it once."""
+
+    def __init__(self, stream: bytes):
+        self.stream = stream
+
+    def opened(self) -> tuple:
+        """(word -> place, starts, lengths, ids)"""
+        import numpy as np
+        import pyarrow as pa
+
+        if not hasattr(self, "_opened"):
+            table = pa.ipc.open_stream(self.stream).read_all()
+            words, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
+            offsets = _numbers(ids.offsets, np.int64)
+            places = {w: i for i, w in enumerate(words.to_pylist())}
+            self._opened = (places, offsets[:-1], np.diff(offsets), _numbers(ids.values, np.int32))
+        return self._opened
+
+
+def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, decoded: bool = False) -> DataFrame:
     """``key, ids``: every text's ids, one row an input row; with ``decoded`` the text of the ids as well, in the same pass."""
     model = model or load()
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias("_key"), words_in(F.col(f"`{text}`"), model).alias("words"))
-    distinct = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word")
-    known = written(encode_words(distinct, model), "words")
-    if known.count() <= broadcast_words:
-        return _encode_by_hash(spark, rows, known, key, kind, model if decoded else None)
-    # each text's distinct words meet the word table by a join (a hot word is split by adaptive execution), then the text
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    pairs = rows.select("_row", F.explode(F.array_distinct("words")).alias("word")).join(known, "word")
-    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("map"))
+    id_kind = "smallint" if len(model.pieces) <= 1 << 15 else "int"
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    counted = rows.select("text").mapInArrow(_count_words(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    known = written(encode_words(counted.select(F.translate("word", " ", SPACE).alias("word"), "n"), model), "words")
+    known = known.select(F.translate("word", SPACE, " ").alias("word"), "ids", "n")
+    in_head = head_of(known, head_words)
+    sent = _sent(spark, known.filter(in_head).select("word", F.col("ids").cast(f"array<{id_kind}>").alias("ids")))
 
     def look_up(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
-            out = [[i for w in words for i in found[w]] for words, found in zip(batch.column(1).to_pylist(), (dict(m or []) for m in batch.column(2).to_pylist()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
+            yield from _looked_up(batch, model.cutter(), sent, id_kind)
 
-    coded = rows.join(maps, "_row", "left").select("_key", "words", "map").mapInArrow(look_up, f"`{key}` {kind}, ids array<int>")
-    return decode(coded, model) if decoded else coded
+    coded = rows.mapInArrow(look_up, f"key {kind}, mark binary, ids array<{id_kind}>, which array<int>, rest array<string>")
+    asked = coded.select("key", "mark", F.posexplode("rest").alias("at", "word"))
+    answered = asked.join(known.filter(~in_head).select("word", "ids"), "word").groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("at", "ids"))).alias("told"))
+    told = answered.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("told.ids").alias("told")).hint("shuffle_hash")
+    whole = coded.join(told, F.col("key").eqNullSafe(F.col("_key")) & (F.col("mark") == F.col("_mark")), "left").select("key", "ids", "which", "told")
+    texts = _decoder(spark, model, "ids") if decoded else None
 
+    def fill(batches: Iterator) -> Iterator:
+        filled = (_filled(part, key) for batch in batches for part in _slices(batch, "ids"))
+        yield from texts(filled) if texts else filled
 
-def _packed(batches: Iterator) -> Iterator:
-    """One row of binary columns: the hash, number of ids and ids of each word of a partition."""
-    import numpy as np
-    import pyarrow as pa
+    return whole.mapInArrow(fill, f"`{key}` {kind}, ids array<int>" + (", decoded string" if decoded else ""))
 
-    parts: list[list] = [[], [], []]
-    for batch in batches:
-        ids = batch.column(1)
-        parts[0].append(_numbers(batch.column(0), np.int64))
-        parts[1].append(np.diff(_numbers(ids.offsets, np.int64)).astype(np.uint32))
-        parts[2].append(_numbers(ids.flatten(), np.uint32))
-    if parts[0]:
-        columns = [pa.array([np.concatenate(p).tobytes()], pa.binary()) for p in parts]
-        yield pa.RecordBatch.from_arrays(columns, names=["hashes", "lengths", "ids"])
 
+def _sent(spark: SparkSession, head: DataFrame):
+    """The head as a broadcast Arrow stream; at most ``head_words`` short rows."""
+    import pyarrow as pa
 
-def _narrow(values):
-    import numpy as np
+    table = head.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return spark.sparkContext.broadcast(Head(sink.getvalue().to_pybytes()))
 
-    return values.astype(np.uint16) if len(values) == 0 or values.max() < 1 << 16 else values
 
+def _looked_up(batch, cut: Callable, sent, id_kind: str, most: int = 1 << 17) -> Iterator:
+    """Rows ``key, mark`` (digest of the text)``, ids`` (-1 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``."""
+    from hashlib import md5
 
-def _encode_by_hash(spark: SparkSession, rows: DataFrame, known: DataFrame, key: str, kind: str, decoded: Model | None) -> DataFrame:
     import numpy as np
+    import pyarrow as pa
 
-    # at most broadcast_words short rows
-    packed = known.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(_packed, "hashes binary, lengths binary, ids binary").collect()
-    hashes, lengths, flat = (np.frombuffer(b"".join(r[i] for r in packed), dtype=d) for i, d in enumerate((np.int64, np.uint32, np.uint32)))
-    del packed
-    flat, order = _narrow(flat), np.argsort(hashes, kind="stable").astype(np.uint32)
-    starts = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
-    starts = starts.astype(np.uint32) if len(flat) < 1 << 32 else starts
-    hashes, lengths = hashes[order], _narrow(lengths[order])
-    if (hashes[1:] == hashes[:-1]).any():
-        raise RuntimeError("two words have the same hash; lower broadcast_words to join by the words themselves")
-    sent = spark.sparkContext.broadcast((hashes, starts, lengths, flat))
-    del hashes, lengths, starts, flat, order
-    texts = _decoder(spark, decoded, "ids") if decoded else None
+    places, starts, lengths, flat = sent.value.opened()
+    # the last place stands for a word outside the head: one id, -1
+    starts, lengths, flat = np.append(starts, len(flat)), np.append(lengths, 1), np.append(flat, -1).astype(np.int16 if id_kind == "smallint" else np.int32)
+    none, value = len(starts) - 1, pa.int16() if id_kind == "smallint" else pa.int32()
+    texts = batch.column(1).to_pylist()
+    first, held, words, sizes = 0, 0, [], []
+
+    def out(to: int) -> pa.RecordBatch:
+        at = np.fromiter((places.get(w, none) for w in words), dtype=np.int64, count=len(words))
+        n = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        rows = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        which, rest, missing = [[] for _ in sizes], [[] for _ in sizes], np.flatnonzero(at == none)
+        for row, some in zip(*_parts(np.searchsorted(rows, missing, "right") - 1, missing)):
+            own: dict[str, int] = {}
+            which[row] = [own.setdefault(words[i], len(own)) for i in some.tolist()]
+            rest[row] = list(own)
+        marks = pa.array([md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts[first:to]], pa.binary())
+        listed = pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(ids, value))
+        columns = [batch.column(0).slice(first, to - first), marks, listed, pa.array(which, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "mark", "ids", "which", "rest"])
+
+    for i, text in enumerate(texts):
+        found = cut(text) if text else []
+        words.extend(found)
+        sizes.append(len(found))
+        if len(words) >= most or i + 1 == len(texts):
+            yield out(i + 1)
+            first, words, sizes = i + 1, [], []
+
+
+def _parts(groups, values) -> tuple[list[int], list]:
+    """The distinct groups, which are in order, and the values of each."""
+    import numpy as np
 
-    def look_up(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    if not len(groups):
+        return [], []
+    cuts = np.flatnonzero(np.diff(groups)) + 1
+    return groups[np.concatenate([[0], cuts])].tolist(), np.split(values, cuts)
+
+
+def _filled(part: tuple, key: str):
+    """``key, ids`` with the ids of a row's words outside the head in their places."""
+    import numpy as np
+    import pyarrow as pa
 
-        hashes, starts, lengths, flat = sent.value
-        for batch, sizes in (part for whole in batches for part in _slices(whole, 1)):
-            asked = _numbers(batch.column(1).flatten(), np.int64)
-            distinct, same = np.unique(asked, return_inverse=True)
-            at = np.searchsorted(hashes, distinct)[same]
-            n = lengths[at].astype(np.int64)
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(starts[at].astype(np.int64) - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
-            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=[key, "ids"])
-
-    hashed = rows.select("_key", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    if texts:
-        return hashed.mapInArrow(lambda batches: texts(look_up(batches)), f"`{key}` {kind}, ids array<int>, decoded string")
-    return hashed.mapInArrow(look_up, f"`{key}` {kind}, ids array<int>")
+    batch, sizes = part
+    ids = _numbers(batch.column("ids").flatten(), np.int32)
+    ends = np.cumsum(sizes)
+    lists = []
+    for row, (which, told) in enumerate(zip(batch.column("which").to_pylist(), batch.column("told").to_pylist())):
+        own = ids[ends[row] - sizes[row] : ends[row]]
+        if which:
+            at = np.flatnonzero(own < 0)
+            cuts = np.split(own, at)
+            own = np.concatenate([cuts[0], *(x for w, c in zip(which, cuts[1:]) for x in (np.array(told[w], dtype=np.int32), c[1:]))])
+        lists.append(own)
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else ids, pa.int32()))], names=[key, "ids"])
 
 
 def _decoder(spark: SparkSession, model: Model, ids: str):
