@@ -35,12 +35,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import release, table, written
 
 SPACE = "▁"
 LONGEST = 62
-#: Bound of the broadcast word table: about 10 MB sent, 50 MB in a Python worker.
-HEAD_WORDS = 1 << 19
+#: Bound of the broadcast word table: about 25 MB sent, 50 MB in a Python worker.
+HEAD_WORDS = 1 << 20
 #: Steps of the count, per doubling, by which the head is cut off.
 STEPS = 8
 LETTER = r"[^\W\d_]"
@@ -60,11 +60,10 @@ class Model(NamedTuple):
         return "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if c not in behind)
 
     def cutter(self) -> Callable[[str], list[str]]:
-        """A function that cuts a text into its words, with spaces for U+2581."""
+        """A function that cuts a text, with spaces for U+2581 and the first one in its place, into words."""
         signs = "".join(f"\\{c}" for c in self.openers())
         first = f" *(?:(?!{LETTER})[^ \n])*{LETTER}++(?=[{signs}])|" if signs else ""
-        find, start = re.compile(f"{first} *[^ \n]+| +|\n").findall, " " if self.prefix else ""
-        return lambda text: find(start + text.replace(SPACE, " "))
+        return re.compile(f"{first} *[^ \n]+| +|\n").findall
 
     def late(self) -> set[str]:
         """Pieces with a part (of two or more characters) of worse score: their turn by rank can come before their parts'."""
@@ -132,8 +131,8 @@ def load(path: str | None = None) -> Model:
         raise ValueError("only unigram and BPE models without a character map, blank removal and user-defined pieces")
     if any("\n" in p and len(p) > 1 or SPACE in p.lstrip(SPACE) for p, _, kind in pieces if kind == 1):
         raise ValueError("a piece spans words")
-    if len(pieces) >= 1 << 18:
-        raise ValueError("at most 262143 pieces fit an edge's code")
+    if len(pieces) > 1 << 15:
+        raise ValueError("at most 32768 pieces: ids are kept as 16-bit numbers")
     return Model(pieces, trainer.get(3, 1) == 1, bool(normal.get(3, 1)))
 
 
@@ -283,7 +282,25 @@ def _slices(batch, column: str | int, most: int = 1 << 19) -> Iterator:
             yield batch.slice(a, b - a), sizes[a:b]
 
 
-def _count_words(model: Model, most: int = 1 << 20):
+class Cutter:
+    """Cuts texts into words. Parts of a text that are parted by single spaces are cut alone, so that each distinct one is cut once."""
+
+    def __init__(self, model: Model):
+        self.cut, self.start = model.cutter(), " " if model.prefix else ""
+
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text: the first one and those with more than one space before them are kept behind a NUL as they are."""
+        text = self.start + text.replace(SPACE, " ")
+        if "  " in text or text[-1] == " " or "\0" in text:
+            return ["\0" + w for w in self.cut(text)]
+        parts = text.split(" ")
+        return parts[1:] if self.start else ["\0" + parts[0], *parts[1:]]
+
+    def words(self, part: str) -> list[str]:
+        return [part[1:]] if part[:1] == "\0" and len(part) > 1 and self.start else self.cut(part[1:] if part[:1] == "\0" else " " + part)
+
+
+def _count_words(model: Model, most: int = 1 << 19):
     """A function over batches of texts: ``word, n`` of a partition, in parts of about ``most`` distinct words."""
 
     def run(batches: Iterator) -> Iterator:
@@ -291,18 +308,21 @@ def _count_words(model: Model, most: int = 1 << 20):
 
         import pyarrow as pa
 
-        cut, seen = model.cutter(), Counter()
+        cutter, parts = Cutter(model), Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return made
+            seen: dict[str, int] = {}
+            for part, n in parts.items():
+                for word in cutter.words(part):
+                    seen[word] = seen.get(word, 0) + n
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w.replace(" ", SPACE) for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(cut(text))
-                if len(seen) >= most:
+                    parts.update(cutter.parts(text))
+                if len(parts) >= most:
                     yield out()
         yield out()
 
@@ -328,36 +348,111 @@ class Head:
         self.stream = stream
 
     def opened(self) -> tuple:
-        """(word -> place, starts, lengths, ids)"""
+        """(hashes of the words, ascending, their places, the words, starts, lengths, ids)"""
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         if not hasattr(self, "_opened"):
             table = pa.ipc.open_stream(self.stream).read_all()
             words, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
-            offsets = _numbers(ids.offsets, np.int64)
-            places = {w: i for i, w in enumerate(words.to_pylist())}
-            self._opened = (places, offsets[:-1], np.diff(offsets), _numbers(ids.values, np.int32))
+            hashes = np.fromiter((xxh64_intdigest(w.as_py().encode()) for w in words), dtype=np.uint64, count=len(words))
+            order, offsets = np.argsort(hashes), _numbers(ids.offsets, np.int64)
+            self._opened = (hashes[order], order.astype(np.int32), words, offsets[:-1].astype(np.int32), np.diff(offsets).astype(np.int16), _numbers(ids.values, np.int16))
+            del self.stream
         return self._opened
 
+    def find(self, words: list[str]):
+        """The place of each word, or -1."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from xxhash import xxh64_intdigest
+
+        hashes, places, known, *_ = self.opened()
+        if not len(hashes) or not words:
+            return np.full(len(words), -1)
+        asked = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+        at = places[np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)]
+        same = pc.equal(known.take(pa.array(at)), pa.array(words, pa.string()))
+        return np.where(same.to_numpy(zero_copy_only=False), at, -1)
+
+
+class Coder:
+    """Looks up the parts of texts, and keeps what distinct parts come to: ids, with -1 for each word outside the head, and those words."""
+
+    def __init__(self, model: Model, head: Head, most: int = 1 << 18):
+        self.cutter, self.head, self.most = Cutter(model), head, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.outside: dict[int, list[str]] = {}
+        self.starts, self.sizes, self.ids, self.used = [], [], [], 0
+
+    def _learn(self, parts: list[str]) -> None:
+        import numpy as np
+
+        words = [self.cutter.words(p) for p in parts]
+        flat = [w for x in words for w in x]
+        at = self.head.find(flat)
+        _, _, _, starts, lengths, ids = self.head.opened()
+        missing = at < 0
+        # the last id is -1, for a word outside the head
+        n = np.where(missing, 1, lengths[at] if len(lengths) else 1).astype(np.int64)
+        first = np.where(missing, len(ids), starts[at] if len(starts) else 0).astype(np.int64)
+        ends = np.cumsum(n)
+        found = np.append(ids, -1)[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        of_part = np.cumsum([len(x) for x in words])
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], of_part])]
+        base = len(self.places)
+        self.places.update(zip(parts, range(base, base + len(parts))))
+        for p in np.unique(np.searchsorted(of_part, np.flatnonzero(missing), "right")).tolist():
+            b = int(of_part[p])
+            self.outside[base + p] = [w for w, m in zip(words[p], missing[b - len(words[p]) : b]) if m]
+        self.starts.append(ends[:-1] + self.used)
+        self.sizes.append(np.diff(ends))
+        self.ids.append(found)
+        self.used += len(found)
+
+    def __call__(self, parts: list[str]):
+        """(ids of all parts, ids of each part, place of each part)"""
+        import numpy as np
+
+        if len(self.places) > self.most:
+            self._forget()
+        unknown = [p for p in dict.fromkeys(parts) if p not in self.places]
+        if unknown:
+            self._learn(unknown)
+        if len(self.starts) > 1:
+            self.starts, self.sizes, self.ids = ([np.concatenate(x)] for x in (self.starts, self.sizes, self.ids))
+        places = np.fromiter(map(self.places.__getitem__, parts), dtype=np.int64, count=len(parts))
+        if not len(parts):
+            return np.zeros(0, np.int16), places, places
+        n = self.sizes[0][places]
+        ends = np.cumsum(n)
+        return self.ids[0][np.repeat(self.starts[0][places] - (ends - n), n) + np.arange(ends[-1])], n, places
+
 
 def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, decoded: bool = False) -> DataFrame:
     """``key, ids``: every text's ids, one row an input row; with ``decoded`` the text of the ids as well, in the same pass."""
     model = model or load()
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    id_kind = "smallint" if len(model.pieces) <= 1 << 15 else "int"
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     counted = rows.select("text").mapInArrow(_count_words(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    known = written(encode_words(counted.select(F.translate("word", " ", SPACE).alias("word"), "n"), model), "words")
+    known = written(encode_words(counted, model), "words")
+    del counted
+    release(spark)
     known = known.select(F.translate("word", SPACE, " ").alias("word"), "ids", "n")
     in_head = head_of(known, head_words)
-    sent = _sent(spark, known.filter(in_head).select("word", F.col("ids").cast(f"array<{id_kind}>").alias("ids")))
+    sent = _sent(spark, known.filter(in_head).select("word", F.col("ids").cast("array<smallint>").alias("ids")))
 
     def look_up(batches: Iterator) -> Iterator:
+        coder = Coder(model, sent.value)
         for batch in batches:
-            yield from _looked_up(batch, model.cutter(), sent, id_kind)
+            yield from _looked_up(batch, coder)
 
-    coded = rows.mapInArrow(look_up, f"key {kind}, mark binary, ids array<{id_kind}>, which array<int>, rest array<string>")
+    coded = rows.mapInArrow(look_up, f"key {kind}, mark long, ids array<smallint>, which array<int>, rest array<string>")
     asked = coded.select("key", "mark", F.posexplode("rest").alias("at", "word"))
     answered = asked.join(known.filter(~in_head).select("word", "ids"), "word").groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("at", "ids"))).alias("told"))
     told = answered.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("told.ids").alias("told")).hint("shuffle_hash")
@@ -382,43 +477,36 @@ def _sent(spark: SparkSession, head: DataFrame):
     return spark.sparkContext.broadcast(Head(sink.getvalue().to_pybytes()))
 
 
-def _looked_up(batch, cut: Callable, sent, id_kind: str, most: int = 1 << 17) -> Iterator:
-    """Rows ``key, mark`` (digest of the text)``, ids`` (-1 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``."""
-    from hashlib import md5
-
+def _looked_up(batch, coder: Coder, most: int = 1 << 17) -> Iterator:
+    """Rows ``key, mark`` (hash of the text)``, ids`` (-1 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``."""
     import numpy as np
     import pyarrow as pa
+    from xxhash import xxh64_intdigest
 
-    places, starts, lengths, flat = sent.value.opened()
-    # the last place stands for a word outside the head: one id, -1
-    starts, lengths, flat = np.append(starts, len(flat)), np.append(lengths, 1), np.append(flat, -1).astype(np.int16 if id_kind == "smallint" else np.int32)
-    none, value = len(starts) - 1, pa.int16() if id_kind == "smallint" else pa.int32()
     texts = batch.column(1).to_pylist()
-    first, held, words, sizes = 0, 0, [], []
+    first, parts, sizes = 0, [], []
 
     def out(to: int) -> pa.RecordBatch:
-        at = np.fromiter((places.get(w, none) for w in words), dtype=np.int64, count=len(words))
-        n = lengths[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        ids, n, places = coder(parts)
         rows = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        which, rest, missing = [[] for _ in sizes], [[] for _ in sizes], np.flatnonzero(at == none)
-        for row, some in zip(*_parts(np.searchsorted(rows, missing, "right") - 1, missing)):
+        which, rest = [[] for _ in sizes], [[] for _ in sizes]
+        odd = np.flatnonzero(np.isin(places, np.fromiter(coder.outside, dtype=np.int64, count=len(coder.outside))))
+        for row, some in zip(*_parts(np.searchsorted(rows, odd, "right") - 1, odd)):
             own: dict[str, int] = {}
-            which[row] = [own.setdefault(words[i], len(own)) for i in some.tolist()]
+            which[row] = [own.setdefault(w, len(own)) for p in places[some].tolist() for w in coder.outside[p]]
             rest[row] = list(own)
-        marks = pa.array([md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts[first:to]], pa.binary())
-        listed = pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(ids, value))
-        columns = [batch.column(0).slice(first, to - first), marks, listed, pa.array(which, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
+        marks = np.array([xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts[first:to]], dtype=np.uint64).view(np.int64)
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])[rows], pa.int32()), pa.array(ids, pa.int16()))
+        columns = [batch.column(0).slice(first, to - first), pa.array(marks), listed, pa.array(which, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(columns, names=["key", "mark", "ids", "which", "rest"])
 
     for i, text in enumerate(texts):
-        found = cut(text) if text else []
-        words.extend(found)
+        found = coder.cutter.parts(text) if text else []
+        parts.extend(found)
         sizes.append(len(found))
-        if len(words) >= most or i + 1 == len(texts):
+        if len(parts) >= most or i + 1 == len(texts):
             yield out(i + 1)
-            first, words, sizes = i + 1, [], []
+            first, parts, sizes = i + 1, [], []
 
 
 def _parts(groups, values) -> tuple[list[int], list]:
