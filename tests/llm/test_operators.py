@@ -335,21 +335,128 @@ def test_toxicity_learns_from_few_examples(spark):
     rows = [(i, f"some plain words {i}" + (" vermin" if n < 6 else "")) for n, i in enumerate(ids)]  # ten toxic ones, six of them with the word
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = toxicity.fit(spark.createDataFrame([(i, int(n < 10)) for n, i in enumerate(ids)], "doc_id long, toxic int"), docs)
-    assert "=vermin" in index.terms
-
-
-def test_block_max_is_exact():
+    scores = dict(toxicity.score(docs, index).select("doc_id", "score").collect())
+    assert min(scores[i] for i in ids[:6]) > max(scores[i] for i in ids[6:])
+
+
+def brute_toxicity(examples, totals, texts, k):
+    """(score, evidence) of each text from the definitions, without an index. Examples: (id, toxic, text)."""
+    n1, n0 = sum(t for _, t, _ in examples), sum(1 - t for _, t, _ in examples)
+    df, dt = Counter(), Counter()
+    for _, toxic, text in examples:
+        df.update(toxicity.words_in(text).keys())
+        if toxic:
+            dt.update(toxicity.words_in(text).keys())
+
+    def weight(w):
+        n, a, b = n1 + n0, dt[w], df[w] - dt[w]
+        part = lambda x, row, col: x * math.log(x * n / (row * col)) if x else 0.0
+        llr = 2 * (part(a, a + b, n1) + part(b, a + b, n0) + part(n1 - a, n - a - b, n1) + part(n0 - b, n - a - b, n0))
+        return (math.log((1 + n) / (1 + df[w])) + 1) * math.sqrt(max(llr, 0.0))
+
+    def vector(text):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in toxicity.words_in(text).items() if df[w]}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()} if length else {}
+
+    vectors = [(i, t, text, vector(text)) for i, t, text in sorted(examples)]
+    shares = [totals[0] / n0, totals[1] / n1]
+    base = totals[1] / sum(totals)
+
+    def near(text):
+        q, out, skipped = vector(text), [], False
+        for i, t, other, v in vectors:
+            if other == text and not skipped:
+                skipped = True
+                continue
+            cosine = round(sum(x * v.get(w, 0.0) for w, x in q.items()), 12)
+            if cosine > 1e-12:
+                out.append((-cosine, i, t))
+        return sorted(out)[:k]
+
+    def raw(text):
+        if not vector(text):
+            return base
+        found = near(text)
+        yes, no = (sum(-c * shares[x] for c, _, t in found if t == x) for x in (1, 0))
+        prior = toxicity.PRIOR * min(shares)
+        return (yes + prior * base) / (yes + no + prior)
+
+    pools = []
+    for x, t in sorted((raw(text), t) for _, t, text in examples):
+        pools.append([x * shares[t], t * shares[t], shares[t]])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            top = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], top)]
+    knots = [(p[0] / p[2], min(max(p[1] / p[2], 0.001), 0.999)) for p in pools]
+
+    def calibrated(x):
+        if x <= knots[0][0]:
+            return knots[0][1]
+        for (x0, y0), (x1, y1) in zip(knots, knots[1:]):
+            if x <= x1:
+                return y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+        return knots[-1][1]
+
+    return [(calibrated(raw(t)) if vector(t) else base, [(i, -c) for c, i, _ in near(t)] if vector(t) else []) for t in texts]
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(500):
+        toxic = i % 4 == 0
+        words = [f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randrange(60))] + (rng.choices(["vermin", "scum", "idiot"], k=2) if toxic and i % 12 else [])
+        rows.append((i, " ".join(words)))
+        labels += [(i, int(toxic)), (i, 0)]  # two labels: one says toxic
+    rows[8], rows[20], rows[21] = (8, rows[4][1]), (20, None), (21, "")
+    rows += [(1000 + j, rows[j][1]) for j in range(0, 40, 3)] + [(2000, "vermin " * 4000), (2001, "never seen"), (2002, "VERMIN, scum!"), rows[2], rows[2]]  # copies, long texts, repeated rows
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, score int, evidence int")
+    index = toxicity.fit(spark.createDataFrame(labels, "doc_id long, toxic int"), docs, k=7)
+    own = {i: max(t for j, t in labels if j == i) for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    examples = [(i, own[i], rows[i][1] or "") for i in own]
+    want = brute_toxicity(examples, [list(own.values()).count(0), list(own.values()).count(1)], [t or "" for _, t in rows], 7)
+    got = toxicity.score(docs, index, k=7).collect()
+    assert len(got) == len(rows)
+    by_id = {i: w for (i, _), w in zip(rows, want)}
+    for r in got:
+        score, near = by_id[r["doc_id"]]
+        assert abs(r["score"] - score) < 1e-9, r["doc_id"]
+        assert [(e["example"], round(e["cosine"], 9)) for e in r["evidence"]] == [(i, round(c, 9)) for i, c in near]
+
+
+def random_index(rng, n, block):
+    lists = [sorted({int(rng.zipf(1.3)) % 3000 for _ in range(rng.integers(1, 60))}) for _ in range(n)]
+    for j in range(n):
+        if j % 3 == 0:
+            lists[j] = sorted({*lists[j], 4000 + j % 5})
+    counts = [rng.integers(1, 4, len(x)) for x in lists]
+    return toxicity.build(range(n), [j % 3 == 0 for j in range(n)], range(n), lists, counts, block)
+
+
+def test_block_max_is_exact_and_skips():
     import numpy as np
 
     rng = np.random.default_rng(6)
-    v = rng.random((4, toxicity.BLOCK, 20)) * (rng.random((4, toxicity.BLOCK, 20)) < 0.2)
-    index = toxicity.Index({}, None, np.arange(256), np.zeros(256, bool), np.ascontiguousarray(v.transpose(0, 2, 1)), *toxicity.index_of(v), (1.0, 1.0), 0.0, ((0, 1), (0, 1)))
-    for _ in range(50):
-        at = np.sort(rng.choice(20, 5, replace=False))
-        q = rng.random(5)
-        sims = v.reshape(-1, 20)[:, at] @ q
-        want = sorted(((-round(float(s), 12), i) for i, s in enumerate(sims) if s > 0))[:7]
-        assert [i for _, i in toxicity.nearest(index, at, q, 7)] == [i for _, i in want]
+    index = random_index(rng, 1000, 16)
+    dense = np.zeros((1000, len(index.terms)))
+    rare = np.repeat(np.arange(len(index.terms)), np.diff(index.cut_starts[index.term_starts]))
+    dense[index.postings, rare] = index.posting_weights
+    places = np.flatnonzero(index.common >= 0)
+    dense[np.repeat(np.arange(1000), np.diff(index.forward_starts)), places[index.forward]] = index.forward_weights
+    assert np.allclose((dense * dense).sum(1), 1)
+    read = []
+    for _ in range(60):
+        at = np.unique(np.concatenate([rng.choice(len(index.terms), 12), np.searchsorted(index.terms, [4000 + rng.integers(5)])]))
+        q = toxicity.weighed(rng.integers(1, 4, len(at)).astype(float), index.weight[at])
+        sims = np.round(dense[:, at] @ q, 12)
+        without = int(rng.integers(-1, 1000))
+        want = sorted((-s, index.ids[i]) for i, s in enumerate(sims) if s > 1e-12 and i != without)[:7]
+        near, visited = toxicity.nearest(index, at, q, 7, without, 16)
+        assert [(round(-c, 9), i) for c, i in want] == [(round(c, 9), index.ids[j]) for c, j in near]
+        read.append(visited)
+    blocks = len(index.block_lengths)
+    assert sum(read) < 0.8 * 60 * blocks and sum(2 * r < blocks for r in read) >= 15
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -1,127 +1,220 @@
 """Operator 9, toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Fit. A bounded sample of the labelled rows (``TOXIC_EXAMPLES`` and ``CLEAN_EXAMPLES``, the first by a hash of the id; the
-bound is a parameter) is the index's collection. Its terms are words and word beginnings of four and five characters;
-those that toxic examples have significantly more often (log-likelihood ratio), at most ``MAX_TERMS``, span the vector
-space. Weights are (1 + ln tf) * idf, vectors have length one.
+bound is a parameter) is the index's collection, and all its words span the vector space. A word weighs
+(1 + ln tf) * idf, times the root of the log-likelihood ratio of the two classes: a factor, not a cut, so that words that
+tell the classes apart count most and those that don't count little. Vectors have length one. Words are known by XXH64.
 
-Search. Examples lie in blocks of 64; for each block the index holds every term's largest weight. A text's vector times
-those maxima bounds the cosine with any example of a block. The four best-bounded blocks give a k-th best cosine; of the
-postings of the text's terms only blocks whose bound reaches it count, so the k nearest are exact. Ties go to the smaller
-example id.
+Search. Examples lie in blocks of ``BLOCK``. Words in under a quarter of the examples are rare: each has postings, cut by blocks, and for each of its blocks the largest weight. The others would be in every block's bound; they lie in forward
+lists, and their share of a cosine is at most the product of the two lengths (Cauchy-Schwarz). The sum of a text's weights
+times the maxima, plus that product for the block's longest one, bounds the cosine with any example of the block. Blocks
+are visited by falling bound: ``FIRST`` of them, then those whose bound reaches the k-th best cosine so far; other blocks'
+postings aren't read. In a visited block an example's forward list is read only if its own bound reaches that
+cosine. The k nearest are exact; ties go to the smaller example id.
 
 Score. Cosine-weighted votes of the k nearest, each class weighted by its share of all training labels, are calibrated by
-isotonic regression on leave-one-out votes of the examples. Texts without any term, empty and null ones included, get
-the toxic share among examples without a term. The evidence is the neighbours with their cosines and labels.
-
-The index is a few megabytes whatever the corpus (the sample and the terms are bounded), so it is sent to the tasks; the
-corpus is scored in one pass without a shuffle.
+isotonic regression on the examples' own votes. Of the examples with the very same text as the scored one, the first (by
+id) has no vote, in calibration and in scoring: a training text doesn't vouch for itself, and a score depends on nothing
+but the text. The evidence is the voting neighbours with their cosines and labels.
+
+The index is bounded by the sample, whatever the corpus, so it is sent to the tasks; the corpus is scored in one pass
+without a shuffle. Texts that share no word with the examples, empty and null ones included, get the toxic share of all
+training labels, and no evidence. Of a training document with several texts the smallest is taken. Repeated rows get
+equal scores; other columns than the named ones are left out, whatever they are called; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 4_000, 8_000
-MAX_TERMS = 1_024
-LEAST_RATIO = 15.0
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST = 4
+#: Words in this share of the examples or more are common.
+COMMON = 0.25
 CUT = 0.7
+#: Weight of the base rate beside the votes, as the cosine of one more neighbour.
+PRIOR = 0.05
 _WORD = re.compile(r"\w+")
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """A word as terms: itself, and its first four and five characters if it is longer."""
-    return (f"={word}", *(f"^{word[:n]}" for n in (4, 5) if len(word) > n))
-
-
 def words_in(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
+def digest(text: str | None) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+
+
 class Index(NamedTuple):
-    terms: dict[str, int]
-    idf: object  # (terms,)
-    ids: object  # (examples,) ascending
+    terms: object  # (terms,) hashes of the words, ascending
+    weight: object  # (terms,) idf times how the word tells the classes apart
+    ids: object  # (examples,)
     toxic: object  # (examples,) bool
-    vectors: object  # (blocks, terms, BLOCK), zeros behind the last example
-    block_max: object  # (terms, blocks)
-    posting_starts: object  # (terms + 1,)
-    postings: object  # examples of each term, ascending
+    texts: object  # digests of the examples' texts, ascending, each once
+    first: object  # the example with that text whose id is smallest
+    common: object  # (terms,) place among the common words, or -1
+    n_common: int
+    term_starts: object  # (terms + 1,) into the cuts of the postings of rare words
+    cut_block: object
+    cut_max: object
+    cut_starts: object  # (cuts + 1,) into the postings
+    postings: object  # examples
     posting_weights: object
+    forward_starts: object  # (examples + 1,) into the forward lists of common words
+    forward: object  # places among the common words
+    forward_weights: object
+    lengths: object  # (examples,) length of the common part
+    block_lengths: object  # (blocks,) largest of them
     class_weight: tuple[float, float]
     base: float
     knots: tuple[object, object]  # raw vote -> calibrated score
 
 
-def _vector(counts: Counter, terms: dict[str, int], known: dict[str, tuple[int, ...]]) -> dict[int, int]:
-    """Term frequencies of a text; ``known`` keeps what words come to."""
-    tf: dict[int, int] = {}
-    for word, n in counts.items():
-        at = known.get(word)
-        if at is None:
-            at = tuple(terms[t] for t in terms_of(word) if t in terms)
-            if len(known) >= 300_000:
-                known.clear()
-            known[word] = at
-        for t in at:
-            tf[t] = tf.get(t, 0) + n
-    return tf
+def spans(starts, sizes):
+    """``starts[i] .. starts[i] + sizes[i] - 1`` for all i, one after another."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _weighed(tf: dict[int, int], idf):
+def likelihood_ratio(a, b, n1: int, n0: int):
+    """How far from chance it is that ``a`` of ``n1`` and ``b`` of ``n0`` examples have a word."""
     import numpy as np
 
-    at = np.fromiter(sorted(tf), dtype=np.int64, count=len(tf))
-    w = (1.0 + np.log(np.fromiter((tf[t] for t in sorted(tf)), dtype=np.float64, count=len(tf)))) * idf[at]
-    return at, w / np.sqrt((w * w).sum())
+    n, every = n1 + n0, a + b
+
+    def part(x, row, col):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log(x * n / (row * col)), 0.0)
 
+    if not n1 or not n0:
+        return np.zeros(len(a))
+    return np.maximum(2 * (part(a, every, n1) + part(b, every, n0) + part(n1 - a, n - every, n1) + part(n0 - b, n - every, n0)), 0.0)
 
-def nearest(index: Index, at, weights, k: int, without: int = -1) -> list[tuple[float, int]]:
-    """The k nearest examples with a cosine over zero: (cosine, place in the index), nearest first, exact."""
+
+def weighed(tf, weight):
+    """Unit vector of term frequencies under the terms' weights; zeros if no term has a weight."""
     import numpy as np
 
-    bounds = weights @ index.block_max[at]
-    first = np.argpartition(-bounds, min(3, len(bounds) - 1))[:4] if len(bounds) else np.zeros(0, dtype=np.int64)
-    skim = np.concatenate([weights @ index.vectors[b][at] for b in first]) if len(first) else np.zeros(0)
-    edge = np.partition(skim, len(skim) - k - 1)[len(skim) - k - 1] if len(skim) > k else 0.0  # one spare for ``without``
-    live = (bounds > 0) & (bounds >= edge - 1e-9)
-    spans = [slice(index.posting_starts[t], index.posting_starts[t + 1]) for t in at]
-    ids = np.concatenate([index.postings[x] for x in spans])
-    cosines = np.bincount(ids, weights=np.concatenate([w * index.posting_weights[x] for w, x in zip(weights, spans)]), minlength=1)
-    ids = np.flatnonzero(cosines >= max(edge - 1e-9, 1e-12))
-    ids = ids[live[ids // BLOCK] & (ids != without)]
-    cosines = np.round(cosines[ids], 12)
-    order = np.lexsort((ids, -cosines))[:k]
-    return list(zip(cosines[order].tolist(), ids[order].tolist()))
-
-
-def index_of(dense):
-    """(block maxima, posting starts, postings, posting weights) of the vectors in (blocks, BLOCK, terms)."""
+    w = (1.0 + np.log(tf)) * weight
+    length = np.sqrt((w * w).sum())
+    return w / length if length > 0 else w * 0.0
+
+
+def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> Index:
+    """The index of examples: their ids, labels, digests of texts, and each one's hashes of words and term frequencies."""
     import numpy as np
 
-    flat = dense.transpose(2, 0, 1).reshape(dense.shape[2], dense.shape[0] * dense.shape[1])
-    term, example = np.nonzero(flat)
-    starts = np.searchsorted(term, np.arange(len(flat) + 1))
-    maxima = dense.max(axis=1).T if len(dense) else np.zeros((len(flat), 0))
-    return np.ascontiguousarray(maxima), starts, example, flat[term, example]
+    ids, toxic, texts = np.asarray(ids, dtype=np.int64), np.asarray(toxic, dtype=bool), np.asarray(texts, dtype=np.uint64)
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    flat = np.concatenate([np.asarray(x, dtype=np.uint64) for x in lists]) if len(lists) else np.zeros(0, dtype=np.uint64)
+    terms, term = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    df = np.bincount(term, minlength=len(terms)).astype(np.float64)
+    with_toxic = np.bincount(term, weights=toxic[owner].astype(np.float64), minlength=len(terms))
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    weight = (np.log((1 + n1 + n0) / (1 + df)) + 1) * np.sqrt(likelihood_ratio(with_toxic, df - with_toxic, n1, n0))
+    ends = np.cumsum(sizes)
+    value = np.concatenate([weighed(np.asarray(c, dtype=np.float64), weight[term[e - n : e]]) for c, e, n in zip(counts, ends, sizes)]) if len(ids) else np.zeros(0)
+    # examples of one class that share their heaviest word lie together, so that the blocks' maxima are tight
+    heaviest = np.array([term[e - n + value[e - n : e].argmax()] if n else -1 for e, n in zip(ends, sizes)], dtype=np.int64)
+    order = np.lexsort((ids, heaviest, ~toxic))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
+    owner, ids, toxic, texts = place[owner], ids[order], toxic[order], texts[order]
+    blocks = -(-len(ids) // block)
+    is_common = df >= max(COMMON * len(ids), 2)
+    common = np.where(is_common, np.cumsum(is_common) - 1, -1).astype(np.int32)
+
+    rare = np.flatnonzero(~is_common[term] & (value > 0))
+    rare = rare[np.lexsort((owner[rare], term[rare]))]
+    key = term[rare] * max(blocks, 1) + owner[rare] // block
+    cuts = np.flatnonzero(np.diff(key, prepend=-1))
+    cut_terms = term[rare][cuts]
+    cut_max = np.maximum.reduceat(value[rare], cuts) if len(cuts) else np.zeros(0)
+    wide = np.flatnonzero(is_common[term])
+    wide = wide[np.lexsort((term[wide], owner[wide]))]
+    lengths = np.sqrt(np.bincount(owner[wide], weights=value[wide] ** 2, minlength=len(ids)))
+    padded = np.zeros(blocks * block)
+    padded[: len(ids)] = lengths
+    by_text = np.lexsort((ids, texts))
+    known, at = np.unique(texts[by_text], return_index=True)
+    return Index(
+        terms, weight, ids, toxic, known, by_text[at], common, int(is_common.sum()),
+        np.searchsorted(cut_terms, np.arange(len(terms) + 1)).astype(np.int32), (owner[rare][cuts] // block).astype(np.int32), cut_max,
+        np.append(cuts, len(rare)).astype(np.int32), owner[rare].astype(np.int32), value[rare],
+        np.searchsorted(owner[wide], np.arange(len(ids) + 1)).astype(np.int32), common[term[wide]], value[wide],
+        lengths, padded.reshape(blocks, block).max(axis=1) if blocks else np.zeros(0), (1.0, 1.0), 0.0, ((0.0, 1.0), (0.0, 1.0)),
+    )
+
 
+def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = BLOCK) -> tuple[list[tuple[float, int]], int]:
+    """The k nearest examples with a cosine over zero, (cosine, place in the index), nearest first, exact; and how many blocks were read.
 
-def _vote(index: Index, near: list[tuple[float, int]]) -> float:
-    """Distance-weighted share of toxic neighbours, classes weighted as in all training labels; one half-weight vote is the base rate's."""
+    ``at`` and ``weights``: the text's terms, ascending, and its unit vector.
+    """
+    import numpy as np
+
+    common = index.common[at]
+    rare, own = at[common < 0], weights[common < 0]
+    asked = np.zeros(index.n_common)
+    asked[common[common >= 0]] = weights[common >= 0]
+    length = np.sqrt((asked * asked).sum())
+    sizes = index.term_starts[rare + 1] - index.term_starts[rare]
+    cuts, factor = spans(index.term_starts[rare], sizes), np.repeat(own, sizes)
+    blocks = index.cut_block[cuts]
+    bounds = np.bincount(blocks, weights=factor * index.cut_max[cuts], minlength=len(index.block_lengths)).astype(np.float64) + length * index.block_lengths
+    order = np.argsort(-bounds, kind="stable")
+    order = order[bounds[order] > 0]
+    held, found, edge, read = [], [], 0.0, 0
+    for visited in (order[:FIRST], order[FIRST:]):
+        visited = visited[bounds[visited] >= edge - 1e-9]
+        if not len(visited):
+            break
+        read += len(visited)
+        live = np.zeros(len(index.block_lengths), dtype=bool)
+        live[visited] = True
+        mine = live[blocks]
+        first = index.cut_starts[cuts[mine]]
+        sizes = index.cut_starts[cuts[mine] + 1] - first
+        p = spans(first, sizes)
+        part = np.bincount(index.postings[p], weights=np.repeat(factor[mine], sizes) * index.posting_weights[p], minlength=len(index.ids)).astype(np.float64)
+        near = np.flatnonzero(np.repeat(live, block)[: len(index.ids)] & (part + length * index.lengths >= max(edge - 1e-9, 1e-12)))
+        if length > 0 and len(near):
+            first = index.forward_starts[near]
+            sizes = index.forward_starts[near + 1] - first
+            p = spans(first, sizes)
+            part[near] += np.bincount(np.repeat(np.arange(len(near)), sizes), weights=asked[index.forward[p]] * index.forward_weights[p], minlength=len(near))
+        near = near[(part[near] > 1e-12) & (near != without)]
+        held.append(near)
+        found.append(np.round(part[near], 12))
+        best = np.concatenate(found)
+        edge = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else 0.0
+    if not held:
+        return [], read
+    near, cosines = np.concatenate(held), np.concatenate(found)
+    best = np.lexsort((index.ids[near], -cosines))[:k]
+    return list(zip(cosines[best].tolist(), near[best].tolist())), read
+
+
+def vote(index: Index, near: list[tuple[float, int]]) -> float:
+    """Cosine-weighted share of toxic neighbours, classes weighted as in all training labels, with the base rate beside them."""
     yes = sum(c * index.class_weight[1] for c, j in near if index.toxic[j])
     no = sum(c * index.class_weight[0] for c, j in near if not index.toxic[j])
-    prior = 0.5 * min(index.class_weight)
+    prior = PRIOR * min(index.class_weight)
     return (yes + prior * index.base) / (yes + no + prior)
 
 
@@ -136,11 +229,15 @@ def isotonic(x, y, w) -> tuple[list[float], list[float]]:
     return [p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools]
 
 
+def held_out() -> Column:
+    """Rows whose labels aren't learnt: crc32 of ``doc_id`` as text is 1 modulo 3. A null id isn't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def training_sample(labels: DataFrame, docs: DataFrame, toxic: int = TOXIC_EXAMPLES, clean: int = CLEAN_EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
     """The examples ``doc_id, toxic, text`` and the number of training labels of each class.
 
-    Only labels of rows that aren't held out (``crc32(doc_id as text) mod 3 = 1`` is held out) are read. A document with
-    several labels counts as toxic if one of them says so.
+    Held-out rows' labels aren't read. A document with several labels counts as toxic if one of them says so.
     """
     own = labels.filter(~held_out()).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     own = own.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
@@ -148,88 +245,52 @@ def training_sample(labels: DataFrame, docs: DataFrame, toxic: int = TOXIC_EXAMP
     first = lambda c, n: own.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = first(1, toxic).unionAll(first(0, clean))
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = picked.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    return written(picked.select("doc_id", "toxic", "text"), "examples"), totals
-
-
-def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    picked = picked.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return written(picked, "examples"), totals
 
 
-def _term_counts(batches: Iterator) -> Iterator:
+def _counted(batches: Iterator) -> Iterator:
+    """``doc_id, toxic, digest`` and the hashes and counts of the words of each example."""
+    import numpy as np
     import pyarrow as pa
+    from xxhash import xxh64_intdigest
 
     for batch in batches:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen[toxic].update({t for word in words_in(text) for t in terms_of(word)})
-        names = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([seen[1][t] for t in names], pa.int64()), pa.array([seen[0][t] for t in names], pa.int64())], names=["term", "a", "b"]
-        )
+        texts = batch.column(2).to_pylist()
+        found = [words_in(t) for t in texts]
+        hashes = [np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in c], dtype="<u8").tobytes() for c in found]
+        counts = [np.array(list(c.values()), dtype="<u4").tobytes() for c in found]
+        digests = np.array([digest(t) for t in texts], dtype=np.uint64).view(np.int64)
+        columns = [batch.column(0), batch.column(1), pa.array(digests), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "digest", "hashes", "counts"])
 
 
-def fit(labels: DataFrame, docs: DataFrame, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Index:
+def fit(labels: DataFrame, docs: DataFrame, k: int = NEIGHBOURS, toxic: int = TOXIC_EXAMPLES, clean: int = CLEAN_EXAMPLES) -> Index:
     import numpy as np
 
-    spark = docs.sparkSession
-    examples, totals = training_sample(labels, docs)
-    n = {r[0]: r[1] for r in examples.groupBy("toxic").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    chosen: list = []
-    if n1:
-        counts = examples.select("toxic", "text").mapInArrow(_term_counts, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        a, b = F.col("a").cast("double"), F.col("b").cast("double")
-        part = lambda x, row, col: F.when(x > 0, x * F.log(x * (n1 + n0) / (row * col))).otherwise(0.0)
-        rest1, rest0, every = n1 - a, n0 - b, a + b
-        ratio = 2 * (part(a, every, F.lit(n1)) + part(b, every, F.lit(max(n0, 1))) + part(rest1, n1 + n0 - every, F.lit(n1)) + part(rest0, n1 + n0 - every, F.lit(max(n0, 1))))
-        over = a * max(n0, 1) > b * n1
-        chosen = counts.withColumn("ratio", ratio).filter(over & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
-    terms = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.array([math.log((1 + n1 + n0) / (1 + r["a"] + r["b"])) + 1 for r in chosen])
-    sent = spark.sparkContext.broadcast(terms)
-
-    def vectors(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        known: dict = {}
-        for batch in batches:
-            tfs = [_vector(words_in(t), sent.value, known) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([sorted(x) for x in tfs], pa.list_(pa.int64())), pa.array([[x[t] for t in sorted(x)] for x in tfs], pa.list_(pa.int64()))],
-                names=["doc_id", "toxic", "at", "tf"],
-            )
-
-    rows = examples.mapInArrow(vectors, "doc_id long, toxic int, at array<long>, tf array<long>").orderBy("doc_id").collect()  # as many as the sample, at most
-    with_terms = [r for r in rows if r["at"]]
-    weight = tuple(totals.get(c, 0) / n[c] if n.get(c) else 1.0 for c in (0, 1))
-    none = [sum(r["toxic"] == c for r in rows if not r["at"]) * weight[c] for c in (0, 1)]
-    base = none[1] / sum(none) if sum(none) else 0.0
-    blocks = -(-len(with_terms) // BLOCK)
-    dense = np.zeros((blocks * BLOCK, len(terms)))
-    for i, r in enumerate(with_terms):
-        at, w = _weighed(dict(zip(r["at"], r["tf"])), idf)
-        dense[i, at] = w
-    dense = dense.reshape(blocks, BLOCK, len(terms))
-    index = Index(
-        terms, idf, np.array([r["doc_id"] for r in with_terms], dtype=np.int64), np.array([r["toxic"] == 1 for r in with_terms], dtype=bool), np.ascontiguousarray(dense.transpose(0, 2, 1)),
-        *index_of(dense), weight, base, ((0.0, 1.0), (0.0, 1.0)),
+    examples, totals = training_sample(labels, docs, toxic, clean)
+    spread = examples.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    packed = spread.mapInArrow(_counted, "doc_id long, toxic int, digest long, hashes binary, counts binary").orderBy("doc_id").toArrow()  # as many rows as the sample, at most
+    column = lambda c, kind: [np.frombuffer(x, kind) for x in packed.column(c).to_pylist()]
+    index = build(
+        packed.column("doc_id").to_numpy(), packed.column("toxic").to_numpy() == 1, packed.column("digest").to_numpy().view(np.uint64), column("hashes", "<u8"), column("counts", "<u4")
     )
-    if not with_terms:
+    n = {c: int((index.toxic == bool(c)).sum()) for c in (0, 1)}
+    every = sum(totals.values())
+    index = index._replace(class_weight=tuple(totals.get(c, 0) / n[c] if n[c] else 1.0 for c in (0, 1)), base=totals.get(1, 0) / every if every else 0.0)
+    if not len(index.ids):
         return index
-    flat = dense.reshape(-1, len(terms))
-    raw = []
-    for i in range(len(with_terms)):
-        at = np.flatnonzero(flat[i])
-        raw.append(_vote(index, nearest(index, at, flat[i, at], k, without=i)))
-    x, y = isotonic(raw, [float(t) for t in index.toxic], [weight[int(t)] for t in index.toxic])
+    raw = score(spread, index, ("toxic",), k=k).select("toxic", "score").toArrow()
+    labels_of = raw.column("toxic").to_pylist()
+    x, y = isotonic(raw.column("score").to_pylist(), [float(t) for t in labels_of], [index.class_weight[t] for t in labels_of])
     return index._replace(knots=(np.array(x), np.clip(np.array(y), 0.001, 0.999)))
 
 
-def score(df: DataFrame, index: Index, columns: Sequence[str] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS) -> DataFrame:
+def score(df: DataFrame, index: Index, columns: Sequence[str] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS, most: int = 50_000, words: int = 300_000) -> DataFrame:
     """``columns, score, evidence``: one row an input row; evidence is an array of (example id, cosine, toxic), nearest first.
 
     The named columns pass through the batches as they are; a ``score`` or ``evidence`` among them would clash and is an error.
+    A task keeps the results of the last ``most`` distinct texts and the places of ``words`` words.
     """
     if {"score", "evidence"} & set(columns):
         raise ValueError("the columns can't be named score or evidence")
@@ -238,32 +299,49 @@ def score(df: DataFrame, index: Index, columns: Sequence[str] = ("doc_id",), tex
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
-        index, known, cached = sent.value, {}, {}
+        index, places, cached = sent.value, {}, {}
         evidence = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
+
+        def learn(unknown: list[str]) -> None:
+            hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in unknown], dtype=np.uint64)
+            at = np.minimum(np.searchsorted(index.terms, hashes), max(len(index.terms) - 1, 0))
+            known = index.terms[at] == hashes if len(index.terms) else np.zeros(len(unknown), dtype=bool)
+            if len(places) > words:
+                places.clear()
+            places.update(zip(unknown, np.where(known, at, -1).tolist()))
+
+        def judge(t: str | None, mark: int):
+            counts = words_in(t)
+            learn([w for w in counts if w not in places])
+            at = np.fromiter((places[w] for w in counts), dtype=np.int64, count=len(counts))
+            tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+            tf, at = tf[at >= 0], at[at >= 0]
+            order = np.argsort(at)
+            tf, at = tf[order], at[order]
+            weights = weighed(tf, index.weight[at])
+            if not weights.any():
+                return index.base, []
+            same = np.searchsorted(index.texts, np.uint64(mark))
+            without = int(index.first[same]) if same < len(index.texts) and index.texts[same] == mark else -1
+            near, _ = nearest(index, at, weights, k, without)
+            return float(np.interp(vote(index, near), *index.knots)), [{"example": int(index.ids[j]), "cosine": c, "toxic": bool(index.toxic[j])} for c, j in near]
+
         for batch in batches:
             scores, proofs = [], []
             for t in batch.column(len(columns)).to_pylist():
-                tf = _vector(words_in(t), index.terms, known) if len(index.ids) else {}
-                if not tf:
-                    scores.append(index.base)
-                    proofs.append([])
-                    continue
-                sign = tuple(sorted(tf.items()))
-                if sign not in cached:
-                    if len(cached) >= 50_000:
+                mark = digest(t)
+                if mark not in cached:
+                    if len(cached) >= most:
                         cached.clear()
-                    near = nearest(index, *_weighed(tf, index.idf), k)
-                    cached[sign] = (
-                        float(np.interp(_vote(index, near), *index.knots)),
-                        [{"example": int(index.ids[j]), "cosine": c, "toxic": bool(index.toxic[j])} for c, j in near],
-                    )
-                scores.append(cached[sign][0])
-                proofs.append(cached[sign][1])
+                    cached[mark] = judge(t, mark)
+                scores.append(cached[mark][0])
+                proofs.append(cached[mark][1])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), pa.array(proofs, evidence)], names=[*columns, "score", "evidence"])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
-    rows = df.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = df.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"{kinds}score double, evidence array<struct<example: bigint, cosine: double, toxic: boolean>>")
 
 
