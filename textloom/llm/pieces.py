@@ -297,10 +297,20 @@ class Cutter:
         return parts[1:] if self.start else ["\0" + parts[0], *parts[1:]]
 
     def words(self, part: str) -> list[str]:
+        if part.isalpha():
+            return [" " + part]
         return [part[1:]] if part[:1] == "\0" and len(part) > 1 and self.start else self.cut(part[1:] if part[:1] == "\0" else " " + part)
 
 
-def _count_words(model: Model, most: int = 1 << 19):
+def _texts(batches: Iterator, column: int, rows: int = 256) -> Iterator:
+    """(part of a batch, its texts), a few rows at a time, so that few texts are held as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield part, part.column(column).to_pylist()
+
+
+def _count_words(model: Model, most: int = 1 << 17):
     """A function over batches of texts: ``word, n`` of a partition, in parts of about ``most`` distinct words."""
 
     def run(batches: Iterator) -> Iterator:
@@ -318,12 +328,12 @@ def _count_words(model: Model, most: int = 1 << 19):
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w.replace(" ", SPACE) for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for _, texts in _texts(batches, 0):
+            for text in texts:
                 if text:
                     parts.update(cutter.parts(text))
-                if len(parts) >= most:
-                    yield out()
+            if len(parts) >= most:
+                yield out()
         yield out()
 
     return run
@@ -348,17 +358,19 @@ class Head:
         self.stream = stream
 
     def opened(self) -> tuple:
-        """(hashes of the words, ascending, their places, the words, starts, lengths, ids)"""
+        """(this worker's hashes of the words, ascending, their places, the words, starts, lengths, ids)"""
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         if not hasattr(self, "_opened"):
             table = pa.ipc.open_stream(self.stream).read_all()
             words, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
-            hashes = np.fromiter((xxh64_intdigest(w.as_py().encode()) for w in words), dtype=np.uint64, count=len(words))
-            order, offsets = np.argsort(hashes), _numbers(ids.offsets, np.int64)
-            self._opened = (hashes[order], order.astype(np.int32), words, offsets[:-1].astype(np.int32), np.diff(offsets).astype(np.int16), _numbers(ids.values, np.int16))
+            hashes = np.empty(len(words), dtype=np.int64)
+            for at in range(0, len(words), 1 << 16):
+                some = words.slice(at, 1 << 16).to_pylist()
+                hashes[at : at + len(some)] = list(map(hash, some))
+            order, offsets = np.argsort(hashes).astype(np.int32), _numbers(ids.offsets, np.int32)
+            self._opened = (hashes[order], order, words, offsets[:-1], np.diff(offsets).astype(np.int16), _numbers(ids.values, np.int16))
             del self.stream
         return self._opened
 
@@ -367,12 +379,11 @@ class Head:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        from xxhash import xxh64_intdigest
 
         hashes, places, known, *_ = self.opened()
         if not len(hashes) or not words:
             return np.full(len(words), -1)
-        asked = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+        asked = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
         at = places[np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)]
         same = pc.equal(known.take(pa.array(at)), pa.array(words, pa.string()))
         return np.where(same.to_numpy(zero_copy_only=False), at, -1)
@@ -381,7 +392,7 @@ class Head:
 class Coder:
     """Looks up the parts of texts, and keeps what distinct parts come to: ids, with -1 for each word outside the head, and those words."""
 
-    def __init__(self, model: Model, head: Head, most: int = 1 << 18):
+    def __init__(self, model: Model, head: Head, most: int = 1 << 17):
         self.cutter, self.head, self.most = Cutter(model), head, most
         self._forget()
 
@@ -421,12 +432,15 @@ class Coder:
 
         if len(self.places) > self.most:
             self._forget()
-        unknown = [p for p in dict.fromkeys(parts) if p not in self.places]
-        if unknown:
-            self._learn(unknown)
+        found = list(map(self.places.get, parts))
+        missing = [i for i, p in enumerate(found) if p is None]
+        if missing:
+            self._learn(list(dict.fromkeys([parts[i] for i in missing])))
+            for i in missing:
+                found[i] = self.places[parts[i]]
         if len(self.starts) > 1:
             self.starts, self.sizes, self.ids = ([np.concatenate(x)] for x in (self.starts, self.sizes, self.ids))
-        places = np.fromiter(map(self.places.__getitem__, parts), dtype=np.int64, count=len(parts))
+        places = np.array(found, dtype=np.int64)
         if not len(parts):
             return np.zeros(0, np.int16), places, places
         n = self.sizes[0][places]
@@ -449,14 +463,14 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
 
     def look_up(batches: Iterator) -> Iterator:
         coder = Coder(model, sent.value)
-        for batch in batches:
-            yield from _looked_up(batch, coder)
-
-    coded = rows.mapInArrow(look_up, f"key {kind}, mark long, ids array<smallint>, which array<int>, rest array<string>")
-    asked = coded.select("key", "mark", F.posexplode("rest").alias("at", "word"))
-    answered = asked.join(known.filter(~in_head).select("word", "ids"), "word").groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("at", "ids"))).alias("told"))
-    told = answered.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("told.ids").alias("told")).hint("shuffle_hash")
-    whole = coded.join(told, F.col("key").eqNullSafe(F.col("_key")) & (F.col("mark") == F.col("_mark")), "left").select("key", "ids", "which", "told")
+        for part, texts in _texts(batches, 1):
+            yield from _looked_up(part, texts, coder)
+
+    # both readers of this exchange take all of its columns, so that it is made once
+    coded = rows.mapInArrow(look_up, f"key {kind}, mark long, ids array<smallint>, which array<int>, rest array<string>").repartition("mark")
+    asked = coded.mapInArrow(_rest_words, "mark long, word string")
+    answered = asked.join(known.filter(~in_head).select("word", "ids"), "word").groupBy("mark").agg(F.collect_set(F.struct("word", "ids")).alias("told"))
+    whole = coded.join(answered.hint("shuffle_hash"), "mark", "left").select("key", "ids", "which", "rest", "told")
     texts = _decoder(spark, model, "ids") if decoded else None
 
     def fill(batches: Iterator) -> Iterator:
@@ -477,13 +491,16 @@ def _sent(spark: SparkSession, head: DataFrame):
     return spark.sparkContext.broadcast(Head(sink.getvalue().to_pybytes()))
 
 
-def _looked_up(batch, coder: Coder, most: int = 1 << 17) -> Iterator:
-    """Rows ``key, mark`` (hash of the text)``, ids`` (-1 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``."""
+def _looked_up(batch, texts: list, coder: Coder, most: int = 1 << 17) -> Iterator:
+    """Rows ``key, mark, ids`` (-1 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``.
+
+    ``mark`` is a hash of id and text, so that copies of a text are spread. Texts that share one share their answers, which
+    are found by word: that is harmless.
+    """
     import numpy as np
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
-    texts = batch.column(1).to_pylist()
     first, parts, sizes = 0, [], []
 
     def out(to: int) -> pa.RecordBatch:
@@ -495,7 +512,8 @@ def _looked_up(batch, coder: Coder, most: int = 1 << 17) -> Iterator:
             own: dict[str, int] = {}
             which[row] = [own.setdefault(w, len(own)) for p in places[some].tolist() for w in coder.outside[p]]
             rest[row] = list(own)
-        marks = np.array([xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts[first:to]], dtype=np.uint64).view(np.int64)
+        keys = batch.column(0).slice(first, to - first).to_pylist()
+        marks = np.array([xxh64_intdigest(f"{k}:{t}".encode("utf-8", "surrogatepass")) for k, t in zip(keys, texts[first:to])], dtype=np.uint64).view(np.int64)
         listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])[rows], pa.int32()), pa.array(ids, pa.int16()))
         columns = [batch.column(0).slice(first, to - first), pa.array(marks), listed, pa.array(which, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(columns, names=["key", "mark", "ids", "which", "rest"])
@@ -519,6 +537,16 @@ def _parts(groups, values) -> tuple[list[int], list]:
     return groups[np.concatenate([[0], cuts])].tolist(), np.split(values, cuts)
 
 
+def _rest_words(batches: Iterator) -> Iterator:
+    """``mark, word``: each text's distinct words outside the head."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        rest = batch.column("rest")
+        yield pa.RecordBatch.from_arrays([batch.column("mark").take(pc.list_parent_indices(rest)), pc.list_flatten(rest)], names=["mark", "word"])
+
+
 def _filled(part: tuple, key: str):
     """``key, ids`` with the ids of a row's words outside the head in their places."""
     import numpy as np
@@ -528,12 +556,12 @@ def _filled(part: tuple, key: str):
     ids = _numbers(batch.column("ids").flatten(), np.int32)
     ends = np.cumsum(sizes)
     lists = []
-    for row, (which, told) in enumerate(zip(batch.column("which").to_pylist(), batch.column("told").to_pylist())):
+    for row, (which, rest, told) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("which", "rest", "told")))):
         own = ids[ends[row] - sizes[row] : ends[row]]
         if which:
-            at = np.flatnonzero(own < 0)
-            cuts = np.split(own, at)
-            own = np.concatenate([cuts[0], *(x for w, c in zip(which, cuts[1:]) for x in (np.array(told[w], dtype=np.int32), c[1:]))])
+            answers = {t["word"]: np.array(t["ids"], dtype=np.int32) for t in told}
+            cuts = np.split(own, np.flatnonzero(own < 0))
+            own = np.concatenate([cuts[0], *(x for w, c in zip(which, cuts[1:]) for x in (answers[rest[w]], c[1:]))])
         lists.append(own)
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
     return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else ids, pa.int32()))], names=[key, "ids"])
