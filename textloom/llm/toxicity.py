@@ -77,9 +77,6 @@ class Index(NamedTuple):
     forward_weights: object
     lengths: object  # (examples,) length of the common part
     block_lengths: object  # (blocks,) largest of them
-    class_weight: tuple[float, float]
-    base: float
-    knots: tuple[object, object]  # raw vote -> calibrated score
 
 
 def spans(starts, sizes):
@@ -157,7 +154,7 @@ def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> I
         np.searchsorted(cut_terms, np.arange(len(terms) + 1)).astype(np.int32), (owner[rare][cuts] // block).astype(np.int32), cut_max,
         np.append(cuts, len(rare)).astype(np.int32), owner[rare].astype(np.int32), value[rare],
         np.searchsorted(owner[wide], np.arange(len(ids) + 1)).astype(np.int32), common[term[wide]], value[wide],
-        lengths, padded.reshape(blocks, block).max(axis=1) if blocks else np.zeros(0), (1.0, 1.0), 0.0, ((0.0, 1.0), (0.0, 1.0)),
+        lengths, padded.reshape(blocks, block).max(axis=1) if blocks else np.zeros(0),
     )
 
 
@@ -210,12 +207,59 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
     return list(zip(cosines[best].tolist(), near[best].tolist())), read
 
 
-def vote(index: Index, near: list[tuple[float, int]]) -> float:
+class Packed:
+    """The sampled examples as compressed bytes, some megabytes; a Python worker builds the index from them once."""
+
+    def __init__(self, ids, toxic, texts, lists: list, counts: list):
+        import pickle
+        import zlib
+
+        import numpy as np
+
+        flat = np.concatenate([np.asarray(x, dtype=np.uint64) for x in lists]) if len(lists) else np.zeros(0, dtype=np.uint64)
+        terms, term = np.unique(flat, return_inverse=True)
+        sizes, parts, tf = [len(x) for x in lists], [], []
+        for e, n, c in zip(np.cumsum(sizes), sizes, counts):  # ascending terms as differences
+            own = term[e - n : e]
+            order = np.argsort(own)
+            parts.append(np.diff(own[order], prepend=0))
+            tf.append(np.asarray(c)[order])
+        whole = [np.concatenate(x).astype(np.uint32) if x else np.zeros(0, dtype=np.uint32) for x in (parts, tf)]
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T) for x in whole]
+        self.data = zlib.compress(pickle.dumps((np.asarray(ids), np.asarray(toxic), np.asarray(texts), terms, sizes, planes)), 6)
+
+    def index(self) -> Index:
+        import pickle
+        import zlib
+
+        import numpy as np
+
+        if not hasattr(self, "_index"):
+            ids, toxic, texts, terms, sizes, planes = pickle.loads(zlib.decompress(self.data))
+            steps, tf = (np.ascontiguousarray(p.T).view(np.uint32).ravel() for p in planes)
+            cuts = np.cumsum(sizes)[:-1]
+            split = lambda x: np.split(x, cuts) if len(sizes) else []
+            self._index = build(ids, toxic, texts, [terms[np.cumsum(s)] for s in split(steps.astype(np.int64))], split(tf))
+        return self._index
+
+    def __getstate__(self):
+        return {"data": self.data}
+
+
+class Model(NamedTuple):
+    examples: object  # broadcast of ``Packed``
+    n_examples: int
+    class_weight: tuple[float, float]
+    base: float
+    knots: tuple[object, object]  # raw vote -> calibrated score
+
+
+def vote(index: Index, near: list[tuple[float, int]], class_weight: tuple[float, float], base: float) -> float:
     """Cosine-weighted share of toxic neighbours, classes weighted as in all training labels, with the base rate beside them."""
-    yes = sum(c * index.class_weight[1] for c, j in near if index.toxic[j])
-    no = sum(c * index.class_weight[0] for c, j in near if not index.toxic[j])
-    prior = PRIOR * min(index.class_weight)
-    return (yes + prior * index.base) / (yes + no + prior)
+    yes = sum(c * class_weight[1] for c, j in near if index.toxic[j])
+    no = sum(c * class_weight[0] for c, j in near if not index.toxic[j])
+    prior = PRIOR * min(class_weight)
+    return (yes + prior * base) / (yes + no + prior)
 
 
 def isotonic(x, y, w) -> tuple[list[float], list[float]]:
@@ -265,28 +309,29 @@ def _counted(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "digest", "hashes", "counts"])
 
 
-def fit(labels: DataFrame, docs: DataFrame, k: int = NEIGHBOURS, toxic: int = TOXIC_EXAMPLES, clean: int = CLEAN_EXAMPLES) -> Index:
+def fit(labels: DataFrame, docs: DataFrame, k: int = NEIGHBOURS, toxic: int = TOXIC_EXAMPLES, clean: int = CLEAN_EXAMPLES) -> Model:
     import numpy as np
 
+    context = docs.sparkSession.sparkContext
     examples, totals = training_sample(labels, docs, toxic, clean)
-    spread = examples.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    packed = spread.mapInArrow(_counted, "doc_id long, toxic int, digest long, hashes binary, counts binary").orderBy("doc_id").toArrow()  # as many rows as the sample, at most
+    packed = examples.mapInArrow(_counted, "doc_id long, toxic int, digest long, hashes binary, counts binary").toArrow().sort_by("doc_id")  # as many rows as the sample, at most
     column = lambda c, kind: [np.frombuffer(x, kind) for x in packed.column(c).to_pylist()]
-    index = build(
-        packed.column("doc_id").to_numpy(), packed.column("toxic").to_numpy() == 1, packed.column("digest").to_numpy().view(np.uint64), column("hashes", "<u8"), column("counts", "<u4")
-    )
-    n = {c: int((index.toxic == bool(c)).sum()) for c in (0, 1)}
+    is_toxic = packed.column("toxic").to_numpy() == 1
+    sent = Packed(packed.column("doc_id").to_numpy(), is_toxic, packed.column("digest").to_numpy().view(np.uint64), column("hashes", "<u8"), column("counts", "<u4"))
+    n = {c: int((is_toxic == bool(c)).sum()) for c in (0, 1)}
+    del packed
     every = sum(totals.values())
-    index = index._replace(class_weight=tuple(totals.get(c, 0) / n[c] if n[c] else 1.0 for c in (0, 1)), base=totals.get(1, 0) / every if every else 0.0)
-    if not len(index.ids):
-        return index
-    raw = score(spread, index, ("toxic",), k=k).select("toxic", "score").toArrow()
+    weight = tuple(totals.get(c, 0) / n[c] if n[c] else 1.0 for c in (0, 1))
+    model = Model(context.broadcast(sent), len(is_toxic), weight, totals.get(1, 0) / every if every else 0.0, ((0.0, 1.0), (0.0, 1.0)))
+    if not len(is_toxic):
+        return model
+    raw = score(examples.repartition(context.defaultParallelism, "doc_id"), model, ("toxic",), k=k).select("toxic", "score").toArrow()
     labels_of = raw.column("toxic").to_pylist()
-    x, y = isotonic(raw.column("score").to_pylist(), [float(t) for t in labels_of], [index.class_weight[t] for t in labels_of])
-    return index._replace(knots=(np.array(x), np.clip(np.array(y), 0.001, 0.999)))
+    x, y = isotonic(raw.column("score").to_pylist(), [float(t) for t in labels_of], [weight[t] for t in labels_of])
+    return model._replace(knots=(np.array(x), np.clip(np.array(y), 0.001, 0.999)))
 
 
-def score(df: DataFrame, index: Index, columns: Sequence[str] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS, most: int = 50_000, words: int = 300_000) -> DataFrame:
+def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS, most: int = 50_000, words: int = 300_000) -> DataFrame:
     """``columns, score, evidence``: one row an input row; evidence is an array of (example id, cosine, toxic), nearest first.
 
     The named columns pass through the batches as they are; a ``score`` or ``evidence`` among them would clash and is an error.
@@ -294,14 +339,14 @@ def score(df: DataFrame, index: Index, columns: Sequence[str] = ("doc_id",), tex
     """
     if {"score", "evidence"} & set(columns):
         raise ValueError("the columns can't be named score or evidence")
-    sent = df.sparkSession.sparkContext.broadcast(index)
+    sent, class_weight, base, knots = model.examples, model.class_weight, model.base, model.knots
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        index, places, cached = sent.value, {}, {}
+        index, places, cached = sent.value.index(), {}, {}
         evidence = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
 
         def learn(unknown: list[str]) -> None:
@@ -322,11 +367,11 @@ def score(df: DataFrame, index: Index, columns: Sequence[str] = ("doc_id",), tex
             tf, at = tf[order], at[order]
             weights = weighed(tf, index.weight[at])
             if not weights.any():
-                return index.base, []
+                return base, []
             same = np.searchsorted(index.texts, np.uint64(mark))
             without = int(index.first[same]) if same < len(index.texts) and index.texts[same] == mark else -1
             near, _ = nearest(index, at, weights, k, without)
-            return float(np.interp(vote(index, near), *index.knots)), [{"example": int(index.ids[j]), "cosine": c, "toxic": bool(index.toxic[j])} for c, j in near]
+            return float(np.interp(vote(index, near, class_weight, base), *knots)), [{"example": int(index.ids[j]), "cosine": c, "toxic": bool(index.toxic[j])} for c, j in near]
 
         for batch in batches:
             scores, proofs = [], []
