@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,4 +78,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it acts when the driver collects garbage."""
     gc.collect()
+    time.sleep(2)  # the gateway lets go of what Python has collected about once a second
     spark.sparkContext._jvm.System.gc()

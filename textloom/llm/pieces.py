@@ -43,7 +43,6 @@ LONGEST = 62
 HEAD_WORDS = 1 << 20
 #: Steps of the count, per doubling, by which the head is cut off.
 STEPS = 8
-LETTER = r"[^\W\d_]"
 
 
 class Model(NamedTuple):
@@ -56,13 +55,15 @@ class Model(NamedTuple):
 
     def openers(self) -> str:
         """Signs that no piece has behind a letter: a word can be cut between a letter and one of these."""
-        behind = {b for p in self.known() for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
+        behind = {b for p in self.known() for a, b in zip(p, p[1:]) if a.isalpha()}
         return "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~" if c not in behind)
 
     def cutter(self) -> Callable[[str], list[str]]:
         """A function that cuts a text, with spaces for U+2581 and the first one in its place, into words."""
         signs = "".join(f"\\{c}" for c in self.openers())
-        first = f" *(?:(?!{LETTER})[^ \n])*{LETTER}++(?=[{signs}])|" if signs else ""
+        odd = "".join(sorted({c for p in self.known() for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
+        letter = rf"[^\W\d_{odd}]"  # of what the class has beside letters, no other character is in a piece
+        first = f" *(?:(?!{letter})[^ \n])*{letter}++(?=[{signs}])|" if signs else ""
         return re.compile(f"{first} *[^ \n]+| +|\n").findall
 
     def late(self) -> set[str]:
@@ -390,44 +391,37 @@ class Head:
 
 
 class Coder:
-    """Looks up the parts of texts, and keeps what distinct parts come to: ids, with -1 for each word outside the head, and those words."""
+    """Looks up the parts of texts, and keeps what distinct parts come to: a number for each word, its place in the head and one, or 0 outside."""
 
-    def __init__(self, model: Model, head: Head, most: int = 1 << 17):
+    def __init__(self, model: Model, head: Head, most: int = 1 << 18):
         self.cutter, self.head, self.most = Cutter(model), head, most
         self._forget()
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
         self.outside: dict[int, list[str]] = {}
-        self.starts, self.sizes, self.ids, self.used = [], [], [], 0
+        self.starts, self.sizes, self.words, self.used = [], [], [], 0
 
     def _learn(self, parts: list[str]) -> None:
         import numpy as np
 
-        words = [self.cutter.words(p) for p in parts]
+        words = list(map(self.cutter.words, parts))
         flat = [w for x in words for w in x]
-        at = self.head.find(flat)
-        _, _, _, starts, lengths, ids = self.head.opened()
-        missing = at < 0
-        # the last id is -1, for a word outside the head
-        n = np.where(missing, 1, lengths[at] if len(lengths) else 1).astype(np.int64)
-        first = np.where(missing, len(ids), starts[at] if len(starts) else 0).astype(np.int64)
-        ends = np.cumsum(n)
-        found = np.append(ids, -1)[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        of_part = np.cumsum([len(x) for x in words])
-        ends = np.concatenate([[0], ends])[np.concatenate([[0], of_part])]
+        at = (self.head.find(flat) + 1).astype(np.int32)
+        sizes = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
+        ends = np.cumsum(sizes)
         base = len(self.places)
         self.places.update(zip(parts, range(base, base + len(parts))))
-        for p in np.unique(np.searchsorted(of_part, np.flatnonzero(missing), "right")).tolist():
-            b = int(of_part[p])
-            self.outside[base + p] = [w for w, m in zip(words[p], missing[b - len(words[p]) : b]) if m]
-        self.starts.append(ends[:-1] + self.used)
-        self.sizes.append(np.diff(ends))
-        self.ids.append(found)
-        self.used += len(found)
+        missing = np.flatnonzero(at == 0)
+        for p, i in zip(np.searchsorted(ends, missing, "right").tolist(), missing.tolist()):
+            self.outside.setdefault(base + p, []).append(flat[i])
+        self.starts.append(ends - sizes + self.used)
+        self.sizes.append(sizes)
+        self.words.append(at)
+        self.used += len(at)
 
     def __call__(self, parts: list[str]):
-        """(ids of all parts, ids of each part, place of each part)"""
+        """(numbers of all words, number of words of each part, place of each part)"""
         import numpy as np
 
         if len(self.places) > self.most:
@@ -439,13 +433,13 @@ class Coder:
             for i in missing:
                 found[i] = self.places[parts[i]]
         if len(self.starts) > 1:
-            self.starts, self.sizes, self.ids = ([np.concatenate(x)] for x in (self.starts, self.sizes, self.ids))
+            self.starts, self.sizes, self.words = ([np.concatenate(x)] for x in (self.starts, self.sizes, self.words))
         places = np.array(found, dtype=np.int64)
         if not len(parts):
-            return np.zeros(0, np.int16), places, places
-        n = self.sizes[0][places]
+            return np.zeros(0, np.int32), places, places
+        n = self.sizes[0][places].astype(np.int64)
         ends = np.cumsum(n)
-        return self.ids[0][np.repeat(self.starts[0][places] - (ends - n), n) + np.arange(ends[-1])], n, places
+        return self.words[0][np.repeat(self.starts[0][places] - (ends - n), n) + np.arange(ends[-1])], n, places
 
 
 def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, decoded: bool = False) -> DataFrame:
@@ -459,7 +453,7 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     release(spark)
     known = known.select(F.translate("word", SPACE, " ").alias("word"), "ids", "n")
     in_head = head_of(known, head_words)
-    sent = _sent(spark, known.filter(in_head).select("word", F.col("ids").cast("array<smallint>").alias("ids")))
+    sent = _sent(spark, known.filter(in_head).select("word", F.col("ids").cast("array<smallint>").alias("ids"), "n"))
 
     def look_up(batches: Iterator) -> Iterator:
         coder = Coder(model, sent.value)
@@ -467,14 +461,14 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
             yield from _looked_up(part, texts, coder)
 
     # both readers of this exchange take all of its columns, so that it is made once
-    coded = rows.mapInArrow(look_up, f"key {kind}, mark long, ids array<smallint>, which array<int>, rest array<string>").repartition("mark")
+    coded = rows.mapInArrow(look_up, f"key {kind}, mark long, words binary, which array<int>, rest array<string>").repartition("mark")
     asked = coded.mapInArrow(_rest_words, "mark long, word string")
     answered = asked.join(known.filter(~in_head).select("word", "ids"), "word").groupBy("mark").agg(F.collect_set(F.struct("word", "ids")).alias("told"))
-    whole = coded.join(answered.hint("shuffle_hash"), "mark", "left").select("key", "ids", "which", "rest", "told")
+    whole = coded.join(answered.hint("shuffle_hash"), "mark", "left").select("key", "words", "which", "rest", "told")
     texts = _decoder(spark, model, "ids") if decoded else None
 
     def fill(batches: Iterator) -> Iterator:
-        filled = (_filled(part, key) for batch in batches for part in _slices(batch, "ids"))
+        filled = (_filled(batch.slice(at, 1024), sent.value, key) for batch in batches for at in range(0, batch.num_rows, 1024))
         yield from texts(filled) if texts else filled
 
     return whole.mapInArrow(fill, f"`{key}` {kind}, ids array<int>" + (", decoded string" if decoded else ""))
@@ -484,15 +478,32 @@ def _sent(spark: SparkSession, head: DataFrame):
     """The head as a broadcast Arrow stream; at most ``head_words`` short rows."""
     import pyarrow as pa
 
-    table = head.toArrow()
+    table = head.toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n")  # so that common words have small places
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     return spark.sparkContext.broadcast(Head(sink.getvalue().to_pybytes()))
 
 
+def _pressed(numbers) -> bytes:
+    """Numbers under 2**24, byte by byte, compressed: a text's words take about 13 bits each."""
+    import numpy as np
+    import zstandard
+
+    planes = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpressed(data: bytes):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(3, -1)
+    return planes[0] + (planes[1].astype(np.int32) << 8) + (planes[2].astype(np.int32) << 16)
+
+
 def _looked_up(batch, texts: list, coder: Coder, most: int = 1 << 17) -> Iterator:
-    """Rows ``key, mark, ids`` (-1 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``.
+    """Rows ``key, mark, words`` (numbers, 0 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``.
 
     ``mark`` is a hash of id and text, so that copies of a text are spread. Texts that share one share their answers, which
     are found by word: that is harmless.
@@ -504,7 +515,7 @@ def _looked_up(batch, texts: list, coder: Coder, most: int = 1 << 17) -> Iterato
     first, parts, sizes = 0, [], []
 
     def out(to: int) -> pa.RecordBatch:
-        ids, n, places = coder(parts)
+        words, n, places = coder(parts)
         rows = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         which, rest = [[] for _ in sizes], [[] for _ in sizes]
         odd = np.flatnonzero(np.isin(places, np.fromiter(coder.outside, dtype=np.int64, count=len(coder.outside))))
@@ -514,9 +525,10 @@ def _looked_up(batch, texts: list, coder: Coder, most: int = 1 << 17) -> Iterato
             rest[row] = list(own)
         keys = batch.column(0).slice(first, to - first).to_pylist()
         marks = np.array([xxh64_intdigest(f"{k}:{t}".encode("utf-8", "surrogatepass")) for k, t in zip(keys, texts[first:to])], dtype=np.uint64).view(np.int64)
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])[rows], pa.int32()), pa.array(ids, pa.int16()))
-        columns = [batch.column(0).slice(first, to - first), pa.array(marks), listed, pa.array(which, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "mark", "ids", "which", "rest"])
+        ends = np.concatenate([[0], np.cumsum(n)])[rows]
+        pressed = pa.array([_pressed(words[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        columns = [batch.column(0).slice(first, to - first), pa.array(marks), pressed, pa.array(which, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "mark", "words", "which", "rest"])
 
     for i, text in enumerate(texts):
         found = coder.cutter.parts(text) if text else []
@@ -547,24 +559,32 @@ def _rest_words(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column("mark").take(pc.list_parent_indices(rest)), pc.list_flatten(rest)], names=["mark", "word"])
 
 
-def _filled(part: tuple, key: str):
-    """``key, ids`` with the ids of a row's words outside the head in their places."""
+def _filled(batch, head: Head, key: str):
+    """``key, ids``: the ids of each row's words, from the head or from the row's answers."""
     import numpy as np
     import pyarrow as pa
 
-    batch, sizes = part
-    ids = _numbers(batch.column("ids").flatten(), np.int32)
-    ends = np.cumsum(sizes)
-    lists = []
-    for row, (which, rest, told) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("which", "rest", "told")))):
-        own = ids[ends[row] - sizes[row] : ends[row]]
+    *_, starts, lengths, flat = head.opened()
+    numbers = [_unpressed(w) for w in batch.column("words").to_pylist()]
+    # the batch's answers lie behind the head; a word outside the head gets the place of its answer
+    answers, pool = [], len(lengths)
+    for words, which, rest, told in zip(numbers, *(batch.column(c).to_pylist() for c in ("which", "rest", "told"))):
+        words -= 1
         if which:
-            answers = {t["word"]: np.array(t["ids"], dtype=np.int32) for t in told}
-            cuts = np.split(own, np.flatnonzero(own < 0))
-            own = np.concatenate([cuts[0], *(x for w, c in zip(which, cuts[1:]) for x in (answers[rest[w]], c[1:]))])
-        lists.append(own)
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else ids, pa.int32()))], names=[key, "ids"])
+            known = {t["word"]: t["ids"] for t in told}
+            words[words < 0] = np.array(which) + pool
+            answers += [known[w] for w in rest]
+            pool += len(rest)
+    sizes = np.concatenate([lengths, np.fromiter(map(len, answers), dtype=np.int64, count=len(answers))])
+    own = np.array([i for x in answers for i in x], dtype=np.int32)
+    more = sizes[len(lengths) :]
+    begins = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
+    at = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
+    n = sizes[at].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    ids = np.concatenate([flat.astype(np.int32), own])[np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])]
+    offsets = ends[np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[key, "ids"])
 
 
 def _decoder(spark: SparkSession, model: Model, ids: str):
