@@ -353,12 +353,12 @@ def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), tex
             hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in unknown], dtype=np.uint64)
             at = np.minimum(np.searchsorted(index.terms, hashes), max(len(index.terms) - 1, 0))
             known = index.terms[at] == hashes if len(index.terms) else np.zeros(len(unknown), dtype=bool)
-            if len(places) > words:
-                places.clear()
             places.update(zip(unknown, np.where(known, at, -1).tolist()))
 
         def judge(t: str | None, mark: int):
             counts = words_in(t)
+            if len(places) > words:
+                places.clear()
             learn([w for w in counts if w not in places])
             at = np.fromiter((places[w] for w in counts), dtype=np.int64, count=len(counts))
             tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
