@@ -5,12 +5,11 @@ bound is a parameter) is the index's collection, and all its words span the vect
 (1 + ln tf) * idf, times the root of the log-likelihood ratio of the two classes: a factor, not a cut, so that words that
 tell the classes apart count most and those that don't count little. Vectors have length one. Words are known by XXH64.
 
-Search. Examples lie in blocks of ``BLOCK``. Words in under a quarter of the examples are rare: each has postings, cut by blocks, and for each of its blocks the largest weight. The others would be in every block's bound; they lie in forward
-lists, and their share of a cosine is at most the product of the two lengths (Cauchy-Schwarz). The sum of a text's weights
-times the maxima, plus that product for the block's longest one, bounds the cosine with any example of the block. Blocks
-are visited by falling bound: ``FIRST`` of them, then those whose bound reaches the k-th best cosine so far; other blocks'
-postings aren't read. In a visited block an example's forward list is read only if its own bound reaches that
-cosine. The k nearest are exact; ties go to the smaller example id.
+Search. Examples lie in blocks of ``BLOCK``. Words in under a quarter of the examples are rare: each has postings, cut by
+blocks, and for each of its blocks the largest weight. The few others are in every block; their part of all cosines is one
+product of a dense table. The sum of a text's weights times the maxima, plus the largest such part in the block, bounds the
+cosine with any example of the block. Blocks are visited by falling bound: ``FIRST`` of them, then those whose bound reaches
+the k-th best cosine so far; other blocks' postings aren't read. The k nearest are exact; ties go to the smaller example id.
 
 Score. Cosine-weighted votes of the k nearest, each class weighted by its share of all training labels, are calibrated by
 isotonic regression on the examples' own votes. Of the examples with the very same text as the scored one, the first (by
@@ -72,11 +71,7 @@ class Index(NamedTuple):
     cut_starts: object  # (cuts + 1,) into the postings
     postings: object  # examples
     posting_weights: object
-    forward_starts: object  # (examples + 1,) into the forward lists of common words
-    forward: object  # places among the common words
-    forward_weights: object
-    lengths: object  # (examples,) length of the common part
-    block_lengths: object  # (blocks,) largest of them
+    table: object  # (examples filled up to whole blocks, common words) weights
 
 
 def spans(starts, sizes):
@@ -143,18 +138,15 @@ def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> I
     cut_terms = term[rare][cuts]
     cut_max = np.maximum.reduceat(value[rare], cuts) if len(cuts) else np.zeros(0)
     wide = np.flatnonzero(is_common[term])
-    wide = wide[np.lexsort((term[wide], owner[wide]))]
-    lengths = np.sqrt(np.bincount(owner[wide], weights=value[wide] ** 2, minlength=len(ids)))
-    padded = np.zeros(blocks * block)
-    padded[: len(ids)] = lengths
+    dense = np.zeros((blocks * block, int(is_common.sum())))
+    dense[owner[wide], common[term[wide]]] = value[wide]
     by_text = np.lexsort((ids, texts))
     known, at = np.unique(texts[by_text], return_index=True)
     return Index(
         terms, weight, ids, toxic, known, by_text[at], common, int(is_common.sum()),
         np.searchsorted(cut_terms, np.arange(len(terms) + 1)).astype(np.int32), (owner[rare][cuts] // block).astype(np.int32), cut_max,
         np.append(cuts, len(rare)).astype(np.int32), owner[rare].astype(np.int32), value[rare],
-        np.searchsorted(owner[wide], np.arange(len(ids) + 1)).astype(np.int32), common[term[wide]], value[wide],
-        lengths, padded.reshape(blocks, block).max(axis=1) if blocks else np.zeros(0),
+        dense,
     )
 
 
@@ -169,11 +161,12 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
     rare, own = at[common < 0], weights[common < 0]
     asked = np.zeros(index.n_common)
     asked[common[common >= 0]] = weights[common >= 0]
-    length = np.sqrt((asked * asked).sum())
+    shared = index.table @ asked
+    blocks_of = shared.reshape(-1, block)
     sizes = index.term_starts[rare + 1] - index.term_starts[rare]
     cuts, factor = spans(index.term_starts[rare], sizes), np.repeat(own, sizes)
     blocks = index.cut_block[cuts]
-    bounds = np.bincount(blocks, weights=factor * index.cut_max[cuts], minlength=len(index.block_lengths)).astype(np.float64) + length * index.block_lengths
+    bounds = np.bincount(blocks, weights=factor * index.cut_max[cuts], minlength=len(blocks_of)) + blocks_of.max(axis=1, initial=0.0)
     order = np.argsort(-bounds, kind="stable")
     order = order[bounds[order] > 0]
     held, found, edge, read = [], [], 0.0, 0
@@ -182,20 +175,15 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
         if not len(visited):
             break
         read += len(visited)
-        live = np.zeros(len(index.block_lengths), dtype=bool)
+        live = np.zeros(len(blocks_of), dtype=bool)
         live[visited] = True
         mine = live[blocks]
         first = index.cut_starts[cuts[mine]]
         sizes = index.cut_starts[cuts[mine] + 1] - first
         p = spans(first, sizes)
-        part = np.bincount(index.postings[p], weights=np.repeat(factor[mine], sizes) * index.posting_weights[p], minlength=len(index.ids)).astype(np.float64)
-        near = np.flatnonzero(np.repeat(live, block)[: len(index.ids)] & (part + length * index.lengths >= max(edge - 1e-9, 1e-12)))
-        if length > 0 and len(near):
-            first = index.forward_starts[near]
-            sizes = index.forward_starts[near + 1] - first
-            p = spans(first, sizes)
-            part[near] += np.bincount(np.repeat(np.arange(len(near)), sizes), weights=asked[index.forward[p]] * index.forward_weights[p], minlength=len(near))
-        near = near[(part[near] > 1e-12) & (near != without)]
+        part = np.bincount(index.postings[p], weights=np.repeat(factor[mine], sizes) * index.posting_weights[p], minlength=len(index.ids)) + shared[: len(index.ids)]
+        near = np.flatnonzero(part >= max(edge - 1e-9, 1e-12))
+        near = near[live[near // block] & (near != without)]
         held.append(near)
         found.append(np.round(part[near], 12))
         best = np.concatenate(found)
