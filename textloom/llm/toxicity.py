@@ -374,7 +374,8 @@ def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), tex
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), pa.array(proofs, evidence)], names=[*columns, "score", "evidence"])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
-    rows = df.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias("text"))
+    name = "text" + "_" * (1 + max(map(len, columns), default=0))  # longer than any of the columns
+    rows = df.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias(name))
     return rows.mapInArrow(run, f"{kinds}score double, evidence array<struct<example: bigint, cosine: double, toxic: boolean>>")
 
 
