@@ -1 +1 @@
-
+"""Column functions: text, scores, fuzzy evidence."""

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import archive_sql
+from textloom.plans import archive_queries, archive_sql
 from textloom.sources import archive
 
 
 def spark_text(name: str) -> str:
     q = archive_sql.QUERIES[name]
-    return (q if isinstance(q, str) else q[0]).replace("WITH_CTE", "WITH").replace("'_'{g}", "'_'")
+    return (q if isinstance(q, str) else q[0]).replace("WITH_CTE", "WITH").replace("'_'{g}", "'_'").replace(" // ", " div ")
 
 
 def duckdb_text(name: str) -> str:
@@ -26,15 +26,14 @@ def duckdb_text(name: str) -> str:
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        archive.register(spark, sf_dir)
-        return spark.sql(spark_text(name))
+        return archive.query(spark, sf_dir, spark_text(name))
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in archive_sql.QUERIES}
+    return {name: _query(name) for name in archive_sql.QUERIES} | archive_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duckdb_text(name) for name in archive_sql.QUERIES}
+    return {name: duckdb_text(name) for name in archive_sql.QUERIES} | archive_queries.ORACLE_SQL
