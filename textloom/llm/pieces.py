@@ -32,6 +32,7 @@ import struct
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from .common import release, table, written
 
 SPACE = "▁"
 LONGEST = 62
-#: Bound of the broadcast word table: about 25 MB sent, 50 MB in a Python worker.
-HEAD_WORDS = 1 << 20
+#: Bound of the broadcast word table: about 12 MB sent, 25 MB in a Python worker.
+HEAD_WORDS = 1 << 19
 #: Steps of the count, per doubling, by which the head is cut off.
 STEPS = 8
 
@@ -255,11 +256,11 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     plain = "transform(taken, x -> CAST(x & 1048575 AS INT) - 1)"
     ids = F.expr(f"CASE WHEN forall(taken, x -> (x & 1048575) > 0) THEN {plain} ELSE flatten(transform(taken, x -> CASE WHEN (x & 1048575) > 0 THEN array(CAST(x & 1048575 AS INT) - 1) ELSE {octets} END)) END")
 
-    @F.pandas_udf("array<int>")
-    def by_hand(word):
-        known = model.known() if word.notna().any() else {}
+    @F.arrow_udf("array<int>")
+    def by_hand(word: pa.Array) -> pa.Array:
+        known = model.known() if word.null_count < len(word) else {}
         one = unigram_word if model.unigram else bpe_word
-        return word.map(lambda w: one(model, known, w), na_action="ignore")
+        return pa.array([None if w is None else one(model, known, w) for w in word.to_pylist()], pa.list_(pa.int32()))
 
     return taken.select("word", *(f"own.`{c}`" for c in rest), F.when(fits, ids).otherwise(by_hand(F.when(~fits, F.col("word")))).alias("ids"))
 
@@ -311,13 +312,12 @@ def _texts(batches: Iterator, column: int, rows: int = 256) -> Iterator:
             yield part, part.column(column).to_pylist()
 
 
-def _count_words(model: Model, most: int = 1 << 17):
+def _count_words(model: Model, most: int = 1 << 16):
     """A function over batches of texts: ``word, n`` of a partition, in parts of about ``most`` distinct words."""
 
     def run(batches: Iterator) -> Iterator:
         from collections import Counter
 
-        import pyarrow as pa
 
         cutter, parts = Cutter(model), Counter()
 
@@ -361,7 +361,6 @@ class Head:
     def opened(self) -> tuple:
         """(this worker's hashes of the words, ascending, their places, the words, starts, lengths, ids)"""
         import numpy as np
-        import pyarrow as pa
 
         if not hasattr(self, "_opened"):
             table = pa.ipc.open_stream(self.stream).read_all()
@@ -373,12 +372,12 @@ class Head:
             order, offsets = np.argsort(hashes).astype(np.int32), _numbers(ids.offsets, np.int32)
             self._opened = (hashes[order], order, words, offsets[:-1], np.diff(offsets).astype(np.int16), _numbers(ids.values, np.int16))
             del self.stream
+            pa.default_memory_pool().release_unused()
         return self._opened
 
     def find(self, words: list[str]):
         """The place of each word, or -1."""
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         hashes, places, known, *_ = self.opened()
@@ -393,7 +392,7 @@ class Head:
 class Coder:
     """Looks up the parts of texts, and keeps what distinct parts come to: a number for each word, its place in the head and one, or 0 outside."""
 
-    def __init__(self, model: Model, head: Head, most: int = 1 << 18):
+    def __init__(self, model: Model, head: Head, most: int = 1 << 17):
         self.cutter, self.head, self.most = Cutter(model), head, most
         self._forget()
 
@@ -476,7 +475,6 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
 
 def _sent(spark: SparkSession, head: DataFrame):
     """The head as a broadcast Arrow stream; at most ``head_words`` short rows."""
-    import pyarrow as pa
 
     table = head.toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n")  # so that common words have small places
     sink = pa.BufferOutputStream()
@@ -509,7 +507,6 @@ def _looked_up(batch, texts: list, coder: Coder, most: int = 1 << 17) -> Iterato
     are found by word: that is harmless.
     """
     import numpy as np
-    import pyarrow as pa
     from xxhash import xxh64_intdigest
 
     first, parts, sizes = 0, [], []
@@ -551,7 +548,6 @@ def _parts(groups, values) -> tuple[list[int], list]:
 
 def _rest_words(batches: Iterator) -> Iterator:
     """``mark, word``: each text's distinct words outside the head."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -562,7 +558,6 @@ def _rest_words(batches: Iterator) -> Iterator:
 def _filled(batch, head: Head, key: str):
     """``key, ids``: the ids of each row's words, from the head or from the row's answers."""
     import numpy as np
-    import pyarrow as pa
 
     *_, starts, lengths, flat = head.opened()
     numbers = [_unpressed(w) for w in batch.column("words").to_pylist()]
@@ -594,7 +589,6 @@ def _decoder(spark: SparkSession, model: Model, ids: str):
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         pieces = pa.array(sent.value, pa.large_binary())
         for batch, sizes in (part for whole in batches for part in _slices(whole, ids)):
