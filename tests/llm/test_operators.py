@@ -226,6 +226,22 @@ def test_inner_products(spark):
         hit += len({i for _, i in exact} & {g[1] for g in got})
     assert hit >= 0.9 * 20 * 30 and {r["query_id"] for r in found} == set(range(0, 600, 20))
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    few = spark.createDataFrame([(1, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0]), (5, [1.0, 0.0])], "id long, vector array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(few, few.filter("id = 2")).orderBy("rank").collect()]
+    assert got == [(1, 1, 2.0), (2, 1, 1.0), (3, 5, 1.0), (4, 3, 0.0)]
+
+
+def test_code_scan_equals_decoded_vectors():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for dim in (6, 7, 16):
+        width = 2 if dim % 2 == 0 else 1
+        book = ann.Codebook(rng.normal(size=(5, dim)), rng.normal(size=(dim // width, 16, width)))
+        near, scale, codes = ann.encode(book, rng.normal(size=(50, dim)))
+        packed = codes[:, 0::2] | np.pad(codes[:, 1::2], ((0, 0), (0, codes.shape[1] % 2))) << 4
+        q = rng.normal(size=(4, dim))
+        assert np.allclose(ann.scan_codes(book, q, near, scale, packed), q @ ann.decode(book, near, scale, codes).T, atol=1e-4)
 
 
 def test_token_file_round_trip(spark, docs, none, tmp_path):
