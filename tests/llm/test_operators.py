@@ -474,6 +474,35 @@ def test_block_max_is_exact_and_skips():
     assert sum(read) < 0.8 * 60 * blocks and sum(2 * r < blocks for r in read) >= 15
 
 
+def test_clashing_names(spark, docs):
+    extra = "_text _words _norm _units _best _lines _windows _sorted _starts _uses _use _position _positions _mixed_key key text_ n rank licenses score_ a.b".split()
+    odd = docs
+    for c in extra:
+        odd = odd.withColumn(c, F.lit(1))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(quality.quality_rules(odd).select("doc_id", "n_repeat_words", "kept")) == plain(quality.quality_rules(docs).select("doc_id", "n_repeat_words", "kept"))
+    assert plain(licenses.scan(odd).select("doc_id", "licenses")) == plain(licenses.scan(docs).select("doc_id", "licenses"))
+    assert plain(mixing.training_order(odd, mixing.mix(odd)).select(*docs.columns)) == plain(mixing.training_order(docs, mixing.mix(docs)))
+    assert sharding.assign_shards(odd, "a.b").select("shard").distinct().count() == 1
+    assert plain(simhash.dedup(odd)) == plain(simhash.dedup(docs)) and plain(simhash.near_duplicates(odd)) == plain(simhash.near_duplicates(docs))
+    assert plain(lm.score(odd)) == plain(lm.score(docs))
+    nulls = docs.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    assert quality.quality_rules(nulls).count() == licenses.scan(nulls).count() == mixing.mix(nulls).count() == sharding.assign_shards(nulls, "doc_id").count() == len(TEXTS)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(TEXTS))], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    nulls = docs.limit(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    for _, stage in corpus_pipeline.STAGES:
+        for given in (docs, none, docs.unionAll(docs), nulls):
+            out = stage(spark, given, str(tmp_path))
+            assert given is not none or out.count() == 0
+            assert set(r["doc_id"] for r in out.collect()) <= set(r["doc_id"] for r in given.collect())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

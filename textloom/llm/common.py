@@ -32,6 +32,14 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def fresh_mark(columns: list[str]) -> str:
+    """A prefix that no column's name begins with: for columns of an operator's own beside those of its input."""
+    mark = "_"
+    while any(c.startswith(mark) for c in columns):
+        mark += "_"
+    return mark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if there is only this machine."""
     conf = spark.sparkContext.getConf()

@@ -6,7 +6,9 @@ found. A unit and a template are compared by ``2 * |A & B| / (|A| + |B|)`` over
 of ``t`` or more needs ``t/(2-t) * |B| <= |A| <= (2-t)/t * |B|``; those size bounds prune the templates of a unit.
 
 Templates are a parameter (name and text, a few dozen rows in the plan as literals). There is no shuffle: a row is
-scanned alone. Null and empty texts have no licence. Ties go to the template whose name sorts first.
+scanned alone. Null and empty texts have no licence; very long ones are scanned whole. Ties go to the template whose name
+sorts first; repeated rows get equal results. Other columns pass through; one named ``licenses`` is replaced. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_mark, table
 
 THRESHOLD = 0.8
 
@@ -109,15 +111,15 @@ def scan(df: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPL
             for name, g in grams.items()
         )
     )
-    own = [F.col(f"`{c}`") for c in df.columns if c != "licenses"]
-    step = df.select(*own, normalised(F.col(f"`{text}`")).alias("_norm"))
-    units = F.array_distinct(F.concat(F.split("_norm", "\n"), F.split("_norm", r"\n *\n[ \n]*"), F.array(F.col("_norm"))))
-    step = step.select(*own, F.transform(units, lambda u: F.split(F.btrim(u, F.lit(" \n")), r"[ \n]+")).alias("_units"))
-    step = step.select(*own, F.filter("_units", lambda w: F.size(w) - 1 >= least).alias("_units"))
+    own, m = [F.col(f"`{c}`") for c in df.columns if c != "licenses"], fresh_mark(df.columns)
+    step = df.select(*own, normalised(F.col(f"`{text}`")).alias(f"{m}norm"))
+    units = F.array_distinct(F.concat(F.split(f"{m}norm", "\n"), F.split(f"{m}norm", r"\n *\n[ \n]*"), F.array(F.col(f"{m}norm"))))
+    step = step.select(*own, F.transform(units, lambda u: F.split(F.btrim(u, F.lit(" \n")), r"[ \n]+")).alias(f"{m}units"))
+    step = step.select(*own, F.filter(f"{m}units", lambda w: F.size(w) - 1 >= least).alias(f"{m}units"))
     bigrams = F.transform(
-        "_units", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b)))
+        f"{m}units", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b)))
     )
-    step = step.select(*own, F.filter(bigrams, lambda g: F.size(g).between(least, most)).alias("_units"))
+    step = step.select(*own, F.filter(bigrams, lambda g: F.size(g).between(least, most)).alias(f"{m}units"))
 
     def best(g: Column) -> Column:
         near = F.filter(known, lambda t: F.size(g).between(low * t["n"], high * t["n"]))
@@ -129,8 +131,8 @@ def scan(df: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPL
         )
         return F.array_min(scored)
 
-    step = step.select(*own, F.transform("_units", best).alias("_best"))
-    hits = F.filter("_best", lambda b: b["minus_dice"] <= -threshold)
+    step = step.select(*own, F.transform(f"{m}units", best).alias(f"{m}best"))
+    hits = F.filter(f"{m}best", lambda b: b["minus_dice"] <= -threshold)
     return step.select(*own, F.transform(F.sort_array(hits), lambda b: F.struct((-b["minus_dice"]).alias("dice"), b["license"].alias("license"), b["n_bigrams"].alias("n_bigrams"))).alias("licenses"))
 
 
@@ -147,7 +149,7 @@ WITH t(name, grams) AS (VALUES {_ROWS}),
 n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS norm FROM documents),
 u AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(norm, chr(10)), regexp_split_to_array(norm, '\n *\n[ \n]*'), [norm]))) AS unit FROM n),
 w AS (SELECT doc_id, row_number() OVER () AS k, regexp_split_to_array(trim(unit, ' ' || chr(10)), '[ \n]+') AS ws FROM u),
-g AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) BETWEEN 2 AND 5000),
+g AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) >= 2),
 s AS (SELECT doc_id, k, t.name, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice, len(g.grams) AS nb
       FROM g JOIN t ON len(g.grams) BETWEEN len(t.grams) * ({THRESHOLD / (2 - THRESHOLD)!r} - 1e-9) AND len(t.grams) * ({(2 - THRESHOLD) / THRESHOLD!r} + 1e-9)),
 b AS (SELECT * FROM s WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, name) = 1),

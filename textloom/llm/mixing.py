@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, word_count
+from .common import checkpointed, fresh_mark, table, word_count
 from .sharding import hash60
 
 WEIGHTS = (3, 1, 2)
@@ -122,18 +122,20 @@ def training_order(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> Da
     A document is used ``ceil(taken / size)`` times: the last use may be the one that the target cuts. Rows that repeat a
     key are used as often, and at the same positions, as the one with most uses.
     """
-    own = docs.columns
+    own, m = docs.columns, fresh_mark(docs.columns)
     most = F.max(F.struct(F.size("positions"), -F.col("position"), "positions"))["positions"]
-    used = mixed.filter(F.col("taken") > 0).groupBy(F.col(key).alias("_mixed_key")).agg(most.alias("_positions"))
-    joined = docs.join(used, F.col(f"`{key}`").eqNullSafe(F.col("_mixed_key")))
-    joined = joined.select(*(F.col(f"`{c}`") for c in own), F.posexplode("_positions").alias("_use", "_position"))
-    order = ("_position", "_use", F.col(f"`{key}`"))
+    used = mixed.filter(F.col("taken") > 0).groupBy(F.col(key).alias(f"{m}mixed_key")).agg(most.alias(f"{m}positions"))
+    joined = docs.join(used, F.col(f"`{key}`").eqNullSafe(F.col(f"{m}mixed_key")))
+    joined = joined.select(*(F.col(f"`{c}`") for c in own), F.posexplode(f"{m}positions").alias(f"{m}use", f"{m}position"))
+    order = (f"{m}position", f"{m}use", F.col(f"`{key}`"))
     return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in own))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    order = (F.col("position").asc_nulls_last(), F.col("doc_id"))  # documents in the order of training; those that aren't used come last
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 OP6_SQL = """

@@ -4,7 +4,9 @@ Measures of a text (length, symbol, stop-word and line ratios, repetition) are b
 and line arrays. ``RULES`` is the threshold table: each row bounds one measure. ``quality_rules`` compiles the table
 into one projection; a document is kept if it meets every bound. No user functions, no shuffle.
 
-A null text counts as an empty one. Ties can't occur: each row is judged alone, and repeated rows get equal results.
+A null text counts as an empty one; very long ones are measured whole. Ties can't occur: each row is judged alone, and
+repeated rows get equal results. Other columns pass through; those named like a measure or verdict are replaced. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import fresh_mark, table, words_of
 
 #: The commonest function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -67,41 +69,41 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     ``n_repeat_words`` is the number of words inside any window of eight words that occurs twice or more in the text.
     Windows are compared by a 64-bit hash, built by doubling. Each step is a projection of its own, so that an array is built once.
     """
-    own = [F.col(f"`{c}`") for c in df.columns]
+    own, m = [F.col(f"`{c}`") for c in df.columns], fresh_mark(df.columns)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    step = df.select(*own, t.alias("_text"), words_of(F.col(f"`{text}`")).alias("_words"))
-    drop = lambda pattern: F.regexp_replace(F.col("_text"), pattern, "")
+    step = df.select(*own, t.alias(f"{m}text"), words_of(F.col(f"`{text}`")).alias(f"{m}words"))
+    drop = lambda pattern: F.regexp_replace(F.col(f"{m}text"), pattern, "")
     step = step.select(
         *own,
-        F.size("_words").cast("long").alias("n_words"),
+        F.size(f"{m}words").cast("long").alias("n_words"),
         F.length(drop(r"[\x20\x09-\x0D]+")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length("_text") - F.length(F.translate("_text", "!?", ""))).cast("long").alias("n_marks"),
+        (F.length(f"{m}text") - F.length(F.translate(f"{m}text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length(f"{m}text") - F.length(F.translate(f"{m}text", "!?", ""))).cast("long").alias("n_marks"),
         F.length(drop(r"[^\p{Lu}]+")).cast("long").alias("n_upper"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "").alias("_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_windows"),
+        F.size(F.filter(f"{m}words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.filter(F.split(f"{m}text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "").alias(f"{m}lines"),
+        F.transform(f"{m}words", lambda w: F.xxhash64(w)).alias(f"{m}windows"),
     )
     counts = ["n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_stop_words"]
     for reach in (1, 2, 4):  # the hashes of 2, 4 and then 8 words from each word on
-        joined = F.transform("_windows", lambda h, i: F.xxhash64(h, F.get(F.col("_windows"), i + reach)))  # noqa: B023
+        joined = F.transform(f"{m}windows", lambda h, i: F.xxhash64(h, F.get(F.col(f"{m}windows"), i + reach)))  # noqa: B023
         if 2 * reach == WINDOW:
-            joined = F.slice(joined, F.lit(1), F.greatest(F.size("_windows") - (WINDOW - 1), F.lit(0)))
-        step = step.select(*own, *counts, "_lines", joined.alias("_windows"))
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    keyed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+            joined = F.slice(joined, F.lit(1), F.greatest(F.size(f"{m}windows") - (WINDOW - 1), F.lit(0)))
+        step = step.select(*own, *counts, f"{m}lines", joined.alias(f"{m}windows"))
+    repeated = F.size(F.array_distinct(f"{m}windows")) < F.size(f"{m}windows")
+    keyed = F.transform(f"{m}windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     step = step.select(
         *own,
         *counts,
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(repeated, F.sort_array(keyed)).alias("_sorted"),
+        F.size(f"{m}lines").cast("long").alias("n_lines"),
+        (F.size(f"{m}lines") - F.size(F.array_distinct(f"{m}lines"))).cast("long").alias("n_dup_lines"),
+        F.when(repeated, F.sort_array(keyed)).alias(f"{m}sorted"),
     )
     counts += ["n_lines", "n_dup_lines"]
-    at = lambda i: F.get(F.col("_sorted"), i)["h"]
-    twice = F.filter("_sorted", lambda s, i: F.coalesce(at(i - 1) == s["h"], F.lit(False)) | F.coalesce(at(i + 1) == s["h"], F.lit(False)))
-    step = step.select(*own, *counts, F.sort_array(twice["i"]).alias("_starts"))
-    covers = F.transform("_starts", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_starts"), i + 1) - p, F.lit(WINDOW))))
+    at = lambda i: F.get(F.col(f"{m}sorted"), i)["h"]
+    twice = F.filter(f"{m}sorted", lambda s, i: F.coalesce(at(i - 1) == s["h"], F.lit(False)) | F.coalesce(at(i + 1) == s["h"], F.lit(False)))
+    step = step.select(*own, *counts, F.sort_array(twice["i"]).alias(f"{m}starts"))
+    covers = F.transform(f"{m}starts", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(f"{m}starts"), i + 1) - p, F.lit(WINDOW))))
     step = step.select(*own, *counts, F.coalesce(F.aggregate(covers, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).alias("n_repeat_words"))
     return step
 

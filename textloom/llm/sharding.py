@@ -66,7 +66,7 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, size:
     Null keys are placed as the empty text. Equal keys go to the same shard. Columns of the input with these
     two names are replaced. An empty table stays empty.
     """
-    placed = df.drop("slot", "shard").withColumn("slot", hash60(F.col(key)) % size)
+    placed = df.drop("slot", "shard").withColumn("slot", hash60(F.col(f"`{key}`")) % size)
     return placed.join(F.broadcast(lookup_table(df.sparkSession, shards, size)), "slot", "left").select(
         *[F.col(f"`{c}`") for c in placed.columns if c != "slot"], "slot", "shard"
     )
@@ -75,7 +75,7 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, size:
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 1) -> None:
     """Write one folder for each shard; ``files_per_shard`` salts the exchange so that a shard isn't one task."""
     placed = assign_shards(df, key, shards, size)
-    salt = (hash60(F.concat(F.lit("file:"), F.coalesce(F.col(key).cast("string"), F.lit("")))) % files_per_shard).alias("salt")
+    salt = (hash60(F.concat(F.lit("file:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))) % files_per_shard).alias("salt")
     placed.repartition(len(set(shards)) * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)
 
 
