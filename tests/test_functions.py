@@ -27,7 +27,7 @@ def test_stems(spark, token, stem):
 def test_token_plan(spark):
     plan = value(spark, text.token_plan(F.col("t")), t="The ＬＬＭ​  Wiki indexes 维基百科的 pages pages")
     assert [x["raw"] for x in plan["tier1"]] == ["维基百科的", "维基", "基百", "百科", "科的", "维基百", "基百科", "百科的", "llm", "wiki", "indexes", "pages"]
-    assert [x["raw"] for x in plan["tier2"]] == ["index", "page"] or [x["raw"] for x in plan["tier2"]] == ["index", "pag"]
+    assert [x["raw"] for x in plan["tier2"]] == ["index", "pag"]
     assert [x["raw"] for x in plan["tier3"]] == ["维", "基", "百", "科"]
     assert all(x["encoded"][:2] in ("hp", "h2", "h3", "le") and len(x["encoded"]) == 22 for x in plan["tier1"])
     assert value(spark, text.plan_terms(text.token_plan(F.col("t"))), t="Cats cats") == ["cats"]

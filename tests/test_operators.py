@@ -60,7 +60,7 @@ def test_offsets_and_places(spark):
     strict = {r["offset"]: r["sentence_index"] for r in R.sentence_at(at, df, strict=True).collect()}
     assert strict == {0: 0, 3: 1, 4: 2, 5: 2, 10: None, 99: None}
     spans = spark.createDataFrame([(1, 2, 6), (1, 3, 4)], "chapter_id long, span_start long, span_end long")
-    assert rows(R.overlapping(spans, df), "span_start", "sentence_index") == [(2, 0), (2, 1), (2, 2)] or rows(R.overlapping(spans, df), "span_start", "sentence_index") == [(2, 0), (2, 2)]
+    assert rows(R.overlapping(spans, df), "span_start", "sentence_index") == [(2, 0), (2, 1), (2, 2)]  # 3 to 4 is the character between two
     assert rows(R.neighbour_texts(df.filter("chapter_id = 1")), "sentence_index", "before_text", "after_text") == [(0, "", ""), (1, "abc", "defgh"), (2, "", "")]
 
 
@@ -222,19 +222,19 @@ def found(hits):
 def test_search_levels(wiki, index):
     assert index.n == 1 + 4 + 4 + 4
     assert {(k, l) for k, _, l in found(S.search(index, "pages"))} == {("source", 1), ("summary", 1), ("chunk-label", 1), ("chunk-content", 1)}
-    assert ("source", 2, 2) in found(S.search(index, "archive")) or ("source", 2, 2) in found(S.search(index, "archiving"))
+    assert ("source", 2, 2) in found(S.search(index, "archiving"))  # by its stem
     assert [k for k in found(S.search(index, "维基百科", records="text"))] == [("source", 1, 1)]
     assert found(S.search(index, "科", records="text")) == [("source", 1, 3)]
     both = S.search(index, "wiki pages", match="all", records="text")
     assert found(both) == [("summary", 0, 1), ("source", 0, 1)]  # the shorter text first
     assert found(S.search(index, "wiki searchable", match="all", records="text")) == []
-    ranks = [r["rank"] for r in S.search(index, "wiki pages searchable").collect()]
-    assert ranks == sorted(ranks) or len({r["level"] for r in S.search(index, "wiki pages searchable").collect()}) > 1
+    ranks = [(r["level"], r["rank"]) for r in S.search(index, "wiki pages searchable").collect()]
+    assert ranks == sorted(ranks)
     first = S.search(index, "wiki pages", limit=1).collect()[0]
     rest = S.search(index, "wiki pages", after=tuple(first[c] for c in ("level", "rank", "archive", "chapter_id", "sentence_index", "kind", "owner_id")))
     assert rest.count() == S.search(index, "wiki pages").count() - 1
     assert S.search(index, "the of").count() == 0 and S.search(index, "").count() == 0
-    assert S.query_terms(wiki.chapters.sparkSession, "Wiki Pages wiki") == ["wiki", "pages", "page"] or "page" not in S.query_terms(wiki.chapters.sparkSession, "Wiki Pages wiki")
+    assert S.query_terms(wiki.chapters.sparkSession, "Wiki Pages wiki") == ["wiki", "pages", "pag"]
 
 
 def test_bm25(wiki, index):
@@ -293,7 +293,7 @@ def test_hit_filters_and_pages(spark):
     assert [r["id"] for r in V.keyset(hits.filter("type = 'entity'"), ["score", "archive", "id"], ["score"], None, 1).collect()] == ["a"]
     assert [r["id"] for r in V.keyset(hits.filter("type = 'entity'"), ["score", "archive", "id"], ["score"], (0.5, "w", "a")).collect()] == ["b"]
     titles, entities = hits.filter("type = 'chapter-title'"), hits.filter("type = 'entity'")
-    assert [r["id"] for r in V.bucket_page([titles, entities], V.search_order(), 2).collect()] == ["1", "b"] or [r["id"] for r in V.bucket_page([titles, entities], V.search_order(), 2).collect()] == ["1", "a"]
+    assert [r["id"] for r in V.bucket_page([titles, entities], V.search_order(), 2).collect()] == ["1", "a"]  # b has no chapter
     many = spark.createDataFrame([("e", "w", "a", 1, i, 1, s, 1, [t]) for i, (s, t) in enumerate([(0.2, "x"), (0.9, "y"), (0.1, "x")])], "type string, archive string, id string, chapter_id long, sentence_index int, document_order long, score double, match_count int, matched_terms array<string>")
     one = V.grouped_hits(many).first()
     assert one["sentence_index"] == 1 and one["matched_terms"] == ["x", "y"] and one["score"] > 0.9
@@ -431,7 +431,7 @@ def test_streamed_sentences(spark, tmp_path):
     spark.createDataFrame([(1, 9, "", True)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = streamed(stream_text.sentences(stream), "sentences_out")
-    assert [r["text"].strip() for r in got.orderBy("sentence_index").collect()] == ["One two.", "Three 3.5 now!", "Four 维基。", "再 end"] or [r["text"].strip() for r in got.orderBy("sentence_index").collect()] == ["One two.", "Three 3.5 now!", "", "Four 维基。", "再 end"]
+    assert [r["text"].strip() for r in got.orderBy("sentence_index").collect()] == ["One two.", "Three 3.5 now!", "Four 维基。", "再 end"]
     spark.createDataFrame([(1, i, 200) for i in range(5)], "text_id long, sentence_index long, words_count long").coalesce(1).write.parquet(f"{tmp_path}/words")
     cut = streamed(stream_text.fragments(spark.readStream.schema("text_id long, sentence_index long, words_count long").parquet(f"{tmp_path}/words"), 400), "fragments_out")
     assert rows(cut, "sentence_index", "fragment_id") == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4)]
@@ -465,3 +465,25 @@ def test_model_of_documents(spark):
     assert a.links.count() == S.triples_of(a).count() and "WindowGroupLimit" not in a.mentions._jdf.queryExecution().toString()
     groups, records, links = G.topology(a.chunks.filter("chapter_id < 3"), a.edges, a.sentences.filter("chapter_id < 3").select("chapter_id", F.col("sentence_index").alias("start_sentence_index"), "words_count"), group_words=200)
     assert groups.count() > 0 and records.agg(F.max("size")).first()[0] >= 1
+
+
+def test_model_shells(spark):
+    from textloom.operators import models as M
+
+    seen = []
+
+    def write(text, remarks):
+        seen.append(len(remarks))
+        return text[: 10 - len(seen)]
+
+    answers = [[{"severity": "major", "weight": 1.0}], [{"severity": "minor", "weight": 1.0}], [{"severity": "minor", "weight": 1.0}], []]
+    assert M.compressed("abcdefghijkl", write, lambda v: answers[len(seen) - 1]) == ("abcdef", 0.0, 4) and seen == [0, 1, 1, 1]
+    groups = spark.createDataFrame([(1, 0, "Aa bb", 2), (1, 1, "Cc", 1), (2, 0, "Dd", 1)], "chapter_id long, group_id long, text string, fragments long")
+    assert rows(M.summaries(groups, lambda t, r: t.upper(), lambda v: [])) == [(1, "AA BB\n\nCC"), (2, "Dd")]
+    sentences = spark.createDataFrame([(1, i, 5 + i) for i in range(4)], "chapter_id long, sentence_index long, words_count long")
+    given = [("b1", 1, "x", "L", "C", [2, 0]), ("b1", 1, "y", "L", "C", [1]), ("b2", 1, "x", " ", "C", [1]), ("b3", 1, "x", "L", "C", [9]), ("b4", 1, "x", "L", "C", [])]
+    chunks, rejected = M.accepted_chunks(spark.createDataFrame(given, "batch_id string, chapter_id long, temp_id string, label string, content string, sentence_indexes array<long>"), sentences)
+    assert rows(chunks, "batch_id", "temp_id", "sentence_index", "words_count") == [("b1", "x", 2, 12), ("b1", "y", 1, 6)] and rows(rejected) == [("b2",), ("b3",), ("b4",)]
+    links = spark.createDataFrame([("b1", "x", "y"), ("b1", "x", "z")], "batch_id string, from_temp string, to_temp string")
+    assert rows(M.accepted_links(links, chunks), "to_temp") == [("y",)]
+    assert M.by_batches(groups, lambda pdf: pdf[["chapter_id"]], "chapter_id long").count() == 3
