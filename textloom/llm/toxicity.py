@@ -319,7 +319,7 @@ def fit(labels: DataFrame, docs: DataFrame, k: int = NEIGHBOURS, toxic: int = TO
     return model._replace(knots=(np.array(x), np.clip(np.array(y), 0.001, 0.999)))
 
 
-def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS, most: int = 50_000, words: int = 300_000) -> DataFrame:
+def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS, most: int = 8_192, words: int = 200_000) -> DataFrame:
     """``columns, score, evidence``: one row an input row; evidence is an array of (example id, cosine, toxic), nearest first.
 
     The named columns pass through the batches as they are; a ``score`` or ``evidence`` among them would clash and is an error.
