@@ -54,7 +54,8 @@ STAGES = [
     ("sentencepiece", piece_ids),
 ]
 
-#: SQL can't express the toxicity stage; the stages are tested against brute-force versions.
+#: SQL can't express the toxicity stage. Its score, the near-duplicate classes, the training positions and the piece ids are
+#: tested against brute force or libraries; the stages themselves on the small tables and on odd rows.
 ORACLE_SQL = None
 
 
