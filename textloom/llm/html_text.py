@@ -224,13 +224,13 @@ def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: For pages whose main text is one ``article`` of headings and paragraphs, as the given tables have: cut by patterns, without
-#: a parser. The five references that such pages hold in their text are decoded, ``&amp;`` last.
+#: a parser. The five references that such pages hold in their text are decoded, ``&amp;`` last and also without its semicolon.
 OP13_SQL = r"""
 WITH inside AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS body FROM pages),
 blocks AS (
     SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:h1|p)>'), lambda b:
-        trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'),
-            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS lines
+        trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS lines
     FROM inside)
 SELECT page_id, url, array_to_string(list_filter(lines, lambda b: b <> ''), chr(10) || chr(10)) AS text,
        CAST(length(array_to_string(list_filter(lines, lambda b: b <> ''), chr(10) || chr(10))) AS BIGINT) AS n_chars
