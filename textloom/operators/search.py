@@ -17,24 +17,30 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scores import object_hits
 from ..sources.model import Archive
+from ..sources.scratch import written
 
-#: Weights of the tiers, the usual BM25 constants, the floor of an idf, the cap of a query's hits.
+#: Weights of the tiers, the usual BM25 constants, the floor of an idf, the most hits that a page is cut from.
 TIER_WEIGHTS = {1: 1.0, 2: 0.45, 3: 0.08}
 K1, B, LEAST_IDF, HIT_CAP = 1.2, 0.75, 1e-6, 32_000
-RECORD = ["archive", "record", "kind", "chapter_id", "sentence_index", "owner_id"]
+RECORD = ["archive", "record", "kind", "chapter_id", "sentence_index", "owner_id", "record_id"]
+ORDER = ["level", "rank", "archive", "chapter_id", "sentence_index", "kind", "owner_id", "record_id"]
+POSTING = ["token", "tier", "head", *RECORD, "length"]
 
 
 def projection(a: Archive) -> DataFrame:
-    """All that is indexed: ``archive, record`` (text or object) ``, kind, chapter_id, sentence_index, owner_id, text``."""
+    """All that is indexed: ``archive, record`` (text or object) ``, kind, chapter_id, sentence_index, owner_id, record_id, text``.
+
+    An object has one record for each of its properties, an entity one for each of its mentions.
+    """
     none, text, thing = F.lit(None).cast("string"), F.lit("text"), F.lit("object")
-    one = lambda df, record, kind, at, owner, value: df.select("archive", record.alias("record"), kind.alias("kind"), "chapter_id", at.cast("long").alias("sentence_index"), owner.cast("string").alias("owner_id"), value.alias("text"))
-    no = F.lit(None)
+    one = lambda df, record, kind, at, owner, key, value: df.select("archive", record.alias("record"), kind.alias("kind"), "chapter_id", at.cast("long").alias("sentence_index"), owner.cast("string").alias("owner_id"), key.cast("string").alias("record_id"), value.alias("text"))
+    no, place = F.lit(None), F.concat_ws(":", "chapter_id", "sentence_index")
     parts = [
-        one(a.chapters, thing, F.lit("chapter-title"), no, F.col("chapter_id"), F.col("title")),
-        one(a.sentences, text, F.col("kind"), F.col("sentence_index"), none, F.col("text")),
-        one(a.chunks, thing, F.lit("chunk-label"), F.col("sentence_index"), F.col("chunk_id"), F.col("label")),
-        one(a.chunks, thing, F.lit("chunk-content"), F.col("sentence_index"), F.col("chunk_id"), F.col("content")),
-        one(a.mentions, thing, F.lit("entity-surface"), F.col("sentence_index"), F.col("qid"), F.col("surface")),
+        one(a.chapters, thing, F.lit("chapter-title"), no, F.col("chapter_id"), F.col("chapter_id"), F.col("title")),
+        one(a.sentences, text, F.col("kind"), F.col("sentence_index"), none, place, F.col("text")),
+        one(a.chunks, thing, F.lit("chunk-label"), F.col("sentence_index"), F.col("chunk_id"), F.col("chunk_id"), F.col("label")),
+        one(a.chunks, thing, F.lit("chunk-content"), F.col("sentence_index"), F.col("chunk_id"), F.col("chunk_id"), F.col("content")),
+        one(a.mentions, thing, F.lit("entity-surface"), F.col("sentence_index"), F.col("qid"), F.col("mention_id"), F.col("surface")),
     ]
     whole = parts[0]
     for p in parts[1:]:
@@ -44,7 +50,7 @@ def projection(a: Archive) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # token, tier, RECORD, length
+    postings: DataFrame  # POSTING; one of a record's rows is its head
     n: int
     mean_length: float
 
@@ -54,19 +60,19 @@ def postings_of(records: DataFrame, dictionary=None) -> DataFrame:
     tagged = F.concat(*(F.transform(F.col("plan")[f"tier{i}"], lambda t: F.struct(t["encoded"].alias("token"), F.lit(i).alias("tier"))) for i in (1, 2, 3)))  # noqa: B023
     # a one-row generator keeps the plan from being made once for each use of it
     listed = planned.select(*RECORD, F.explode(F.array(F.struct(tagged.alias("t")))).alias("x"))
-    return listed.select(*RECORD, F.size("x.t").alias("length"), F.explode("x.t").alias("t")).select("t.token", "t.tier", *RECORD, "length")
+    each = listed.select(*RECORD, F.size("x.t").alias("length"), F.posexplode("x.t").alias("at", "t"))
+    return each.select("t.token", "t.tier", (F.col("at") == 0).alias("head"), *RECORD, "length")
 
 
 def build(records: DataFrame, dictionary=None) -> Index:
-    """An index that lives as long as its DataFrames; ``IndexStore`` keeps one on disk."""
-    postings = postings_of(records, dictionary)
-    return with_totals(postings)
+    """An index for this session: the postings are made once and written, each file in the order of tokens, so that a query reads
+    its own tokens' row groups. ``index_store.IndexStore`` keeps one between sessions."""
+    return with_totals(written(postings_of(records, dictionary).sortWithinPartitions("token"), "postings"))
 
 
 def with_totals(postings: DataFrame) -> Index:
     """Records without any token have no postings and don't count."""
-    parts, tokens = postings.agg(F.sum(1.0 / F.col("length")), F.count(F.lit(1))).first()  # each record's postings add up to one
-    n = round(parts or 0)
+    n, tokens = postings.agg(F.count_if("head"), F.count(F.lit(1))).first()
     return Index(postings, n, tokens / n if n else 0.0)
 
 
@@ -84,14 +90,14 @@ def query_terms(spark: SparkSession, query: str, dictionary=None) -> list[str]:
 
 
 def search(
-    index: Index, query: str, match: str = "any", kinds: list[str] | None = None, records: str | None = None, chapters: list[int] | None = None, after: tuple | None = None, limit: int = HIT_CAP
+    index: Index, query: str, match: str = "any", kinds: list[str] | None = None, records: str | None = None, chapters: list[int] | None = None, after: tuple | None = None, limit: int | None = None
 ) -> DataFrame:
-    """``RECORD, level, rank``, best first; rank is negative, as smaller is better.
+    """``RECORD, level, rank`` of all records that match; rank is negative, as smaller is better. With a limit the best, in order.
 
     A record's level is the first of tier 1, tiers 1 and 2, tiers 1 to 3 at which it matches, and its rank is that of the
     tokens up to that level. With ``any`` one token is enough; with ``all`` every group that has tokens up to the level must
-    match. ``kinds``, ``records`` (text or object) and ``chapters`` filter the postings. ``after`` (level, rank, archive,
-    chapter_id, sentence_index, kind, owner_id) goes on behind a hit.
+    match. ``kinds``, ``records`` (text or object) and ``chapters`` filter the postings. ``after`` (the values of
+    ``ORDER``) goes on behind a hit.
     """
     spark = index.postings.sparkSession
     tokens = query_tokens(spark, query, match)
@@ -120,10 +126,9 @@ def search(
     level = F.coalesce(*(F.when((F.col(f"g{i}") >= (groups[i] if match == "all" else 1)) & F.lit(groups[i] > 0), i) for i in (1, 2, 3)))
     hits = summed.withColumn("level", level).filter("level IS NOT NULL")
     hits = hits.withColumn("rank", -F.element_at(F.array("s1", "s2", "s3"), F.col("level"))).select(*RECORD, "level", "rank")
-    order = ["level", "rank", "archive", "chapter_id", "sentence_index", "kind", "owner_id"]
     if after is not None:
-        hits = hits.filter(F.struct(*order) > F.struct(*(F.lit(x).cast(hits.schema[c].dataType) for c, x in zip(order, after))))
-    return hits.orderBy(*order).limit(limit)
+        hits = hits.filter(F.struct(*ORDER) > F.struct(*(F.lit(x).cast(hits.schema[c].dataType) for c, x in zip(ORDER, after))))
+    return hits if limit is None else hits.orderBy(*ORDER).limit(min(limit, HIT_CAP))
 
 
 # --- without an index
@@ -213,93 +218,6 @@ def parse_triple_pattern(text: str) -> dict[str, str | None]:
     return {k: None if v in ("", "_") else v for k, v in zip(("s", "predicate", "o"), [*parts, "", "", ""])}
 
 
-# --- an index on disk
-
-
-class IndexStore:
-    """Postings of an archive in a shared folder, with the state of every chapter.
-
-    A build goes to a new generation's folder and counts when its state row is written, so that a lost driver leaves the old
-    one. ``dirty`` chapters are to be indexed again; a query refuses to run while there is one.
-    """
-
-    VERSION = "4"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
-
-    def state(self):
-        """The newest (generation, version, fingerprint, n, mean_length), or None."""
-        return self._read("state", "generation long, version string, fingerprint string, n long, mean_length double").orderBy(F.desc("generation")).first()
-
-    def _dirty(self) -> DataFrame:
-        now = self.state()
-        return self._read("dirty", "generation long, chapter_id long").filter(F.col("generation") >= (now["generation"] if now else 0)).select("chapter_id").distinct()
-
-    def mark_dirty(self, chapters: list[int]) -> None:
-        now = self.state()
-        rows = [(now["generation"] if now else 0, c) for c in chapters]
-        self.spark.createDataFrame(rows, "generation long, chapter_id long").write.mode("append").parquet(f"{self.path}/dirty")
-
-    def status(self) -> str:
-        """``missing``, ``dirty`` or ``current``."""
-        now = self.state()
-        return "missing" if now is None or now["version"] != self.VERSION else "current" if self._dirty().isEmpty() else "dirty"
-
-    @staticmethod
-    def fingerprint(records: DataFrame) -> str:
-        """A hash of all records that doesn't depend on their order."""
-        row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (*RECORD, "text")])
-        found = records.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("a"), F.bit_xor(row).alias("b")).first()
-        return f"{found['n']}:{found['a']}:{found['b']}"
-
-    def rebuild(self, records: DataFrame, attempts: int = 2) -> bool:
-        """Index all records; False if the index has them already. If they change meanwhile, it is done again."""
-        for _ in range(attempts):
-            mark = self.fingerprint(records)
-            now = self.state()
-            if now and now["version"] == self.VERSION and now["fingerprint"] == mark and self._dirty().isEmpty():
-                return False
-            self._keep(postings_of(records), mark)
-            if self.fingerprint(records) == mark:
-                return True
-        raise RuntimeError("the records changed during every attempt to index them")
-
-    def refresh(self, records: DataFrame) -> int:
-        """Index the dirty chapters again and keep the other chapters' postings; returns how many chapters."""
-        dirty = [r[0] for r in self._dirty().collect()]  # what a user has changed since the last build
-        if dirty:
-            own = F.broadcast(self.spark.createDataFrame([(c,) for c in dirty], "chapter_id long"))
-            kept = self.postings().join(own, "chapter_id", "left_anti").select("token", "tier", *RECORD, "length")
-            self._keep(kept.unionByName(postings_of(records.join(own, "chapter_id", "left_semi"))), self.fingerprint(records))
-        return len(dirty)
-
-    def _keep(self, postings: DataFrame, mark: str) -> None:
-        now = self.state()
-        generation = (now["generation"] if now else 0) + 1
-        path = f"{self.path}/postings-{generation}"
-        # sorted by token, so that a query reads the row groups of its own tokens only
-        postings.repartitionByRange("token", "chapter_id").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
-        index = with_totals(self.spark.read.parquet(path))
-        row = [(generation, self.VERSION, mark, index.n, index.mean_length)]
-        self.spark.createDataFrame(row, "generation long, version string, fingerprint string, n long, mean_length double").write.mode("append").parquet(f"{self.path}/state")
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings-{self.state()['generation']}")
-
-    def index(self) -> Index:
-        """The index to search; an error if it is missing or a chapter is dirty."""
-        if (status := self.status()) != "current":
-            raise RuntimeError(f"the search index is {status}; rebuild or refresh it")
-        now = self.state()
-        return Index(self.postings(), now["n"], now["mean_length"])
-
-
 # --- kept results
 
 

@@ -45,13 +45,14 @@ def windowed(events: DataFrame, length: str, slide: str | None = None, late: str
 
 
 def follow(changes: DataFrame, store, records: Callable[[], DataFrame], checkpoint: str):
-    """Index the chapters of a stream ``chapter_id`` again, batch by batch; returns the streaming query.
+    """Index the chapters of a stream ``archive, chapter_id`` again, batch by batch; returns the streaming query's writer.
 
-    A batch marks its chapters and refreshes; if it is lost between, the marks are still there and the next batch does both.
+    A batch marks its chapters and refreshes; if it is lost between, the marks are still there and the next batch does both. Work
+    goes with the chapters of a batch, and nothing of them comes to the driver.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        store.mark_dirty([r[0] for r in batch.select("chapter_id").distinct().collect()])  # one batch's changed chapters
+        store.mark_dirty(batch)
         store.refresh(records())
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
