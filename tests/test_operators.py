@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.operators import graph as G
 from textloom.operators import index_store as X
 from textloom.operators import library as L
+from textloom.operators import paths as P
 from textloom.operators import ranges as R
 from textloom.operators import search as S
 from textloom.operators import views as V
@@ -176,11 +177,43 @@ def test_clusters(spark):
 
 def test_paths_and_neighbours(spark):
     e = edges(spark, [(1, 2, None, 1.0), (1, 3, None, 1.0), (2, 4, None, 1.0), (3, 4, None, 1.0), (4, 5, None, 1.0), (5, 1, None, 1.0), (9, 9, None, 1.0)])
-    assert G.shortest_path(e, 1, 5) == [1, 2, 4, 5] and G.shortest_path(e, 1, 1) == [1] and G.shortest_path(e, 1, 9) == []
+    assert P.shortest_path(e, 1, 5) == [1, 2, 4, 5] and P.shortest_path(e, 1, 1) == [1] and P.shortest_path(e, 1, 9) == []
     assert rows(G.neighbours(e, "in").filter("node = 4"), "other") == [(2,), (3,)] and G.neighbours(e).count() == 14
     assert rows(G.oriented_edges(e)) == [(2, 1), (3, 1), (4, 2), (4, 3), (5, 1), (5, 4)]
 
 
+def breadth_first(links, start, end):
+    before, queue = {start: None}, [start]
+    for x in queue:
+        for y in sorted({b for a, b in links if a == x}):
+            if y not in before:
+                before[y] = x
+                queue.append(y)
+    path = [end] if end in before else []
+    while path and path[0] != start:
+        path.insert(0, before[path[0]])
+    return path
+
+
+@pytest.mark.parametrize(("span", "most"), [(4096, 100_000), (7, 5)])
+def test_shortest_paths_against_breadth_first(spark, span, most):
+    rng = random.Random(span)
+    graphs = {g: [(rng.randrange(30), rng.randrange(30)) for _ in range(rng.choice((25, 45, 90)))] for g in range(5)}  # cycles, loops, ties, no way
+    graphs[5] = [(0, i) for i in range(1, 25)] + [(i, 25) for i in range(1, 25)]  # a hub
+    pairs = [(i, g, rng.randrange(26), rng.randrange(26)) for i, g in enumerate(sorted(graphs) * 3)] + [(99, 5, 0, 25), (100, 0, 3, 3), (101, 77, 1, 1), (102, 77, 1, 2)]
+    e = spark.createDataFrame([(g, a, b) for g, links in graphs.items() for a, b in links] + [(0, None, 3)], "group long, from_id long, to_id long")
+    got = {}
+    for r in P.shortest_paths(e, spark.createDataFrame(pairs, "path long, group long, start long, end long"), span, most).orderBy("path", "position").collect():
+        got.setdefault(r["path"], []).append(r["node"])
+    assert {p: breadth_first(graphs.get(g, []), a, b) for p, g, a, b in pairs} == {p: got.get(p, []) for p, *_ in pairs}
+
+
+def test_shortest_path_has_no_longest_length(spark):
+    links = [(i, i + 1) for i in range(1000)] + [(i, i - 3) for i in range(3, 1000)]
+    e = spark.createDataFrame(links, "from_id long, to_id long")
+    assert P.shortest_path(e, 0, 1000) == list(range(1001))
+
+
 def test_attention(spark):
     near = {4: [2, 3], 2: [1], 3: [1]}
     forward = G.spread([4], near, {4: 1.0})

@@ -325,7 +325,7 @@ def topology(chunks: DataFrame, edges: DataFrame, segments: DataFrame, group_wor
     return groups, snake_records(members, grouped), snake_edges(members, grouped, weights)
 
 
-# --- neighbours and paths
+# --- neighbours
 
 
 def neighbours(edges: DataFrame, direction: str = "any") -> DataFrame:
@@ -340,30 +340,6 @@ def node_order(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy(F.col("direction") != "in", F.desc("weight"), "other")
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, most: int = 64) -> list[int]:
-    """A shortest directed path from ``start`` to ``end``, of equal ones the first in the order of ids; [] if there is none.
-
-    One join and one minimum a step; a step's frontier is written, so that the plan stays short.
-    """
-    from ..sources.scratch import written
-
-    if start == end:
-        return [start]
-    spark = edges.sparkSession
-    steps = edges.select("from_id", "to_id").distinct()
-    frontier = seen = written(spark.createDataFrame([(start, [start])], "node long, path array<long>"), "path")
-    for _ in range(most):
-        reached = frontier.join(steps, F.col("node") == F.col("from_id")).select(F.col("to_id").alias("node"), F.concat("path", F.array("to_id")).alias("path"))
-        frontier = written(reached.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"), "path")
-        found = frontier.filter(F.col("node") == end).first()
-        if found:
-            return list(found["path"])
-        if frontier.isEmpty():
-            return []
-        seen = seen.unionByName(frontier)
-    return []
-
-
 def oriented_edges(edges: DataFrame) -> DataFrame:
     """Each pair of chunks once, from the larger id to the smaller; an edge to itself goes."""
     return edges.filter("from_id <> to_id").select(F.greatest("from_id", "to_id").alias("from_id"), F.least("from_id", "to_id").alias("to_id")).distinct()

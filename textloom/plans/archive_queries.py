@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import graph, library, ranges, search, views
+from ..operators import graph, index_store, library, paths, ranges, search, views
 from ..sources import archive, model, texts
+from ..sources.scratch import scratch_path
 
 ANCHOR = "orantion"
 ASCII = r"\A\p{ASCII}*\z"
@@ -177,7 +178,29 @@ def search_any(spark, sf_dir):
 
 def search_all(spark, sf_dir):
     lines = search.projection(_a(spark, sf_dir)).filter("kind = 'source'")
-    return search.search(search.build(lines), "orantion the", match="all").select("chapter_id", "sentence_index", "level")
+    return search.search(search.build(lines), "nicht ensch", match="all").select("chapter_id", "sentence_index", "level")
+
+
+def search_refreshed(spark, sf_dir):
+    """As ``search_any``, in an index of older texts (a fifth of the chapters shorter, another fifth not there) that was refreshed."""
+    a = _a(spark, sf_dir)
+    lines = search.projection(a).filter("kind IN ('source', 'chapter-title')")
+    older = lines.filter("chapter_id % 5 <> 0 OR sentence_index < 2").filter("chapter_id % 5 <> 1")
+    store = index_store.IndexStore(spark, scratch_path(spark, "index"))
+    store.rebuild(older)
+    store.mark_dirty(a.chapters.filter("chapter_id % 5 < 2").select("archive", "chapter_id"))
+    store.refresh(lines)
+    hits = search.search(store.index(), "worthless cats", records="text")
+    return hits.select("chapter_id", "sentence_index", "level", F.round("rank", 9).alias("rank"))
+
+
+def shortest_paths(spark, sf_dir):
+    """From the last sentence's node of each chapter to the first one's."""
+    a = _a(spark, sf_dir)
+    group = lambda c: F.floor(F.col(c) / model.PLACES).alias("group")
+    ends = a.chunks.groupBy("chapter_id").agg(F.max("chunk_id").alias("start"), F.min("chunk_id").alias("end"))
+    pairs = ends.select(F.col("chapter_id").alias("path"), F.col("chapter_id").alias("group"), "start", "end")
+    return paths.shortest_paths(a.edges.select(group("from_id"), "from_id", "to_id"), pairs).select(F.col("path").alias("chapter_id"), "position", "node")
 
 
 def grep_phrase(spark, sf_dir):
@@ -231,7 +254,7 @@ QUERIES = {
     for f in (
         like_mentions, matched_all_terms, snippets_around, range_uris, search_tokens, lexical_scores, word_counts, names_normalised, evidence_totals, object_totals, entities, triples, collection_page,
         collection_after, archive_totals, entity_triples, entity_evidence, range_backlinks, pattern_triples, offsets_to_sentences, spans_over_sentences, windows_with_mentions, best_of_ranges, graph_weights,
-        boundaries, boundary_levels, near_nodes, search_any, search_all, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
+        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
         snake_clusters, readable_pages,
     )
 }
@@ -339,7 +362,13 @@ ORACLE_SQL = {
         lev AS (SELECT *, min(tier) OVER (PARTITION BY chapter_id, sentence_index) AS level FROM hit)""",
         "SELECT chapter_id, sentence_index::BIGINT AS sentence_index, level, round(-sum(x), 9) AS rank FROM lev WHERE tier = level GROUP BY ALL",
     ),
-    "search_all": _with("", f"SELECT chapter_id, sentence_index::BIGINT AS sentence_index, 1 AS level FROM sentences WHERE list_contains({_TOKENS}, 'orantion')"),
+    "search_all": _with("", f"SELECT chapter_id, sentence_index::BIGINT AS sentence_index, 1 AS level FROM sentences WHERE list_contains({_TOKENS}, 'nicht') AND list_contains({_TOKENS}, 'ensch')"),
+    "shortest_paths": _with(
+        # steps of three come first in the order of ids, then steps of one
+        f"c AS (SELECT chapter_id, max(sentence_index) AS n FROM sentences GROUP BY chapter_id), p AS (SELECT chapter_id, n, unnest(range(0, n // 3 + n % 3 + 1)) AS position FROM c)",
+        "SELECT chapter_id, position, chapter_id::BIGINT * 16777216 + CASE WHEN position <= n // 3 THEN n - 3 * position ELSE n % 3 - (position - n // 3) END AS node FROM p",
+    ),
     "grep_phrase": _with("", "SELECT 'source' AS type, archive, chapter_id || ':' || sentence_index AS id, chapter_id FROM sentences WHERE contains(lower(text), 'orantion') UNION ALL SELECT 'node', archive, (chapter_id::BIGINT * 16777216 + sentence_index)::VARCHAR, chapter_id FROM sentences WHERE contains(lower(text), 'orantion')"),
     "archives_of_entity": _with("", f"SELECT DISTINCT archive FROM mentions WHERE qid = '{ANCHOR}'"),
 }
+ORACLE_SQL["search_refreshed"] = ORACLE_SQL["search_any"]
