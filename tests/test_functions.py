@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import anchors as A
 from textloom.functions import evidence as E
 from textloom.functions import scores, text
 
@@ -145,3 +146,83 @@ def test_quotes_are_resolved(spark):
     assert [got[k]["code"] for k in "defg"] == ["invalid", "low_confidence", "none", "invalid"]
     resolved = E.resolve_quotes(quotes.filter("quote_id IN ('a', 'b')"), sentences).withColumn("owner", F.lit(1)).withColumnRenamed("quote_id", "ord")
     assert E.resolve_lists(resolved, "owner", "ord").first()["sentence_ids"] == [0, 1]
+
+
+# --- anchors
+
+
+def brute_anchor(query, candidate, label):
+    """The best window of an anchor by its definition, window by window."""
+    m, n, best = len(query), len(candidate), (0.0, -1, -1)
+    most = min(n, max(m, int(m * 1.2)))
+    for size in range(min(most, max(1, int(m * 0.8))), most + 1):
+        for at in range(n - size + 1):
+            w = candidate[at : at + size]
+            if len(set(query) & set(w)) / len(set(query) | set(w)) < 0.35:
+                continue
+            edit = list(range(size + 1))
+            run = 0
+            table = [[0] * (size + 1) for _ in range(m + 1)]
+            for i, a in enumerate(query, 1):
+                row = [i]
+                for j, b in enumerate(w, 1):
+                    row.append(min(edit[j] + 1, row[-1] + 1, edit[j - 1] + (a != b)))
+                    table[i][j] = table[i - 1][j - 1] + 1 if a == b else 0
+                    run = max(run, table[i][j])
+                edit = row
+            grams = lambda t, k: {t} if len(t) <= k else {t[i : i + k] for i in range(len(t) - k + 1)}
+            dice = sum(2 * len(grams(query, k) & grams(w, k)) / (len(grams(query, k)) + len(grams(w, k))) for k in (2, 3)) / 2
+            score = 0.35 * dice + 0.35 * 2 * run / (m + size) + 0.2 * (1 - edit[-1] / max(m, size)) + 0.1 * (1 - abs(m - size) / max(m, size))
+            at_edge = at == 0 if label == "start_anchor" else at + size == n
+            score = min(1.0, score + (0.08 * (0.5 + 0.5 * min(1, m / n)) if m >= 12 and at_edge else 0))
+            if score > best[0] + 1e-12:
+                best = (score, at, at + size)
+    return best
+
+
+def test_anchor_windows_against_brute_force():
+    rng = random.Random(4)
+    for k in range(60):
+        query, candidate = ("".join(rng.choices("abcd", k=rng.randint(1, n))) for n in (16, 24))
+        label = ("start_anchor", "end_anchor")[k % 2]
+        got, want = A.fuzzy(query, candidate, label), brute_anchor(query, candidate, label)
+        assert abs(got[0] - want[0]) < 1e-9 and (got[1:] == want[1:] or abs(got[0] - want[0]) < 1e-12), (query, candidate, got, want)
+
+
+def test_anchor_forms_and_two_ends():
+    assert A.anchor_form("Café Noir") == "cafe noir" and A.anchor_form("well‐ known") == "wellknown" and A.anchor_form("维 基 — a b") == "维基a b" and A.anchor_form("a, b") == "ab"
+    line = "Alpha begins the chapter and introduces the stakes with a major reveal."
+    score, start, end, exact = A.score_head_tail("Alpha begins", "major reveal", line)
+    form = A.anchor_form(line)
+    assert exact and (start, end) == (0, len(form)) and abs(score - (0.82 + 0.18 * 24 / len(form))) < 1e-12
+    swapped = A.score_head_tail("major reveal", "Alpha begins", line)
+    parts = [A.score_text("major reveal", line, "start_anchor"), A.score_text("Alpha begins", line, "end_anchor")]
+    assert not swapped[3] and abs(swapped[0] - 0.85 * (parts[0][0] + parts[1][0]) / 2) < 1e-12
+    assert A.score_head_tail("", "x", line) == (0.0, -1, -1, False)
+
+
+STORY = ["Alpha begins the chapter and introduces the stakes with a major reveal.", "Bridge scene keeps tension high.", "The major reveal leads into the final beat.", "Echo", "Echo", "Café noir"]
+
+
+def test_anchors_are_resolved(spark):
+    sentences = spark.createDataFrame([(1, i, t) for i, t in enumerate(STORY)] + [(2, 0, "Alone here.")], "chapter_id long, sentence_index long, text string")
+    asked = [
+        ("range", 1, "Alpha begins ... major reveal", "major reveal ... final beat"), ("raw", 1, "Bridge scene keeps tension high.", None), ("twice", 1, "Echo", None), ("normal", 1, "Cafe noir", None),
+        ("outer", 1, "Bridge scene keeps tension high. Echo", "Nothing much. The major reveal leads into the final beat."), ("low", 1, "zzqqxx", None), ("blank", 1, " ", None), ("null", 1, None, None), ("no end", 1, "Café noir", "Alpha begins the chapter"),
+        ("blank end", 1, "zzqqxx", " "), ("no chapter", 9, "Echo", None), ("typo", 1, "Bridge scene keeps tensoin hihg", None), ("single", 2, "Alone hare", None), ("held twice", 1, "major reveal", None), ("short", 1, "major", None), ("echo end", 1, "Bridge scene", "Echo"),
+    ]
+    got = {r["anchor_id"]: r for r in A.resolve_ranges(spark.createDataFrame(asked, "anchor_id string, chapter_id long, start_anchor string, end_anchor string"), sentences).collect()}
+    place = {k: (r["start"], r["end"], r["code"], r["field"], r["strategy"]) for k, r in got.items()}
+    assert len(got) == len(asked)
+    assert place["range"] == (0, 2, "resolved", None, "exact_substring+exact_substring")
+    assert place["raw"] == (1, 1, "resolved", None, "exact_raw") and got["raw"]["confidence"] == 1.0
+    assert place["twice"][2:4] == ("ambiguous_exact_raw", "start_anchor") and place["normal"] == (5, 5, "resolved", None, "exact_normalized") and got["normal"]["confidence"] == 0.995
+    assert place["outer"] == (1, 2, "resolved", None, "exact_raw+exact_raw")
+    assert {k: place[k][2:4] for k in ("low", "blank", "null", "blank end", "no chapter")} == {
+        "low": ("low_confidence", "start_anchor"), "blank": ("invalid_anchor", "start_anchor"), "null": ("invalid_anchor", "start_anchor"), "blank end": ("invalid_anchor", "end_anchor"), "no chapter": ("none", "start_anchor"),
+    }
+    assert place["no end"][2:4] == ("low_confidence", "end_anchor") and place["echo end"][2:4] == ("ambiguous_exact_raw", "end_anchor")
+    assert place["typo"][0] == 1 and place["typo"][4] == "auto_top1" and abs(got["typo"]["confidence"] - A.score_text(asked[11][2], STORY[1], "start_anchor")[0]) < 1e-9
+    assert place["single"][4] == "auto_top1_single_candidate" and place["held twice"][2] == "ambiguous_exact_substring"
+    shown = A.resolve_anchor(spark.createDataFrame([("x", 1, "major reveal", None)], "anchor_id string, chapter_id long, anchor string, least long"), sentences, "start_anchor").first()
+    assert [c["sentence_index"] for c in shown["candidates"]] == [2, 0] and shown["sentence_index"] is None

@@ -52,15 +52,16 @@ def _grams(text: str, n: int) -> set[str]:
     return ({text} if text else set()) if len(text) <= n else {text[i : i + n] for i in range(len(text) - n + 1)}
 
 
-def best_window(quote: str, sentence: str) -> tuple[float, int, int]:
-    """(score, start, end) of the window of ``sentence`` that is most like ``quote``: of equal ones the shortest, then the first."""
+def windows(quote: str, sentence: str, least: int, most: int) -> dict:
+    """Measures of all windows of ``least`` to ``most`` characters of ``sentence`` against ``quote``, as (starts, sizes) tables.
+
+    ``edit`` (distance), ``run`` (longest common substring), ``common`` (longest common subsequence), ``dice`` (of the sets of two
+    and of three characters, averaged), ``met`` (characters of the quote that the window has, repeats counted), ``alphabet``
+    (Jaccard similarity of the sets of characters), and ``inside``: which windows end inside the sentence.
+    """
     import numpy as np
 
     m, n = len(quote), len(sentence)
-    least = max(1, int(m * LEAST_WINDOW))
-    most = min(n, max(least, -int(-m * MOST_WINDOW // 1)))
-    if most < least:
-        return 0.0, -1, -1
     q = np.array([ord(c) for c in quote])
     padded = np.concatenate([np.array([ord(c) for c in sentence]), np.full(most, -1)])
     starts = np.arange(n - least + 1)
@@ -81,43 +82,60 @@ def best_window(quote: str, sentence: str) -> tuple[float, int, int]:
         longest = np.maximum(longest, run)
     longest = np.maximum.accumulate(longest, axis=1)
     sizes = np.arange(least, most + 1)
-    larger = np.maximum(m, sizes)
-    e = 1 - edit[:, sizes] / larger
-    sub, seq, ordered = 2 * longest[:, sizes] / (m + sizes), 2 * common[:, sizes] / (m + sizes), common[:, sizes] / m
-    length = 1 - np.abs(m - sizes) / larger
-    grams, unordered = np.zeros_like(e), np.zeros_like(e)
-    own = {k: _grams(quote, k) for k in (2, 3)}
+    dice, met, alphabet = (np.zeros((len(starts), len(sizes))) for _ in range(3))
+    own, letters = {k: _grams(quote, k) for k in (2, 3)}, set(quote)
     for s in range(len(starts)):
         left: dict[str, int] = {}
         for c in quote:
             left[c] = left.get(c, 0) + 1
-        met, seen, hits = 0, {2: set(), 3: set()}, {2: 0, 3: 0}
+        hit, seen, hits, other = 0, {2: set(), 3: set()}, {2: 0, 3: 0}, set()
         for w in range(1, min(most, n - s) + 1):
             c = sentence[s + w - 1]
+            other.add(c)
             if left.get(c, 0) > 0:
                 left[c] -= 1
-                met += 1
+                hit += 1
             for k in (2, 3):
                 if w >= k and (g := sentence[s + w - k : s + w]) not in seen[k]:
                     seen[k].add(g)
                     hits[k] += g in own[k]
             if w >= least:
-                unordered[s, w - least] = met / m
-                dice = 0.0
+                met[s, w - least] = hit
+                alphabet[s, w - least] = len(letters & other) / len(letters | other)
                 for k in (2, 3):
-                    size, hit = (len(seen[k]), hits[k]) if w >= k else (1, int(sentence[s : s + w] in own[k]))
-                    dice += 2 * hit / (len(own[k]) + size)
-                grams[s, w - least] = dice / 2
-    score = sum(WEIGHTS[k] * x for k, x in zip(WEIGHTS, (e, sub, seq, ordered, grams, length, unordered)))
-    best = np.maximum(np.maximum(e, sub), np.maximum(seq, ordered))
-    score = np.clip(np.where((unordered >= UNORDERED_FROM) & (best < ORDERED_UNDER), score * PENALTY, score), 0, 1)
-    score = np.where(starts[:, None] + sizes <= n, score, -1.0)
+                    size, found = (len(seen[k]), hits[k]) if w >= k else (1, int(sentence[s : s + w] in own[k]))
+                    dice[s, w - least] += found / (len(own[k]) + size)
+    return {"edit": edit[:, sizes], "run": longest[:, sizes], "common": common[:, sizes], "dice": dice, "met": met, "alphabet": alphabet, "inside": starts[:, None] + sizes <= n}
+
+
+def first_best(score, least: int) -> tuple[float, int, int]:
+    """(score, start, end) of the best window of a (starts, sizes) table: of equal ones the shortest, then the first."""
     at = int(score.T.argmax())  # by size, then by start
-    size, start = sizes[at // len(starts)], at % len(starts)
+    size, start = least + at // len(score), at % len(score)
     top = float(score[start, size - least])
     return (top, int(start), int(start + size)) if top > 0 else (0.0, -1, -1)
 
 
+def best_window(quote: str, sentence: str) -> tuple[float, int, int]:
+    """(score, start, end) of the window of ``sentence`` that is most like ``quote``: of equal ones the shortest, then the first."""
+    import numpy as np
+
+    m, n = len(quote), len(sentence)
+    least = max(1, int(m * LEAST_WINDOW))
+    most = min(n, max(least, -int(-m * MOST_WINDOW // 1)))
+    if most < least:
+        return 0.0, -1, -1
+    t, sizes = windows(quote, sentence, least, most), np.arange(least, most + 1)
+    larger = np.maximum(m, sizes)
+    e = 1 - t["edit"] / larger
+    sub, seq, ordered = 2 * t["run"] / (m + sizes), 2 * t["common"] / (m + sizes), t["common"] / m
+    length, grams, unordered = 1 - np.abs(m - sizes) / larger, t["dice"], t["met"] / m
+    score = sum(WEIGHTS[k] * x for k, x in zip(WEIGHTS, (e, sub, seq, ordered, grams, length, unordered)))
+    best = np.maximum(np.maximum(e, sub), np.maximum(seq, ordered))
+    score = np.clip(np.where((unordered >= UNORDERED_FROM) & (best < ORDERED_UNDER), score * PENALTY, score), 0, 1)
+    return first_best(np.where(t["inside"], score, -1.0), least)
+
+
 def quote_score(quote: str, sentence: str) -> tuple:
     """(score, start, end, strategy, exact raw, exact substring, exact normalised); both without markup."""
     quote, sentence = quote.strip(), sentence.strip()
