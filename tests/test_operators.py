@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.operators import graph as G
 from textloom.operators import index_store as X
 from textloom.operators import library as L
+from textloom.operators import markup as M
 from textloom.operators import paths as P
 from textloom.operators import ranges as R
 from textloom.operators import search as S
@@ -619,3 +620,25 @@ def test_two_mentions_of_one_entity_are_two_records(spark, wiki):
 def test_caps_hold_for_pages_only(spark, wiki, index, monkeypatch):
     monkeypatch.setattr(S, "HIT_CAP", 1)
     assert S.search(index, "wiki", limit=5).count() == 1 and S.search(index, "wiki").count() > 1
+
+
+# --- clue markup
+
+
+def test_clue_markup(spark):
+    t = lambda data, schema: spark.createDataFrame(data, schema)
+    words = "a b c d e f g h i j".split()
+    sentences = t([(1, i, w) for i, w in enumerate(words)], "chapter_id long, sentence_index long, text string")
+    segments = t([(1, 0, "first"), (1, 3, " middle "), (1, 5, None), (1, 6, "more"), (1, 8, "end")], "chapter_id long, start_sentence_index long, summary string")
+    chunks = t([(1, "X", "focused", "helpful"), (2, "Y", "verbatim", None), (3, "X", None, "critical"), (4, None, None, None), (5, "Z", "relevant", "important")], "chunk_id long, label string, retention string, importance string")
+    covers = t([(1, 1, 0), (1, 1, 1), (2, 1, 2), (3, 1, 2), (3, 1, 8), (4, 1, 9), (5, 1, 9), (1, 1, 77)], "chunk_id long, chapter_id long, sentence_index long")
+    members = t([(1, 0, 1, 0), (1, 0, 2, 1), (1, 0, 3, 2), (1, 0, 4, 3), (1, 0, 5, 4), (1, 1, 4, 0), (1, 2, 9, 0)], "chapter_id long, clue_id long, chunk_id long, place long")
+    got = {m: dict(rows(M.rendered_clues(members, chunks, covers, sentences, segments, m), "clue_id", "markup")) for m in ("full", "retention", "plain")}
+    assert got["plain"] == {0: "a b c\n\nmiddle more\n\ni j", 1: "i j"}
+    assert got["full"][0] == (
+        '<chunk label="X" retention="focused" importance="helpful">a b</chunk> <chunk label="Y" retention="verbatim" importance="critical">c</chunk>\n\nmiddle more\n\n'
+        '<chunk label="X" importance="critical">i</chunk> <chunk label="Z" retention="relevant" importance="important">j</chunk>'
+    )
+    assert got["full"][1] == 'i <chunk label="">j</chunk>' and got["retention"][0] == 'a b <chunk retention="verbatim">c</chunk>\n\nmiddle more\n\ni j'
+    ties = t([(1, 0, "P", "detailed", None), (1, 1, "Q", "detailed", "critical"), (2, 0, "P", None, None)], "k long, place long, label string, retention string, importance string")
+    assert rows(M.merged_attributes(ties, ["k"])) == [(1, "P", "detailed", "critical"), (2, "P", None, None)]

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
-from ..operators import graph, index_store, library, paths, ranges, search, views
+from ..functions import anchors, scores, text
+from ..operators import graph, index_store, library, markup, paths, ranges, search, views
 from ..sources import archive, model, texts
 from ..sources.scratch import scratch_path
 
@@ -226,6 +226,29 @@ def archive_fingerprints(spark, sf_dir):
     return library.fingerprints(search.projection(_a(spark, sf_dir)))
 
 
+def anchored_ranges(spark, sf_dir):
+    """From the sentence after a third of each chapter to the one after two thirds, where the two are one sentence each."""
+    a = _a(spark, sf_dir)
+    lines = a.sentences.select("chapter_id", "sentence_index", "text")
+    n = lines.groupBy("chapter_id").agg(F.max("sentence_index").alias("n"))
+    at = lambda k, name: lines.join(n, "chapter_id").filter(F.col("sentence_index") == F.floor(F.col("n") * k / 3)).select("chapter_id", F.col("text").alias(name))
+    one = lambda c: F.col(c).rlike(r"\A[^.!?。！？\n]*[a-z][^.!?。！？\n]*[.!?]?\z")
+    asked = at(1, "start_anchor").join(at(2, "end_anchor"), "chapter_id").filter(one("start_anchor") & one("end_anchor"))
+    found = anchors.resolve_ranges(asked.withColumn("anchor_id", F.col("chapter_id")), lines)
+    return found.select(F.col("anchor_id").alias("chapter_id"), F.col("start").alias("first"), F.col("end").alias("last"), "confidence", "code", "field", "strategy")
+
+
+def clue_markup(spark, sf_dir):
+    """One clue a chapter, of four nodes in eleven; a node covers its sentence and the next one, three neighbours share a label."""
+    a = _a(spark, sf_dir)
+    chunks = a.chunks.withColumn("label", F.concat(F.lit("L"), F.floor(F.col("sentence_index") / 3)))
+    members = chunks.filter("sentence_index % 11 < 4").select("chapter_id", F.lit(0).alias("clue_id"), "chunk_id", F.col("sentence_index").alias("place"))
+    covers = a.chunk_sentences.select("chunk_id", "chapter_id", F.explode(F.array(F.col("sentence_index"), F.col("sentence_index") + 1)).alias("sentence_index"))
+    summary = F.when(F.col("start_sentence_index") % 12 != 0, F.concat(F.lit(" S"), F.col("start_sentence_index")))
+    segments = _segments(a).select("chapter_id", "start_sentence_index", summary.alias("summary"))
+    return markup.rendered_clues(members, chunks, covers, a.sentences, segments, "full").select("chapter_id", "markup")
+
+
 def stored_fragments(spark, sf_dir):
     return ranges.fragment_counts(ranges.fragments(_a(spark, sf_dir).sentences))
 
@@ -254,7 +277,7 @@ QUERIES = {
     for f in (
         like_mentions, matched_all_terms, snippets_around, range_uris, search_tokens, lexical_scores, word_counts, names_normalised, evidence_totals, object_totals, entities, triples, collection_page,
         collection_after, archive_totals, entity_triples, entity_evidence, range_backlinks, pattern_triples, offsets_to_sentences, spans_over_sentences, windows_with_mentions, best_of_ranges, graph_weights,
-        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
+        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, anchored_ranges, clue_markup, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
         snake_clusters, readable_pages,
     )
 }
@@ -368,6 +391,32 @@ ORACLE_SQL = {
         f"c AS (SELECT chapter_id, max(sentence_index) AS n FROM sentences GROUP BY chapter_id), p AS (SELECT chapter_id, n, unnest(range(0, n // 3 + n % 3 + 1)) AS position FROM c)",
         "SELECT chapter_id, position, chapter_id::BIGINT * 16777216 + CASE WHEN position <= n // 3 THEN n - 3 * position ELSE n % 3 - (position - n // 3) END AS node FROM p",
     ),
+    "anchored_ranges": _with(
+        r"""n AS (SELECT chapter_id, max(sentence_index) AS n FROM sentences GROUP BY chapter_id),
+        q AS (SELECT n.chapter_id, x.sentence_index AS a, y.sentence_index AS b, x.text AS s, y.text AS e FROM n JOIN sentences x ON x.chapter_id = n.chapter_id AND x.sentence_index = n // 3
+          JOIN sentences y ON y.chapter_id = n.chapter_id AND y.sentence_index = 2 * n // 3
+          WHERE regexp_full_match(x.text, '[^.!?。！？\n]*[a-z][^.!?。！？\n]*[.!?]?') AND regexp_full_match(y.text, '[^.!?。！？\n]*[a-z][^.!?。！？\n]*[.!?]?')),
+        k AS (SELECT q.chapter_id, a, b, count(*) FILTER (WHERE t.text = s) AS ns, count(*) FILTER (WHERE t.text = e AND t.sentence_index >= a) AS ne FROM q JOIN sentences t ON t.chapter_id = q.chapter_id GROUP BY ALL)""",
+        """SELECT chapter_id, CASE WHEN ns = 1 AND ne = 1 THEN a END::BIGINT AS first, CASE WHEN ns = 1 AND ne = 1 THEN b END::BIGINT AS last, CASE WHEN ns = 1 AND ne = 1 THEN 1.0 END::DOUBLE AS confidence,
+        CASE WHEN ns = 1 AND ne = 1 THEN 'resolved' ELSE 'ambiguous_exact_raw' END AS code, CASE WHEN ns > 1 THEN 'start_anchor' WHEN ne > 1 THEN 'end_anchor' END AS field,
+        CASE WHEN ns = 1 AND ne = 1 THEN 'exact_raw+exact_raw' END AS strategy FROM k""",
+    ),
+    "clue_markup": _with(
+        # a sentence i is covered by nodes i - 1 and i, where they are in the clue; the first node is the lower one
+        """c AS (SELECT chapter_id, sentence_index AS i, text, sentence_index % 11 < 4 AS own, sentence_index > 0 AND (sentence_index - 1) % 11 < 4 AS low FROM sentences),
+        r AS (SELECT *, [4, 3, 2, 1, 0][i % 5 + 1] AS r1, [4, 3, 2, 1, 0][(i + 4) % 5 + 1] AS r0, [3, 2, 1, 0][i % 4 + 1] AS m1, [3, 2, 1, 0][(i + 3) % 4 + 1] AS m0 FROM c),
+        w AS (SELECT *, own OR low AS covered, CASE WHEN own AND (NOT low OR r1 > r0) THEN i ELSE i - 1 END AS rn, CASE WHEN own AND (NOT low OR m1 > m0) THEN i ELSE i - 1 END AS mn FROM r),
+        t AS (SELECT *, ['verbatim', 'detailed', 'focused', 'relevant', NULL][rn % 5 + 1] AS ret, ['critical', 'important', 'helpful', NULL][mn % 4 + 1] AS imp,
+          'L' || (CASE WHEN [4, 3, 2, 1, 0][rn % 5 + 1] >= [3, 2, 1, 0][mn % 4 + 1] THEN rn ELSE mn END // 3) AS label FROM w),
+        g AS (SELECT *, i // 4 AS seg, bool_or(covered) OVER (PARTITION BY chapter_id, i // 4) AS shown FROM t),
+        f AS (SELECT *, CASE WHEN NOT covered OR NOT coalesce(lag(covered) OVER p, FALSE) OR label <> lag(label) OVER p THEN 1 ELSE 0 END AS starts FROM g WHERE shown WINDOW p AS (PARTITION BY chapter_id, seg ORDER BY i)),
+        u AS (SELECT *, sum(starts) OVER (PARTITION BY chapter_id, seg ORDER BY i) AS run FROM f),
+        v AS (SELECT chapter_id, seg, run, string_agg(text, ' ' ORDER BY i) AS text, bool_or(covered) AS covered, arg_min(label, i) AS label, arg_min(struct_pack(r := ret, m := imp), i) AS a FROM u GROUP BY ALL),
+        b AS (SELECT chapter_id, seg, string_agg(CASE WHEN covered THEN '<chunk label="' || label || '"' || coalesce(' retention="' || a.r || '"', '') || coalesce(' importance="' || a.m || '"', '') || '>' || text || '</chunk>' ELSE text END, ' ' ORDER BY run) AS text FROM v GROUP BY ALL),
+        o AS (SELECT *, lag(seg) OVER (PARTITION BY chapter_id ORDER BY seg) AS prev FROM b),
+        k AS (SELECT chapter_id, seg, text, list_filter(range(coalesce(prev, seg) + 1, seg), lambda x: x % 3 <> 0) AS skipped FROM o)""",
+        "SELECT chapter_id, string_agg(CASE WHEN len(skipped) > 0 THEN array_to_string(list_transform(skipped, lambda x: 'S' || x * 4), ' ') || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY seg) AS markup FROM k GROUP BY chapter_id",
+    ),
     "grep_phrase": _with("", "SELECT 'source' AS type, archive, chapter_id || ':' || sentence_index AS id, chapter_id FROM sentences WHERE contains(lower(text), 'orantion') UNION ALL SELECT 'node', archive, (chapter_id::BIGINT * 16777216 + sentence_index)::VARCHAR, chapter_id FROM sentences WHERE contains(lower(text), 'orantion')"),
     "archives_of_entity": _with("", f"SELECT DISTINCT archive FROM mentions WHERE qid = '{ANCHOR}'"),
 }
