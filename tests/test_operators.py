@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import graph as G
+from textloom.operators import grounding as GR
 from textloom.operators import index_store as X
 from textloom.operators import library as L
 from textloom.operators import markup as M
@@ -642,3 +643,103 @@ def test_clue_markup(spark):
     assert got["full"][1] == 'i <chunk label="">j</chunk>' and got["retention"][0] == 'a b <chunk retention="verbatim">c</chunk>\n\nmiddle more\n\ni j'
     ties = t([(1, 0, "P", "detailed", None), (1, 1, "Q", "detailed", "critical"), (2, 0, "P", None, None)], "k long, place long, label string, retention string, importance string")
     assert rows(M.merged_attributes(ties, ["k"])) == [(1, "P", "detailed", "critical"), (2, "P", None, None)]
+
+
+# --- grounding
+
+
+def brute_grounding(candidates, options, decide):
+    """The rounds by their definition, candidate by candidate. ``candidates``: (chapter, id, place, surface)."""
+    stats, recalls, shown, pages, closed, accepted, figures = {}, {}, {}, {}, set(), [], []
+    asked, number = [c for c in sorted(candidates, key=lambda c: (c[0], c[2]))], 0
+    while True:
+        page = []
+        for c, i, _, s in asked:
+            if i in closed:
+                continue
+            score = lambda o: sum(recalls.get((c, s, q), 0) for q in (o[1], *o[2]))  # noqa: B023, E731
+            left = [o[1] for o in sorted(options[i], key=lambda o: (-score(o), o[0])) if o[1] not in shown.setdefault(i, set())]
+            st = stats.setdefault((c, s), [0, 0, 0, 0])
+            budgets = GR.PRIOR_BUDGETS if GR.has_prior(*st) else GR.BUDGETS
+            now = left[: budgets[min(pages.get(i, 0), len(budgets) - 1)]]
+            if not now:
+                closed.add(i)
+                continue
+            shown[i] |= set(now)
+            if len(now) == len(left):
+                closed.add(i)
+            st[0] += 1
+            page.append((c, i, s, pages.get(i, 0), now))
+            pages[i] = pages.get(i, 0) + 1
+        if not page:
+            return sorted(accepted), figures
+        figures.append({"pages": len(page), "options": sum(len(p[4]) for p in page)})
+        going = []
+        for c, i, s, k, qids in page:
+            decision, qid = decide(i, k, qids)
+            st = stats[(c, s)]
+            if decision == "accept":
+                accepted.append((i, c, s, qid, number))
+                closed.add(i)
+                st[1] += 1
+                recalls[(c, s, qid)] = recalls.get((c, s, qid), 0) + 1
+            elif decision == "continue":
+                going.append(i)
+                st[2] += 1
+            else:
+                closed.add(i)
+                st[3] += 1
+        asked, number = [x for x in asked if x[1] in going], number + 1
+
+
+def decide(candidate, page, qids):
+    k = (int(candidate[1:]) * 7 + page) % 5
+    return ("accept", qids[k % len(qids)]) if k < 2 else ("continue", None) if k < 4 else ("skip_this_time", None)
+
+
+def test_grounding_rounds_against_brute_force(spark):
+    rng = random.Random(8)
+    candidates = [(k % 2, f"c{k}", k, rng.choice("xyz")) for k in range(40)]
+    options = {i: [(p, f"q{p * (1 + int(i[1:]) % 2)}", [f"q{rng.randrange(20)}"] if rng.random() < 0.3 else None) for p in range(rng.choice((0, 2, 6, 18, 60, 90)))] for _, i, _, _ in candidates}
+    c = spark.createDataFrame(candidates, "chapter_id long, candidate_id string, place long, surface string")
+    o = spark.createDataFrame([(i, *x) for i, made in options.items() for x in made], "candidate_id string, place long, qid string, linked array<string>")
+
+    def judge(rows):
+        import pandas as pd
+
+        assert sum(map(len, rows["qids"])) <= 50 or len(rows) == 1
+        made = [(i, *decide(i, k, list(q))) for i, k, q in zip(rows["candidate_id"], rows["page"], rows["qids"])]
+        return pd.DataFrame(made, columns=["candidate_id", "decision", "qid"])
+
+    found, figures = GR.grounded(c, o, judge)
+    want, rounds = brute_grounding(candidates, {i: [(p, q, x or []) for p, q, x in made] for i, made in options.items()}, decide)
+    assert rows(found) == want and figures == rounds and len(rounds) > 2
+
+
+def test_screening_keeps_what_the_model_keeps(spark):
+    made = [(1, f"c{i}", i, "often" if i < 9 else f"s{i}") for i in range(20)] + [(2, "d", 0, "rare")]
+    c = spark.createDataFrame(made, "chapter_id long, candidate_id string, place long, surface string")
+    assert rows(GR.frequent_surfaces(c)) == [(1, "often", 9), (2, "rare", 1)]
+    got = GR.screened(c, lambda b: b[b["surface"] == "rare"][["chapter_id", "surface"]])
+    assert {r["surface"] for r in got.collect()} == {f"s{i}" for i in range(9, 20)} | {"rare"}
+
+
+def test_streamed_counters_equal_the_table(spark, tmp_path):
+    from textloom.streaming import grounding as stream
+
+    rng = random.Random(9)
+    made = [(k % 2, "xy"[k % 3 % 2], k, f"c{rng.randrange(4)}", rng.choice(("page", "page", "accept", "continue", "close")), rng.choice(("skip_this_time", "never_recall", "later", None))) for k in range(90)]
+    schema = "chapter_id long, surface string, seq long, candidate_id string, kind string, decision string"
+    for part in range(3):
+        spark.createDataFrame(made[part * 30 : part * 30 + 30], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    spark.conf.set(*stream.STATE_STORE)
+    try:
+        events_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+        query = stream.surface_statistics(events_in).writeStream.format("memory").queryName("counters").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").start()
+        query.processAllAvailable()
+        query.stop()
+    finally:
+        spark.conf.unset(stream.STATE_STORE[0])
+    got = sorted(map(tuple, spark.table("counters").collect()), key=str)
+    want = sorted(map(tuple, GR.surface_statistics(spark.createDataFrame(made, schema)).collect()), key=str)
+    assert got == want and len(want) == 90 and {r[-1] for r in want} >= {None, 3, 5, 10}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import anchors, scores, text
-from ..operators import graph, index_store, library, markup, paths, ranges, search, views
+from ..operators import graph, grounding, index_store, library, markup, paths, ranges, search, views
 from ..sources import archive, model, texts
 from ..sources.scratch import scratch_path
 
@@ -249,6 +249,23 @@ def clue_markup(spark, sf_dir):
     return markup.rendered_clues(members, chunks, covers, a.sentences, segments, "full").select("chapter_id", "markup")
 
 
+def _surface_events(a: model.Archive) -> DataFrame:
+    """Mentions as events of their surface in reading order: shown, accepted, continued, rejected by their place."""
+    turn = (F.col("sentence_index") * 3 + F.col("position")) % 7
+    kind = F.when(turn < 3, "page").when(turn == 3, "accept").when(turn < 6, "continue").otherwise("close")
+    decision = F.when(turn == 6, F.when(F.col("position") % 2 == 0, "skip_this_time").otherwise("later"))
+    candidate = F.concat("surface", F.lit(":"), F.col("sentence_index") % 2)
+    return a.mentions.select("chapter_id", "surface", (F.col("sentence_index").cast("long") * 100_000 + F.col("position")).alias("seq"), candidate.alias("candidate_id"), kind.alias("kind"), decision.alias("decision"))
+
+
+def surface_budgets(spark, sf_dir):
+    return grounding.surface_statistics(_surface_events(_a(spark, sf_dir)))
+
+
+def frequent_surfaces(spark, sf_dir):
+    return grounding.frequent_surfaces(_a(spark, sf_dir).mentions.select("chapter_id", "surface"))
+
+
 def stored_fragments(spark, sf_dir):
     return ranges.fragment_counts(ranges.fragments(_a(spark, sf_dir).sentences))
 
@@ -277,7 +294,7 @@ QUERIES = {
     for f in (
         like_mentions, matched_all_terms, snippets_around, range_uris, search_tokens, lexical_scores, word_counts, names_normalised, evidence_totals, object_totals, entities, triples, collection_page,
         collection_after, archive_totals, entity_triples, entity_evidence, range_backlinks, pattern_triples, offsets_to_sentences, spans_over_sentences, windows_with_mentions, best_of_ranges, graph_weights,
-        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, anchored_ranges, clue_markup, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
+        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, anchored_ranges, clue_markup, surface_budgets, frequent_surfaces, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
         snake_clusters, readable_pages,
     )
 }
@@ -401,6 +418,18 @@ ORACLE_SQL = {
         CASE WHEN ns = 1 AND ne = 1 THEN 'resolved' ELSE 'ambiguous_exact_raw' END AS code, CASE WHEN ns > 1 THEN 'start_anchor' WHEN ne > 1 THEN 'end_anchor' END AS field,
         CASE WHEN ns = 1 AND ne = 1 THEN 'exact_raw+exact_raw' END AS strategy FROM k""",
     ),
+    "surface_budgets": _with(
+        """e AS (SELECT chapter_id, qid AS surface, sentence_index::BIGINT * 100000 + wpos AS seq, qid || ':' || sentence_index % 2 AS candidate_id, (sentence_index * 3 + wpos) % 7 AS t, wpos FROM mentions),
+        c AS (SELECT *, count(*) FILTER (WHERE t < 3) OVER b AS seen, count(*) FILTER (WHERE t = 3) OVER b AS recalled, count(*) FILTER (WHERE t IN (4, 5)) OVER b AS continued, count(*) FILTER (WHERE t = 6 AND wpos % 2 = 0) OVER b AS rejected,
+          CASE WHEN t < 3 THEN count(*) FILTER (WHERE t < 3) OVER (PARTITION BY chapter_id, candidate_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS page
+          FROM e WINDOW b AS (PARTITION BY chapter_id, surface ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        """SELECT chapter_id, surface, seq, candidate_id, CASE WHEN t < 3 THEN 'page' WHEN t = 3 THEN 'accept' WHEN t < 6 THEN 'continue' ELSE 'close' END AS kind, seen, recalled, continued, rejected, page,
+        CASE WHEN page IS NULL THEN NULL WHEN seen >= 3 AND (recalled >= 2 AND continued = 0 OR rejected >= 2 AND recalled = 0 OR continued >= 3) THEN [3, 5, 10, 20, 35][least(page, 4) + 1] ELSE [5, 10, 20, 35][least(page, 3) + 1] END::INT AS budget FROM c""",
+    ),
+    "frequent_surfaces": _with(
+        "c AS (SELECT chapter_id, qid AS surface, count(*) AS n FROM mentions GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY n DESC, surface) AS i, count(*) OVER (PARTITION BY chapter_id) AS every FROM c)",
+        "SELECT chapter_id, surface, n FROM r WHERE i <= greatest(1, every // 10)",
+    ),
     "clue_markup": _with(
         # a sentence i is covered by nodes i - 1 and i, where they are in the clue; the first node is the lower one
         """c AS (SELECT chapter_id, sentence_index AS i, text, sentence_index % 11 < 4 AS own, sentence_index > 0 AND (sentence_index - 1) % 11 < 4 AS low FROM sentences),
