@@ -16,6 +16,7 @@ from textloom.operators import markup as M
 from textloom.operators import paths as P
 from textloom.operators import ranges as R
 from textloom.operators import search as S
+from textloom.operators import sessions as SE
 from textloom.operators import views as V
 from textloom.sources import model, store, texts
 from textloom.streaming import events
@@ -345,11 +346,6 @@ def test_index_store(spark, wiki, tmp_path):
     before = found(S.search(kept.index(), "wiki", limit=99))
     kept.mark_dirty([("w", 1)])
     assert kept.status() == "dirty" and kept.refresh(records) == 1 and found(S.search(kept.index(), "wiki", limit=99)) == before
-    cache, calls = S.SessionCache(spark, f"file://{tmp_path}/cache"), []
-    make = lambda: calls.append(1) or S.search(kept.index(), "wiki", limit=99)
-    for _ in range(2):
-        assert sorted(found(cache.get(make, query="wiki", revision=1)), key=str) == sorted(before, key=str)
-    assert len(calls) == 1 and cache.session_id(query="a") != cache.session_id(query="b")
 
 
 def test_library(spark, wiki, index):
@@ -743,3 +739,56 @@ def test_streamed_counters_equal_the_table(spark, tmp_path):
     got = sorted(map(tuple, spark.table("counters").collect()), key=str)
     want = sorted(map(tuple, GR.surface_statistics(spark.createDataFrame(made, schema)).collect()), key=str)
     assert got == want and len(want) == 90 and {r[-1] for r in want} >= {None, 3, 5, 10}
+
+
+# --- sessions
+
+
+def test_sessions_live_and_go(spark, tmp_path):
+    now = [1000.0]
+    kept = SE.Sessions(spark, f"file://{tmp_path}/sessions", most=3, seconds=50, clock=lambda: now[0])
+    hits = spark.createDataFrame([(f"h{i}", float(i % 4)) for i in range(10)], "id string, score double")
+    calls = []
+    scope = {"archive_key": "w", "terms": ["wiki"], "types": ["node", "entity"], "chapters": [2, 1, 2], "revision": "r1"}
+    make = lambda: calls.append(1) or hits
+    order = [F.desc("score"), "id"]
+    one = kept.find(make, order, **scope)
+    assert kept.find(make, order, **{**scope, "types": ["entity", "node", "node"], "chapters": [1, 2]}) == one and len(calls) == 1
+    assert kept.find(make, order, **{**scope, "revision": "r2"}) != one and len(calls) == 2
+    found, cursor = kept.page(one, 4, types=["entity", "node"])
+    assert [r["id"] for r in found] == ["h3", "h7", "h2", "h6"]
+    then, cursor = kept.after(cursor, 4)
+    last, end = kept.after(cursor, 4)
+    assert [r["id"] for r in (*then, *last)] == ["h1", "h5", "h9", "h0", "h4", "h8"] and end is None
+    for types in (["node"], ["node", "triple"], ["entity", "node", "triple"], []):
+        with pytest.raises(ValueError):
+            kept.after(cursor, 4, types)
+    with pytest.raises(ValueError):
+        kept.after("nonsense", 4)
+    for i, t in enumerate((1010.0, 1020.0)):
+        now[0] = t
+        kept.page(one, 1)  # used last, so that the other goes
+        kept.keep(hits, order, archive_key="v", terms=[str(i)])
+    assert len(kept.folder.names("known")) == 3 == len(kept.folder.names("rows")) and kept.rows(one) is not None
+    now[0] = 1051.0
+    assert kept.page(one, 1) is None and kept.collect_garbage(dry_run=True) == {"scanned": 3, "removed": 1} and kept.collect_garbage()["removed"] == 1
+    assert kept.forget_archive("v") == 2 and kept.folder.names("rows") == [] and kept.collect_garbage(force=True)["scanned"] == 0
+
+
+def test_revisions_are_part_of_the_scope(spark):
+    a = spark.createDataFrame([(1, 5), (2, 6)], "chapter_id long, revision long")
+    b = spark.createDataFrame([(2, 7), (1, 5)], "chapter_id long, revision long")
+    assert SE.revision_scope(a) == SE.revision_scope(a.orderBy("revision", ascending=False)) != SE.revision_scope(b)
+    assert SE.revision_scope(a, [1, 3, 1]) == SE.revision_scope(b, [3, 1]) == '{"scope": "chapters", "chapters": [[1, 5], [3, 0]]}'
+    assert SE.session_id(terms=["a"], query="A") == SE.session_id(terms=["a"], query="a") != SE.session_id(terms=["b"])
+
+
+def test_the_501st_session_goes(spark, tmp_path):
+    now = [0.0]
+    kept = SE.Sessions(spark, f"file://{tmp_path}/sessions", clock=lambda: now[0])
+    for i in range(501):
+        kept.folder.create(f"known/s{i:03}", {"accessed": float(i), "created": 0.0, "expires": 1e9 if i else 5.0, "archive_key": "w", "types": None})
+    assert kept.collect_garbage() == {"scanned": 501, "removed": 1} and "s000" not in kept.folder.names("known")
+    now[0] = 8 * 24 * 3600.0
+    kept._tell("s001", {"accessed": 0.0, "created": 0.0, "expires": float(SE.SECONDS), "archive_key": "w", "types": None})
+    assert kept.collect_garbage()["removed"] == 1

@@ -8,7 +8,6 @@ own tokens and the index's two totals.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -216,37 +215,3 @@ def parse_triple_pattern(text: str) -> dict[str, str | None]:
     if head != "triple" or len(parts) > 3:
         raise ValueError(f"not a triple pattern: {text}")
     return {k: None if v in ("", "_") else v for k, v in zip(("s", "predicate", "o"), [*parts, "", "", ""])}
-
-
-# --- kept results
-
-
-class SessionCache:
-    """Results of searches as tables named by a hash of the search's scope; old ones and all beyond a number are forgotten."""
-
-    VERSION, MOST, SECONDS = 7, 500, 7 * 24 * 3600
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    @classmethod
-    def session_id(cls, **scope) -> str:
-        """A hash of what was searched (query, match, types, chapters) and in which revision."""
-        import hashlib
-
-        return hashlib.sha256(json.dumps({"version": cls.VERSION, **scope}, sort_keys=True, default=str).encode()).hexdigest()
-
-    def get(self, make, **scope) -> DataFrame:
-        """The result for this scope; ``make()`` gives it if it isn't kept."""
-        session = self.session_id(**scope)
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{session}/_SUCCESS")
-        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            make().write.mode("overwrite").parquet(f"{self.path}/{session}")
-        return self.spark.read.parquet(f"{self.path}/{session}")
-
-
-def sessions_to_forget(sessions: DataFrame, now: Column, most: int = SessionCache.MOST, seconds: int = SessionCache.SECONDS) -> DataFrame:
-    """``session_id`` of those not used for ``seconds``, and of all but the ``most`` used last. ``sessions``: session_id, created, accessed."""
-    order = Window.orderBy(F.desc("accessed"), F.desc("created"), "session_id")  # a row for each session of one user
-    ranked = sessions.withColumn("r", F.row_number().over(order))
-    return ranked.filter((F.col("r") > most) | (F.unix_seconds(now) - F.unix_seconds("accessed") > seconds)).select("session_id")
