@@ -792,3 +792,37 @@ def test_the_501st_session_goes(spark, tmp_path):
     now[0] = 8 * 24 * 3600.0
     kept._tell("s001", {"accessed": 0.0, "created": 0.0, "expires": float(SE.SECONDS), "archive_key": "w", "types": None})
     assert kept.collect_garbage()["removed"] == 1
+
+
+# --- fingerprints and scans of archives
+
+
+def test_fingerprints_are_of_the_order(spark):
+    rng = random.Random(12)
+    made = [(rng.choice("vw"), "text", "source", i % 5, i, None, str(i), f"t{i}") for i in range(300)] + [("w", "text", "source", 1, None, None, None, None)]
+    df = as_records(spark, made)
+    first = dict(rows(L.fingerprints(df)))
+    for shuffled in (df.repartition(7), df.orderBy(F.desc("record_id")), as_records(spark, rng.sample(made, len(made)))):
+        spark.conf.set("spark.sql.shuffle.partitions", rng.choice(("1", "3", "9")))
+        assert dict(rows(L.fingerprints(shuffled))) == first
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    swapped = [r if r[4] not in (10, 15) else (*r[:4], 25 - r[4], *r[5:]) for r in made]  # two sentences of a chapter change places
+    assert dict(rows(L.fingerprints(as_records(spark, swapped)))) != first and dict(rows(L.fingerprints(as_records(spark, made[1:])))) != first
+    assert L.fingerprints(df.limit(0)).count() == 0 and first["w"].split("-")[0] == str(sum(r[0] == "w" for r in made))
+
+
+def test_scan_reads_relative_paths_and_tokens(spark, tmp_path):
+    for name, token in (("a/x.wikg", "t1"), ("b/x.wikg", " t2\n"), ("b/c d/y.wikg", None), ("top.wikg", "")):
+        path = tmp_path / "library" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("other", "x")
+            if token is not None:
+                z.writestr("TOKEN", token)
+    (tmp_path / "library/broken.wikg").write_text("no archive")
+    (tmp_path / "library/skipped.txt").write_text("x")
+    for path in (f"{tmp_path}/library", f"file://{tmp_path}/library/"):
+        got = {r["relative_path"]: (r["token"], r["size"] > 0) for r in L.scanned(spark, path).collect()}
+        assert got == {"a/x.wikg": ("t1", True), "b/x.wikg": ("t2", True), "b/c d/y.wikg": (None, True), "top.wikg": (None, True), "broken.wikg": (None, True)}
+    register = spark.createDataFrame([(1, "a/x.wikg", "t1"), (2, "old/x.wikg", "t2")], "archive_id long, relative_path string, token string")
+    assert (2, "b/x.wikg", "present") in {tuple(r) for r in L.reconciled(L.scanned(spark, f"{tmp_path}/library"), register).select("archive_id", "relative_path", "status").collect()}

@@ -73,17 +73,83 @@ def related(a: Archive, qid: str) -> DataFrame:
     return V.related_to_entity(a, qid).orderBy("archive", "id")
 
 
+#: The prime that fingerprints are taken modulo, and the two bases of their polynomials.
+PRIME, BASES = (1 << 61) - 1, (1_000_003, 998_244_353)
+
+
+def _folded(batches):
+    """The value of each run of rows of one archive: its number of rows n, and the rows' hashes as a polynomial, the first one highest."""
+    import pyarrow as pa
+
+    block, runs = None, []
+    for batch in batches:
+        for archive, at, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not runs or runs[-1][0] != archive:
+                runs.append([archive, 0, 0, 0])
+                block = at if block is None else block
+            run = runs[-1]
+            run[1:] = run[1] + 1, (run[2] * BASES[0] + one) % PRIME, (run[3] * BASES[1] + two) % PRIME
+    if runs:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        arrays = [pa.array(column, kind) for column, kind in zip(zip(*runs, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([arrays[0], pa.array([block] * len(runs), pa.int32()), *arrays[1:]], names=["archive", "block", "n", "one", "two"])
+
+
+def _joined(blocks):
+    """Blocks of one archive in order as one: n and values of a run of runs."""
+    import pandas as pd
+
+    n = one = two = 0
+    for r in blocks.sort_values("block").itertuples():
+        n, one, two = n + r.n, (one * pow(BASES[0], int(r.n), PRIME) + r.one) % PRIME, (two * pow(BASES[1], int(r.n), PRIME) + r.two) % PRIME
+    return pd.DataFrame({"archive": [blocks["archive"].iloc[0]], "fingerprint": [f"{n}-{int(one):016x}{int(two):016x}"]})
+
+
 def fingerprints(records: DataFrame) -> DataFrame:
-    """``archive, fingerprint``: a hash of each archive's ordered records. Chapters are hashed first, so that no array holds an archive's texts."""
-    row = F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*S.RECORD, "text"))), 256)
-    by_chapter = records.withColumn("h", row).groupBy("archive", "chapter_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\0"), 256).alias("h"))
-    return by_chapter.groupBy("archive").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("chapter_id", "h")))["h"], "\0"), 256).alias("fingerprint"))
+    """``archive, fingerprint``: of each archive's records in their order, by chapter, sentence, kind, owner and record.
+
+    Records are parted by ranges of that order; a part is folded row by row, and what is known of a part (a row for each
+    archive in it) is joined with the next ones. The value is a polynomial in the rows' hashes, whose parts can be joined anywhere: it is
+    the same whatever the partitioning, another one if two rows change places, and no array of rows is ever held.
+    """
+    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in (*S.RECORD, "text"))), 256)
+    part = lambda k: F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("long")
+    order = ["archive", "chapter_id", "sentence_index", "kind", "owner_id", "record_id", "h"]
+    hashed = records.select("archive", "chapter_id", "sentence_index", "kind", "owner_id", "record_id", row.alias("h"))
+    placed = hashed.repartitionByRange(*order).sortWithinPartitions(*order).select("archive", F.spark_partition_id().alias("block"), part(0).alias("one"), part(1).alias("two"))
+    blocks = placed.mapInArrow(_folded, "archive string, block int, n long, one long, two long")
+    return blocks.groupBy("archive").applyInPandas(_joined, "archive string, fingerprint string")
+
+
+def scanned(spark, path: str, pattern: str = "*.wikg", token_entry: str = "TOKEN") -> DataFrame:
+    """``relative_path, size, modified, token`` of the archive files under a folder; paths are relative to it.
+
+    The token is the text of a file's first entry ``token_entry``; null if it has none or is no archive. Of a file's contents
+    only that entry comes out of the task that reads it.
+    """
+    import pandas as pd
+
+    def token(content: bytes) -> str | None:
+        import io
+        import zipfile
+
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                return z.read(token_entry).decode().strip() or None
+        except (zipfile.BadZipFile, KeyError, UnicodeDecodeError):
+            return None
 
+    def read(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "size": b["length"], "modified": b["modificationTime"], "token": [token(c) for c in b["content"]]})
 
-def scanned(spark, path: str, pattern: str = "*.wikg") -> DataFrame:
-    """``relative_path, size, modified`` of the archive files under a folder; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    found = files.mapInPandas(read, "path string, size long, modified timestamp, token string")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    # a file's URI may have one slash or three behind its scheme
+    plain = lambda c: F.regexp_replace(c, r"\A([a-z0-9]+):/+", "$1:/")
+    return found.select(F.substring(plain(F.col("path")), F.length(plain(F.lit(root))) + 1, F.length("path")).alias("relative_path"), "size", "modified", "token")
 
 
 def reconciled(files: DataFrame, register: DataFrame, trusted: bool = True) -> DataFrame:

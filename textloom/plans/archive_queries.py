@@ -418,6 +418,16 @@ ORACLE_SQL = {
         CASE WHEN ns = 1 AND ne = 1 THEN 'resolved' ELSE 'ambiguous_exact_raw' END AS code, CASE WHEN ns > 1 THEN 'start_anchor' WHEN ne > 1 THEN 'end_anchor' END AS field,
         CASE WHEN ns = 1 AND ne = 1 THEN 'exact_raw+exact_raw' END AS strategy FROM k""",
     ),
+    "archive_fingerprints": _with(
+        """rec AS (SELECT source AS archive, 'object' AS record, 'chapter-title' AS kind, doc_id AS chapter_id, NULL::BIGINT AS sentence_index, doc_id::VARCHAR AS owner_id, doc_id::VARCHAR AS record_id, 'Chapter ' || doc_id AS text FROM documents
+          UNION ALL SELECT archive, 'text', 'source', chapter_id, sentence_index, NULL, chapter_id || ':' || sentence_index, text FROM sentences
+          UNION ALL SELECT archive, 'object', k.kind, chapter_id, sentence_index, (chapter_id::BIGINT * 16777216 + sentence_index)::VARCHAR, (chapter_id::BIGINT * 16777216 + sentence_index)::VARCHAR, CASE k.kind WHEN 'chunk-label' THEN left(text, 40) ELSE text END FROM sentences, (VALUES ('chunk-label'), ('chunk-content')) k(kind)
+          UNION ALL SELECT archive, 'object', 'entity-surface', chapter_id, sentence_index, qid, chapter_id || ':' || sentence_index || ':' || wpos, qid FROM mentions),
+        h AS (SELECT *, sha256(concat_ws(chr(31), coalesce(archive, chr(30)), record, kind, chapter_id, coalesce(sentence_index::VARCHAR, chr(30)), coalesce(owner_id, chr(30)), record_id, coalesce(text, chr(30)))) AS h FROM rec),
+        l AS (SELECT archive, count(*) AS n, list(struct_pack(a := ('0x' || h[1:15])::HUGEINT, b := ('0x' || h[16:30])::HUGEINT) ORDER BY chapter_id, sentence_index NULLS FIRST, kind, owner_id NULLS FIRST, record_id, h) AS v FROM h GROUP BY archive),
+        f AS (SELECT archive, n, list_reduce(list_transform(v, lambda x: x.a), lambda s, x: (s * 1000003 + x) % 2305843009213693951, 0::HUGEINT) AS a, list_reduce(list_transform(v, lambda x: x.b), lambda s, x: (s * 998244353 + x) % 2305843009213693951, 0::HUGEINT) AS b FROM l)""",
+        "SELECT archive, n || '-' || lpad(lower(to_hex(a)), 16, '0') || lpad(lower(to_hex(b)), 16, '0') AS fingerprint FROM f",
+    ),
     "surface_budgets": _with(
         """e AS (SELECT chapter_id, qid AS surface, sentence_index::BIGINT * 100000 + wpos AS seq, qid || ':' || sentence_index % 2 AS candidate_id, (sentence_index * 3 + wpos) % 7 AS t, wpos FROM mentions),
         c AS (SELECT *, count(*) FILTER (WHERE t < 3) OVER b AS seen, count(*) FILTER (WHERE t = 3) OVER b AS recalled, count(*) FILTER (WHERE t IN (4, 5)) OVER b AS continued, count(*) FILTER (WHERE t = 6 AND wpos % 2 = 0) OVER b AS rejected,
