@@ -2,13 +2,16 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import anchors as A
 from textloom.functions import evidence as E
+from textloom.functions import han as H
 from textloom.functions import scores, text
+from textloom.operators import languages as N
 
 
 def value(spark, column, **given):
@@ -226,3 +229,41 @@ def test_anchors_are_resolved(spark):
     assert place["single"][4] == "auto_top1_single_candidate" and place["held twice"][2] == "ambiguous_exact_substring"
     shown = A.resolve_anchor(spark.createDataFrame([("x", 1, "major reveal", None)], "anchor_id string, chapter_id long, anchor string, least long"), sentences, "start_anchor").first()
     assert [c["sentence_index"] for c in shown["candidates"]] == [2, 0] and shown["sentence_index"] is None
+
+
+# --- words of Han runs, languages
+
+
+def brute_words(run, known):
+    """All cuts into dictionary words and characters; the fewest parts, then the longest last parts."""
+    if not run:
+        return []
+    cuts = []
+    for size in range(1, len(run) + 1):
+        if size == 1 or run[-size:] in known:
+            cuts.append([*brute_words(run[:-size], known), run[-size:]])
+    return min(cuts, key=lambda c: (len(c), [-len(p) for p in reversed(c)]))
+
+
+def test_han_words_against_brute_force(spark):
+    rng = random.Random(6)
+    known = {"".join(rng.choices("中文图谱检索", k=rng.randint(2, 4))) for _ in range(25)} | {"latin"}
+    texts = ["".join(rng.choices("中文图谱检索 a,", k=rng.randint(0, 14))) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for words in (known, set()):
+        cut = H.dictionary_words(sorted(words))
+        got = {r["i"]: r["w"] for r in df.select("i", cut(F.col("t")).alias("w")).collect()}
+        runs = lambda t: re.findall("[中文图谱检索]{2,}", t)
+        assert got == {i: None if t is None else [w for run in runs(t) for w in brute_words(run, words) if len(w) > 1] for i, t in enumerate(texts)}
+    plan = spark.range(1).select(text.plan_terms(text.token_plan(F.lit("图谱检索"), H.dictionary_words(["图谱", "检索"])))).first()[0]
+    assert plan[:3] == ["图谱检索", "图谱", "谱检"] and "检索" in plan
+
+
+def test_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    found = N.detected(docs, N.profiles(docs.filter("doc_id % 2 = 0"))).withColumnRenamed("lang", "found").join(docs, "doc_id").filter("doc_id % 2 = 1")
+    right, n = found.filter("length(text) >= 200").agg(F.count_if(F.col("lang") == F.col("found")), F.count("*")).first()
+    assert n > 300 and right / n > 0.98, (right, n)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "the the")], "doc_id long, text string")
+    some = spark.createDataFrame([("en", "the cat"), ("de", "das tier"), (None, "x")], "lang string, text string")
+    assert {r["doc_id"]: r["lang"] for r in N.detected(odd, N.profiles(some)).collect()} == {1: None, 2: None, 3: None, 4: "en"}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import anchors, scores, text
-from ..operators import graph, grounding, index_store, library, markup, paths, ranges, search, views
+from ..operators import graph, grounding, index_store, languages, library, markup, paths, ranges, search, views
 from ..sources import archive, model, texts
 from ..sources.scratch import scratch_path
 
@@ -261,6 +261,12 @@ def frequent_surfaces(spark, sf_dir):
     return grounding.frequent_surfaces(_a(spark, sf_dir).mentions.select("chapter_id", "surface"))
 
 
+def languages_detected(spark, sf_dir):
+    """All documents, by profiles from those with an even id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return languages.detected(docs, languages.profiles(docs.filter("doc_id % 2 = 0")))
+
+
 def stored_fragments(spark, sf_dir):
     return ranges.fragment_counts(ranges.fragments(_a(spark, sf_dir).sentences))
 
@@ -289,7 +295,7 @@ QUERIES = {
     for f in (
         like_mentions, matched_all_terms, snippets_around, range_uris, search_tokens, lexical_scores, word_counts, names_normalised, evidence_totals, object_totals, entities, triples, collection_page,
         collection_after, archive_totals, entity_triples, entity_evidence, range_backlinks, pattern_triples, offsets_to_sentences, spans_over_sentences, windows_with_mentions, best_of_ranges, graph_weights,
-        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, anchored_ranges, clue_markup, surface_budgets, frequent_surfaces, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
+        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, anchored_ranges, clue_markup, surface_budgets, frequent_surfaces, languages_detected, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
         snake_clusters, readable_pages,
     )
 }
@@ -422,6 +428,16 @@ ORACLE_SQL = {
         f AS (SELECT archive, n, list_reduce(list_transform(v, lambda x: x.a), lambda s, x: (s * 1000003 + x) % 2305843009213693951, 0::HUGEINT) AS a, list_reduce(list_transform(v, lambda x: x.b), lambda s, x: (s * 998244353 + x) % 2305843009213693951, 0::HUGEINT) AS b FROM l)""",
         "SELECT archive, n || '-' || lpad(lower(to_hex(a)), 16, '0') || lpad(lower(to_hex(b)), 16, '0') AS fingerprint FROM f",
     ),
+    "languages_detected": """
+        WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents),
+        c AS (SELECT doc_id, lang, '_' || word || '_' AS m, count(*) AS n FROM w GROUP BY ALL),
+        g AS (SELECT doc_id, lang, n, substr(m, unnest(range(1, length(m) - k + 2)), k) AS gram FROM c, (VALUES (1), (2), (3)) t(k)),
+        d AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY sum(n) DESC, gram) AS r FROM g WHERE gram <> '_' GROUP BY doc_id, gram QUALIFY r <= 300),
+        p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS r FROM g WHERE gram <> '_' AND doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY lang, gram QUALIFY r <= 300),
+        s AS (SELECT doc_id, p.lang, sum(300 - abs(d.r - p.r)) AS s FROM d JOIN p USING (gram) GROUP BY ALL),
+        f AS (SELECT doc_id, count(*) * 300 AS n FROM d GROUP BY doc_id),
+        b AS (SELECT doc_id, lang, s / n AS share, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS i FROM s JOIN f USING (doc_id))
+        SELECT doc_id, b.lang, b.share FROM documents LEFT JOIN b USING (doc_id) WHERE coalesce(i, 1) = 1""",
     "surface_budgets": _with(
         """e AS (SELECT chapter_id, qid AS surface, sentence_index::BIGINT * 100000 + wpos AS seq, qid || ':' || sentence_index % 2 AS candidate_id, (sentence_index * 3 + wpos) % 7 AS t, wpos FROM mentions),
         c AS (SELECT *, count(*) FILTER (WHERE t < 3) OVER b AS seen, count(*) FILTER (WHERE t = 3) OVER b AS recalled, count(*) FILTER (WHERE t IN (4, 5)) OVER b AS continued, count(*) FILTER (WHERE t = 6 AND wpos % 2 = 0) OVER b AS rejected,

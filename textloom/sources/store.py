@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 from .model import Archive
 
 
@@ -96,20 +98,23 @@ def value_of(json_text: Column, path: str) -> Column:
 # --- chapter trees: rows ``node_id, parent_id`` (null at the top) ``, ord, key, title, chapter_id``
 
 
-def flattened_tree(tree: DataFrame, most: int = 32) -> DataFrame:
+def flattened_tree(tree: DataFrame) -> DataFrame:
     """Nodes with ``depth, path`` (keys joined by a slash) ``, toc_path`` (titles) and ``place``, by which they sort depth first.
 
-    One join a level; a tree of chapters has few levels.
+    One join a level, as many as the tree has; a level is written, so that plans stay short. A node that no top node leads to
+    (its parent is missing, or is under it) makes an error.
     """
-    top = tree.filter("parent_id IS NULL").select("*", F.lit(0).alias("depth"), F.col("key").alias("path"), F.array("title").alias("toc_path"), F.array("ord").alias("place"))
-    whole, level = top, top
-    for depth in range(1, most + 1):
-        up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("_p"), F.col("toc_path").alias("_t"), F.col("place").alias("_o"))
-        level = tree.join(up, "parent_id").select(*tree.columns, F.lit(depth).alias("depth"), F.concat_ws("/", "_p", "key").alias("path"), F.concat("_t", F.array("title")).alias("toc_path"), F.concat("_o", F.array("ord")).alias("place"))
-        if level.isEmpty():
-            return whole
+    level = written(tree.filter("parent_id IS NULL").select("*", F.lit(0).alias("depth"), F.col("key").alias("path"), F.array("title").alias("toc_path"), F.array("ord").alias("place")), "tree")
+    whole, reached = level, level.count()
+    while not level.isEmpty():
+        up = level.select(F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.col("path").alias("_p"), F.col("toc_path").alias("_t"), F.col("place").alias("_o"))
+        below = tree.join(up, "parent_id").select(*tree.columns, "depth", F.concat_ws("/", "_p", "key").alias("path"), F.concat("_t", F.array("title")).alias("toc_path"), F.concat("_o", F.array("ord")).alias("place"))
+        level = written(below, "tree")
+        reached += level.count()
         whole = whole.unionByName(level)
-    raise ValueError("the tree is too deep, or has a cycle")
+    if reached < tree.count():
+        raise ValueError("the tree has nodes that no top node leads to")
+    return whole
 
 
 def subtree(flat: DataFrame, path: str) -> DataFrame:
