@@ -12,13 +12,15 @@ from textloom.operators import graph as G
 from textloom.operators import grounding as GR
 from textloom.operators import index_store as X
 from textloom.operators import library as L
+from textloom.operators import links as K
 from textloom.operators import markup as M
 from textloom.operators import paths as P
+from textloom.operators import planning as PL
 from textloom.operators import ranges as R
 from textloom.operators import search as S
 from textloom.operators import sessions as SE
 from textloom.operators import views as V
-from textloom.sources import model, store, texts
+from textloom.sources import metadata, model, packages, store, texts
 from textloom.streaming import events
 from textloom.streaming import text as stream_text
 
@@ -816,13 +818,79 @@ def test_scan_reads_relative_paths_and_tokens(spark, tmp_path):
         path = tmp_path / "library" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         with zipfile.ZipFile(path, "w") as z:
-            z.writestr("other", "x")
             if token is not None:
-                z.writestr("TOKEN", token)
+                z.writestr(packages.TOKEN, token)
+            z.writestr("manifest.json", "{}")
+            z.writestr("text/1.txt", name)
     (tmp_path / "library/broken.wikg").write_text("no archive")
     (tmp_path / "library/skipped.txt").write_text("x")
     for path in (f"{tmp_path}/library", f"file://{tmp_path}/library/"):
         got = {r["relative_path"]: (r["token"], r["size"] > 0) for r in L.scanned(spark, path).collect()}
         assert got == {"a/x.wikg": ("t1", True), "b/x.wikg": ("t2", True), "b/c d/y.wikg": (None, True), "top.wikg": (None, True), "broken.wikg": (None, True)}
+    read = packages.archive_entries(spark, f"{tmp_path}/library", ["text/*", "none"]).collect()
+    assert sorted((r["relative_path"], r["entry"], bytes(r["content"]).decode()) for r in read if r["entry"]) == [(n, "text/1.txt", n) for n in ("a/x.wikg", "b/x.wikg", "top.wikg")]
+    assert {r["relative_path"] for r in read if r["fault"]} == {"b/c d/y.wikg", "broken.wikg"}
+    assert {r["entry"] for r in packages.archive_entries(spark, f"{tmp_path}/library", first=None).collect() if r["relative_path"] == "b/c d/y.wikg"} == {"manifest.json", "text/1.txt"}
     register = spark.createDataFrame([(1, "a/x.wikg", "t1"), (2, "old/x.wikg", "t2")], "archive_id long, relative_path string, token string")
     assert (2, "b/x.wikg", "present") in {tuple(r) for r in L.reconciled(L.scanned(spark, f"{tmp_path}/library"), register).select("archive_id", "relative_path", "status").collect()}
+
+
+# --- links, planning, buckets, states, metadata
+
+
+def test_links_keep_their_evidence_in_blocks(spark):
+    links = spark.createDataFrame([("w", "a"), ("w", "b"), ("v", "a")], "archive string, link_id string")
+    evidence = spark.createDataFrame([("w", "a", 1, i % 7) for i in range(20)] + [("w", "x", 1, 1)], "archive string, link_id string, chapter_id long, sentence_index long")
+    got = {(r["archive"], r["link_id"], r["block"]): [tuple(e) for e in r["evidence"]] for r in K.with_evidence(links, evidence, block=3).collect()}
+    assert got == {("w", "a", 0): [(1, 0), (1, 1), (1, 2)], ("w", "a", 1): [(1, 3), (1, 4), (1, 5)], ("w", "a", 2): [(1, 6)], ("w", "b", 0): [], ("v", "a", 0): []}
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "from_id long, to_id long")
+    assert rows(K.edges_within(e, spark.createDataFrame([(1,), (3,), (4,), (4,)], "k long"))) == [(3, 1), (4, 4)]
+    clusters = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "cluster_id long, chapter_id long")
+    assert rows(K.cluster_edges_of_chapter(e, clusters, 7)) == [(1, 2)]
+    names = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "name string")
+    assert rows(K.unused(names, [spark.createDataFrame([("a",), (None,)], "x string"), spark.createDataFrame([("b",)], "y string")])) == [("c",)]
+
+
+def test_planning(spark):
+    chapters = spark.createDataFrame([("w", 351, True), ("w", 0, None), ("v", None, False)], "archive string, words long, covered boolean")
+    cost = {(r["archive"], r["task"]): r for r in PL.task_costs(chapters, ["archive"]).collect()}
+    assert tuple(cost["w", "knowledge-graph"])[2:] == (2, 351, 11, 38, 78, 28080, 21060, 8775)  # two batches of six calls
+    assert tuple(cost["w", "reading-graph"])[2:7] == (2, 351, 3, 49, 139) and cost["v", "reading-summary"]["calls"] == 1
+    total = {r["archive"]: r for r in PL.total_costs(PL.task_costs(chapters, ["archive"]), ["archive"]).collect()}
+    assert total["w"]["calls"] == 11 + 3 + 4
+    assert {r["archive"]: tuple(r)[1:] for r in PL.coverage(chapters, ["archive"]).collect()} == {"w": (1, 2, 351, 351, "100%"), "v": (0, 1, 0, 0, "n/a")}
+    third = spark.createDataFrame([("u", 1, True), ("u", 2, False)], chapters.schema)
+    assert PL.coverage(third, ["archive"]).first()["percent"] == "33.3%"
+
+
+def test_pages_bucket_by_bucket(wiki, index, monkeypatch):
+    whole = [tuple(r) for r in V.find(wiki, index, "wiki").orderBy(*V.search_order()).collect()]
+    got, at, calls, real = [], 0, [], V.find
+    monkeypatch.setattr(V, "find", lambda a, i, q, m, types: calls.append(types) or real(a, i, q, m, types))
+    while at is not None:
+        page, at = V.find_by_buckets(wiki, index, "wiki", limit=2, skip=at)
+        got += [tuple(r) for r in page]
+        if len(got) == 2:
+            assert len(calls) < 4  # later buckets weren't searched
+    assert got == whole and (V.bucket_window(5), V.bucket_window(50), V.text_window(200), V.library_window(20)) == (100, 151, 201, 400)
+    assert {r["type"] for r in V.find_by_buckets(wiki, index, "wiki", types=["source", "summary"])[0]} == {"source", "summary"}
+
+
+def test_states_and_pages(spark, wiki):
+    more = model.Archive(**{**vars(wiki), "chapters": wiki.chapters.unionByName(spark.createDataFrame([("w", 2, 2, "Empty")], wiki.chapters.schema))})
+    assert rows(V.chapter_states(more)) == [("w", 1, "summarized", 3, 17, 1, 2, 4), ("w", 2, "planned", 0, 0, 0, 0, 0)]
+    assert V.object_page(more, "chapter-state", "2")["stage"] == "planned" and V.object_page(more, "summary", "1")["text"] == "A summary of wiki pages."
+    assert V.object_page(more, "summary", "2") is None and V.object_page(more, "chapter-title", "2")["title"] == "Empty" and V.object_page(more, "chapter-state", "9") is None
+
+
+def test_metadata(spark):
+    meta = spark.createDataFrame([("w", "Old", ["A", "Bea"], "P", None), ("v", None, None, None, "x")], "archive string, title string, authors array<string>, publisher string, description string")
+    patches = [("w", 1, "title", "First"), ("w", 2, "title", "Second"), ("w", 3, "publisher", None), ("u", 1, "authors", '["C", "D"]')]
+    got = metadata.patched(meta, spark.createDataFrame(patches, "archive string, ord long, field string, value string"))
+    assert {r["archive"]: tuple(r)[1:] for r in got.collect()} == {"w": ("Second", ["A", "Bea"], None, None), "v": (None, None, None, "x"), "u": (None, ["C", "D"], None, None)}
+    shown = {r["archive"]: (r["s"], r["t"]) for r in meta.select("archive", metadata.summary().alias("s"), metadata.as_text().alias("t")).collect()}
+    assert shown == {"w": ("Old / A, Bea / P", "title: Old\nauthors: A, Bea\npublisher: P"), "v": ("", "title: Archive metadata\ndescription: x")}
+    assert rows(metadata.grep(meta, " be "), "archive", "field", "snippet") == [("w", "authors", "Bea")] and metadata.grep(meta, " ").count() == 0
+    assert rows(metadata.hits(meta), "archive", "title") == [("v", "Archive metadata"), ("w", "Old")] and metadata.hits(meta).columns == [*V.HIT, "title"]
+    with pytest.raises(Exception, match="no metadata field"):
+        metadata.patched(meta, spark.createDataFrame([("w", 1, "titel", "x")], "archive string, ord long, field string, value string")).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scores import object_hits
 from ..sources.model import Archive
+from ..sources.packages import archive_files
 from . import search as S
 from . import views as V
 
@@ -121,35 +122,9 @@ def fingerprints(records: DataFrame) -> DataFrame:
     return blocks.groupBy("archive").applyInPandas(_joined, "archive string, fingerprint string")
 
 
-def scanned(spark, path: str, pattern: str = "*.wikg", token_entry: str = "TOKEN") -> DataFrame:
-    """``relative_path, size, modified, token`` of the archive files under a folder; paths are relative to it.
-
-    The token is the text of a file's first entry ``token_entry``; null if it has none or is no archive. Of a file's contents
-    only that entry comes out of the task that reads it.
-    """
-    import pandas as pd
-
-    def token(content: bytes) -> str | None:
-        import io
-        import zipfile
-
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                return z.read(token_entry).decode().strip() or None
-        except (zipfile.BadZipFile, KeyError, UnicodeDecodeError):
-            return None
-
-    def read(batches):
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "size": b["length"], "modified": b["modificationTime"], "token": [token(c) for c in b["content"]]})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    found = files.mapInPandas(read, "path string, size long, modified timestamp, token string")
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
-    # a file's URI may have one slash or three behind its scheme
-    plain = lambda c: F.regexp_replace(c, r"\A([a-z0-9]+):/+", "$1:/")
-    return found.select(F.substring(plain(F.col("path")), F.length(plain(F.lit(root))) + 1, F.length("path")).alias("relative_path"), "size", "modified", "token")
+def scanned(spark, path: str) -> DataFrame:
+    """``relative_path, size, modified, token`` of the archive files under a folder, whatever their depth."""
+    return archive_files(spark, path)
 
 
 def reconciled(files: DataFrame, register: DataFrame, trusted: bool = True) -> DataFrame:

@@ -186,6 +186,39 @@ def find(a: Archive, index: S.Index, query: str, match: str = "any", types: list
     return direct.select(*HIT).unionByName(objects)
 
 
+def text_window(limit: int) -> int:
+    """How many hits a search of sentences alone looks at for a page."""
+    return max(limit + 1, 100)
+
+
+def bucket_window(limit: int) -> int:
+    """How many hits of each bucket a search looks at for a page."""
+    return max(limit + 1, 3 * limit + 1, 100)
+
+
+def library_window(limit: int) -> int:
+    return max(20 * limit, 100)
+
+
+def find_by_buckets(a: Archive, index: S.Index, query: str, match: str = "any", types: list[str] | None = None, limit: int = PAGE, skip: int = 0) -> tuple[list, int | None]:
+    """(a page's hits, where the next page begins or None): bucket by bucket (titles; entities and triples; nodes; sentences),
+    and a bucket is only searched if those before it don't fill the page.
+
+    Each bucket is a search of its own whose first ``bucket_window`` hits count; scores are as in ``find``.
+    """
+    rows, before, window = [], 0, text_window(skip + limit) if types and set(types) <= {"source", "summary"} else bucket_window(skip + limit)
+    for bucket in sorted(set(SEARCH_BUCKETS.values())):
+        own = [t for t, b in SEARCH_BUCKETS.items() if b == bucket and (types is None or t in types or t == "chapter-title" and "chapter" in types)]
+        if not own:
+            continue
+        found = find(a, index, query, match, own).orderBy(*search_order()).limit(window).collect()  # one bucket's window
+        rows += found[max(0, skip - before) :]
+        before += len(found)
+        if len(rows) > limit:
+            return rows[:limit], skip + limit
+    return rows, None
+
+
 def displayed(a: Archive, rows: DataFrame, needle: str | None = None) -> DataFrame:
     """A page's hits with ``title`` and ``snippet``; a hit whose object is gone drops out. Broadcasts nothing but the page."""
     keys = rows.select("archive", "type", "id", "chapter_id", "sentence_index")
@@ -314,14 +347,37 @@ def backlinks(a: Archive, chapter_id: int, start: int, end: int) -> DataFrame:
 # --- pages of one object
 
 
+def chapter_states(a: Archive) -> DataFrame:
+    """``archive, chapter_id, stage, sentences, words, summary_sentences, nodes, mentions`` of every chapter, also of empty ones.
+
+    ``stage``: summarized, graphed (it has nodes), sourced, or planned.
+    """
+    keys = ["archive", "chapter_id"]
+    counted = lambda df, *sums: df.groupBy(*keys).agg(*sums)
+    source = F.col("kind") == "source"
+    lines = counted(a.sentences, F.count_if(source).alias("sentences"), F.sum(F.when(source, F.col("words_count"))).alias("words"), F.count_if(F.col("kind") == "summary").alias("summary_sentences"))
+    nodes, mentions = counted(a.chunks, F.count(F.lit(1)).alias("nodes")), counted(a.mentions, F.count(F.lit(1)).alias("mentions"))
+    whole = a.chapters.select(*keys)
+    for part in (lines, nodes, mentions):
+        same = whole["archive"].eqNullSafe(part["archive"]) & (whole["chapter_id"] == part["chapter_id"])
+        whole = whole.join(part, same, "left").select(*[whole[c] for c in whole.columns], *[F.coalesce(part[c], F.lit(0)).alias(c) for c in part.columns if c not in keys])
+    return whole.select(*keys, T.chapter_stage(F.col("summary_sentences"), F.col("nodes") > 0, F.col("sentences")).alias("stage"), "sentences", "words", "summary_sentences", "nodes", "mentions")
+
+
 def object_page(a: Archive, kind: str, object_id: str) -> dict | None:
-    """The fields of a chapter, node, entity or triple, or the text of a ``source`` range (its URI); None if it isn't there."""
+    """The fields of a chapter, its state, a node, entity or triple, or the text of a summary or a ``source`` range (its URI); None if it isn't there."""
     if kind == "source":
         place = a.sentences.sparkSession.range(1).select(T.parse_range_uri(F.lit(object_id)).alias("p")).first()["p"]
         own = a.sentences.filter((F.col("chapter_id") == place["chapter_id"]) & F.col("sentence_index").between(place["start"], place["end"]) & (F.col("kind") == "source"))
         lines = own.orderBy("sentence_index").select("text").collect()  # the asked range
         return {"type": kind, "id": object_id, "text": " ".join(r[0] for r in lines)} if lines else None
-    made = {"chapter": chapter_collection, "node": node_collection, "entity": entity_collection, "triple": triple_collection}
+    if kind == "summary":
+        lines = a.sentences.filter((F.col("chapter_id") == int(object_id)) & (F.col("kind") == "summary")).orderBy("sentence_index").select("text").collect()  # one chapter's summary
+        return {"type": kind, "id": object_id, "text": " ".join(r[0] for r in lines)} if lines else None
+    if kind == "chapter-state":
+        row = chapter_states(a).filter(F.col("chapter_id") == int(object_id)).first()
+        return {"type": kind, "id": object_id, **row.asDict()} if row else None
+    made = {"chapter-title": chapter_collection, "chapter": chapter_collection, "node": node_collection, "entity": entity_collection, "triple": triple_collection}
     if kind not in made:
         raise ValueError(f"no page of a {kind}")
     row = made[kind](a).filter(F.col("id") == object_id).first()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import anchors, scores, text
-from ..operators import graph, grounding, index_store, languages, library, markup, paths, ranges, search, views
+from ..operators import graph, grounding, index_store, languages, library, links, markup, paths, planning, ranges, search, views
 from ..sources import archive, model, texts
 from ..sources.scratch import scratch_path
 
@@ -267,6 +267,42 @@ def languages_detected(spark, sf_dir):
     return languages.detected(docs, languages.profiles(docs.filter("doc_id % 2 = 0")))
 
 
+def links_of_chapter(spark, sf_dir):
+    """Of chapter 7, also links from its first mention to the next chapter's, and from the chapter's before."""
+    a = _a(spark, sf_dir)
+    first = a.mentions.groupBy("chapter_id").agg(F.min_by("mention_id", F.struct("sentence_index", "position")).alias("id"), F.min_by("archive", F.struct("sentence_index", "position")).alias("archive"))
+    then = first.select((F.col("chapter_id") - 1).alias("chapter_id"), F.col("id").alias("next"))
+    across = first.join(then, "chapter_id").select("archive", F.concat(F.lit("x"), "chapter_id").alias("link_id"), F.col("id").alias("source_id"), F.col("next").alias("target_id"), F.lit("then").alias("predicate"))
+    one = model.Archive(**{**vars(a), "links": a.links.unionByName(across).withColumn("archive", F.lit("w")), "mentions": a.mentions.withColumn("archive", F.lit("w"))})
+    return links.links_of_chapter(one, 7).drop("archive")
+
+
+def links_with_evidence(spark, sf_dir):
+    """Links of sentences whose place is a multiple of three have no evidence."""
+    a = _a(spark, sf_dir)
+    found = links.with_evidence(a.links.select("archive", "link_id"), a.link_evidence.filter("sentence_index % 3 <> 0").dropna(subset=["archive"]))
+    return found.select("link_id", "block", F.size("evidence").alias("n"), F.get("evidence", F.lit(0))["sentence_index"].cast("long").alias("first"))
+
+
+def edges_within_ids(spark, sf_dir):
+    a = _a(spark, sf_dir)
+    return links.edges_within(a.edges, a.chunks.filter("sentence_index % 4 <> 1").select("chunk_id")).select("from_id", "to_id", "strength")
+
+
+def task_costs(spark, sf_dir):
+    a = _a(spark, sf_dir)
+    return planning.task_costs(a.sentences.groupBy("archive", "chapter_id").agg(F.sum("words_count").alias("words")), ["archive"])
+
+
+def graph_coverage(spark, sf_dir):
+    """Chapters that have three mentions or more count as covered."""
+    return planning.coverage(views.chapter_states(_a(spark, sf_dir)).withColumn("covered", F.col("mentions") >= 3), ["archive"])
+
+
+def chapter_states(spark, sf_dir):
+    return views.chapter_states(_a(spark, sf_dir))
+
+
 def stored_fragments(spark, sf_dir):
     return ranges.fragment_counts(ranges.fragments(_a(spark, sf_dir).sentences))
 
@@ -295,7 +331,8 @@ QUERIES = {
     for f in (
         like_mentions, matched_all_terms, snippets_around, range_uris, search_tokens, lexical_scores, word_counts, names_normalised, evidence_totals, object_totals, entities, triples, collection_page,
         collection_after, archive_totals, entity_triples, entity_evidence, range_backlinks, pattern_triples, offsets_to_sentences, spans_over_sentences, windows_with_mentions, best_of_ranges, graph_weights,
-        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, anchored_ranges, clue_markup, surface_budgets, frequent_surfaces, languages_detected, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
+        boundaries, boundary_levels, near_nodes, search_any, search_all, search_refreshed, shortest_paths, anchored_ranges, clue_markup, surface_budgets, frequent_surfaces, languages_detected, links_of_chapter, links_with_evidence, edges_within_ids,
+        task_costs, graph_coverage, chapter_states, grep_phrase, archives_of_entity, found_objects, library_page, archive_fingerprints, stored_fragments, fragment_pages, reading_groups,
         snake_clusters, readable_pages,
     )
 }
@@ -328,6 +365,9 @@ _CUTS = f"""{_GRAPH}, seg AS (SELECT chapter_id, (sentence_index // 4 * 4)::INT
 _LEVEL = "CASE WHEN {v} <= 0 THEN 0 WHEN {v} >= edge OR lo IS NULL THEN 10 ELSE greatest(1, least(10, floor(1 + (ln({v}) - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 9 + 0.5))) END::BIGINT"
 
 
+_WORDS = "len(regexp_split_to_array(text, ' +'))"
+
+
 def _with(more: str, body: str) -> str:
     return f"{archive.DUCKDB}, {more} {body}" if more else archive.DUCKDB + body
 
@@ -438,6 +478,27 @@ ORACLE_SQL = {
         f AS (SELECT doc_id, count(*) * 300 AS n FROM d GROUP BY doc_id),
         b AS (SELECT doc_id, lang, s / n AS share, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS i FROM s JOIN f USING (doc_id))
         SELECT doc_id, b.lang, b.share FROM documents LEFT JOIN b USING (doc_id) WHERE coalesce(i, 1) = 1""",
+    "links_of_chapter": _with(
+        "m AS (SELECT chapter_id, chapter_id || ':' || sentence_index || ':' || wpos AS id, row_number() OVER (PARTITION BY chapter_id ORDER BY sentence_index, wpos) AS i FROM mentions)",
+        """SELECT 'l' || chapter_id || ':' || sentence_index || ':' || wpos AS link_id, p AS predicate, chapter_id || ':' || sentence_index || ':' || wpos AS source_id, chapter_id || ':' || sentence_index || ':' || (wpos + 1) AS target_id, chapter_id AS source_chapter, chapter_id AS target_chapter FROM links WHERE chapter_id = 7
+        UNION ALL SELECT 'x' || a.chapter_id, 'then', a.id, b.id, a.chapter_id, b.chapter_id FROM m a JOIN m b ON b.chapter_id = a.chapter_id + 1 AND a.i = 1 AND b.i = 1 WHERE a.chapter_id IN (6, 7)""",
+    ),
+    "links_with_evidence": _with("", "SELECT 'l' || chapter_id || ':' || sentence_index || ':' || wpos AS link_id, 0::BIGINT AS block, CASE WHEN sentence_index % 3 = 0 OR archive IS NULL THEN 0 ELSE 1 END::INT AS n, CASE WHEN sentence_index % 3 <> 0 AND archive IS NOT NULL THEN sentence_index END::BIGINT AS first FROM links"),
+    "edges_within_ids": _with(_GRAPH, "SELECT f AS from_id, o AS to_id, CASE (o % 16777216) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'important' WHEN 2 THEN 'helpful' END AS strength FROM e WHERE (f % 16777216) % 4 <> 1 AND (o % 16777216) % 4 <> 1"),
+    "task_costs": _with(
+        f"c AS (SELECT archive, chapter_id, sum({_WORDS}) AS w FROM sentences GROUP BY ALL), s AS (SELECT archive, count(*) AS chapters, sum(w)::BIGINT AS words FROM c GROUP BY archive), "
+        "p(task, per, lo, hi, ws, ti, tc, \"to\", par) AS (VALUES ('knowledge-graph', 35, 15, 35, 0.02::DOUBLE, 80, 60, 25, 6), ('reading-graph', 160, 15, 45, 0.01, 25, 20, 4, 1), ('reading-summary', 110, 10, 25, 0.01, 55, 45, 4, 6)), x AS (SELECT *, greatest(chapters, ceil(words / per))::BIGINT AS calls FROM s, p)",
+        "SELECT archive, task, chapters, words, calls, ceil(ceil(calls / par) * lo + words * ws)::BIGINT AS least_seconds, ceil(ceil(calls / par) * hi + words * ws)::BIGINT AS most_seconds, (words * ti)::BIGINT AS input_tokens, (words * tc)::BIGINT AS cacheable_tokens, (words * \"to\")::BIGINT AS output_tokens FROM x",
+    ),
+    "graph_coverage": _with(
+        f"c AS (SELECT d.source AS archive, d.doc_id, (SELECT coalesce(sum({_WORDS}), 0) FROM sentences s WHERE s.chapter_id = d.doc_id) AS w, (SELECT count(*) FROM mentions m WHERE m.chapter_id = d.doc_id) >= 3 AS own FROM documents d), "
+        "g AS (SELECT archive, count(*) FILTER (WHERE own) AS cc, count(*) AS tc, coalesce(sum(w) FILTER (WHERE own), 0)::BIGINT AS cw, sum(w)::BIGINT AS tw FROM c GROUP BY archive)",
+        "SELECT archive, cc AS covered_chapters, tc AS total_chapters, cw AS covered_words, tw AS total_words, CASE WHEN tw = 0 THEN 'n/a' WHEN 100 * cw % tw = 0 THEN (100 * cw // tw) || '%' ELSE printf('%.1f', cw / tw * 100) || '%' END AS percent FROM g",
+    ),
+    "chapter_states": _with(
+        f"s AS (SELECT chapter_id, count(*) AS n, sum({_WORDS})::BIGINT AS w FROM sentences GROUP BY ALL), m AS (SELECT chapter_id, count(*) AS n FROM mentions GROUP BY ALL)",
+        "SELECT d.source AS archive, d.doc_id AS chapter_id, CASE WHEN s.n > 0 THEN 'graphed' ELSE 'planned' END AS stage, coalesce(s.n, 0) AS sentences, coalesce(w, 0) AS words, 0::BIGINT AS summary_sentences, coalesce(s.n, 0) AS nodes, coalesce(m.n, 0) AS mentions FROM documents d LEFT JOIN s ON s.chapter_id = d.doc_id LEFT JOIN m ON m.chapter_id = d.doc_id",
+    ),
     "surface_budgets": _with(
         """e AS (SELECT chapter_id, qid AS surface, sentence_index::BIGINT * 100000 + wpos AS seq, qid || ':' || sentence_index % 2 AS candidate_id, (sentence_index * 3 + wpos) % 7 AS t, wpos FROM mentions),
         c AS (SELECT *, count(*) FILTER (WHERE t < 3) OVER b AS seen, count(*) FILTER (WHERE t = 3) OVER b AS recalled, count(*) FILTER (WHERE t IN (4, 5)) OVER b AS continued, count(*) FILTER (WHERE t = 6 AND wpos % 2 = 0) OVER b AS rejected,
