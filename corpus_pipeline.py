@@ -15,35 +15,46 @@ from textloom.llm import mixing, pieces, quality, simhash, toxicity
 from textloom.llm.common import shared_dir, table
 
 
+def _filtered(docs: DataFrame, keeps) -> DataFrame:
+    """Rows of ``docs`` that ``keeps(rows, names)`` keeps. The rows' columns are numbered meanwhile (``names``: how each is called), so
+    that no column of the documents can clash with an operator's, whatever its name."""
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return keeps(numbered, dict(zip(docs.columns, numbered.columns, strict=True))).select(*numbered.columns).toDF(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that meet the threshold table."""
-    return quality.quality_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that meet the threshold table. A null text counts as an empty one, and goes; repeated rows stay or go together."""
+    return _filtered(docs, lambda rows, names: quality.quality_rules(rows, names["text"]).filter("kept"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the cut; the examples are those labelled documents that are still there."""
-    index = toxicity.fit(table(spark, sf_dir, "labels"), docs)
-    return toxicity.score(docs, index, docs.columns).filter(F.col("score") < toxicity.CUT).select(*docs.columns)
+    """Documents whose toxicity score is under the cut; the examples are those labelled documents that are still there.
+
+    A null or empty text has a score, that of a text without neighbours. Without examples nothing goes.
+    """
+    index = toxicity.fit(table(spark, sf_dir, "labels"), docs.select("doc_id", "text"))
+    return _filtered(docs, lambda rows, names: toxicity.score(rows, index, rows.columns, names["text"]).filter(F.col("score") < toxicity.CUT))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts with a Jaccard similarity of 0.8 or more on five-word shingles: the smallest id.
 
-    Rows that repeat an id are the same document and stay or go together.
+    Rows that repeat an id are the same document and stay or go together; rows without an id or a text stay.
     """
-    classes = simhash.near_duplicates(docs)
+    classes = simhash.near_duplicates(docs.select("doc_id", "text"))
     gone = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _filtered(docs, lambda rows, names: rows.join(gone, rows[names["doc_id"]] == gone["doc_id"], "left_anti"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source near its target number of words, in training order; a document's repeats are rows of their own."""
-    return mixing.training_order(docs, mixing.mix(docs))
+    """Each source near its target number of words, in training order; a document's repeats are rows of their own. Documents without
+    a word are never used, those without a source are a source of their own."""
+    return mixing.training_order(docs, mixing.mix(docs.select("doc_id", "text", "source")))
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids``: the SentencePiece ids of each row."""
-    return pieces.encode(docs)
+    """``doc_id, ids``: the SentencePiece ids of each row, whole texts; a null text has no ids."""
+    return pieces.encode(docs.select("doc_id", "text"))
 
 
 STAGES = [
