@@ -515,3 +515,17 @@ def test_pipeline_stages(spark, tmp_path):
             assert out.columns == docs.columns
         docs = out
     assert docs.count() > 100
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    clash = ["score", "evidence", "kept", "n_words", "base_failed", "component_id", "a.b", "c0", "taken", "position", "_text", "digest"]
+    wide = docs.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in clash))
+    spark.createDataFrame([(i, i % 2) for i in range(len(TEXTS))], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = stage(spark, docs, str(tmp_path)), stage(spark, wide, str(tmp_path))
+        assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in plain.collect()), name
+        if name != "sentencepiece":
+            assert out.columns == wide.columns
+            assert all(r[c] == f"{c}-{r['doc_id']}" for r in out.collect() for c in clash), name
