@@ -88,3 +88,17 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     time.sleep(2)  # the gateway lets go of what Python has collected about once a second
     spark.sparkContext._jvm.System.gc()
+
+
+def hand_back() -> None:
+    """In a Python worker: give memory that earlier tasks have freed back to the system. Workers live on between stages, and what
+    one stage's index took stays with them otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every system's library
+    if trim:
+        trim(0)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, written
+from .common import hand_back, release, table, written
 
 SPACE = "▁"
 LONGEST = 62
@@ -319,6 +319,7 @@ def _count_words(model: Model, most: int = 1 << 16):
         from collections import Counter
 
 
+        hand_back()
         cutter, parts = Cutter(model), Counter()
 
         def out() -> pa.RecordBatch:
@@ -392,7 +393,7 @@ class Head:
 class Coder:
     """Looks up the parts of texts, and keeps what distinct parts come to: a number for each word, its place in the head and one, or 0 outside."""
 
-    def __init__(self, model: Model, head: Head, most: int = 1 << 17):
+    def __init__(self, model: Model, head: Head, most: int = 1 << 16):
         self.cutter, self.head, self.most = Cutter(model), head, most
         self._forget()
 
@@ -455,6 +456,7 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     sent = _sent(spark, known.filter(in_head).select("word", F.col("ids").cast("array<smallint>").alias("ids"), "n"))
 
     def look_up(batches: Iterator) -> Iterator:
+        hand_back()
         coder = Coder(model, sent.value)
         for part, texts in _texts(batches, 1):
             yield from _looked_up(part, texts, coder)
@@ -467,6 +469,7 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     texts = _decoder(spark, model, "ids") if decoded else None
 
     def fill(batches: Iterator) -> Iterator:
+        hand_back()
         filled = (_filled(batch.slice(at, 1024), sent.value, key) for batch in batches for at in range(0, batch.num_rows, 1024))
         yield from texts(filled) if texts else filled
 
