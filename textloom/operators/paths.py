@@ -1,8 +1,8 @@
 """Shortest directed paths for many pairs of nodes at once, of any length.
 
 Distances spread block by block: the edges of a path's graph are dealt out by blocks of ``SPAN`` node ids, and a block with
-many edges by their ends into parts of about ``EDGES``, so that a hub's edges lie in many tasks. In a round, each part that has
-nodes with a new distance searches as far as its own edges lead; what it reaches is reduced to the least distance of each
+many edges by their ends into parts of about ``EDGES``, so that a hub's edges lie in many tasks; a group of parts is a task's. In a
+round, each group that has nodes with a new distance searches as far as its own edges lead; what it reaches is reduced to the least distance of each
 node, and only nodes that got nearer go on. Rounds are as many as a path has steps from block to block, not as many as it has
 edges, and a block's search ends at the least distance of the path's end found so far.
 
@@ -27,27 +27,26 @@ FAR = "path long, node long, distance long"
 
 
 def _search(edges: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-    """The least distances that a part's edges lead to from its fresh nodes; of the nodes inside the bound of their path."""
+    """The least distances that a task's edges lead to from its fresh nodes; of the nodes inside the bound of their path."""
     names = ["path", "node", "distance"]
     if edges.empty or fresh.empty:
         return pd.DataFrame(columns=names)
-    after: dict[int, list[int]] = {}
-    for a, b in zip(edges["from_id"].tolist(), edges["to_id"].tolist(), strict=True):
-        after.setdefault(a, []).append(b)
-    given = dict(zip(fresh["node"].tolist(), fresh["distance"].tolist(), strict=True))
-    bound, best = int(fresh["bound"].iloc[0]), dict(given)
-    queue = [(d, x) for x, d in given.items()]
+    after: dict[tuple[int, int], list[int]] = {}
+    for p, a, b in zip(edges["path"].tolist(), edges["from_id"].tolist(), edges["to_id"].tolist(), strict=True):
+        after.setdefault((p, a), []).append(b)
+    bounds = dict(zip(fresh["path"].tolist(), fresh["bound"].tolist(), strict=True))
+    given = dict(zip(zip(fresh["path"].tolist(), fresh["node"].tolist(), strict=True), fresh["distance"].tolist(), strict=True))
+    best, queue = dict(given), [(d, p, x) for (p, x), d in given.items()]
     heapq.heapify(queue)
     while queue:
-        d, x = heapq.heappop(queue)
-        if d > best[x] or d >= bound:
+        d, p, x = heapq.heappop(queue)
+        if d > best[p, x] or d >= bounds[p]:
             continue
-        for y in after.get(x, ()):
-            if d + 1 < best.get(y, bound + 1):
-                best[y] = d + 1
-                heapq.heappush(queue, (d + 1, y))
-    path = int(fresh["path"].iloc[0])
-    return pd.DataFrame([(path, x, d) for x, d in best.items() if d < given.get(x, bound + 1)], columns=names)
+        for y in after.get((p, x), ()):
+            if d + 1 < best.get((p, y), bounds[p] + 1):
+                best[p, y] = d + 1
+                heapq.heappush(queue, (d + 1, p, y))
+    return pd.DataFrame([(p, x, d) for (p, x), d in best.items() if d < given.get((p, x), bounds[p] + 1)], columns=names)
 
 
 def distances(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = None, span: int = SPAN, most: int = EDGES) -> DataFrame:
@@ -57,9 +56,13 @@ def distances(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = None
     """
     block = lambda c: F.floor(F.col(c) / span).alias("block")
     blocked = edges.select("path", block("from_id"), "from_id", "to_id")
-    sizes = blocked.groupBy("path", "block").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    sizes = blocked.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     sizes = written(sizes, "path-blocks")
-    dealt = written(blocked.join(sizes, ["path", "block"]).select("path", "block", F.pmod(F.xxhash64("to_id"), F.col("parts")).cast("int").alias("part"), "from_id", "to_id"), "path-edges")
+    # parts are dealt out to groups, so that small graphs share one
+    groups = max(1, -(-8 * (sizes.agg(F.sum("n")).first()[0] or 0) // most))
+    group = F.pmod(F.xxhash64("path", "block", "part"), F.lit(groups)).cast("int").alias("group")
+    parted = blocked.join(sizes, ["path", "block"]).withColumn("part", F.pmod(F.xxhash64("to_id"), F.col("parts")).cast("int"))
+    dealt = written(parted.select(group, "path", "from_id", "to_id"), "path-edges")
     known = fresh = written(starts.select("path", "node", F.lit(0).cast("long").alias("distance")).distinct(), "path-far")
     endless = F.lit(1 << 62).cast("long")
     while True:
@@ -69,8 +72,7 @@ def distances(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = None
             bound = known.join(ends.select("path", "node"), ["path", "node"], "left_semi").groupBy("path").agg(F.min("distance").alias("bound"))
         going = fresh.join(bound, "path", "left").withColumn("bound", F.coalesce("bound", endless)).filter("distance < bound")
         asked = going.withColumn("block", F.floor(F.col("node") / span)).join(sizes, ["path", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keys = ["path", "block", "part"]
-        reached = dealt.groupBy(*keys).cogroup(asked.select(*keys, "node", "distance", "bound").groupBy(*keys)).applyInPandas(_search, FAR)
+        reached = dealt.groupBy("group").cogroup(asked.select(group, "path", "node", "distance", "bound").groupBy("group")).applyInPandas(_search, FAR)
         nearest = reached.groupBy("path", "node").agg(F.min("distance").alias("distance"))
         old = known.select("path", "node", F.col("distance").alias("old"))
         fresh = written(nearest.join(old, ["path", "node"], "left").filter("old IS NULL OR distance < old").select("path", "node", "distance"), "path-fresh")
