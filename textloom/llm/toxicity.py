@@ -5,11 +5,12 @@ bound is a parameter) is the index's collection, and all its words span the vect
 (1 + ln tf) * idf, times the root of the log-likelihood ratio of the two classes: a factor, not a cut, so that words that
 tell the classes apart count most and those that don't count little. Vectors have length one. Words are known by XXH64.
 
-Search. Examples lie in blocks of ``BLOCK``. Words in under a quarter of the examples are rare: each has postings, cut by
-blocks, and for each of its blocks the largest weight. The few others are in every block; their part of all cosines is one
-product of a dense table. The sum of a text's weights times the maxima, plus the largest such part in the block, bounds the
+Search. Examples lie in blocks of ``BLOCK``. Words in under a share ``COMMON`` of the examples are rare: each has postings, cut by
+blocks, and for each of its blocks the largest weight. The others, ``MOST_COMMON`` at most, are in nearly every block; their
+part of all cosines, for ``TOGETHER`` texts at a time, is one product with a dense table. The sum of a text's weights times the maxima, plus the largest such part in the block, bounds the
 cosine with any example of the block. Blocks are visited by falling bound: ``FIRST`` of them, then those whose bound reaches
-the k-th best cosine so far; other blocks' postings aren't read. The k nearest are exact; ties go to the smaller example id.
+the k-th best cosine so far; other blocks' postings aren't read. Where
+over a third of the blocks can, postings are read in one piece. The k nearest are exact; ties go to the smaller example id.
 
 Score. Cosine-weighted votes of the k nearest, each class weighted by its share of all training labels, are calibrated by
 isotonic regression on the examples' own votes. Of the examples with the very same text as the scored one, the first (by
@@ -36,10 +37,13 @@ from .common import table, written
 
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 4_000, 8_000
 NEIGHBOURS = 15
-BLOCK = 64
-FIRST = 4
-#: Words in this share of the examples or more are common.
-COMMON = 0.25
+BLOCK = 128
+FIRST = 3
+#: Words in this share of the examples or more are common: the commonest so many at most, as they have a dense table.
+COMMON = 0.1
+MOST_COMMON = 256
+#: Texts that are multiplied with that table at once; a shorter group is filled up, so that a text's sums are always made alike.
+TOGETHER = 16
 CUT = 0.7
 #: Weight of the base rate beside the votes, as the cosine of one more neighbour.
 PRIOR = 0.05
@@ -71,7 +75,7 @@ class Index(NamedTuple):
     cut_starts: object  # (cuts + 1,) into the postings
     postings: object  # examples
     posting_weights: object
-    table: object  # (examples filled up to whole blocks, common words) weights
+    table: object  # (common words, examples filled up to whole blocks) weights
 
 
 def spans(starts, sizes):
@@ -128,7 +132,9 @@ def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> I
     place[order] = np.arange(len(ids))
     owner, ids, toxic, texts = place[owner], ids[order], toxic[order], texts[order]
     blocks = -(-len(ids) // block)
-    is_common = df >= max(COMMON * len(ids), 2)
+    is_common = df >= max(COMMON * len(ids), 2, np.sort(df)[-MOST_COMMON] if len(terms) > MOST_COMMON else 0)
+    if is_common.sum() > MOST_COMMON:  # words as common as the last that has room
+        is_common[np.flatnonzero(is_common)[np.argsort(-df[is_common], kind="stable")[MOST_COMMON:]]] = False
     common = np.where(is_common, np.cumsum(is_common) - 1, -1).astype(np.int32)
 
     rare = np.flatnonzero(~is_common[term] & (value > 0))
@@ -138,8 +144,8 @@ def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> I
     cut_terms = term[rare][cuts]
     cut_max = np.maximum.reduceat(value[rare], cuts) if len(cuts) else np.zeros(0)
     wide = np.flatnonzero(is_common[term])
-    dense = np.zeros((blocks * block, int(is_common.sum())))
-    dense[owner[wide], common[term[wide]]] = value[wide]
+    dense = np.zeros((int(is_common.sum()), blocks * block))
+    dense[common[term[wide]], owner[wide]] = value[wide]
     by_text = np.lexsort((ids, texts))
     known, at = np.unique(texts[by_text], return_index=True)
     return Index(
@@ -150,18 +156,32 @@ def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> I
     )
 
 
-def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = BLOCK) -> tuple[list[tuple[float, int]], int]:
+def common_parts(index: Index, vectors: list[tuple[object, object]]) -> list:
+    """For each text (its terms and their weights), what the common words give to its cosine with each example."""
+    import numpy as np
+
+    found = []
+    for first in range(0, len(vectors), TOGETHER):
+        some = vectors[first : first + TOGETHER]
+        asked = np.zeros((TOGETHER, index.n_common))
+        for row, (at, weights) in zip(asked, some):
+            places = index.common[at]
+            row[places[places >= 0]] = weights[places >= 0]
+        found.extend((asked @ index.table)[: len(some)])
+    return found
+
+
+def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = BLOCK, shared=None) -> tuple[list[tuple[float, int]], int]:
     """The k nearest examples with a cosine over zero, (cosine, place in the index), nearest first, exact; and how many blocks were read.
 
-    ``at`` and ``weights``: the text's terms, ascending, and its unit vector.
+    ``at`` and ``weights``: the text's terms, ascending, and its unit vector. ``shared``: its row of ``common_parts``, if known.
     """
     import numpy as np
 
-    common = index.common[at]
-    rare, own = at[common < 0], weights[common < 0]
-    asked = np.zeros(index.n_common)
-    asked[common[common >= 0]] = weights[common >= 0]
-    shared = index.table @ asked
+    is_rare = index.common[at] < 0
+    rare, own = at[is_rare], weights[is_rare]
+    if shared is None:
+        shared = common_parts(index, [(at, weights)])[0]
     blocks_of = shared.reshape(-1, block)
     sizes = index.term_starts[rare + 1] - index.term_starts[rare]
     cuts, factor = spans(index.term_starts[rare], sizes), np.repeat(own, sizes)
@@ -177,13 +197,16 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
         read += len(visited)
         live = np.zeros(len(blocks_of), dtype=bool)
         live[visited] = True
-        mine = live[blocks]
-        first = index.cut_starts[cuts[mine]]
-        sizes = index.cut_starts[cuts[mine] + 1] - first
-        p = spans(first, sizes)
-        part = np.bincount(index.postings[p], weights=np.repeat(factor[mine], sizes) * index.posting_weights[p], minlength=len(index.ids)) + shared[: len(index.ids)]
+        if 3 * len(visited) > len(live):  # so many that a word's postings are read in one piece
+            first, last, share = index.cut_starts[index.term_starts[rare]], index.cut_starts[index.term_starts[rare + 1]], own
+        else:
+            mine = live[blocks]
+            first, last, share = index.cut_starts[cuts[mine]], index.cut_starts[cuts[mine] + 1], factor[mine]
+        p = spans(first, last - first)
+        part = np.bincount(index.postings[p], weights=np.repeat(share, last - first) * index.posting_weights[p], minlength=len(shared)) + shared
+        part = np.where(live[:, None], part.reshape(-1, block), 0.0).ravel()[: len(index.ids)]
         near = np.flatnonzero(part >= max(edge - 1e-9, 1e-12))
-        near = near[live[near // block] & (near != without)]
+        near = near[near != without]
         held.append(near)
         found.append(np.round(part[near], 12))
         best = np.concatenate(found)
@@ -343,34 +366,40 @@ def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), tex
             known = index.terms[at] == hashes if len(index.terms) else np.zeros(len(unknown), dtype=bool)
             places.update(zip(unknown, np.where(known, at, -1).tolist()))
 
-        def judge(t: str | None, mark: int):
+        def vector(t: str | None) -> tuple:
+            """The text's terms, ascending, and its unit vector."""
             counts = words_in(t)
             if len(places) > words:
                 places.clear()
             learn([w for w in counts if w not in places])
-            at = np.fromiter((places[w] for w in counts), dtype=np.int64, count=len(counts))
+            at = np.fromiter(map(places.__getitem__, counts), dtype=np.int64, count=len(counts))
             tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
             tf, at = tf[at >= 0], at[at >= 0]
             order = np.argsort(at)
             tf, at = tf[order], at[order]
-            weights = weighed(tf, index.weight[at])
+            return at, weighed(tf, index.weight[at])
+
+        def judge(mark: int, at, weights, shared):
             if not weights.any():
                 return base, []
             same = np.searchsorted(index.texts, np.uint64(mark))
             without = int(index.first[same]) if same < len(index.texts) and index.texts[same] == mark else -1
-            near, _ = nearest(index, at, weights, k, without)
+            near, _ = nearest(index, at, weights, k, without, shared=shared)
             return float(np.interp(vote(index, near, class_weight, base), *knots)), [{"example": int(index.ids[j]), "cosine": c, "toxic": bool(index.toxic[j])} for c, j in near]
 
         for batch in batches:
-            scores, proofs = [], []
-            for t in batch.column(len(columns)).to_pylist():
-                mark = digest(t)
-                if mark not in cached:
-                    if len(cached) >= most:
-                        cached.clear()
-                    cached[mark] = judge(t, mark)
-                scores.append(cached[mark][0])
-                proofs.append(cached[mark][1])
+            texts = batch.column(len(columns)).to_pylist()
+            marks = [digest(t) for t in texts]
+            unknown = {m: t for m, t in zip(marks, texts) if m not in cached}
+            new = {}
+            for some in (list(unknown.items())[i : i + TOGETHER] for i in range(0, len(unknown), TOGETHER)):
+                vectors = [vector(t) for _, t in some]
+                new |= {m: judge(m, *v, part) for (m, _), v, part in zip(some, vectors, common_parts(index, vectors))}
+            known = {m: cached[m] for m in marks if m in cached} | new
+            if len(cached) + len(new) > most:
+                cached.clear()
+            cached.update(new)
+            scores, proofs = [known[m][0] for m in marks], [known[m][1] for m in marks]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), pa.array(proofs, evidence)], names=[*columns, "score", "evidence"])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
