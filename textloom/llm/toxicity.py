@@ -78,12 +78,15 @@ class Index(NamedTuple):
     table: object  # (common words, examples filled up to whole blocks) weights
 
 
-def spans(starts, sizes):
-    """``starts[i] .. starts[i] + sizes[i] - 1`` for all i, one after another."""
+def spans(starts, stops):
+    """``starts[i] .. stops[i] - 1`` for all i, one after another, as places to take."""
     import numpy as np
 
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    sizes = stops - starts
+    ends = np.cumsum(sizes, dtype=np.int64)
+    places = np.repeat(starts - (ends - sizes), sizes)
+    places += np.arange(len(places))
+    return places
 
 
 def likelihood_ratio(a, b, n1: int, n0: int):
@@ -150,8 +153,8 @@ def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> I
     known, at = np.unique(texts[by_text], return_index=True)
     return Index(
         terms, weight, ids, toxic, known, by_text[at], common, int(is_common.sum()),
-        np.searchsorted(cut_terms, np.arange(len(terms) + 1)).astype(np.int32), (owner[rare][cuts] // block).astype(np.int32), cut_max,
-        np.append(cuts, len(rare)).astype(np.int32), owner[rare].astype(np.int32), value[rare],
+        np.searchsorted(cut_terms, np.arange(len(terms) + 1)).astype(np.int32), owner[rare][cuts] // block, cut_max,
+        np.append(cuts, len(rare)).astype(np.int32), owner[rare], value[rare],
         dense,
     )
 
@@ -182,11 +185,12 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
     rare, own = at[is_rare], weights[is_rare]
     if shared is None:
         shared = common_parts(index, [(at, weights)])[0]
-    blocks_of = shared.reshape(-1, block)
-    sizes = index.term_starts[rare + 1] - index.term_starts[rare]
-    cuts, factor = spans(index.term_starts[rare], sizes), np.repeat(own, sizes)
-    blocks = index.cut_block[cuts]
-    bounds = np.bincount(blocks, weights=factor * index.cut_max[cuts], minlength=len(blocks_of)) + blocks_of.max(axis=1, initial=0.0)
+    starts, stops = index.term_starts[rare], index.term_starts[rare + 1]
+    ends = np.cumsum(stops - starts)
+    cuts = spans(starts, stops)
+    blocks, gains = index.cut_block.take(cuts), np.repeat(own, stops - starts)
+    gains *= index.cut_max.take(cuts)
+    bounds = np.bincount(blocks, weights=gains, minlength=len(shared) // block) + shared.reshape(-1, block).max(axis=1, initial=0.0)
     order = np.argsort(-bounds, kind="stable")
     order = order[bounds[order] > 0]
     held, found, edge, read = [], [], 0.0, 0
@@ -195,17 +199,18 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
         if not len(visited):
             break
         read += len(visited)
-        live = np.zeros(len(blocks_of), dtype=bool)
-        live[visited] = True
-        if 3 * len(visited) > len(live):  # so many that a word's postings are read in one piece
-            first, last, share = index.cut_starts[index.term_starts[rare]], index.cut_starts[index.term_starts[rare + 1]], own
+        if 3 * len(visited) > len(bounds):  # so many that a word's postings are read in one piece
+            first, last, share = index.cut_starts[starts], index.cut_starts[stops], own
         else:
-            mine = live[blocks]
-            first, last, share = index.cut_starts[cuts[mine]], index.cut_starts[cuts[mine] + 1], factor[mine]
-        p = spans(first, last - first)
-        part = np.bincount(index.postings[p], weights=np.repeat(share, last - first) * index.posting_weights[p], minlength=len(shared)) + shared
-        part = np.where(live[:, None], part.reshape(-1, block), 0.0).ravel()[: len(index.ids)]
-        near = np.flatnonzero(part >= max(edge - 1e-9, 1e-12))
+            live = np.zeros(len(bounds), dtype=bool)
+            live[visited] = True
+            mine = np.flatnonzero(live[blocks])
+            first, last, share = index.cut_starts[cuts[mine]], index.cut_starts[cuts[mine] + 1], own[np.searchsorted(ends, mine, "right")]
+        read_at, values = spans(first, last), np.repeat(share, last - first)
+        values *= index.posting_weights.take(read_at)
+        part = np.bincount(index.postings.take(read_at), weights=values, minlength=len(shared)) + shared
+        row, column = np.nonzero(part.reshape(-1, block)[visited] >= max(edge - 1e-9, 1e-12))
+        near = visited[row] * block + column
         near = near[near != without]
         held.append(near)
         found.append(np.round(part[near], 12))
