@@ -190,6 +190,25 @@ def test_near_duplicates_in_crowded_codes(spark):
     assert all(found[150 + i] == i for i in range(150))
 
 
+def test_near_copies_take_no_pairs(spark):
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(words[:100] + [f"own{i}"] + words[100:])) for i in range(400)]  # each differs from each in five of about 150 shingles
+    df = spark.createDataFrame([*rows, (1000, "nothing to do with them at all, truly")], "doc_id long, text string")
+    made = []
+    kept = simhash.meeting_pairs
+
+    def counted(*args):
+        made.append(kept(*args).count())
+        return kept(*args)
+
+    simhash.meeting_pairs = counted
+    try:
+        found = dict(simhash.near_duplicates(df).collect())
+    finally:
+        simhash.meeting_pairs = kept
+    assert found == {**{i: 0 for i in range(400)}, 1000: 1000} and made[0] < 400
+
+
 def test_near_duplicates_around_the_limit(spark):
     rng = random.Random(21)
     new = (f"n{i}" for i in range(10**6))

@@ -115,7 +115,8 @@ def _digest(shingles) -> int:
 
 
 def _marked_sets(df: DataFrame, key: str, text: str, words: int, lanes: int) -> DataFrame:
-    """``key, digest, size, f0 ..``: digest, size and fingerprint of each text's set of distinct shingles."""
+    """``key, digest, size, hubs, f0 ..``: digest, size, least hashes in four orders (none of an empty set) and fingerprint of each text's
+    set of distinct shingles."""
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches: Iterator) -> Iterator:
@@ -123,20 +124,23 @@ def _marked_sets(df: DataFrame, key: str, text: str, words: int, lanes: int) ->
         import pyarrow as pa
 
         for batch in batches:
-            digests, sizes = [], []
+            digests, sizes, hubs = [], [], []
 
             def hashed(t: str | None, n: int) -> list[int]:
                 found = shingle_set(t, n)
-                digests.append(_digest(np.array(found, dtype=np.uint64)))  # noqa: B023
+                own = np.array(found, dtype=np.uint64)
+                mixed = own * np.uint64(0x9E3779B97F4A7C15)
+                digests.append(_digest(own))  # noqa: B023
+                hubs.append([x.astype(np.int64) for x in (own[0], own[-1], mixed.min(), mixed.max())] if found else [])  # noqa: B023
                 sizes.append(len(found))  # noqa: B023
                 return found
 
             made = _batch_fingerprints(batch.column(1).to_pylist(), words, lanes, hashed).view("int64")
-            columns = [pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(made[:, i]) for i in range(lanes))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "digest", "size", *names])
+            columns = [pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(hubs, pa.list_(pa.int64())), *(pa.array(made[:, i]) for i in range(lanes))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "digest", "size", "hubs", *names])
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` long, digest long, size long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, f"`{key}` long, digest long, size long, hubs array<long>, " + ", ".join(f"{n} long" for n in names))
 
 
 def _digested(rows: DataFrame, words: int) -> DataFrame:
@@ -264,11 +268,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3
     return marked.join(classes, F.col("f0") == F.col("code")).select(key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _meeting(k, leaf, size, prints, segments: int, bits: int, budget: int, most: int, least: float, chunk: int = 1 << 20) -> Iterator:
+def _meeting(k, leaf, size, part, prints, segments: int, bits: int, budget: int, most: int, least: float, chunk: int = 1 << 20) -> Iterator:
     """Pairs of leaves within the rows of some keys that meet, as arrays ``u < v``; each pair only in its first segment.
 
     A row's key ``k`` is (segment, part) above the code's bits of that part. All rows of a code are paired with each other
-    and with all rows of the codes that differ in at most ``budget`` bits outside the part, ``chunk`` pairs at a time.
+    and with all rows of the codes that differ in at most ``budget`` bits outside the part, ``chunk`` pairs at a time; rows of the
+    same ``part`` aren't, and take no time.
     """
     import numpy as np
 
@@ -285,8 +290,11 @@ def _meeting(k, leaf, size, prints, segments: int, bits: int, budget: int, most:
         i, p = divmod(int(group), budget + 1)
         at = np.flatnonzero(k >> bits == group)
         codes = code(prints[at], i).astype(np.int64)
-        order = np.argsort(codes, kind="stable")
-        codes, own, large, f = codes[order], leaf[at][order], size[at][order], prints[at][order]
+        rank = np.unique(part[at], return_inverse=True)[1]
+        width = int(rank.max()) + 1
+        order = np.argsort(codes * width + rank, kind="stable")
+        codes, rank, own, large, f = codes[order], rank[order], leaf[at][order], size[at][order], prints[at][order]
+        runs = codes * width + rank
         known, first, sizes = np.unique(codes, return_index=True, return_counts=True)
         for m in _masks(bits, budget):
             if m & parts[p] or not all(m & parts[q] for q in range(p)):
@@ -295,10 +303,15 @@ def _meeting(k, leaf, size, prints, segments: int, bits: int, budget: int, most:
                 found = np.minimum(np.searchsorted(known, known ^ m), len(known) - 1)
                 hit = np.flatnonzero((known[found] == known ^ m) & (known < known ^ m))
                 rows = np.repeat(first[hit] - np.cumsum(sizes[hit]) + sizes[hit], sizes[hit]) + np.arange(sizes[hit].sum())
-                starts, counts = np.repeat(first[found[hit]], sizes[hit]), np.repeat(sizes[found[hit]], sizes[hit])
+                starts = np.repeat(first[found[hit]], sizes[hit])
+                stops = starts + np.repeat(sizes[found[hit]], sizes[hit])
+                same = (codes[rows] ^ m) * width + rank[rows]
+                before, after = np.searchsorted(runs, same), np.searchsorted(runs, same, "right")
+                rows, starts, counts = np.tile(rows, 2), np.concatenate([starts, after]), np.concatenate([before - starts, stops - after])
             else:
                 rows = np.arange(len(codes))
-                starts, counts = rows + 1, np.repeat(first + sizes, sizes) - rows - 1
+                starts = np.searchsorted(runs, runs, "right")
+                counts = np.repeat(first + sizes, sizes) - starts
             ends = np.cumsum(counts)
             done = 0
             while done < len(rows):
@@ -323,14 +336,16 @@ def _meeting(k, leaf, size, prints, segments: int, bits: int, budget: int, most:
 def meeting_pairs(leaves: DataFrame, segments: int, bits: int, budget: int, most: int, least: float = 0.0, rows_per_task: int = 500_000) -> DataFrame:
     """``u, v``: all pairs of leaves that differ in at most ``budget`` bits in any segment and ``most`` bits in all.
 
-    ``leaves`` has ``leaf, f0, f1, ..``, and may have ``size``: then the smaller size must be ``least`` times the larger. Codes that differ in ``budget`` bits agree on one of ``budget + 1`` parts, so a leaf
+    ``leaves`` has ``leaf, f0, f1, ..``, and may have ``size``: then the smaller size must be ``least`` times the larger.
+    It may have ``part`` (long): pairs of the same part are left out, and aren't made. Codes that differ in ``budget`` bits agree on one of ``budget + 1`` parts, so a leaf
     goes once to each part of each segment, and the pairs of a part's value are judged in the task that holds them: none is
     left out, and only those that pass are rows. Judged pairs of unrelated texts grow with the square of the leaves, as
     segments * leaves^2 / 2 times the share of codes within the budget (20 bits, one bit: 1 in 50,000).
     """
     import math
 
-    names = [c for c in leaves.columns if c not in ("leaf", "size")]
+    names = [c for c in leaves.columns if c not in ("leaf", "size", "part")]
+    part = F.col("part") if "part" in leaves.columns else F.col("leaf").alias("part")
     size = F.col("size") if "size" in leaves.columns else F.lit(1).cast("long").alias("size")
     edges = [i * bits // (budget + 1) for i in range(budget + 2)]
 
@@ -349,13 +364,24 @@ def meeting_pairs(leaves: DataFrame, segments: int, bits: int, budget: int, most
         batches = list(batches)
         if batches:
             held = pa.Table.from_batches(batches)
-            k, leaf, size, *prints = (held.column(i).to_numpy() for i in range(held.num_columns))
-            for u, v in _meeting(k, leaf, size, np.stack(prints, 1).view(np.uint64), segments, bits, budget, most, least):
+            k, leaf, size, part, *prints = (held.column(i).to_numpy() for i in range(held.num_columns))
+            for u, v in _meeting(k, leaf, size, part, np.stack(prints, 1).view(np.uint64), segments, bits, budget, most, least):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     keys = F.explode(F.array(*(key(i, p) for i in range(segments) for p in range(budget + 1)))).alias("k")
     tasks = max(leaves.sparkSession.sparkContext.defaultParallelism, math.ceil(leaves.count() * segments * (budget + 1) / rows_per_task))
-    return leaves.select(keys, "leaf", size, *names).repartition(tasks, "k").mapInArrow(run, "u long, v long")
+    return leaves.select(keys, "leaf", size, part, *names).repartition(tasks, "k").mapInArrow(run, "u long, v long")
+
+
+def _star_pairs(leaves: DataFrame, names: Sequence[str], most: int, least: float) -> DataFrame:
+    """``u, v``: each leaf with the smallest one (by digest) that has the same value among its ``hubs``, if their sizes and bits may do."""
+    rows = leaves.select("digest", "size", *names, F.posexplode("hubs").alias("order", "value"))
+    first = rows.groupBy("order", "value").agg(F.min(F.struct("digest", "size", *names)).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hub = lambda c: F.col("hub").getField(c)
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(hub(c))) for c in names), F.lit(0))
+    near = rows.join(first, ["order", "value"]).filter(F.col("digest") != hub("digest")).filter(bits <= most)
+    near = near.filter(F.least("size", hub("size")) >= F.lit(least) * F.greatest("size", hub("size")))
+    return near.select(F.least("digest", hub("digest")).alias("u"), F.greatest("digest", hub("digest")).alias("v")).distinct()
 
 
 def near_duplicates(
@@ -371,6 +397,10 @@ def near_duplicates(
     (87 % of four shingles against five), as ties are a large part of their bits.
 
     Candidates are then checked on the two sets of shingles (64-bit hashes), so no pair under ``similarity`` is linked.
+
+    Before that, each text meets one other for each of four MinHash values, the smallest text with that value. What these stars
+    link, after the same check, is one part, inside which no pair is made any more: a group of n near copies costs about 4n
+    rows, not n squared. Only pairs of different parts go on to the SimHash candidates, so no class is lost.
     """
     import math
 
@@ -380,17 +410,25 @@ def near_duplicates(
     most = int(total * (share + 4 * math.sqrt(share * (1 - share) / total)))
     names = [f"f{i}" for i in range(lanes)]
     marked = written(_marked_sets(df, key, text, words, lanes), "simhash-wide")
-    leaves = written(marked.groupBy("digest").agg(F.min(key).alias("leaf"), *(F.first(c).alias(c) for c in ("size", *names))), "leaves-wide")
-    met = meeting_pairs(leaves.select(F.col("digest").alias("leaf"), "size", *names), total // segment_bits, segment_bits, budget, most, similarity)
-    pairs = written(met, "pairs-wide")
-    ends = pairs.select(F.col("u").alias("digest")).unionAll(pairs.select("v")).distinct()
+    leaves = written(marked.groupBy("digest").agg(F.min(key).alias("leaf"), *(F.first(c).alias(c) for c in ("size", "hubs", *names))), "leaves-wide")
     texts = df.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    wanted = leaves.join(ends, "digest", "left_semi").select("leaf").distinct()
-    again = texts.join(wanted, F.col("_key") == F.col("leaf"), "left_semi").select("_key", "_text")
-    sets = written(_digested(again, words).join(ends, "digest", "left_semi").dropDuplicates(["digest"]), "sets-wide")
-    side = lambda name: sets.select(F.col("digest").alias(name), F.col("shingles").alias(f"s{name}"))
-    common = F.size(F.array_intersect("su", "sv"))
-    checked = pairs.join(side("u"), "u").join(side("v"), "v").filter(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those pairs ``u, v`` of digests whose sets are similar enough."""
+        ends = pairs.select(F.col("u").alias("digest")).unionAll(pairs.select("v")).distinct()
+        wanted = leaves.join(ends, "digest", "left_semi").select("leaf").distinct()
+        again = texts.join(wanted, F.col("_key") == F.col("leaf"), "left_semi").select("_key", "_text")
+        sets = written(_digested(again, words).join(ends, "digest", "left_semi").dropDuplicates(["digest"]), "sets-wide")
+        side = lambda name: sets.select(F.col("digest").alias(name), F.col("shingles").alias(f"s{name}"))
+        common = F.size(F.array_intersect("su", "sv"))
+        checked = pairs.join(side("u"), "u").join(side("v"), "v")
+        return written(checked.filter(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v"), "links-wide")
+
+    stars = linked(written(_star_pairs(leaves, names, most, similarity), "stars-wide"))
+    parts = connected_components(stars).toDF("digest", "component")
+    parted = leaves.join(parts, "digest", "left").select(F.col("digest").alias("leaf"), "size", F.coalesce("component", "digest").alias("part"), *names)
+    met = meeting_pairs(written(parted, "parts-wide"), total // segment_bits, segment_bits, budget, most, similarity)
+    checked = stars.unionAll(linked(written(met, "pairs-wide")))
     least = leaves.select("digest", "leaf")
     links = checked.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     parts = connected_components(links).toDF("leaf", "component")
