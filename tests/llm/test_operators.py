@@ -295,6 +295,27 @@ def test_repair_shortens_and_expands():
     assert (tokens.expanded(g.sequence.astype(np.int64), *tokens.flattened(g.rules, g.expansions, 6)) == ids).all()
 
 
+def test_repair_goes_on_until_no_pair_is_there_twice(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for high, n, room in ((6, 3_000, 1 << 17), (300, 3_000, 1 << 17), (1, 40, 1 << 17), (300, 3_000, 8)):
+        monkeypatch.setattr(tokens, "AT_ONCE", room)
+        ids = rng.integers(0, high, n).astype(np.int32)
+        ids[-n // 4 :] = ids[: n // 4]  # copies of documents
+        lengths = np.full(n // 20, 20)
+        g = tokens.repair(ids, lengths, high)
+        starts, sizes, flat = tokens.flattened(g.rules, g.expansions, high)
+        assert (tokens.expanded(g.sequence.astype(np.int64), starts, sizes, flat) == ids).all()
+        own = np.split(g.sequence, g.starts[1:])
+        assert [int(sizes[x].sum()) for x in own] == lengths.tolist()
+        pairs = [p for x in own for p in zip(x.tolist(), x[1:].tolist())]
+        assert len(set(pairs)) == len(pairs) and len(g.rules)
+    g = tokens.repair(np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 0], dtype=np.int32), np.array([10]), 5)
+    assert g.rules.tolist() == [[1, 2], [5, 3]] and g.sequence.tolist() == [6, 5, 4, 6, 0]
+    assert not len(tokens.repair(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), 5).sequence)
+
+
 def test_piece_ids_match_the_library(spark, docs, none):
     import sentencepiece
 
