@@ -514,6 +514,32 @@ def test_block_max_is_exact_and_skips():
     assert sum(read) < 0.8 * 60 * blocks and sum(2 * r < blocks for r in read) >= 15
 
 
+def test_common_words_have_no_postings_and_ties_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    lists = [np.unique(np.concatenate([rng.choice(600, 40), [1000 + j % 3]])) for j in range(900)]
+    for j in range(300, 900):  # six or more copies of many examples, with other ids
+        lists[j] = lists[j % 100]
+    counts = [np.ones(len(x), dtype=np.int64) for x in lists]
+    index = toxicity.build(range(900), [j % 3 == 0 for j in range(900)], range(900), lists, counts)
+    again = toxicity.build(range(900), [j % 3 == 0 for j in range(900)], range(900), [np.searchsorted(index.terms, x.astype(np.uint64)) for x in lists], counts, terms=index.terms)
+    assert all(np.array_equal(a, b) for a, b in zip(index, again))
+    n = np.bincount(np.searchsorted(index.terms, np.concatenate(lists).astype(np.uint64)))
+    assert (index.common[n >= 0.04 * 900] >= 0).all() and index.n_common > 256
+    table = index.table
+    for j in range(0, 900, 50):
+        at = np.searchsorted(index.terms, lists[j].astype(np.uint64))
+        q = toxicity.weighed(counts[j].astype(float), index.weight[at])
+        whole = np.zeros(len(index.terms))
+        whole[at] = q
+        exact = table.T @ whole[np.flatnonzero(index.common >= 0)]
+        np.add.at(exact, index.postings, index.posting_weights * np.repeat(whole, np.diff(index.cut_starts[index.term_starts])))
+        want = sorted((-round(c, 12), index.ids[i]) for i, c in enumerate(exact) if c > 1e-12)[:15]
+        near, _ = toxicity.nearest(index, at, q, 15)
+        assert [(round(-c, 9), i) for c, i in want] == [(round(c, 9), index.ids[i]) for c, i in near]
+
+
 def test_clashing_names(spark, docs):
     extra = "_text _words _norm _units _best _lines _windows _sorted _starts _uses _use _position _positions _mixed_key key text_ n rank licenses score_ a.b".split()
     odd = docs

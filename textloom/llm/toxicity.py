@@ -9,8 +9,10 @@ Search. Examples lie in blocks of ``BLOCK``. Words in under a share ``COMMON`` o
 blocks, and for each of its blocks the largest weight. The others, ``MOST_COMMON`` at most, are in nearly every block; their
 part of all cosines, for ``TOGETHER`` texts at a time, is one product with a dense table. The sum of a text's weights times the maxima, plus the largest such part in the block, bounds the
 cosine with any example of the block. Blocks are visited by falling bound: ``FIRST`` of them, then those whose bound reaches
-the k-th best cosine so far; other blocks' postings aren't read. Where
-over a third of the blocks can, postings are read in one piece. The k nearest are exact; ties go to the smaller example id.
+the k-th best cosine so far; other blocks' postings aren't read. Where over a third of the blocks can, or where the bounds are
+level, postings are read in one piece. The table has single precision, so what it finds is within some ``SLACK`` of a cosine: examples
+that can be among the nearest get their common words' part once more, in double precision. The k nearest are exact; ties
+go to the smaller example id.
 
 Score. Cosine-weighted votes of the k nearest, each class weighted by its share of all training labels, are calibrated by
 isotonic regression on the examples' own votes. Of the examples with the very same text as the scored one, the first (by
@@ -40,10 +42,14 @@ NEIGHBOURS = 15
 BLOCK = 128
 FIRST = 3
 #: Words in this share of the examples or more are common: the commonest so many at most, as they have a dense table.
-COMMON = 0.1
-MOST_COMMON = 256
-#: Texts that are multiplied with that table at once; a shorter group is filled up, so that a text's sums are always made alike.
-TOGETHER = 16
+COMMON = 0.04
+MOST_COMMON = 1_024
+#: Texts that are multiplied with that table at once.
+TOGETHER = 64
+#: Twice what single precision can be off, at most, for each product in a sum that is one at most.
+SLACK = 2.0**-23
+#: Where over a third of the blocks have a bound of this share of the largest one, no few blocks are visited first.
+LEVEL = 0.5
 CUT = 0.7
 #: Weight of the base rate beside the votes, as the cosine of one more neighbour.
 PRIOR = 0.05
@@ -75,7 +81,19 @@ class Index(NamedTuple):
     cut_starts: object  # (cuts + 1,) into the postings
     postings: object  # examples
     posting_weights: object
-    table: object  # (common words, examples filled up to whole blocks) weights
+    fast: object  # (examples filled up to whole blocks, common words) weights in single precision
+    own_starts: object  # (examples filled up + 1,) into the common words of the examples
+    own_common: object
+    own_weights: object
+
+    @property
+    def table(self):
+        """(common words, examples filled up to whole blocks) weights, in double precision."""
+        import numpy as np
+
+        dense = np.zeros((self.n_common, len(self.fast)))
+        dense[self.own_common, np.repeat(np.arange(len(self.fast)), np.diff(self.own_starts))] = self.own_weights
+        return dense
 
 
 def spans(starts, stops):
@@ -113,14 +131,17 @@ def weighed(tf, weight):
     return w / length if length > 0 else w * 0.0
 
 
-def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> Index:
-    """The index of examples: their ids, labels, digests of texts, and each one's hashes of words and term frequencies."""
+def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK, terms=None) -> Index:
+    """The index of examples: their ids, labels, digests of texts, and each one's hashes of words and term frequencies; with ``terms``
+    (ascending) places among these in place of hashes."""
     import numpy as np
 
     ids, toxic, texts = np.asarray(ids, dtype=np.int64), np.asarray(toxic, dtype=bool), np.asarray(texts, dtype=np.uint64)
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.concatenate([np.asarray(x, dtype=np.uint64) for x in lists]) if len(lists) else np.zeros(0, dtype=np.uint64)
-    terms, term = np.unique(flat, return_inverse=True)
+    if terms is None:
+        terms, term = np.unique(np.concatenate([np.asarray(x, dtype=np.uint64) for x in lists]) if len(lists) else np.zeros(0, dtype=np.uint64), return_inverse=True)
+    else:
+        term = np.concatenate(lists) if len(lists) else np.zeros(0, dtype=np.int64)
     owner = np.repeat(np.arange(len(ids)), sizes)
     df = np.bincount(term, minlength=len(terms)).astype(np.float64)
     with_toxic = np.bincount(term, weights=toxic[owner].astype(np.float64), minlength=len(terms))
@@ -147,33 +168,47 @@ def build(ids, toxic, texts, lists: list, counts: list, block: int = BLOCK) -> I
     cut_terms = term[rare][cuts]
     cut_max = np.maximum.reduceat(value[rare], cuts) if len(cuts) else np.zeros(0)
     wide = np.flatnonzero(is_common[term])
-    dense = np.zeros((int(is_common.sum()), blocks * block))
-    dense[common[term[wide]], owner[wide]] = value[wide]
+    fast = np.zeros((blocks * block, int(is_common.sum())), dtype=np.float32)
+    fast[owner[wide], common[term[wide]]] = value[wide]
+    wide = wide[np.argsort(owner[wide], kind="stable")]
+    own_starts = np.append(0, np.cumsum(np.bincount(owner[wide], minlength=blocks * block)))
     by_text = np.lexsort((ids, texts))
     known, at = np.unique(texts[by_text], return_index=True)
     return Index(
         terms, weight, ids, toxic, known, by_text[at], common, int(is_common.sum()),
-        np.searchsorted(cut_terms, np.arange(len(terms) + 1)).astype(np.int32), owner[rare][cuts] // block, cut_max,
-        np.append(cuts, len(rare)).astype(np.int32), owner[rare], value[rare],
-        dense,
+        np.searchsorted(cut_terms, np.arange(len(terms) + 1)).astype(np.int32), (owner[rare][cuts] // block).astype(np.int32), cut_max,
+        np.append(cuts, len(rare)).astype(np.int32), owner[rare].astype(np.int32), value[rare],
+        fast, own_starts, common[term[wide]], value[wide],
     )
 
 
 def common_parts(index: Index, vectors: list[tuple[object, object]]) -> list:
-    """For each text (its terms and their weights), what the common words give to its cosine with each example."""
+    """For each text (its terms and their weights), about what the common words give to its cosine with each example."""
     import numpy as np
 
     found = []
     for first in range(0, len(vectors), TOGETHER):
         some = vectors[first : first + TOGETHER]
-        asked = np.zeros((TOGETHER, index.n_common))
+        asked = np.zeros((len(some), index.n_common), dtype=np.float32)
         for row, (at, weights) in zip(asked, some):
             places = index.common[at]
             row[places[places >= 0]] = weights[places >= 0]
-        found.extend((asked @ index.table)[: len(some)])
+        found.extend(asked @ index.fast.T)
     return found
 
 
+def common_exact(index: Index, at, weights, examples):
+    """What the common words give to the cosines with these examples, in double precision."""
+    import numpy as np
+
+    asked, places = np.zeros(index.n_common), index.common[at]
+    asked[places[places >= 0]] = weights[places >= 0]
+    starts, stops = index.own_starts[examples], index.own_starts[examples + 1]
+    read_at = spans(starts, stops)
+    values = asked.take(index.own_common.take(read_at)) * index.own_weights.take(read_at)
+    return np.bincount(np.repeat(np.arange(len(examples)), stops - starts), weights=values, minlength=len(examples))
+
+
 def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = BLOCK, shared=None) -> tuple[list[tuple[float, int]], int]:
     """The k nearest examples with a cosine over zero, (cosine, place in the index), nearest first, exact; and how many blocks were read.
 
@@ -193,11 +228,13 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
     bounds = np.bincount(blocks, weights=gains, minlength=len(shared) // block) + shared.reshape(-1, block).max(axis=1, initial=0.0)
     order = np.argsort(-bounds, kind="stable")
     order = order[bounds[order] > 0]
+    first_few = 0 if 3 * np.count_nonzero(bounds >= LEVEL * bounds.max(initial=0.0)) > len(bounds) else FIRST
+    slack = (len(at) - len(rare) + 4) * SLACK
     held, found, edge, read = [], [], 0.0, 0
-    for visited in (order[:FIRST], order[FIRST:]):
-        visited = visited[bounds[visited] >= edge - 1e-9]
+    for visited in (order[:first_few], order[first_few:]):
+        visited = visited[bounds[visited] >= edge - slack]
         if not len(visited):
-            break
+            continue
         read += len(visited)
         if 3 * len(visited) > len(bounds):  # so many that a word's postings are read in one piece
             first, last, share = index.cut_starts[starts], index.cut_starts[stops], own
@@ -208,19 +245,24 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
             first, last, share = index.cut_starts[cuts[mine]], index.cut_starts[cuts[mine] + 1], own[np.searchsorted(ends, mine, "right")]
         read_at, values = spans(first, last), np.repeat(share, last - first)
         values *= index.posting_weights.take(read_at)
-        part = np.bincount(index.postings.take(read_at), weights=values, minlength=len(shared)) + shared
-        row, column = np.nonzero(part.reshape(-1, block)[visited] >= max(edge - 1e-9, 1e-12))
+        of_rare = np.bincount(index.postings.take(read_at), weights=values, minlength=len(shared))
+        part = of_rare + shared
+        if without >= 0:
+            part[without] = 0.0
+        part = part.reshape(-1, block)[visited]
+        least = np.partition(part, part.size - k, axis=None)[part.size - k] - 2 * slack if part.size > k else 0.0
+        row, column = np.nonzero((part >= max(edge - slack, least)) & (part > 0))
         near = visited[row] * block + column
-        near = near[near != without]
         held.append(near)
-        found.append(np.round(part[near], 12))
+        found.append(np.round(of_rare[near] + common_exact(index, at, weights, near), 12))
         best = np.concatenate(found)
         edge = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else 0.0
     if not held:
         return [], read
-    near, cosines = np.concatenate(held), np.concatenate(found)
-    best = np.lexsort((index.ids[near], -cosines))[:k]
-    return list(zip(cosines[best].tolist(), near[best].tolist())), read
+    near, found = np.concatenate(held), np.concatenate(found)
+    best = np.lexsort((index.ids[near], -found))[:k]
+    best = best[found[best] > 1e-12]
+    return list(zip(found[best].tolist(), near[best].tolist())), read
 
 
 class Packed:
@@ -255,7 +297,9 @@ class Packed:
             steps, tf = (np.ascontiguousarray(p.T).view(np.uint32).ravel() for p in planes)
             cuts = np.cumsum(sizes)[:-1]
             split = lambda x: np.split(x, cuts) if len(sizes) else []
-            self._index = build(ids, toxic, texts, [terms[np.cumsum(s)] for s in split(steps.astype(np.int64))], split(tf))
+            self._index = build(ids, toxic, texts, [np.cumsum(s) for s in split(steps.astype(np.int64))], split(tf), terms=terms)
+            del steps, tf
+            hand_back()
         return self._index
 
     def __getstate__(self):
