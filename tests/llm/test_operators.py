@@ -595,3 +595,33 @@ def test_pipeline_stages_keep_columns_of_any_name(spark, docs, tmp_path):
         if name != "sentencepiece":
             assert out.columns == wide.columns
             assert all(r[c] == f"{c}-{r['doc_id']}" for r in out.collect() for c in clash), name
+
+
+def test_toxicity_fit_leaves_word_lists_to_the_tasks(spark):
+    import tracemalloc
+
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(vocabulary, 3000))) for i in range(0, 300)], "doc_id long, text string").repartition(3).cache()
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    docs.count()
+    tracemalloc.start()
+    model = toxicity.fit(marks, docs)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 8e6  # of some 600,000 words, 7 MB of hashes and counts
+    assert model.n_examples == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300))
+
+
+def test_packed_parts_make_the_index_of_all_examples():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(0, 2**63, 5).astype(np.uint64) % np.uint64(97)) for _ in range(40)] + [np.zeros(0, dtype=np.uint64)]
+    counts = [rng.integers(1, 9, len(x)).astype(np.uint32) for x in lists]
+    toxic, texts = [i % 4 == 0 for i in range(41)], np.arange(41, dtype=np.uint64) * np.uint64(7)
+    want = toxicity.build(range(41), toxic, texts, lists, counts)
+    part = lambda a, b: toxicity.packed(range(a, b), toxic[a:b], texts[a:b], lists[a:b], counts[a:b])
+    got = toxicity.Packed([part(20, 41), part(0, 7), part(7, 20)]).index()
+    for name, a, b in zip(want._fields, want, got):
+        assert np.array_equal(a, b), name

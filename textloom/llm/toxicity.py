@@ -265,26 +265,31 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
     return list(zip(found[best].tolist(), near[best].tolist())), read
 
 
-class Packed:
-    """The sampled examples as compressed bytes, some megabytes; a Python worker builds the index from them once."""
+def packed(ids, toxic, texts, lists: list, counts: list) -> bytes:
+    """Some examples as compressed bytes: the terms that they have, ascending, and each example's terms as steps among these."""
+    import pickle
+    import zlib
 
-    def __init__(self, ids, toxic, texts, lists: list, counts: list):
-        import pickle
-        import zlib
+    import numpy as np
 
-        import numpy as np
+    flat = np.concatenate([np.asarray(x, dtype=np.uint64) for x in lists]) if len(lists) else np.zeros(0, dtype=np.uint64)
+    terms, term = np.unique(flat, return_inverse=True)
+    sizes, parts, tf = [len(x) for x in lists], [], []
+    for e, n, c in zip(np.cumsum(sizes), sizes, counts):  # ascending terms as differences
+        own = term[e - n : e]
+        order = np.argsort(own)
+        parts.append(np.diff(own[order], prepend=0))
+        tf.append(np.asarray(c)[order])
+    whole = [np.concatenate(x).astype(np.uint32) if x else np.zeros(0, dtype=np.uint32) for x in (parts, tf)]
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T) for x in whole]
+    return zlib.compress(pickle.dumps((np.asarray(ids), np.asarray(toxic), np.asarray(texts), terms, sizes, planes)), 6)
+
+
+class Packed:
+    """The sampled examples as ``packed`` parts, some megabytes in all; a Python worker builds the index from them once."""
 
-        flat = np.concatenate([np.asarray(x, dtype=np.uint64) for x in lists]) if len(lists) else np.zeros(0, dtype=np.uint64)
-        terms, term = np.unique(flat, return_inverse=True)
-        sizes, parts, tf = [len(x) for x in lists], [], []
-        for e, n, c in zip(np.cumsum(sizes), sizes, counts):  # ascending terms as differences
-            own = term[e - n : e]
-            order = np.argsort(own)
-            parts.append(np.diff(own[order], prepend=0))
-            tf.append(np.asarray(c)[order])
-        whole = [np.concatenate(x).astype(np.uint32) if x else np.zeros(0, dtype=np.uint32) for x in (parts, tf)]
-        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T) for x in whole]
-        self.data = zlib.compress(pickle.dumps((np.asarray(ids), np.asarray(toxic), np.asarray(texts), terms, sizes, planes)), 6)
+    def __init__(self, data: list[bytes]):
+        self.data = data
 
     def index(self) -> Index:
         import pickle
@@ -293,12 +298,18 @@ class Packed:
         import numpy as np
 
         if not hasattr(self, "_index"):
-            ids, toxic, texts, terms, sizes, planes = pickle.loads(zlib.decompress(self.data))
-            steps, tf = (np.ascontiguousarray(p.T).view(np.uint32).ravel() for p in planes)
-            cuts = np.cumsum(sizes)[:-1]
-            split = lambda x: np.split(x, cuts) if len(sizes) else []
-            self._index = build(ids, toxic, texts, [np.cumsum(s) for s in split(steps.astype(np.int64))], split(tf), terms=terms)
-            del steps, tf
+            parts = [pickle.loads(zlib.decompress(x)) for x in self.data]
+            terms = np.unique(np.concatenate([x[3] for x in parts])) if parts else np.zeros(0, dtype=np.uint64)
+            ids, toxic, texts = ([y for x in parts for y in x[c].tolist()] for c in range(3))
+            lists, counts = [], []
+            for *_, own, sizes, planes in parts:
+                steps, tf = (np.ascontiguousarray(p.T).view(np.uint32).ravel() for p in planes)
+                place, cuts = np.searchsorted(terms, own), np.cumsum(sizes)[:-1]
+                lists += [place[np.cumsum(x)] for x in np.split(steps.astype(np.int64), cuts)]
+                counts += np.split(tf, cuts)
+            del parts
+            self._index = build(ids, toxic, np.array(texts, dtype=np.uint64), lists, counts, terms=terms)
+            del lists, counts
             hand_back()
         return self._index
 
@@ -353,20 +364,26 @@ def training_sample(labels: DataFrame, docs: DataFrame, toxic: int = TOXIC_EXAMP
     return written(picked, "examples"), totals
 
 
-def _counted(batches: Iterator) -> Iterator:
-    """``doc_id, toxic, digest`` and the hashes and counts of the words of each example."""
+def _packed_examples(batches: Iterator) -> Iterator:
+    """A partition's examples ``doc_id, toxic, text`` as one row: ``n_clean, n_toxic`` and the ``packed`` bytes; none, if there are none."""
     import numpy as np
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
+    ids, toxic, texts, lists, counts = [], [], [], [], []
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        found = [words_in(t) for t in texts]
-        hashes = [np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in c], dtype="<u8").tobytes() for c in found]
-        counts = [np.array(list(c.values()), dtype="<u4").tobytes() for c in found]
-        digests = np.array([digest(t) for t in texts], dtype=np.uint64).view(np.int64)
-        columns = [batch.column(0), batch.column(1), pa.array(digests), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "digest", "hashes", "counts"])
+        ids += batch.column(0).to_pylist()
+        toxic += [t == 1 for t in batch.column(1).to_pylist()]
+        for text in batch.column(2).to_pylist():
+            found = words_in(text)
+            texts.append(digest(text))
+            lists.append(np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found], dtype=np.uint64))
+            counts.append(np.array(list(found.values()), dtype=np.uint32))
+    if ids:
+        columns = [pa.array([len(ids) - sum(toxic)]), pa.array([sum(toxic)]), pa.array([packed(ids, toxic, np.array(texts, dtype=np.uint64), lists, counts)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["n_clean", "n_toxic", "data"])
+    del ids, toxic, texts, lists, counts
+    hand_back()
 
 
 def fit(labels: DataFrame, docs: DataFrame, k: int = NEIGHBOURS, toxic: int = TOXIC_EXAMPLES, clean: int = CLEAN_EXAMPLES) -> Model:
@@ -374,16 +391,14 @@ def fit(labels: DataFrame, docs: DataFrame, k: int = NEIGHBOURS, toxic: int = TO
 
     context = docs.sparkSession.sparkContext
     examples, totals = training_sample(labels, docs, toxic, clean)
-    packed = examples.mapInArrow(_counted, "doc_id long, toxic int, digest long, hashes binary, counts binary").toArrow().sort_by("doc_id")  # as many rows as the sample, at most
-    column = lambda c, kind: [np.frombuffer(x, kind) for x in packed.column(c).to_pylist()]
-    is_toxic = packed.column("toxic").to_numpy() == 1
-    sent = Packed(packed.column("doc_id").to_numpy(), is_toxic, packed.column("digest").to_numpy().view(np.uint64), column("hashes", "<u8"), column("counts", "<u4"))
-    n = {c: int((is_toxic == bool(c)).sum()) for c in (0, 1)}
-    del packed
+    # the tasks hash, count and pack, so that the driver gets no more than the bytes that it sends on
+    parts = examples.mapInArrow(_packed_examples, "n_clean long, n_toxic long, data binary").collect()
+    sent, n = Packed([bytes(r["data"]) for r in parts]), (sum(r["n_clean"] for r in parts), sum(r["n_toxic"] for r in parts))
+    del parts
     every = sum(totals.values())
     weight = tuple(totals.get(c, 0) / n[c] if n[c] else 1.0 for c in (0, 1))
-    model = Model(context.broadcast(sent), len(is_toxic), weight, totals.get(1, 0) / every if every else 0.0, ((0.0, 1.0), (0.0, 1.0)))
-    if not len(is_toxic):
+    model = Model(context.broadcast(sent), sum(n), weight, totals.get(1, 0) / every if every else 0.0, ((0.0, 1.0), (0.0, 1.0)))
+    if not sum(n):
         return model
     raw = score(examples.repartition(context.defaultParallelism, "doc_id"), model, ("toxic",), k=k).select("toxic", "score").toArrow()
     labels_of = raw.column("toxic").to_pylist()
