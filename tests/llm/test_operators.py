@@ -625,3 +625,21 @@ def test_packed_parts_make_the_index_of_all_examples():
     got = toxicity.Packed([part(20, 41), part(0, 7), part(7, 20)]).index()
     for name, a, b in zip(want._fields, want, got):
         assert np.array_equal(a, b), name
+
+
+def test_common_words_alone_bound_the_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    index = random_index(rng, 1000, 16)
+    common, read = np.flatnonzero(index.common >= 0), []
+    for _ in range(40):
+        at = np.sort(rng.choice(common, 4, replace=False))
+        q = toxicity.weighed(rng.integers(1, 4, len(at)).astype(float), index.weight[at])
+        sims = np.round(q @ index.table[index.common[at], :1000], 12)
+        without = int(rng.integers(-1, 1000))
+        want = sorted((-s, index.ids[i]) for i, s in enumerate(sims) if s > 1e-12 and i != without)[:7]
+        near, visited = toxicity.nearest(index, at, q, 7, without, 16)
+        assert [(round(-c, 9), i) for c, i in want] == [(round(c, 9), index.ids[j]) for c, j in near]
+        read.append(visited)
+    assert sum(read) < 0.2 * 40 * (index.table.shape[1] // 16)

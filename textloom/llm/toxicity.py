@@ -9,8 +9,9 @@ Search. Examples lie in blocks of ``BLOCK``. Words in under a share ``COMMON`` o
 blocks, and for each of its blocks the largest weight. The others, ``MOST_COMMON`` at most, are in nearly every block; their
 part of all cosines, for ``TOGETHER`` texts at a time, is one product with a dense table. The sum of a text's weights times the maxima, plus the largest such part in the block, bounds the
 cosine with any example of the block. Blocks are visited by falling bound: ``FIRST`` of them, then those whose bound reaches
-the k-th best cosine so far; other blocks' postings aren't read. Where over a third of the blocks can, or where the bounds are
-level, postings are read in one piece. The table has single precision, so what it finds is within some ``SLACK`` of a cosine: examples
+the k-th best cosine so far, or the k-th best part of the common words, which no cosine is below; other blocks' postings aren't
+read. Where that part alone leaves a third of the blocks or fewer, they are visited at once. Where over a third of the blocks can, or
+where the bounds are level, postings are read in one piece. The table has single precision, so what it finds is within some ``SLACK`` of a cosine: examples
 that can be among the nearest get their common words' part once more, in double precision. The k nearest are exact; ties
 go to the smaller example id.
 
@@ -45,7 +46,7 @@ FIRST = 3
 COMMON = 0.04
 MOST_COMMON = 1_024
 #: Texts that are multiplied with that table at once.
-TOGETHER = 64
+TOGETHER = 512
 #: Twice what single precision can be off, at most, for each product in a sum that is one at most.
 SLACK = 2.0**-23
 #: Where over a third of the blocks have a bound of this share of the largest one, no few blocks are visited first.
@@ -228,9 +229,12 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
     bounds = np.bincount(blocks, weights=gains, minlength=len(shared) // block) + shared.reshape(-1, block).max(axis=1, initial=0.0)
     order = np.argsort(-bounds, kind="stable")
     order = order[bounds[order] > 0]
-    first_few = 0 if 3 * np.count_nonzero(bounds >= LEVEL * bounds.max(initial=0.0)) > len(bounds) else FIRST
     slack = (len(at) - len(rare) + 4) * SLACK
-    held, found, edge, read = [], [], 0.0, 0
+    # rare words only add to a cosine, so the k-th best common part is a bound on the k-th best cosine
+    sure = np.partition(shared, len(shared) - k - 1)[len(shared) - k - 1] - slack if len(shared) > k else 0.0  # one more, as one may have no part
+    few = 3 * np.count_nonzero(bounds >= sure) <= len(bounds)
+    first_few = 0 if few or 3 * np.count_nonzero(bounds >= LEVEL * bounds.max(initial=0.0)) > len(bounds) else FIRST
+    held, found, edge, read = [], [], max(0.0, sure), 0
     for visited in (order[:first_few], order[first_few:]):
         visited = visited[bounds[visited] >= edge - slack]
         if not len(visited):
@@ -256,7 +260,7 @@ def nearest(index: Index, at, weights, k: int, without: int = -1, block: int = B
         held.append(near)
         found.append(np.round(of_rare[near] + common_exact(index, at, weights, near), 12))
         best = np.concatenate(found)
-        edge = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else 0.0
+        edge = max(edge, np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else edge
     if not held:
         return [], read
     near, found = np.concatenate(held), np.concatenate(found)
@@ -423,7 +427,13 @@ def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), tex
 
         hand_back()
         index, places, cached = sent.value.index(), {}, {}
-        evidence = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
+
+        def evidence(proofs: list):
+            cosines = np.array([c for near in proofs for c, _ in near], dtype=np.float64)
+            at = np.array([j for near in proofs for _, j in near], dtype=np.int64)
+            ends = np.cumsum([0, *map(len, proofs)])
+            parts = pa.StructArray.from_arrays([pa.array(index.ids[at]), pa.array(cosines), pa.array(index.toxic[at])], names=["example", "cosine", "toxic"])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
 
         def learn(unknown: list[str]) -> None:
             hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in unknown], dtype=np.uint64)
@@ -431,12 +441,8 @@ def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), tex
             known = index.terms[at] == hashes if len(index.terms) else np.zeros(len(unknown), dtype=bool)
             places.update(zip(unknown, np.where(known, at, -1).tolist()))
 
-        def vector(t: str | None) -> tuple:
-            """The text's terms, ascending, and its unit vector."""
-            counts = words_in(t)
-            if len(places) > words:
-                places.clear()
-            learn([w for w in counts if w not in places])
+        def vector(counts: Counter) -> tuple:
+            """The terms of a text with these words, ascending, and its unit vector."""
             at = np.fromiter(map(places.__getitem__, counts), dtype=np.int64, count=len(counts))
             tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
             tf, at = tf[at >= 0], at[at >= 0]
@@ -450,7 +456,7 @@ def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), tex
             same = np.searchsorted(index.texts, np.uint64(mark))
             without = int(index.first[same]) if same < len(index.texts) and index.texts[same] == mark else -1
             near, _ = nearest(index, at, weights, k, without, shared=shared)
-            return float(np.interp(vote(index, near, class_weight, base), *knots)), [{"example": int(index.ids[j]), "cosine": c, "toxic": bool(index.toxic[j])} for c, j in near]
+            return float(np.interp(vote(index, near, class_weight, base), *knots)), near
 
         for batch in batches:
             texts = batch.column(len(columns)).to_pylist()
@@ -458,14 +464,18 @@ def score(df: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), tex
             unknown = {m: t for m, t in zip(marks, texts) if m not in cached}
             new = {}
             for some in (list(unknown.items())[i : i + TOGETHER] for i in range(0, len(unknown), TOGETHER)):
-                vectors = [vector(t) for _, t in some]
+                counted = [words_in(t) for _, t in some]
+                if len(places) > words:
+                    places.clear()
+                learn(list({w for counts in counted for w in counts if w not in places}))
+                vectors = list(map(vector, counted))
                 new |= {m: judge(m, *v, part) for (m, _), v, part in zip(some, vectors, common_parts(index, vectors))}
             known = {m: cached[m] for m in marks if m in cached} | new
             if len(cached) + len(new) > most:
                 cached.clear()
             cached.update(new)
             scores, proofs = [known[m][0] for m in marks], [known[m][1] for m in marks]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), pa.array(proofs, evidence)], names=[*columns, "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64()), evidence(proofs)], names=[*columns, "score", "evidence"])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
     name = "text" + "_" * (1 + max(map(len, columns), default=0))  # longer than any of the columns
