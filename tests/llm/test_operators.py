@@ -643,3 +643,26 @@ def test_common_words_alone_bound_the_blocks():
         assert [(round(-c, 9), i) for c, i in want] == [(round(c, 9), index.ids[j]) for c, j in near]
         read.append(visited)
     assert sum(read) < 0.2 * 40 * (index.table.shape[1] // 16)
+
+
+def test_repair_gives_its_memory_back():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np
+from textloom.llm import tokens
+from textloom.llm.common import hand_back
+rng = np.random.default_rng(2)
+ids, lengths = np.minimum(rng.zipf(1.3, 400_000), 20_000).astype(np.int32), np.full(400, 1000)
+held = []
+for _ in range(5):
+    tokens.repair(ids, lengths, 20_001)
+    hand_back()
+    held.append(sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024)
+print(held[4] - held[1])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"TOKENIZERS_PARALLELISM": "false"})
+    assert float(out.stdout) < 9, out.stdout  # MB that three more shards leave in the process
