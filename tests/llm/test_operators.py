@@ -333,6 +333,41 @@ def test_piece_ids_match_the_library(spark, docs, none):
     assert pieces.encode(none).count() == 0
 
 
+def test_words_are_cut_where_no_piece_goes_on():
+    model = pieces.load()
+    cutter = pieces.Cutter(model)
+    for part in ("lich\u00df\u00e4heit", "\u00e9\u00e8oi,***", "\u00e4%%%"):
+        words = cutter.words(part)
+        assert "".join(words) == " " + part and len(words) > 1
+        assert all(a + b in model.pairs() for w in words for a, b in zip(w.replace(" ", pieces.SPACE), w.replace(" ", pieces.SPACE)[1:]) if not w.isascii())
+        assert [i for w in words for i in pieces.bpe_word(model, model.known(), w.replace(" ", pieces.SPACE))] == pieces.bpe_word(model, model.known(), pieces.SPACE + part)
+
+
+def test_texts_travel_many_in_a_row():
+    import pyarrow as pa
+    import sentencepiece
+
+    model, library = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    texts = [None, "", *(f"the word w{i} \u00e9\u00df x{i % 7}\n and" for i in range(198))]
+    ids_of = lambda word: pieces.bpe_word(model, model.known(), word.replace(" ", pieces.SPACE))
+    for common in ([], [" the", " word", " and"]):
+        sink, table = pa.BufferOutputStream(), pa.table({"word": pa.array(common, pa.string()), "ids": pa.array([ids_of(w) for w in common], pa.list_(pa.int16()))})
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        head = pieces.Head(sink.getvalue().to_pybytes())
+        coder = pieces.Coder(model, head, most=50)
+        rows = list(pieces._looked_up(pa.record_batch({"key": pa.array(range(200), pa.int64())}), texts, coder))
+        assert sum(r.num_rows for r in rows) == -(-200 // pieces.CHUNK)
+        asked = list(pieces._rest_words(rows))
+        assert all(len(set(x.column("word").to_pylist())) == x.num_rows for x in asked)
+        told = [[{"place": p, "ids": ids_of(w)} for p, w in zip(x.column("place").to_pylist(), x.column("word").to_pylist())] for x in asked]
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int16()))]))
+        got = [pieces._filled(r.append_column("told", pa.array([t], kind)), 0, head, "key") for r, t in zip(rows, told)]
+        assert [i for x in got for i in x.column("key").to_pylist()] == list(range(200))
+        assert [i for x in got for i in x.column("ids").to_pylist()] == [library.encode(t or "") for t in texts]
+        assert len(coder.places) <= 50 + len({p for t in texts if t for p in coder.cutter.parts(t)})
+
+
 def test_head_is_bounded(spark):
     known = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(3000)], "word string, n long")
     for most in (0, 1, 10, 500, 2999, 3000):

@@ -1,8 +1,9 @@
 """Operator 5, SentencePiece encoding and decoding, by a relational lattice over distinct words.
 
 Text is normalised as the model says (a space before it, spaces written as U+2581) and cut into words: before runs of
-U+2581, at line ends, and between a letter and a sign that no piece has behind one. No piece spans two words, so each
-distinct word of the corpus is encoded once:
+U+2581, at line ends, between a letter and a sign that no piece has behind one, and in words that are not ASCII between any
+two characters that no piece has side by side. No piece spans two words, so each distinct word of the corpus
+is encoded once:
 
 1. its substrings of bounded length are exploded and equi-joined to the piece table (a broadcast: the vocabulary is fixed);
 2. the edges are grouped by word again, without a shuffle, as the words are still parted by word;
@@ -18,8 +19,8 @@ in Python. Characters without a piece become byte pieces, or the unknown id.
 
 Texts are then encoded from the word table, by one plan for all sizes. The commonest words, ``HEAD_WORDS`` of them at most
 (words are cut by a step of their count, so the bound holds whatever the corpus), are broadcast and looked up in place. A
-text's other words are rare by definition; they go to the word table by a join, and back to their text by another one. A
-word may be as hot as it likes: it is either in the broadcast or has few rows.
+text's other words are rare by definition; they go to the word table by a join, and back to their text by another one: texts
+travel as numbers of words, ``CHUNK`` texts a row. A word may be as hot as it likes: it is either in the broadcast or has few rows.
 
 Null and empty texts have no ids and decode to the empty text. Rows that repeat an id, a text or both have a result each;
 other columns of the input are left out, whatever they are called. An empty table gives an empty one.
@@ -27,9 +28,13 @@ other columns of the input are left out, whatever they are called. An empty tabl
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import islice
+from operator import add
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,6 +49,10 @@ LONGEST = 62
 HEAD_WORDS = 1 << 19
 #: Steps of the count, per doubling, by which the head is cut off.
 STEPS = 8
+#: Texts that travel in one row.
+CHUNK = 64
+#: So many words of a task have their edges grouped by hash (about 1 KB a word); beyond that Spark goes on by sorting.
+GROUPED_WORDS = 1 << 17
 
 
 class Model(NamedTuple):
@@ -67,6 +76,10 @@ class Model(NamedTuple):
         first = f" *(?:(?!{letter})[^ \n])*{letter}++(?=[{signs}])|" if signs else ""
         return re.compile(f"{first} *[^ \n]+| +|\n").findall
 
+    def pairs(self) -> set[str]:
+        """Pairs of characters that are side by side in a piece: a word can be cut between any others."""
+        return {a + b for p in self.known() for a, b in zip(p, p[1:])}
+
     def late(self) -> set[str]:
         """Pieces with a part (of two or more characters) of worse score: their turn by rank can come before their parts'."""
         known = self.known()
@@ -289,6 +302,7 @@ class Cutter:
 
     def __init__(self, model: Model):
         self.cut, self.start = model.cutter(), " " if model.prefix else ""
+        self.pairs = {p.replace(SPACE, " ") for p in model.pairs()}
 
     def parts(self, text: str) -> list[str]:
         """The parts of a text: the first one and those with more than one space before them are kept behind a NUL as they are."""
@@ -300,8 +314,16 @@ class Cutter:
 
     def words(self, part: str) -> list[str]:
         if part.isalpha():
-            return [" " + part]
-        return [part[1:]] if part[:1] == "\0" and len(part) > 1 and self.start else self.cut(part[1:] if part[:1] == "\0" else " " + part)
+            return [" " + part] if part.isascii() else self.apart(" " + part)
+        words = [part[1:]] if part[:1] == "\0" and len(part) > 1 and self.start else self.cut(part[1:] if part[:1] == "\0" else " " + part)
+        return words if part.isascii() else [x for w in words for x in self.apart(w)]
+
+    def apart(self, word: str) -> list[str]:
+        """A word, cut between characters that no piece has side by side. ASCII words hardly have such a place, and aren't looked through."""
+        if word.isascii() or self.pairs.issuperset(map(add, word, word[1:])):
+            return [word]
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
 
 def _texts(batches: Iterator, column: int, rows: int = 256) -> Iterator:
@@ -360,7 +382,7 @@ class Head:
         self.stream = stream
 
     def opened(self) -> tuple:
-        """(this worker's hashes of the words, ascending, their places, the words, starts, lengths, ids)"""
+        """(this worker's hashes of the words, ascending, their places, the words, starts, lengths, ids); the last three have an element more."""
         import numpy as np
 
         if not hasattr(self, "_opened"):
@@ -371,7 +393,7 @@ class Head:
                 some = words.slice(at, 1 << 16).to_pylist()
                 hashes[at : at + len(some)] = list(map(hash, some))
             order, offsets = np.argsort(hashes).astype(np.int32), _numbers(ids.offsets, np.int32)
-            self._opened = (hashes[order], order, words, offsets[:-1], np.diff(offsets).astype(np.int16), _numbers(ids.values, np.int16))
+            self._opened = (hashes[order], order, words, offsets, np.append(np.diff(offsets), 0).astype(np.int16), np.append(_numbers(ids.values, np.int16), np.int16(0)))
             del self.stream
             pa.default_memory_pool().release_unused()
         return self._opened
@@ -395,13 +417,19 @@ class Coder:
 
     def __init__(self, model: Model, head: Head, most: int = 1 << 16):
         self.cutter, self.head, self.most = Cutter(model), head, most
-        self._forget()
-
-    def _forget(self) -> None:
         self.places: dict[str, int] = {}
         self.outside: dict[int, list[str]] = {}
         self.starts, self.sizes, self.words, self.used = [], [], [], 0
 
+    def _forget(self) -> None:
+        """Keep the parts that were seen first, half of what is kept at most: common parts are among them."""
+        kept = self.most // 2
+        self.places = dict(islice(self.places.items(), kept))
+        self.outside = {p: words for p, words in self.outside.items() if p < kept}
+        self.starts, self.sizes = [self.starts[0][:kept].copy()], [self.sizes[0][:kept].copy()]
+        self.used = int(self.sizes[0].sum())
+        self.words = [self.words[0][: self.used].copy()]
+
     def _learn(self, parts: list[str]) -> None:
         import numpy as np
 
@@ -448,7 +476,8 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     counted = rows.select("text").mapInArrow(_count_words(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    known = written(encode_words(counted, model), "words")
+    with _grouped_by_hash(spark):
+        known = written(encode_words(counted, model), "words")
     del counted
     release(spark)
     known = known.select(F.translate("word", SPACE, " ").alias("word"), "ids", "n")
@@ -462,20 +491,33 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
             yield from _looked_up(part, texts, coder)
 
     # both readers of this exchange take all of its columns, so that it is made once
-    coded = rows.mapInArrow(look_up, f"key {kind}, mark long, words binary, which array<int>, rest array<string>").repartition("mark")
-    asked = coded.mapInArrow(_rest_words, "mark long, word string")
-    answered = asked.join(known.filter(~in_head).select("word", "ids"), "word").groupBy("mark").agg(F.collect_set(F.struct("word", "ids")).alias("told"))
-    whole = coded.join(answered.hint("shuffle_hash"), "mark", "left").select("key", "words", "which", "rest", "told")
+    coded = rows.mapInArrow(look_up, f"mark long, keys array<{kind}>, sizes array<int>, words binary, rest binary").repartition("mark")
+    asked = coded.mapInArrow(_rest_words, "mark long, place int, word string")
+    tail = known.filter(~in_head).select("word", F.col("ids").cast("array<smallint>").alias("ids"))
+    answered = asked.join(tail, "word").groupBy("mark").agg(F.collect_set(F.struct("place", "ids")).alias("told"))
+    whole = coded.join(answered.hint("shuffle_hash"), "mark", "left")  # a column left out here would be left out before the exchange as well, and make it a second one
     texts = _decoder(spark, model, "ids") if decoded else None
 
     def fill(batches: Iterator) -> Iterator:
         hand_back()
-        filled = (_filled(batch.slice(at, 1024), sent.value, key) for batch in batches for at in range(0, batch.num_rows, 1024))
+        filled = (_filled(batch, at, sent.value, key) for batch in batches for at in range(batch.num_rows))
         yield from texts(filled) if texts else filled
 
     return whole.mapInArrow(fill, f"`{key}` {kind}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
+@contextmanager
+def _grouped_by_hash(spark: SparkSession) -> Iterator[None]:
+    """Lists of a task are collected by hash for ``GROUPED_WORDS`` keys, where Spark sorts all rows after 128."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(GROUPED_WORDS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _sent(spark: SparkSession, head: DataFrame):
     """The head as a broadcast Arrow stream; at most ``head_words`` short rows."""
 
@@ -486,13 +528,18 @@ def _sent(spark: SparkSession, head: DataFrame):
     return spark.sparkContext.broadcast(Head(sink.getvalue().to_pybytes()))
 
 
+def _small(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(data)
+
+
 def _pressed(numbers) -> bytes:
     """Numbers under 2**24, byte by byte, compressed: a text's words take about 13 bits each."""
     import numpy as np
-    import zstandard
 
     planes = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
-    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(np.ascontiguousarray(planes).tobytes())
+    return _small(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpressed(data: bytes):
@@ -504,85 +551,78 @@ def _unpressed(data: bytes):
 
 
 def _looked_up(batch, texts: list, coder: Coder, most: int = 1 << 17) -> Iterator:
-    """Rows ``key, mark, words`` (numbers, 0 for a word outside the head)``, which`` (place in ``rest`` of each such word)``, rest``.
+    """Rows ``mark, keys, sizes`` (words of each text)``, words`` (numbers; behind the head's, the place in ``rest`` of a word outside)``, rest``
+    of ``CHUNK`` texts at most.
 
-    ``mark`` is a hash of id and text, so that copies of a text are spread. Texts that share one share their answers, which
-    are found by word: that is harmless.
+    ``mark`` is a hash of the row, so that copies of a text are spread. Rows that share one share their answers: that is harmless.
     """
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    first, parts, sizes = 0, [], []
+    first, parts, sizes, behind = 0, [], [], len(coder.head.opened()[2]) + 1
 
-    def out(to: int) -> pa.RecordBatch:
+    def out() -> Iterator:
         words, n, places = coder(parts)
         rows = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        which, rest = [[] for _ in sizes], [[] for _ in sizes]
-        odd = np.flatnonzero(np.isin(places, np.fromiter(coder.outside, dtype=np.int64, count=len(coder.outside))))
-        for row, some in zip(*_parts(np.searchsorted(rows, odd, "right") - 1, odd)):
-            own: dict[str, int] = {}
-            which[row] = [own.setdefault(w, len(own)) for p in places[some].tolist() for w in coder.outside[p]]
-            rest[row] = list(own)
-        keys = batch.column(0).slice(first, to - first).to_pylist()
-        marks = np.array([xxh64_intdigest(f"{k}:{t}".encode("utf-8", "surrogatepass")) for k, t in zip(keys, texts[first:to])], dtype=np.uint64).view(np.int64)
-        ends = np.concatenate([[0], np.cumsum(n)])[rows]
-        pressed = pa.array([_pressed(words[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
-        columns = [batch.column(0).slice(first, to - first), pa.array(marks), pressed, pa.array(which, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "mark", "words", "which", "rest"])
+        ends = np.concatenate([[0], np.cumsum(n)])[rows].astype(np.int64)
+        odd = np.isin(places, np.fromiter(coder.outside, dtype=np.int64, count=len(coder.outside)))
+        for at in range(0, len(sizes), CHUNK):
+            to = min(at + CHUNK, len(sizes))
+            some, own, (a, b) = words[ends[at] : ends[to]].copy(), {}, rows[[at, to]]
+            some[some == 0] = [behind + own.setdefault(w, len(own)) for p in places[a:b][odd[a:b]].tolist() for w in coder.outside[p]]
+            keys, counts, numbers = batch.column(0).slice(first + at, to - at), np.diff(ends[at : to + 1]).astype(np.int32), _pressed(some)
+            rest = _small(json.dumps(list(own)).encode()) if own else None
+            mark = np.array([xxh64_intdigest(b"%b %b %b %b" % (numbers, rest or b"", counts.tobytes(), str(keys.to_pylist()).encode("utf-8", "replace")))], dtype=np.uint64)
+            columns = [pa.array(mark.view(np.int64)), _listed(keys), _listed(pa.array(counts)), pa.array([numbers], pa.binary()), pa.array([rest], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["mark", "keys", "sizes", "words", "rest"])
 
     for i, text in enumerate(texts):
         found = coder.cutter.parts(text) if text else []
         parts.extend(found)
         sizes.append(len(found))
         if len(parts) >= most or i + 1 == len(texts):
-            yield out(i + 1)
+            yield from out()
             first, parts, sizes = i + 1, [], []
 
 
-def _parts(groups, values) -> tuple[list[int], list]:
-    """The distinct groups, which are in order, and the values of each."""
-    import numpy as np
-
-    if not len(groups):
-        return [], []
-    cuts = np.flatnonzero(np.diff(groups)) + 1
-    return groups[np.concatenate([[0], cuts])].tolist(), np.split(values, cuts)
+def _listed(values):
+    """An array with one list that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _rest_words(batches: Iterator) -> Iterator:
-    """``mark, word``: each text's distinct words outside the head."""
-    import pyarrow.compute as pc
+    """``mark, place, word``: each row's distinct words outside the head."""
+    import zstandard
 
+    opened = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        rest = batch.column("rest")
-        yield pa.RecordBatch.from_arrays([batch.column("mark").take(pc.list_parent_indices(rest)), pc.list_flatten(rest)], names=["mark", "word"])
+        for mark, rest in zip(*(batch.column(c).to_pylist() for c in ("mark", "rest"))):
+            words = json.loads(opened(rest)) if rest else []
+            yield pa.RecordBatch.from_arrays([pa.array([mark] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.string())], names=["mark", "place", "word"])
 
 
-def _filled(batch, head: Head, key: str):
-    """``key, ids``: the ids of each row's words, from the head or from the row's answers."""
+def _filled(batch, row: int, head: Head, key: str):
+    """``key, ids`` of the texts of a row: the ids of their words, from the head or from the row's answers."""
     import numpy as np
 
-    *_, starts, lengths, flat = head.opened()
-    numbers = [_unpressed(w) for w in batch.column("words").to_pylist()]
-    # the batch's answers lie behind the head; a word outside the head gets the place of its answer
-    answers, pool = [], len(lengths)
-    for words, which, rest, told in zip(numbers, *(batch.column(c).to_pylist() for c in ("which", "rest", "told"))):
-        words -= 1
-        if which:
-            known = {t["word"]: t["ids"] for t in told}
-            words[words < 0] = np.array(which) + pool
-            answers += [known[w] for w in rest]
-            pool += len(rest)
-    sizes = np.concatenate([lengths, np.fromiter(map(len, answers), dtype=np.int64, count=len(answers))])
-    own = np.array([i for x in answers for i in x], dtype=np.int32)
-    more = sizes[len(lengths) :]
-    begins = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
-    at = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-    n = sizes[at].astype(np.int64)
+    *_, words, starts, lengths, flat = head.opened()
+    told = sorted((t["place"], t["ids"]) for t in batch.column("told")[row].as_py() or [])
+    assert [t[0] for t in told] == list(range(len(told)))
+    own = np.array([i for _, ids in told for i in ids], dtype=np.int32)
+    more = np.fromiter((len(ids) for _, ids in told), dtype=np.int64, count=len(told))
+    at = _unpressed(batch.column("words")[row].as_py()) - 1
+    outside = np.flatnonzero(at >= len(words))
+    places = at[outside] - len(words)
+    at[outside] = len(words)
+    n, begins = lengths[at].astype(np.int64), starts[at].astype(np.int64)
+    n[outside], begins[outside] = more[places], len(flat) + (np.cumsum(more) - more)[places]
     ends = np.concatenate([[0], np.cumsum(n)])
-    ids = np.concatenate([flat.astype(np.int32), own])[np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])]
-    offsets = ends[np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[key, "ids"])
+    taken = np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])
+    answered = taken >= len(flat)
+    ids = flat[np.where(answered, 0, taken)].astype(np.int32)
+    ids[answered] = own[taken[answered] - len(flat)]
+    offsets = ends[np.concatenate([[0], np.cumsum(batch.column("sizes")[row].as_py())]).astype(np.int64)]
+    return pa.RecordBatch.from_arrays([batch.column("keys")[row].values, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[key, "ids"])
 
 
 def _decoder(spark: SparkSession, model: Model, ids: str):
