@@ -368,6 +368,15 @@ def test_texts_travel_many_in_a_row():
         assert len(coder.places) <= 50 + len({p for t in texts if t for p in coder.cutter.parts(t)})
 
 
+def test_near_copies_meet_several_texts(spark):
+    n = 40
+    leaves = spark.createDataFrame([(i, 10, [1, 2, 3, 4], 0) for i in range(n)] + [(n, 0, [], 0)], "digest long, size long, hubs array<long>, f0 long")
+    pairs = [tuple(r) for r in simhash._star_pairs(leaves, ["f0"], 64, 0.8).collect()]
+    degree = {i: sum(i in p for p in pairs) for i in range(n + 1)}
+    assert sum(d >= n - 1 for d in degree.values()) > 3 and min(degree[i] for i in range(n)) > 1 and not degree[n]
+    assert len(pairs) <= 10 * n
+
+
 def test_head_is_bounded(spark):
     known = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(3000)], "word string, n long")
     for most in (0, 1, 10, 500, 2999, 3000):

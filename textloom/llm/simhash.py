@@ -15,6 +15,7 @@ Keys must be whole numbers.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from .common import checkpointed, table, written
 
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
+#: MinHash values of a text's shingles.
+HUBS = 4
 #: Shingles that are hashed at once; bounds memory in very long texts.
 BLOCK = 1 << 20
 
@@ -374,9 +377,15 @@ def meeting_pairs(leaves: DataFrame, segments: int, bits: int, budget: int, most
 
 
 def _star_pairs(leaves: DataFrame, names: Sequence[str], most: int, least: float) -> DataFrame:
-    """``u, v``: each leaf with the smallest one (by digest) that has the same value among its ``hubs``, if their sizes and bits may do."""
-    rows = leaves.select("digest", "size", *names, F.posexplode("hubs").alias("order", "value"))
-    first = rows.groupBy("order", "value").agg(F.min(F.struct("digest", "size", *names)).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """``u, v``: each leaf with one that has the same value among its ``hubs`` or the same two of them, if their sizes and bits may do.
+
+    The one is the first by a hash that differs between the values: near copies share most values, and would meet a single text otherwise,
+    which many of them may not be similar to.
+    """
+    twos = [F.xxhash64(F.get("hubs", F.lit(i)), F.get("hubs", F.lit(j))) for i, j in combinations(range(HUBS), 2)]
+    values = F.when(F.size("hubs") == HUBS, F.concat("hubs", F.array(*twos))).otherwise(F.col("hubs"))
+    rows = leaves.select("digest", "size", *names, F.posexplode(values).alias("order", "value"))
+    first = rows.groupBy("order", "value").agg(F.min(F.struct(F.xxhash64("digest", "order").alias("rank"), "digest", "size", *names)).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     hub = lambda c: F.col("hub").getField(c)
     bits = sum((F.bit_count(F.col(c).bitwiseXOR(hub(c))) for c in names), F.lit(0))
     near = rows.join(first, ["order", "value"]).filter(F.col("digest") != hub("digest")).filter(bits <= most)
@@ -398,9 +407,9 @@ def near_duplicates(
 
     Candidates are then checked on the two sets of shingles (64-bit hashes), so no pair under ``similarity`` is linked.
 
-    Before that, each text meets one other for each of four MinHash values, the smallest text with that value. What these stars
-    link, after the same check, is one part, inside which no pair is made any more: a group of n near copies costs about 4n
-    rows, not n squared. Only pairs of different parts go on to the SimHash candidates, so no class is lost.
+    Before that, each text meets one other for each of four MinHash values and each two of them, another one for each if there are
+    several. What these stars link, after the same check, is one part, inside which no pair is made any more: near copies that are
+    linked so cost about 10n rows, not n squared. Only pairs of different parts go on to the SimHash candidates, so no class is lost.
     """
     import math
 
