@@ -1,5 +1,6 @@
 """Functions against hand-computed values."""
 
+import base64
 import math
 import random
 import re
@@ -78,6 +79,11 @@ def test_small_functions(spark):
     assert value(spark, text.rank_to_score(F.lit(-1e-6))) == 0.5
 
 
+def test_base64url_of_long_names_has_no_line_ends(spark):
+    for long in ("Ñ " * 29, "Üä " * 40, "x" * 57, "x" * 58):
+        assert value(spark, text.base64url(F.col("t")), t=long) == base64.urlsafe_b64encode(long.encode()).decode().rstrip("=")
+
+
 def test_scores(spark):
     of = lambda f, values: spark.createDataFrame([(values,)], "v array<double>").select(f(F.col("v")).alias("x")).first()["x"]
     assert abs(of(scores.evidence_score, [2.0] * 10) - 2.6) < 1e-12 and of(scores.evidence_score, [-1.0, 0.0]) == 0
