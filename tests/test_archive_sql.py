@@ -33,3 +33,14 @@ def test_query_matches_duckdb(spark, duck, name):
     assert sorted(found.columns) == sorted(columns)
     rows = sorted(tuple(plain(v) for v in r) for r in wanted.fetchall())
     assert sorted(tuple(plain(v) for v in r) for r in found.select(*columns).collect()) == rows
+
+
+def test_offsets_of_chapters_without_sentences_match_duckdb(spark, tmp_path):
+    texts = [(1, "One. Two two.", "a"), (2, " \n ", "a"), (3, "", "b"), (4, None, "b"), (5, "x" * 900, None)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(registry.oracle_sql()["offsets_to_sentences"]).fetchall()
+    found = registry.queries()["offsets_to_sentences"](spark, str(tmp_path)).select("chapter_id", "offset", "sentence_index").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
+    assert len(wanted) == 20 and (1, 100, 1) in wanted and (3, 0, None) in wanted and (4, 777, None) in wanted

@@ -52,7 +52,7 @@ def sentence_at(positions: DataFrame, sentences: DataFrame, strict: bool = False
     """Positions (``chapter_id, offset``) with the sentence that holds the offset: the first whose end reaches it.
 
     An offset behind the text belongs to the last sentence; with ``strict`` a sentence's end is not part of it, and such an
-    offset gives a null. One union and one window, not a range join.
+    offset gives a null. In a chapter without sentences every offset gives a null. One union and one window, not a range join.
     """
     own = F.struct(*positions.columns)
     kind = positions.select(own.alias("own")).schema["own"].dataType
