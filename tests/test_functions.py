@@ -273,3 +273,18 @@ def test_languages(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "the the")], "doc_id long, text string")
     some = spark.createDataFrame([("en", "the cat"), ("de", "das tier"), (None, "x")], "lang string, text string")
     assert {r["doc_id"]: r["lang"] for r in N.detected(odd, N.profiles(some)).collect()} == {1: None, 2: None, 3: None, 4: "en"}
+
+
+def test_sequences_of_texts_against_brute_force(spark):
+    rng = random.Random(5)
+    made = [" ".join("".join(rng.choice("abcdé漢𝒳") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 80))) for _ in range(20)]
+
+    def ranked(text):
+        grams = [m[i : i + k] for w in text.split() for m in [f"_{w}_"] for k in (1, 2, 3) for i in range(len(m) - k + 1)]
+        counts = {g: grams.count(g) for g in set(grams) - {"_"}}
+        return sorted(counts, key=lambda g: (-counts[g], g))[:30]
+
+    assert [N.commonest(t, 30).tolist() for t in made] == [[N.gram_key(g) for g in ranked(t)] for t in made]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    plan = N.detected(docs, N.profiles(docs.selectExpr("'x' AS lang", "text")))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "word" not in plan.split("BroadcastExchange")[0]  # a text's words stay in its row
