@@ -288,3 +288,22 @@ def test_sequences_of_texts_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     plan = N.detected(docs, N.profiles(docs.selectExpr("'x' AS lang", "text")))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "word" not in plan.split("BroadcastExchange")[0]  # a text's words stay in its row
+
+
+def test_tokens_in_columns_equal_the_plan(spark):
+    made = ["The ＬＬＭ\u200b  Wiki indexes 维基百科的 pages pages", "running, cats\x07words is was done falling", "é\u0301té Übung ½ ﬁsh 图谱a1 图", "", None, "İstanbul ΑΣ x\u00adly Boxes’ boxes “stories”"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, text string")
+    dictionary = H.dictionary_words(["图谱", "百科"])
+    plans = {r["i"]: r["p"] for r in df.select("i", text.token_plan(F.col("text"), dictionary).alias("p")).collect()}
+    for row in text.with_tokens(df, dictionary).collect():
+        for tier in (1, 2, 3):
+            there = [(x["encoded"][:2], x["raw"]) for x in plans[row["i"]][f"tier{tier}"] or []]
+            assert sorted(there) == sorted((text.PREFIXES[k], t) for k, n in text.TIERS.items() if n == tier for t in row[k]), (row, there)
+
+
+def test_stable_characters_need_no_normal_form():
+    import unicodedata
+
+    kept = [c for c in map(chr, range(0x10000)) if re.fullmatch("[" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), text.STABLE) + "]", c)]
+    second = {unicodedata.normalize("NFD", chr(i))[1:2] for i in range(0x110000) if not 0xD800 <= i < 0xE000 and not unicodedata.decomposition(chr(i)).startswith("<")}
+    assert len(kept) > 20_000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and c not in second for c in kept)

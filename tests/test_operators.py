@@ -894,3 +894,21 @@ def test_metadata(spark):
     assert rows(metadata.hits(meta), "archive", "title") == [("v", "Archive metadata"), ("w", "Old")] and metadata.hits(meta).columns == [*V.HIT, "title"]
     with pytest.raises(Exception, match="no metadata field"):
         metadata.patched(meta, spark.createDataFrame([("w", 1, "titel", "x")], "archive string, ord long, field string, value string")).collect()
+
+
+def test_index_for_one_query_equals_the_whole_one(wiki, index):
+    for query, match in (("wiki pages", "any"), ("wiki pages", "all"), ("sources", "any"), ("资料 archives", "all"), ("nowhere", "any"), ("", "any")):
+        own = S.build_for(S.projection(wiki), query, match)
+        assert (own.n, own.mean_length) == (index.n, index.mean_length)
+        found = lambda i: sorted(map(str, S.search(i, query, match).withColumn("rank", F.round("rank", 9)).collect()))  # noqa: E731, B023
+        assert found(own) == found(index)
+        assert not any(r["found"] for r in own.postings.groupBy("token").agg((F.count("*") == 0).alias("found")).collect())
+    with pytest.raises(ValueError):
+        S.search(S.build_for(S.projection(wiki), "wiki"), "pages")
+
+
+def test_sentences_are_counted_once_a_document(spark, tmp_path):
+    docs = [(1, "a", "One. Two\n\nthree. " + "x. " * 50), (2, "a", " \n"), (3, None, "no stop")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = model.materialized(spark, str(tmp_path))
+    assert rows(made.groupBy("chapter_id").agg(F.min("n"), F.max("n"), F.count("*"))) == [(1, 53, 53, 53), (3, 1, 1, 1)]

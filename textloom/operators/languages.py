@@ -77,7 +77,7 @@ def detected(texts: DataFrame, profiles: DataFrame, key: str = "doc_id", size: i
     A sequence counts ``size`` less the difference of its two ranks; ties go to the smaller code. ``key`` must be unique.
     """
     own = texts.select(key, _commonest(F.col("text"), size).alias("keys"))
-    each = own.select(key, (F.size("keys") * size).alias("full"), F.posexplode("keys").alias("at", "key_of_gram"))
+    each = own.withColumn("full", F.size("keys") * size).select(key, "full", F.posexplode("keys").alias("at", "key_of_gram"))
     known = F.broadcast(profiles.select("lang", _key(F.col("gram")).alias("key_of_gram"), (F.col("rank") - 1).alias("there")))  # ``size`` rows a language
     met = each.join(known, "key_of_gram").groupBy(key, "full", "lang").agg(F.sum(size - F.abs(F.col("at") - F.col("there"))).alias("score"))
     best = met.groupBy(key).agg(F.min_by(F.struct("lang", "score"), F.struct(-F.col("score"), "lang")).alias("best"), F.first("full").alias("full"))
