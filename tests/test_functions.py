@@ -237,6 +237,16 @@ def test_anchors_are_resolved(spark):
     assert [c["sentence_index"] for c in shown["candidates"]] == [2, 0] and shown["sentence_index"] is None
 
 
+def test_equal_sentences_decide_without_scores(spark, monkeypatch):
+    monkeypatch.setattr(A, "resolve_anchor", None)  # nothing is held against all sentences
+    sentences = spark.createDataFrame([(1, i, t) for i, t in enumerate([*STORY, " Echo ", "..."])], "chapter_id long, sentence_index long, text string")
+    asked = [("both", 1, STORY[1], STORY[2]), ("twice", 1, "Echo", None), ("end", 1, STORY[0], "Echo")]
+    got = A.resolve_ranges(spark.createDataFrame(asked, "anchor_id string, chapter_id long, start_anchor string, end_anchor string"), sentences)
+    assert {r["anchor_id"]: (r["start"], r["end"], r["confidence"], r["code"], r["field"], r["strategy"]) for r in got.collect()} == {
+        "both": (1, 2, 1.0, "resolved", None, "exact_raw+exact_raw"), "twice": (None, None, None, "ambiguous_exact_raw", "start_anchor", None), "end": (None, None, None, "ambiguous_exact_raw", "end_anchor", None),
+    }
+
+
 # --- words of Han runs, languages
 
 

@@ -1,7 +1,7 @@
 """Evidence by anchors: a range of sentences from the one that a start anchor names to the one that an end anchor names.
 
-An anchor is held against every sentence of its chapter. Exact matches are found with built-in expressions; only where they
-don't decide are all windows of the sentences scored, in Python. The end is looked for from the start's sentence on.
+Sentences that equal an anchor are found by a join on chapter and text; an anchor without one is held against every sentence of its
+chapter, and only where that doesn't decide are all windows of the sentences scored, in Python. The end is looked for from the start's sentence on.
 Lengths count code points.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
+from ..sources.scratch import written
 from .evidence import first_best, windows
 from .text import split_sentences
 
@@ -214,16 +215,45 @@ def resolve_anchor(anchors: DataFrame, sentences: DataFrame, label: str) -> Data
     )
 
 
+def _exact(asked: DataFrame, sentences: DataFrame) -> DataFrame:
+    """``anchor_id, label, at``: the places of the sentences that equal an anchor of ``asked`` (``anchor_id, chapter_id, label,
+    query``), by one join on chapter and text; anchors whose normal form is empty have none."""
+    texts = sentences.select("chapter_id", "sentence_index", F.trim("text").alias("_trimmed"))
+    usable = asked.withColumn("_trimmed", F.trim("query")).filter((F.col("query") != "") & (normalize_anchor(F.col("query")) != ""))
+    met = usable.join(texts, ["chapter_id", "_trimmed"])
+    return met.groupBy("anchor_id", "label").agg(F.sort_array(F.collect_list(F.col("sentence_index").cast("long"))).alias("at"))
+
+
+def _resolved(anchors: DataFrame, sentences: DataFrame, exact: DataFrame, label: str) -> DataFrame:
+    """As ``resolve_anchor``, without candidates. Sentences that equal an anchor (``exact``) decide, one or several; only anchors
+    without any are held against all sentences of their chapters."""
+    own = anchors.join(exact.filter(F.col("label") == label).select("anchor_id", "at"), "anchor_id", "left")
+    own = own.withColumn("at", F.filter("at", lambda i: F.col("least").isNull() | (i >= F.col("least"))))
+    own = written(own.withColumn("n", F.coalesce(F.when(F.col("at").isNotNull(), F.size("at")), F.lit(0))), "anchors")
+    one = F.col("n") == 1
+    known = own.filter("n > 0").select(
+        "anchor_id", F.when(one, F.col("at")[0]).alias("sentence_index"), F.when(one, 1.0).alias("score"),
+        F.when(one, "exact_raw").alias("strategy"), F.when(one, "resolved").otherwise("ambiguous_exact_raw").alias("code"),
+    )
+    rest = own.filter("n = 0").select("anchor_id", "chapter_id", "anchor", "least")
+    if rest.isEmpty():
+        return known
+    some = sentences.join(rest.select("chapter_id").distinct(), "chapter_id", "left_semi")
+    return known.unionByName(resolve_anchor(rest, some, label).drop("candidates"))
+
+
 def resolve_ranges(anchors: DataFrame, sentences: DataFrame) -> DataFrame:
     """``anchor_id, start, end, confidence, code, field, strategy`` of evidence given as ``anchor_id, chapter_id, start_anchor,
     end_anchor`` (null: one sentence). ``code`` is ``resolved``, or the failure of the anchor that ``field`` names.
     """
-    kept = anchors.select("anchor_id", "chapter_id", "start_anchor", "end_anchor")
-    first = resolve_anchor(kept.select("anchor_id", "chapter_id", F.col("start_anchor").alias("anchor"), F.lit(None).cast("long").alias("least")), sentences, "start_anchor")
+    kept = written(anchors.select("anchor_id", "chapter_id", "start_anchor", "end_anchor"), "asked-anchors")
+    side = lambda label: kept.select("anchor_id", "chapter_id", F.lit(label).alias("label"), boundary_text(F.col(label), label).alias("query"))
+    exact = written(_exact(side("start_anchor").unionByName(side("end_anchor")), sentences), "exact-anchors")
+    first = _resolved(kept.select("anchor_id", "chapter_id", F.col("start_anchor").alias("anchor"), F.lit(None).cast("long").alias("least")), sentences, exact, "start_anchor")
     first = first.select("anchor_id", *(F.col(c).alias(f"s_{c}") for c in ("sentence_index", "score", "strategy", "code")))
     begun = kept.join(first, "anchor_id")
     asked = begun.filter("end_anchor IS NOT NULL AND s_code = 'resolved'").select("anchor_id", "chapter_id", F.col("end_anchor").alias("anchor"), F.col("s_sentence_index").alias("least"))
-    last = resolve_anchor(asked, sentences, "end_anchor").select("anchor_id", *(F.col(c).alias(f"e_{c}") for c in ("sentence_index", "score", "strategy", "code")))
+    last = _resolved(asked, sentences, exact, "end_anchor").select("anchor_id", *(F.col(c).alias(f"e_{c}") for c in ("sentence_index", "score", "strategy", "code")))
     both = begun.join(last, "anchor_id", "left")
     # a blank end is a fault of the evidence, whatever its start
     blank = F.col("end_anchor").isNotNull() & (F.trim("end_anchor") == "")
