@@ -912,3 +912,12 @@ def test_sentences_are_counted_once_a_document(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     made = model.materialized(spark, str(tmp_path))
     assert rows(made.groupBy("chapter_id").agg(F.min("n"), F.max("n"), F.count("*"))) == [(1, 53, 53, 53), (3, 1, 1, 1)]
+
+
+def test_each_edge_is_valued_once_from_each_end(monkeypatch):
+    """Clusters offer the same edges again and again as they grow; the distance of two fingerprints stays what it was."""
+    chunks = [{"chunk_id": i, "sentence_index": i, "words_count": 9 + i % 5, "retention": None, "importance": "helpful", "weight": 1.0 + i % 7} for i in range(40)]
+    group, asked = G.Component(chunks, [{"from_id": i + s, "to_id": i, "strength": "important"} for i in range(40) for s in (1, 3) if i + s < 40]), []
+    monkeypatch.setattr(G.pd, "notna", lambda x: asked.append(x) or x is not None)
+    assert sorted(i for ids in group.snakes(60) for i in ids) == list(range(40))
+    assert 0 < len(asked) <= 2 * 4 * len(group.strength)
